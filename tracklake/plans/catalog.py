@@ -32,14 +32,15 @@ def query(key: str, sql: str | None = None, headline: bool = False):
     return deco
 
 
-def oracle(body: str, fixtures=(), doubles=(), others=(), ctes=(), digits: int = 6) -> str:
+def oracle(body: str, fixtures=(), doubles=(), others=(), ctes=(), digits: int = 6, recursive: bool = False) -> str:
     """Oracle text: fixture CTEs + extra CTEs, body wrapped in a rounding projection.
 
     ``others`` are output columns passed through, ``doubles`` are rounded.
     """
     from ..sources.fixtures import SQL
     parts = [f"{n} AS (\n{SQL[n]}\n)" for n in fixtures] + [f"{n} AS (\n{s}\n)" for n, s in ctes]
-    head = ("WITH " + ",\n".join(parts) + "\n") if parts else ""
+    kw = "WITH RECURSIVE " if recursive else "WITH "
+    head = (kw + ",\n".join(parts) + "\n") if parts else ""
     sel = [f'"{c}"' for c in others] + [f'round(cast("{c}" AS double), {digits}) + 0.0 AS "{c}"' for c in doubles]
     return f"{head}SELECT {', '.join(sel)} FROM (\n{body}\n) AS q"
 
