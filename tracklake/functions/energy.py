@@ -88,6 +88,7 @@ def hash_uniform(key, scale: float = 1.0, salt: str = "") -> Column:
     return h / float(16 ** 13) * scale
 
 
-def hash_uniform_sql(key_sql: str, scale: float = 1.0) -> str:
-    return (f"cast(('0x' || substr(md5(cast({key_sql} AS varchar)), 1, 13)) AS bigint) "
+def hash_uniform_sql(key_sql: str, scale: float = 1.0, salt: str = "") -> str:
+    s = f"cast({key_sql} AS varchar)" + (f" || '{salt}'" if salt else "")
+    return (f"cast(('0x' || substr(md5({s}), 1, 13)) AS bigint) "
             f"/ {float(16 ** 13)!r} * {scale!r}")
