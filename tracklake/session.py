@@ -32,6 +32,24 @@ def get_spark(master: str | None = None, app: str = "tracklake",
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return configure(spark)
+
+
+# Session SQL settings the library's plans rely on.  Constraint propagation
+# is off: with the wide projections of derived detector columns it makes
+# the optimizer's constraint sets grow combinatorially (planning took tens of
+# seconds for a plan that runs in one).
+SQL_SETTINGS = {
+    "spark.sql.constraintPropagation.enabled": "false",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    for k, v in SQL_SETTINGS.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
     return spark
 
 

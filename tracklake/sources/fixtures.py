@@ -237,7 +237,10 @@ GENERATOR_SCHEMA = "sim_year string, dataset string, nevents double, emin double
 
 
 def generators(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(GENERATOR_ROWS, GENERATOR_SCHEMA)
+    """The literal dimension, built JVM-side (no Python RDD behind it)."""
+    names = [f.split()[0] for f in GENERATOR_SCHEMA.split(", ")]
+    rows = [F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in GENERATOR_ROWS]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 GENERATORS_SQL = "SELECT * FROM (VALUES\n" + ",\n".join(
