@@ -275,3 +275,15 @@ def test_leaf_is_newton_step(spark):
     df = VectorAssembler(inputCols=["x"], outputCol="f").transform(df)
     m = DecisionTreeRegressor(featuresCol="f", labelCol="t", weightCol="h", maxDepth=0).fit(df)
     assert m.predict(df.first().f) == pytest.approx(-g.sum() / h.sum())
+
+
+def test_grid_search_picks_a_grid_point(spark):
+    rng = np.random.default_rng(5)
+    n = 400
+    x = rng.uniform(0, 1, n)
+    rows = [(float(a), float(b), float(3 * a + 0.1 * b)) for a, b in zip(x, rng.uniform(0, 1, n))]
+    df = spark.createDataFrame(rows, "a double, b double, label double")
+    best, table = boost.grid_search(df, ["a", "b"], "label", grid={"max_depth": [2, 3], "eta": [0.3]},
+                                    folds=2, n_trees=3, parallelism=2)
+    assert len(table) == 2 and best["max_depth"] in (2, 3)
+    assert all(-1.0 <= s <= 1.0 for _, s in table)

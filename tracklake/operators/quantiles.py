@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 
 def grouped_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                       probs: Sequence[float], num_partitions: int | None = None,
@@ -40,6 +42,12 @@ def grouped_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = d.repartitionByRange(n_parts, *[F.col(c).asc_nulls_first() for c in g], F.col("_v")) \
         .withColumn("_pid", F.spark_partition_id())
+    # Materialise the narrow (group, value, partition) frame once in the shared
+    # checkpoint folder: the counts and the ranking read the same partition
+    # ids, the input is scanned once, and a lost executor recomputes nothing
+    # upstream of it.
+    checkpoint_dir(spark)
+    ranged = ranged.checkpoint()
 
     # (group, partition) counts: at most groups x partitions rows
     pc = ranged.groupBy(*g, "_pid").agg(F.count("*").alias("_c"))

@@ -14,6 +14,7 @@ so lineage stays flat and lost executors recompute only one level.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,28 +40,34 @@ def child_ranks(particles: DataFrame) -> DataFrame:
 
 
 def preorder_paths(particles: DataFrame, stop: Column | None = None, max_depth: int = 1000,
-                   checkpoint: bool = True) -> DataFrame:
-    """(event_id, idx, depth, path) for every node reachable from a root.
+                   checkpoint: bool = True, carry: tuple[str, ...] = (), checkpoint_every: int = 4) -> DataFrame:
+    """(event_id, idx, depth, path, *carry) for every node reachable from a root.
 
     ``stop`` (a predicate on particle columns) marks nodes whose subtrees are
     not expanded: their descendants come after them in DFS order, so a
-    first-match search never needs them.
+    first-match search never needs them (the flag is returned as ``_stop``).
+
+    The ranked particles are hash-partitioned on the join key (event_id,
+    parent_idx) and checkpointed once; a checkpoint keeps that partitioning,
+    so each level shuffles only the (small) frontier, never the particles.
+    Frontiers are cached; every ``checkpoint_every`` levels one is written to
+    the checkpoint folder, which bounds lineage (and recomputation after a
+    lost executor) to a few levels.
     """
     spark = particles.sparkSession
     if checkpoint:
         checkpoint_dir(spark)
-    cols = ["event_id", "idx", "parent_idx", "rank"] + ([] if stop is None else ["_stop"])
+    extra = list(carry) + ([] if stop is None else ["_stop"])
     ranked = child_ranks(particles)
     if stop is not None:
         ranked = ranked.withColumn("_stop", stop)
-    ranked = ranked.select(*cols)
+    ranked = ranked.select("event_id", "idx", "parent_idx", "rank", *extra)
     if checkpoint:
-        ranked = ranked.checkpoint()
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ranked = ranked.repartition(n, "event_id", "parent_idx").checkpoint()
     level = ranked.where(F.col("parent_idx").isNull()).select(
-        "event_id", "idx", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"),
-        *(["_stop"] if stop is not None else []))
-    if checkpoint:
-        level = level.checkpoint()
+        "event_id", "idx", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"), *extra)
+    level = level.persist(StorageLevel.MEMORY_AND_DISK)
     levels = [level]
     for depth in range(1, max_depth + 1):
         parents = level if stop is None else level.where(~F.col("_stop"))
@@ -68,9 +75,11 @@ def preorder_paths(particles: DataFrame, stop: Column | None = None, max_depth:
         nxt = ranked.join(p, (ranked["event_id"] == p["_pev"]) & (ranked["parent_idx"] == p["_pidx"])) \
             .select(ranked["event_id"], ranked["idx"], F.lit(depth).alias("depth"),
                     F.concat(F.col("_ppath"), F.array((-F.col("rank")).cast("int"))).alias("path"),
-                    *([ranked["_stop"]] if stop is not None else []))
-        if checkpoint:
+                    *[ranked[c] for c in extra])
+        if checkpoint and depth % checkpoint_every == 0:
             nxt = nxt.checkpoint()
+        else:
+            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
         if nxt.isEmpty():
             break
         levels.append(nxt)
@@ -80,7 +89,7 @@ def preorder_paths(particles: DataFrame, stop: Column | None = None, max_depth:
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
-    return out.drop("_stop") if stop is not None else out
+    return out
 
 
 def interacting_neutrino(particles: DataFrame) -> DataFrame:
@@ -89,8 +98,8 @@ def interacting_neutrino(particles: DataFrame) -> DataFrame:
     Events where none exists get no row (the reference raises).
     """
     match = is_neutrino(F.col("pdg")) & (F.col("location_type") == IN_ICE)
-    paths = preorder_paths(particles, stop=match)
-    cand = paths.join(particles.where(match).select("event_id", "idx", "pdg", "energy"), ["event_id", "idx"])
+    paths = preorder_paths(particles, stop=match, carry=("pdg", "energy"))
+    cand = paths.where(F.col("_stop"))
     return cand.groupBy("event_id").agg(
         F.min_by(F.struct("idx", "pdg", "energy"), F.col("path")).alias("nu")
     ).select("event_id", F.col("nu.idx").alias("nu_idx"), F.col("nu.pdg").alias("nu_pdg"),
