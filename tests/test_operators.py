@@ -149,11 +149,24 @@ def test_quantiles_match_numpy_on_skewed_groups(spark):
     cold = rng.exponential(size=40)
     rows = [(0, float(v)) for v in hot] + [(1, float(v)) for v in cold] + [(2, 5.0)]
     df = spark.createDataFrame(rows, "g long, v double")
-    q = quantiles.grouped_quantiles(df, ["g"], "v", [0.159, 0.5, 0.841], num_partitions=16)
-    got = {(r.g, round(r.prob, 3)): r.value for r in q.collect()}
-    for g, vals in ((0, hot), (1, cold), (2, np.array([5.0]))):
-        for p in (0.159, 0.5, 0.841):
-            assert got[(g, p)] == pytest.approx(np.percentile(vals, p * 100), rel=1e-12, abs=1e-12)
+    for hot_rows in (100, 10**9):   # hot group through the range path / everything through percentile
+        q = quantiles.grouped_quantiles(df, ["g"], "v", [0.159, 0.5, 0.841], num_partitions=16, hot_rows=hot_rows)
+        got = {(r.g, round(r.prob, 3)): r.value for r in q.collect()}
+        for g, vals in ((0, hot), (1, cold), (2, np.array([5.0]))):
+            for p in (0.159, 0.5, 0.841):
+                assert got[(g, p)] == pytest.approx(np.percentile(vals, p * 100), rel=1e-12, abs=1e-12)
+
+
+def test_running_hot_and_cold_paths_agree(spark):
+    from tracklake.operators.running import running
+    rng = np.random.default_rng(11)
+    rows = [(0, i, float(x)) for i, x in enumerate(rng.uniform(0, 1, 2000))] + \
+           [(k, i, float(i)) for k in (1, 2, None) for i in range(5)]
+    df = spark.createDataFrame(rows, "g long, i long, v double")
+    a = {(r.g, r.i): (r.row_no, round(r.running_sum, 6)) for r in running(df, ["g"], ["i"], "v", hot_rows=100).collect()}
+    b = {(r.g, r.i): (r.row_no, round(r.running_sum, 6)) for r in running(df, ["g"], ["i"], "v", hot_rows=10**9).collect()}
+    assert a == b and len(a) == 2015
+    assert a[(0, 1999)][0] == 2000 and a[(None, 4)] == (5, 10.0)
 
 
 # ------------------------------------------------------------------ W2 / P14 / M8
@@ -287,3 +300,17 @@ def test_grid_search_picks_a_grid_point(spark):
                                     folds=2, n_trees=3, parallelism=2)
     assert len(table) == 2 and best["max_depth"] in (2, 3)
     assert all(-1.0 <= s <= 1.0 for _, s in table)
+
+
+def test_edge_energy_paths_agree(spark):
+    from conftest import SMALL
+    from tracklake.sources import fixtures as fx
+    p, t = fx.particles(spark, SMALL), fx.tracks(spark, SMALL)
+    fast = {r.event_id: (r.e_entry, r.e_exit) for r in truth.edge_energies_tables(t, p).collect()}
+    slow = {r.event_id: (r.e_entry, r.e_exit) for r in truth.edge_energies_tables(t, p, hot_rows=1).collect()}
+    assert fast.keys() == slow.keys() and len(fast) > 100
+    for k, (a, b) in fast.items():
+        c, d = slow[k]
+        assert (a is None) == (c is None) and (b is None) == (d is None)
+        if a is not None:
+            assert a == pytest.approx(c, rel=1e-9) and b == pytest.approx(d, rel=1e-9)

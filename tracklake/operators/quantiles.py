@@ -2,7 +2,8 @@
 
 Spark's exact ``percentile`` aggregate keeps every distinct value of a group in
 one hash map in one task, so a group holding a third of the data would blow
-one executor.  Here the values are range-partitioned on (group, value): a hot
+one executor.  Groups above ``hot_rows`` rows (found with one partially
+aggregated count) are therefore handled apart: their values are range-partitioned on (group, value): a hot
 group is spread over many partitions by the sampler.  Per (group, partition)
 counts (a small table) give each partition's rank offset, and only the few
 partitions that hold a wanted rank are ranked locally.  The result equals
@@ -16,12 +17,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import reliable_checkpoint
+from .running import HOT_ROWS, hot_groups, split_hot
 
 
 def grouped_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                       probs: Sequence[float], num_partitions: int | None = None,
-                      approx: bool = False, accuracy: int = 10000) -> DataFrame:
+                      approx: bool = False, accuracy: int = 10000, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows (group..., prob, n, value) with the linear-interpolated quantile.
 
     NULL/NaN values are dropped first.  ``approx=True`` uses
@@ -40,14 +42,37 @@ def grouped_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
 
     spark = df.sparkSession
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = hot_groups(d.where(_all_not_null(g)), g, hot_rows)
+    if hot is None:
+        return _exact_percentile(d, g, probs)
+    cold, warm = split_hot(d, g, hot)
+    return _exact_percentile(cold, g, probs).unionByName(_ranged_quantiles(warm, g, probs, n_parts))
+
+
+def _all_not_null(g):
+    c = F.lit(True)
+    for x in g:
+        c = c & F.col(x).isNotNull()
+    return c
+
+
+def _exact_percentile(d: DataFrame, g, probs) -> DataFrame:
+    """Ordinary groups: Spark's exact ``percentile`` (linear interpolation)."""
+    agg = d.groupBy(*g).agg(F.count("*").alias("n"), F.percentile("_v", probs).alias("_q"))
+    return agg.select(*g, F.posexplode("_q").alias("_i", "value"), "n").select(
+        *g, F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1).alias("prob"),
+        F.col("n").cast("bigint").alias("n"), "value")
+
+
+def _ranged_quantiles(d: DataFrame, g, probs, n_parts: int) -> DataFrame:
+    """Hot groups: ranks located through range partitions (see module doc)."""
     ranged = d.repartitionByRange(n_parts, *[F.col(c).asc_nulls_first() for c in g], F.col("_v")) \
         .withColumn("_pid", F.spark_partition_id())
     # Materialise the narrow (group, value, partition) frame once in the shared
     # checkpoint folder: the counts and the ranking read the same partition
     # ids, the input is scanned once, and a lost executor recomputes nothing
     # upstream of it.
-    checkpoint_dir(spark)
-    ranged = ranged.checkpoint()
+    ranged = reliable_checkpoint(ranged)
 
     # (group, partition) counts: at most groups x partitions rows
     pc = ranged.groupBy(*g, "_pid").agg(F.count("*").alias("_c"))
@@ -85,6 +110,8 @@ def grouped_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     return res.select(*g, "prob", F.col("_n").cast("bigint").alias("n"), value.alias("value"))
 
 
+
+
 def quantile_columns(q: DataFrame, group_cols: Sequence[str], names: dict[float, str]) -> DataFrame:
     """Pivot (group, prob, n, value) into one column per probability."""
     g = list(group_cols)

@@ -18,7 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, reliable_checkpoint
 
 # Particle type codes.  |12|, |14|, |16| are neutrinos; 14 / -14
 # are the muon neutrino and antineutrino.  99 stands in for the hadron
@@ -34,9 +34,10 @@ def is_neutrino(pdg: Column) -> Column:
 
 
 def child_ranks(particles: DataFrame) -> DataFrame:
-    """Rank of each node among its siblings (1..n by idx)."""
-    w = Window.partitionBy("event_id", "parent_idx").orderBy("idx")
-    return particles.withColumn("rank", F.row_number().over(w))
+    """Rank of each node among its siblings (1..n by idx); a node with a huge
+    fan-out is ranked across many tasks (range-partitioned running count)."""
+    from .running import running
+    return running(particles, ["event_id", "parent_idx"], ["idx"], rank_col="rank")
 
 
 def preorder_paths(particles: DataFrame, stop: Column | None = None, max_depth: int = 1000,
@@ -64,7 +65,7 @@ def preorder_paths(particles: DataFrame, stop: Column | None = None, max_depth:
     ranked = ranked.select("event_id", "idx", "parent_idx", "rank", *extra)
     if checkpoint:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ranked = ranked.repartition(n, "event_id", "parent_idx").checkpoint()
+        ranked = reliable_checkpoint(ranked.repartition(n, "event_id", "parent_idx"))
     level = ranked.where(F.col("parent_idx").isNull()).select(
         "event_id", "idx", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"), *extra)
     level = level.persist(StorageLevel.MEMORY_AND_DISK)
@@ -77,7 +78,7 @@ def preorder_paths(particles: DataFrame, stop: Column | None = None, max_depth:
                     F.concat(F.col("_ppath"), F.array((-F.col("rank")).cast("int"))).alias("path"),
                     *[ranked[c] for c in extra])
         if checkpoint and depth % checkpoint_every == 0:
-            nxt = nxt.checkpoint()
+            nxt = reliable_checkpoint(nxt)
         else:
             nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
         if nxt.isEmpty():

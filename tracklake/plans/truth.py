@@ -107,6 +107,7 @@ EDGE_CTES = TRACK_CTES + [("lin", EDGE_LIN)] + EVAL_CTES + [("edges", EDGES_SQL)
 
 
 def _parts(spark, sf):
+    """(particles, tracks) fixtures."""
     return fx.particles(spark, sf), fx.tracks(spark, sf)
 
 
@@ -184,6 +185,7 @@ def first_numu_track(spark, sf):
 @query("cumulative_losses", oracle("SELECT event_id, idx, dist, e AS elost FROM dl", ["particles", "tracks"],
                                    ["dist", "elost"], ["event_id", "idx"], ctes=TRACK_CTES[:2]))
 def cumulative_losses(spark, sf):
+    """Running loss sum in tree order (range-partitioned, skew-safe)."""
     p, t = _parts(spark, sf)
     sel = tr.first_numu_track(t, p)
     return rounded(th.cumulative_losses(sel, p).select("event_id", "idx", "dist", "elost"))
@@ -192,12 +194,11 @@ def cumulative_losses(spark, sf):
 @query("checkpoints", oracle("SELECT event_id, cast(k AS bigint) AS k, len, e, cast(off AS bigint) AS off FROM cps",
                              ["particles", "tracks"], ["len", "e"], ["event_id", "k", "off"], ctes=TRACK_CTES[:5]))
 def checkpoints(spark, sf):
+    """Checkpoints (start, entry, exit, end) with their loss offsets, as rows."""
     p, t = _parts(spark, sf)
     sel = tr.first_numu_track(t, p)
-    c = th.with_checkpoints(sel, th.cumulative_losses(sel, p))
-    x = c.select("event_id", F.posexplode("cps").alias("k", "cp"))
-    return rounded(x.select("event_id", F.col("k").cast("bigint").alias("k"), F.col("cp.len").alias("len"),
-                            F.col("cp.e").alias("e"), F.col("cp.off").cast("bigint").alias("off")))
+    cps, _ = th.loss_tables(sel, p)
+    return rounded(cps.select("event_id", "k", "len", "e", "off"))
 
 
 # ----------------------------------------------------------------- T1 / T4
@@ -225,29 +226,35 @@ def track_distance(spark, sf):
 BRACKET_LIN = "SELECT event_id, 'entry' AS which, first AS L FROM cyl WHERE first IS NOT NULL"
 
 
+def _entry_lin(sel):
+    return sel.where(F.col("first").isNotNull()).select("event_id", F.lit("entry").alias("which"),
+                                                        F.col("first").alias("L"))
+
+
 @query("checkpoint_bracket", oracle(
     "SELECT event_id, len_b AS len_before, e_b AS e_before, len_a AS len_after, e_a AS e_after FROM br",
     ["particles", "tracks"], ["len_before", "e_before", "len_after", "e_after"], ["event_id"],
     ctes=TRACK_CTES + [("lin", BRACKET_LIN)] + EVAL_CTES[:2]))
 def checkpoint_bracket(spark, sf):
+    """Checkpoints around the cylinder entry (first with len >= L and the one before)."""
     p, t = _parts(spark, sf)
-    s = th.selected_tracks(t, p).where(F.col("first").isNotNull())
-    cb, ca = th.bracket(F.col("first"))
-    s = s.where(ca.isNotNull())  # no checkpoint reaches L: no bracket
-    return rounded(s.select("event_id", cb["len"].alias("len_before"), cb["e"].alias("e_before"),
-                            ca["len"].alias("len_after"), ca["e"].alias("e_after")))
+    sel = th.selected_with_cylinder(t, p)
+    cps, _ = th.loss_tables(sel, p)
+    br = th.bracket_table(_entry_lin(sel), cps)
+    return rounded(br.select("event_id", F.col("len_b").alias("len_before"), F.col("e_b").alias("e_before"),
+                             F.col("len_a").alias("len_after"), F.col("e_a").alias("e_after")))
 
 
 @query("last_loss_before", oracle(
     "SELECT event_id, ls_len, ls_e FROM ev", ["particles", "tracks"], ["ls_len", "ls_e"], ["event_id"],
     ctes=TRACK_CTES + [("lin", BRACKET_LIN)] + EVAL_CTES[:4]))
 def last_loss_before(spark, sf):
+    """The last cumulative loss before the cylinder entry (as-of lookup)."""
     p, t = _parts(spark, sf)
-    s = th.selected_tracks(t, p).where(F.col("first").isNotNull())
-    cb, ca = th.bracket(F.col("first"))
-    ls = th.last_loss(F.col("first"), cb, ca)
-    s = s.where(ca.isNotNull())
-    return rounded(s.select("event_id", ls["len"].alias("ls_len"), ls["e"].alias("ls_e")))
+    sel = th.selected_with_cylinder(t, p)
+    cps, losses = th.loss_tables(sel, p)
+    ev = th.last_loss_table(th.bracket_table(_entry_lin(sel), cps), losses)
+    return rounded(ev.select("event_id", "ls_len", "ls_e"))
 
 
 AT_LIN = ("SELECT event_id, 'at300' AS which, cast(300 AS double) AS L FROM tr UNION ALL "
@@ -261,20 +268,26 @@ AT_LIN = ("SELECT event_id, 'at300' AS which, cast(300 AS double) AS L FROM tr U
     "AND c.which = 'before' WHERE a.which = 'at300'", ["particles", "tracks"], ["e_at300", "e_mid", "e_before"],
     ["event_id"], ctes=TRACK_CTES + [("lin", AT_LIN)] + EVAL_CTES, digits=4))
 def energy_at_length(spark, sf):
+    """Energy at 300 m, at half the track length and before the start."""
     p, t = _parts(spark, sf)
-    s = th.selected_tracks(t, p)
-    e300, _ = th.energy_at(F.lit(300.0))
-    emid, _ = th.energy_at(F.col("length") / 2.0)
-    ebefore, _ = th.energy_at(F.lit(-1.0))
-    return rounded(s.select("event_id", e300.alias("e_at300"), emid.alias("e_mid"), ebefore.alias("e_before")), 4)
+    sel = tr.first_numu_track(t, p)
+    cps, losses = th.loss_tables(sel, p)
+    lin = sel.select("event_id", F.lit("at300").alias("which"), F.lit(300.0).alias("L")).unionByName(
+        sel.select("event_id", F.lit("mid").alias("which"), (F.col("length") / 2.0).alias("L"))).unionByName(
+        sel.select("event_id", F.lit("before").alias("which"), F.lit(-1.0).alias("L")))
+    en = th.energies_at(lin, sel, cps, losses)
+    piv = en.groupBy("event_id").agg(*[F.max(F.when(F.col("which") == w, F.col("energy_at"))).alias(n)
+                                       for w, n in (("at300", "e_at300"), ("mid", "e_mid"), ("before", "e_before"))])
+    return rounded(piv, 4)
 
 
 # ----------------------------------------------------------------- T5 / T6 / T7 / P11
 @query("edge_energies", oracle("SELECT * FROM edges", ["particles", "tracks"], ["e_entry", "e_exit"], ["event_id"],
                                ctes=EDGE_CTES, digits=4), headline=True)
 def edge_energies(spark, sf):
+    """T5: energies where the selected muon enters and leaves the detector volume."""
     p, t = _parts(spark, sf)
-    return rounded(th.edge_energies(t, p), 4)
+    return rounded(th.edge_energies_tables(t, p), 4)
 
 
 @query("muon_energies", oracle(
@@ -303,5 +316,5 @@ def truth_column(spark, sf):
 def truth_source(spark, sf):
     """Stored truth keys win; the computed edge energies fill the gaps."""
     p, t = _parts(spark, sf)
-    feats = ft.flatten_features(fx.frames(spark, sf), truth=th.edge_energies(t, p))
+    feats = ft.flatten_features(fx.frames(spark, sf), truth=th.edge_energies_tables(t, p))
     return rounded(feats.select("event_id", "E_entry", "E_exit"), 4)

@@ -66,3 +66,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
+
+
+def reliable_checkpoint(df):
+    """Cut lineage with a checkpoint in the shared folder, computing ``df`` once.
+
+    An eager ``checkpoint()`` runs the plan for its count and again to write
+    the files; persisting first makes the write read the cached blocks.
+    """
+    from pyspark import StorageLevel
+    checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint()
+    cached.unpersist()
+    return out
