@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
-from .running import HOT_ROWS, hot_groups, split_hot
+from .running import hot_groups, split_hot
 
 
 def grouped_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                       probs: Sequence[float], num_partitions: int | None = None,
-                      approx: bool = False, accuracy: int = 10000, hot_rows: int = HOT_ROWS) -> DataFrame:
+                      approx: bool = False, accuracy: int = 10000, hot_rows: int | None = None) -> DataFrame:
     """Rows (group..., prob, n, value) with the linear-interpolated quantile.
 
     NULL/NaN values are dropped first.  ``approx=True`` uses

@@ -23,11 +23,13 @@ from ..session import reliable_checkpoint
 HOT_ROWS = 2_000_000
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys of groups with more than ``hot_rows`` rows, or None when there are none.
+def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame | None:
+    """Keys of groups with more than ``hot_rows`` rows (default ``HOT_ROWS``),
+    or None when there are none.
 
     The result has at most rows / hot_rows entries, so it can be broadcast.
     """
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     k = list(keys)
     hot = df.groupBy(*k).count().where(F.col("count") > hot_rows).select(*k)
     hot = reliable_checkpoint(hot)
@@ -71,7 +73,7 @@ def _running_ranged(df, k, o, v, sum_col, rank_col, with_sum, n):
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str | Column | None = None,
             sum_col: str = "running_sum", rank_col: str = "row_no", num_partitions: int | None = None,
-            hot_rows: int = HOT_ROWS) -> DataFrame:
+            hot_rows: int | None = None) -> DataFrame:
     """Add ``row_no`` (1-based rank in order) and, with ``value``, the
     inclusive running sum ``running_sum`` within each key group.
 
