@@ -31,9 +31,12 @@ def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None)
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     k = list(keys)
-    hot = df.groupBy(*k).count().where(F.col("count") > hot_rows).select(*k)
-    hot = reliable_checkpoint(hot)
-    return None if hot.isEmpty() else hot
+    counts = df.groupBy(*k).count()
+    # one job decides; the key table is only materialised when it is needed
+    top = counts.agg(F.max("count").alias("m")).first()["m"]
+    if top is None or top <= hot_rows:
+        return None
+    return reliable_checkpoint(counts.where(F.col("count") > hot_rows).select(*k))
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame):

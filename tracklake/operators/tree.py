@@ -90,6 +90,11 @@ def preorder_paths(particles: DataFrame, stop: Column | None = None, max_depth:
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
+    # one materialised result; the cached frontiers are released
+    out = reliable_checkpoint(out) if checkpoint else out
+    if checkpoint:
+        for lv in levels:
+            lv.unpersist()
     return out
 
 
