@@ -314,3 +314,36 @@ def test_edge_energy_paths_agree(spark):
         assert (a is None) == (c is None) and (b is None) == (d is None)
         if a is not None:
             assert a == pytest.approx(c, rel=1e-9) and b == pytest.approx(d, rel=1e-9)
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.floats(min_value=-50, max_value=50, allow_nan=False), min_size=2, max_size=40),
+       st.integers(min_value=1, max_value=12))
+def test_uniform_bin_matches_numpy_histogram(spark, values, n):
+    lo, hi = min(values), max(values)
+    if hi - lo < 1e-6:
+        return
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    got = [0] * n
+    for r in df.select(binning.uniform_bin(F.col("x"), lo, hi, n).alias("b")).collect():
+        got[r.b] += 1
+    ref, _ = np.histogram(values, bins=n, range=(lo, hi))
+    # identical counts except where float rounding moves a value sitting on an edge
+    assert sum(got) == len(values) == int(ref.sum())
+    assert sum(abs(a - b) for a, b in zip(got, ref)) <= 2 * sum(
+        1 for v in values for k in range(1, n) if abs(v - (lo + k * (hi - lo) / n)) < 1e-9 * max(1.0, abs(v)))
+
+
+def test_write_scored_one_to_one(spark, tmp_path):
+    from tracklake.sources.frames import write_scored
+    df = spark.createDataFrame([(1, "/d/a/Level5.000001.i3.zst", 1.0, 2.0), (2, "/d/a/Level5.000002.i3.zst", 3.0, 4.0)],
+                               "event_id long, source_file string, ace_prediction double, ace_truth double")
+    write_scored(df, str(tmp_path / "o"), write_truth=False)
+    back = spark.read.parquet(str(tmp_path / "o"))
+    assert sorted(r.out_file for r in back.collect()) == ["wACE_Level5.000001.i3.zst", "wACE_Level5.000002.i3.zst"]
+    assert "ace_truth" not in back.columns
+    with pytest.raises(ValueError):
+        write_scored(df, str(tmp_path / "p"), write_prediction=False, write_truth=False)
