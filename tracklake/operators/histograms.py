@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binning import uniform_bin
@@ -27,15 +27,14 @@ def with_range_bin(df: DataFrame, x: Column, n: int, name: str = "bin", log: boo
                    lo: float | None = None, hi: float | None = None) -> DataFrame:
     """Bin ``x`` into n equal bins over [lo, hi], by default the data range.
 
-    The data-driven range is a one-row aggregate cross-joined (broadcast) to
-    the rows: one extra pass, no shuffle of rows.
+    The data-driven range is one aggregation whose two numbers enter the
+    plan as literals: one extra pass, no shuffle of rows.
     """
     xv = F.when(x > 0, F.log10(x)) if log else x
     d = df.withColumn("_x", xv)
     if lo is None or hi is None:
-        rng = d.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-        d = d.crossJoin(F.broadcast(rng))
-        lo_c, hi_c = F.col("_lo"), F.col("_hi")
+        r = d.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
+        lo_c, hi_c = F.lit(r["lo"]).cast("double"), F.lit(r["hi"]).cast("double")
     else:
         lo_c = F.lit(math.log10(lo) if log else float(lo))
         hi_c = F.lit(math.log10(hi) if log else float(hi))
@@ -43,11 +42,11 @@ def with_range_bin(df: DataFrame, x: Column, n: int, name: str = "bin", log: boo
 
 
 def weighted_hist(df: DataFrame, bin_col: str, n_bins: int, weight: Column | None = None,
-                  normed: bool = False, widths: DataFrame | None = None) -> DataFrame:
+                  normed: bool = False, widths: DataFrame | float | None = None) -> DataFrame:
     """Per bin sum of weights, error sqrt(sum w^2), every bin present.
 
     ``normed`` divides by bin width and the total (density); widths is a
-    (bin, width) frame (uniform widths otherwise).
+    (bin, width) frame or one uniform width (1 otherwise).
     """
     w = weight if weight is not None else F.lit(1.0)
     agg = (df.where(F.col(bin_col).isNotNull())
@@ -58,12 +57,12 @@ def weighted_hist(df: DataFrame, bin_col: str, n_bins: int, weight: Column | Non
         bin_col, F.coalesce("hist", F.lit(0.0)).alias("hist"),
         F.sqrt(F.coalesce("_w2", F.lit(0.0))).alias("err"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
     if normed:
-        total = full.agg(F.sum("hist").alias("_tot"))
-        full = full.crossJoin(F.broadcast(total))
-        if widths is not None:
+        # the bin table has n_bins rows: the total is a window over it
+        full = full.withColumn("_tot", F.sum("hist").over(Window.partitionBy()))
+        if isinstance(widths, DataFrame):
             full = full.join(F.broadcast(widths), bin_col)
         else:
-            full = full.withColumn("width", F.lit(1.0))
+            full = full.withColumn("width", F.lit(float(widths) if widths is not None else 1.0))
         norm = F.when(F.col("_tot") != 0, 1.0 / F.col("width") / F.col("_tot"))
         full = full.select(bin_col, (F.col("hist") * norm).alias("hist"), (F.col("err") * norm).alias("err"), "n")
     return full

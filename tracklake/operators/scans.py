@@ -72,8 +72,8 @@ def best_fit(nested: DataFrame, manual_llh: float | None = None) -> DataFrame:
 
 
 def with_min(df: DataFrame, best: DataFrame) -> DataFrame:
-    # ``best`` is exactly one row
-    return df.crossJoin(F.broadcast(best.select("min_llh")))
+    """Attach the best-fit LLH (``best`` is exactly one row) as a literal."""
+    return df.withColumn("min_llh", F.lit(best.first()["min_llh"]).cast("double"))
 
 
 def llh_scan_1d(nested: DataFrame, best: DataFrame | None = None) -> DataFrame:
@@ -89,8 +89,8 @@ def llh_scan_1d(nested: DataFrame, best: DataFrame | None = None) -> DataFrame:
     out = s.select(F.when(F.col("scan") == GAMMA, "gamma").otherwise("phi").alias("scanned"),
                    point.alias("scan_point"), delta_llh("llh", F.col("min_llh")).alias("dllh2"),
                    partner.alias("fitted_partner"), "fitted")
-    n_kinds = out.select(F.countDistinct("scanned").alias("k"))
-    return out.crossJoin(F.broadcast(n_kinds)).where(F.col("k") == 2).drop("k")
+    n_kinds = out.agg(F.countDistinct("scanned").alias("k")).first()["k"]
+    return out if n_kinds == 2 else out.where(F.lit(False))
 
 
 def sorted_scan(scan: DataFrame, part: str = "scanned", order: str = "scan_point") -> DataFrame:
@@ -137,7 +137,7 @@ def interp_linear(points: DataFrame, part: str, x: str, y: str, n: int = 1000) -
     spark = points.sparkSession
     rng = points.groupBy(part).agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
     k = F.col("k")
-    grid = rng.crossJoin(spark.range(n).select(F.col("id").alias("k"))).select(
+    grid = rng.select(part, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select(
         part, "k", F.when(k == n - 1, F.col("hi"))
         .otherwise(k.cast("double") * ((F.col("hi") - F.col("lo")) / float(n - 1)) + F.col("lo")).alias("xg"), "hi")
     seg = segments(points, part, x, y)
@@ -216,19 +216,23 @@ def llh_surface(points: DataFrame, x: str, y: str, v: str, nx: int = 1000, ny: i
         vals = points.select(F.col(col).alias("v")).distinct()
         w = Window.orderBy("v")
         segs = vals.select("v", F.lead("v").over(w).alias("v1")).where(F.col("v1").isNotNull())
-        rng = vals.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+        r = vals.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+        lo, hi = F.lit(r["lo"]).cast("double"), F.lit(r["hi"]).cast("double")
         k = F.col("k")
-        g = spark.range(n).select(F.col("id").alias("k")).crossJoin(F.broadcast(rng)).select(
+        g = spark.range(n).select(F.col("id").alias("k")).select(
             F.col("k").cast("bigint").alias(f"g{name}"),
-            F.when(k == n - 1, F.col("hi")).otherwise(
-                k.cast("double") * ((F.col("hi") - F.col("lo")) / float(n - 1)) + F.col("lo")).alias(name), "hi")
+            F.when(k == n - 1, hi).otherwise(k.cast("double") * ((hi - lo) / float(n - 1)) + lo).alias(name),
+            hi.alias("hi"))
         j = g.join(F.broadcast(segs), (F.col(name) >= F.col("v")) &
                    ((F.col(name) < F.col("v1")) | ((F.col("v1") == F.col("hi")) & (F.col(name) == F.col("hi")))))
         return j.select(f"g{name}", name, F.col("v").alias(f"{name}0"), F.col("v1").alias(f"{name}1"))
 
     ax, ay = axis(x, nx, "gx_v"), axis(y, ny, "gy_v")
     vals = points.select(F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(v).alias("_v"))
-    grid = ax.crossJoin(ay)
+    # the nx x ny grid is generated, then each node picks up its axis cells
+    cells = spark.range(nx * ny).select((F.col("id") / ny).cast("bigint").alias("ggx_v"),
+                                        (F.col("id") % ny).cast("bigint").alias("ggy_v"))
+    grid = cells.join(F.broadcast(ax), "ggx_v").join(F.broadcast(ay), "ggy_v")
 
     def corner(cx: str, cy: str, name: str):
         return vals.select(F.col("_x").alias(cx), F.col("_y").alias(cy), F.col("_v").alias(name))

@@ -215,9 +215,8 @@ def poisson_hist_normed(spark, sf):
     """A6 normed: density 1 / width / total."""
     d = _hist_input(spark, sf)
     f = ft.physics_frames(fx.frames(spark, sf)).where(F.col("e_entry") > 0)
-    width = f.agg(((F.max(F.log10("e_entry")) - F.min(F.log10("e_entry"))) / float(N_BINS)).alias("width"))
-    widths = d.sparkSession.range(N_BINS).select(F.col("id").alias("bin")).crossJoin(F.broadcast(width))
-    return rounded(hg.weighted_hist(d, "bin", N_BINS, F.col("w"), normed=True, widths=widths))
+    width = f.agg(((F.max(F.log10("e_entry")) - F.min(F.log10("e_entry"))) / float(N_BINS)).alias("w")).first()["w"]
+    return rounded(hg.weighted_hist(d, "bin", N_BINS, F.col("w"), normed=True, widths=width))
 
 
 # ------------------------------------------------------------------ A7 / A8
@@ -327,10 +326,10 @@ RATIO_RANGE = "SELECT least(min(a), min(b)) AS lo, greatest(max(a), max(b)) AS h
 def _ratio_hists(spark, sf):
     f = ft.physics_frames(fx.frames(spark, sf)).where(F.col("e_truncated_gev") > 0)
     d = f.select(F.log10("e_truncated_gev").alias("a"), F.when(F.col("e_muex_gev") > 0, F.log10("e_muex_gev")).alias("b"))
-    rng = hg.overall_min_max(d, "a", "b")
-    d = d.crossJoin(F.broadcast(rng))
-    da = d.withColumn("bin", uniform_bin(F.col("a"), F.col("lo"), F.col("hi"), N_BINS))
-    db = d.where(F.col("b").isNotNull()).withColumn("bin", uniform_bin(F.col("b"), F.col("lo"), F.col("hi"), N_BINS))
+    rng = hg.overall_min_max(d, "a", "b").first()
+    lo, hi = F.lit(rng["lo"]).cast("double"), F.lit(rng["hi"]).cast("double")
+    da = d.withColumn("bin", uniform_bin(F.col("a"), lo, hi, N_BINS))
+    db = d.where(F.col("b").isNotNull()).withColumn("bin", uniform_bin(F.col("b"), lo, hi, N_BINS))
     ha = hg.weighted_hist(da, "bin", N_BINS).select("bin", F.col("n").cast("double").alias("h"),
                                                     F.col("err").alias("err_h"))
     hb = hg.weighted_hist(db, "bin", N_BINS).select("bin", F.col("n").cast("double").alias("b"),
@@ -403,7 +402,8 @@ def event_series(spark, sf):
     b = hg.with_range_bin(ev, F.col("value"), N_SERIES)
     agg = b.groupBy("event_type", "bin").agg(F.count("*").alias("n"))
     types = ev.select("event_type").distinct()
-    grid = types.crossJoin(spark.range(N_SERIES).select(F.col("id").alias("bin")))
+    grid = types.select("event_type", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(N_SERIES - 1).cast("bigint")))
+                        .alias("bin"))
     return grid.join(agg, ["event_type", "bin"], "left").select(
         "event_type", "bin", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 

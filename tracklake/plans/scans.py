@@ -154,11 +154,12 @@ def llh_scan_2d(spark, sf):
     """Gamma, phi, 2*llh per grid fit (as written: not best-subtracted)
     plus the best-fit point."""
     nested = _nested(spark, sf)
-    best = sc.best_fit(nested)
-    g = nested.where(F.col("scan") == "2d").crossJoin(F.broadcast(best))
+    b = sc.best_fit(nested).first()
+    g = nested.where(F.col("scan") == "2d")
     return rounded(g.select("fit_id", F.col("fixed")[G].alias(G), F.col("fixed")[N].alias(N),
-                            delta_llh("llh").alias("ts"), "best_gamma", "best_phi",
-                            (2.0 * F.col("min_llh")).alias("best_ts")))
+                            delta_llh("llh").alias("ts"), F.lit(b["best_gamma"]).cast("double").alias("best_gamma"),
+                            F.lit(b["best_phi"]).cast("double").alias("best_phi"),
+                            (2.0 * F.lit(b["min_llh"]).cast("double")).alias("best_ts")))
 
 
 # ------------------------------------------------------------------ P21 / P22
@@ -257,8 +258,9 @@ def curve_widths(spark, sf):
     best = sc.best_fit(nested)
     prof = sc.llh_scan_1d(nested, best).where(F.col("scanned") == "gamma").select(
         F.lit("profile").alias("scanned"), "scan_point", "dllh2")
-    g = _grid_ts(spark, sf).crossJoin(F.broadcast(best.select("best_phi")))
-    sl = g.where(F.col(N) == F.col("best_phi")).select(F.lit("slice").alias("scanned"),
+    best_phi = best.first()["best_phi"]
+    g = _grid_ts(spark, sf)
+    sl = g.where(F.col(N) == F.lit(best_phi).cast("double")).select(F.lit("slice").alias("scanned"),
                                                         F.col(G).alias("scan_point"), F.col("ts").alias("dllh2"))
     cr = sc.level_crossings(prof.unionByName(sl), "scanned", "scan_point", "dllh2", CROSS_LEVEL)
     return rounded(sc.curve_widths(cr, "scanned"))
