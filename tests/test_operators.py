@@ -347,3 +347,8 @@ def test_write_scored_one_to_one(spark, tmp_path):
     assert "ace_truth" not in back.columns
     with pytest.raises(ValueError):
         write_scored(df, str(tmp_path / "p"), write_prediction=False, write_truth=False)
+
+
+def test_degenerate_range_bins(spark):
+    df = spark.createDataFrame([(2.0,), (2.0,)], "x double")
+    assert [r.b for r in df.select(binning.uniform_bin(F.col("x"), 2.0, 2.0, 5).alias("b")).collect()] == [0, 0]

@@ -21,12 +21,14 @@ def uniform_bin(x, lo, hi, n: int) -> Column:
     norm = F.lit(float(n)) / (hi - lo)
     idx = F.floor((x - lo) * norm).cast("bigint")
     return (F.when((x < lo) | (x > hi) | x.isNull() | F.isnan(x), F.lit(None).cast("bigint"))
+            .when(hi == lo, F.lit(0).cast("bigint"))          # degenerate range: one bin, no division
             .when(x == hi, F.lit(n - 1).cast("bigint"))
             .otherwise(F.least(idx, F.lit(n - 1).cast("bigint"))))
 
 
 def uniform_bin_sql(x: str, lo: str, hi: str, n: int) -> str:
     return (f"CASE WHEN {x} IS NULL OR isnan({x}) OR {x} < {lo} OR {x} > {hi} THEN NULL "
+            f"WHEN {hi} = {lo} THEN cast(0 AS bigint) "
             f"WHEN {x} = {hi} THEN cast({n - 1} AS bigint) "
             f"ELSE least(cast(floor(({x} - {lo}) * ({float(n)!r} / ({hi} - {lo}))) AS bigint), cast({n - 1} AS bigint)) END")
 
