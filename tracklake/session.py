@@ -8,6 +8,17 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+def _driver_memory(cap_gb: int = 16) -> str:
+    """About 60 % of physical memory, at most ``cap_gb`` (local mode: the
+    driver JVM is the whole cluster)."""
+    try:
+        with open("/proc/meminfo") as f:
+            kb = int(next(line for line in f if line.startswith("MemTotal")).split()[1])
+        return f"{max(1, min(cap_gb, int(kb / 1024 / 1024 * 0.6)))}g"
+    except (OSError, StopIteration, ValueError):
+        return "4g"
+
+
 def get_spark(master: str | None = None, app: str = "tracklake",
               shuffle_partitions: int | None = None) -> SparkSession:
     """Build (or reuse) a session with AQE on and the UI off.
@@ -28,7 +39,7 @@ def get_spark(master: str | None = None, app: str = "tracklake",
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", _driver_memory())
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
