@@ -352,3 +352,16 @@ def test_write_scored_one_to_one(spark, tmp_path):
 def test_degenerate_range_bins(spark):
     df = spark.createDataFrame([(2.0,), (2.0,)], "x double")
     assert [r.b for r in df.select(binning.uniform_bin(F.col("x"), 2.0, 2.0, 5).alias("b")).collect()] == [0, 0]
+
+
+def test_exact_split_with_hot_duplicates(spark, monkeypatch):
+    from tracklake.operators import running as rn
+    monkeypatch.setattr(rn, "HOT_ROWS", 50)
+    # one id copied 400 times next to 600 distinct ids
+    df = spark.range(1, 601).withColumnRenamed("id", "event_id").unionByName(
+        spark.range(400).select(F.lit(7).cast("bigint").alias("event_id")))
+    s = {r.split: r.n for r in weights.exact_split(df).groupBy("split").agg(F.count("*").alias("n")).collect()}
+    n = 1000
+    nt = math.ceil(n / 10)
+    ne = math.ceil((n - nt) * 2 / 10)
+    assert s.get("test", 0) == nt and s.get("eval", 0) == ne and s.get("train", 0) == n - nt - ne

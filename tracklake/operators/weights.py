@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.energy import hash_uniform
 from .common import sized_broadcast
+from .running import running
 
 SIM_YEARS = ("2012", "2019")
 
@@ -74,8 +75,9 @@ def exact_split(df: DataFrame, key: str = "event_id", shares: Sequence[tuple[str
     """Exact-size split in hash order: each share is ceil(num/den * remaining).
 
     The global rank is offset-of-bucket (a window over the bounded bucket
-    count table) + rank inside the bucket (a window partitioned by bucket, so
-    no single task sorts everything).
+    count table) + rank inside the bucket (partitioned by bucket; hot buckets
+    take the range-partitioned path of ``running``), so no single task sorts
+    everything.
     """
     s = F.concat(F.col(key).cast("string"), F.lit(salt))
     h = F.md5(s)
@@ -84,8 +86,11 @@ def exact_split(df: DataFrame, key: str = "event_id", shares: Sequence[tuple[str
     counts = d.groupBy("_b").agg(F.count("*").alias("_c"))
     counts = counts.withColumn("_off", F.sum("_c").over(Window.orderBy("_b")) - F.col("_c")) \
                    .withColumn("_n", F.sum("_c").over(Window.partitionBy()))
-    r = d.join(counts, "_b").withColumn(
-        "_r", F.col("_off") + F.row_number().over(Window.partitionBy("_b").orderBy("_u", key)) - 1)
+    # rank inside the bucket; a bucket made hot by many copies of one key is
+    # ranked across tasks (the tie-break lets the range sampler split copies)
+    d = d.withColumn("_tie", F.monotonically_increasing_id())
+    ranked = running(d, ["_b"], ["_u", key, "_tie"], rank_col="_rb")
+    r = ranked.join(counts, "_b").withColumn("_r", F.col("_off") + F.col("_rb") - 1)
     # cumulative boundaries: integer ceil of each share of what is left
     label = None
     bound = F.lit(0).cast("bigint")
@@ -95,4 +100,4 @@ def exact_split(df: DataFrame, key: str = "event_id", shares: Sequence[tuple[str
         bound = bound + size
         left = left - size
         label = F.when(F.col("_r") < bound, name) if label is None else label.when(F.col("_r") < bound, name)
-    return r.withColumn("split", label.otherwise(rest)).drop("_u", "_b", "_c", "_off", "_n", "_r")
+    return r.withColumn("split", label.otherwise(rest)).drop("_u", "_b", "_c", "_off", "_n", "_r", "_rb", "_tie")
