@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.energy import delta_llh, mask_above
+from .common import sized_broadcast
 from .solvers import not_a_knot_spline, spline_eval, spline_roots
 
 GAMMA, NORM = "gamma_astro", "astro_norm"
@@ -223,7 +224,8 @@ def llh_surface(points: DataFrame, x: str, y: str, v: str, nx: int = 1000, ny: i
             F.col("k").cast("bigint").alias(f"g{name}"),
             F.when(k == n - 1, hi).otherwise(k.cast("double") * ((hi - lo) / float(n - 1)) + lo).alias(name),
             hi.alias("hi"))
-        j = g.join(F.broadcast(segs), (F.col(name) >= F.col("v")) &
+        # the axis values of a scan: broadcast only after a size check
+        j = g.join(sized_broadcast(segs), (F.col(name) >= F.col("v")) &
                    ((F.col(name) < F.col("v1")) | ((F.col("v1") == F.col("hi")) & (F.col(name) == F.col("hi")))))
         return j.select(f"g{name}", name, F.col("v").alias(f"{name}0"), F.col("v1").alias(f"{name}1"))
 
