@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
+from .common import sized_broadcast
 
 HOT_ROWS = 2_000_000
 
@@ -42,7 +43,8 @@ def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None)
 def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame):
     """(rows of ordinary groups, rows of hot groups); NULL keys match NULL."""
     k = list(keys)
-    h = F.broadcast(hot.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(k)]))
+    # at most rows / HOT_ROWS keys; still size-checked before broadcasting
+    h = sized_broadcast(hot.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(k)]), 1_000_000)
     cond = [df[c].eqNullSafe(h[f"_h{i}"]) for i, c in enumerate(k)]
     return df.join(h, cond, "left_anti"), df.join(h, cond, "left_semi")
 

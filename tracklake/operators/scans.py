@@ -189,7 +189,7 @@ def clean_interp(points: DataFrame, part: str, x: str, y: str, bad: DataFrame |
     if bad is not None:
         pts = pts.join(bad.select(part, x), [part, x], "left_anti")
     lo_hi = points.groupBy(part).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    pts = pts.join(F.broadcast(lo_hi), part)
+    pts = pts.join(sized_broadcast(lo_hi), part)
 
     def curve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(x)
