@@ -365,3 +365,20 @@ def test_exact_split_with_hot_duplicates(spark, monkeypatch):
     nt = math.ceil(n / 10)
     ne = math.ceil((n - nt) * 2 / 10)
     assert s.get("test", 0) == nt and s.get("eval", 0) == ne and s.get("train", 0) == n - nt - ne
+
+
+def test_sized_broadcast_falls_back_beyond_bound(spark):
+    from tracklake.operators.common import sized_broadcast
+    big = spark.range(5000).withColumnRenamed("id", "k")
+    small = spark.range(10).withColumnRenamed("id", "k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hinted = big.join(sized_broadcast(small, 100), "k")
+        plain = big.join(sized_broadcast(big.select("k"), 100), "k")
+        plan_h = hinted._jdf.queryExecution().executedPlan().toString()
+        plan_p = plain._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan_h
+    assert "BroadcastHashJoin" not in plan_p and "SortMergeJoin" in plan_p
+    assert hinted.count() == 10 and plain.count() == 5000
