@@ -382,3 +382,12 @@ def test_sized_broadcast_falls_back_beyond_bound(spark):
     assert "BroadcastHashJoin" in plan_h
     assert "BroadcastHashJoin" not in plan_p and "SortMergeJoin" in plan_p
     assert hinted.count() == 10 and plain.count() == 5000
+
+
+def test_dfs_from_marked_primary(spark):
+    # two roots: 1 (neutrino, not in ice) -> 3 (in-ice neutrino); 2 (primary) -> 4 (in-ice neutrino)
+    rows = [(1, 1, None, 14, "Anywhere"), (1, 2, None, 13, "InIce"), (1, 3, 1, 14, "InIce"), (1, 4, 2, 12, "InIce")]
+    p = spark.createDataFrame(rows, "event_id long, idx long, parent_idx long, pdg int, location_type string") \
+        .withColumn("energy", F.lit(1.0))
+    assert tree.interacting_neutrino(p, primary=F.col("idx") == 2).first().nu_idx == 4
+    assert tree.interacting_neutrino(p, primary=F.col("idx") == 1).first().nu_idx == 3

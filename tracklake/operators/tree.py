@@ -41,7 +41,8 @@ def child_ranks(particles: DataFrame) -> DataFrame:
 
 
 def preorder_paths(particles: DataFrame, stop: Column | None = None, max_depth: int = 1000,
-                   checkpoint: bool = True, carry: tuple[str, ...] = (), checkpoint_every: int = 4) -> DataFrame:
+                   checkpoint: bool = True, carry: tuple[str, ...] = (), checkpoint_every: int = 4,
+                   root: Column | None = None) -> DataFrame:
     """(event_id, idx, depth, path, *carry) for every node reachable from a root.
 
     ``stop`` (a predicate on particle columns) marks nodes whose subtrees are
@@ -58,15 +59,18 @@ def preorder_paths(particles: DataFrame, stop: Column | None = None, max_depth:
     spark = particles.sparkSession
     if checkpoint:
         checkpoint_dir(spark)
-    extra = list(carry) + ([] if stop is None else ["_stop"])
+    extra = list(carry) + ([] if stop is None else ["_stop"]) + ([] if root is None else ["_root"])
     ranked = child_ranks(particles)
     if stop is not None:
         ranked = ranked.withColumn("_stop", stop)
+    if root is not None:
+        ranked = ranked.withColumn("_root", root)
     ranked = ranked.select("event_id", "idx", "parent_idx", "rank", *extra)
     if checkpoint:
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         ranked = reliable_checkpoint(ranked.repartition(n, "event_id", "parent_idx"))
-    level = ranked.where(F.col("parent_idx").isNull()).select(
+    starts = F.col("parent_idx").isNull() if root is None else F.coalesce(F.col("_root"), F.lit(False))
+    level = ranked.where(starts).select(
         "event_id", "idx", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"), *extra)
     level = level.persist(StorageLevel.MEMORY_AND_DISK)
     levels = [level]
@@ -98,13 +102,15 @@ def preorder_paths(particles: DataFrame, stop: Column | None = None, max_depth:
     return out
 
 
-def interacting_neutrino(particles: DataFrame) -> DataFrame:
+def interacting_neutrino(particles: DataFrame, primary: Column | None = None) -> DataFrame:
     """Per event the first in-ice neutrino in DFS order from the primary.
 
-    Events where none exists get no row (the reference raises).
+    ``primary`` marks the start particle; by default every root of the
+    event's forest is a start.  Events where none exists get no row (the
+    reference raises).
     """
     match = is_neutrino(F.col("pdg")) & (F.col("location_type") == IN_ICE)
-    paths = preorder_paths(particles, stop=match, carry=("pdg", "energy"))
+    paths = preorder_paths(particles, stop=match, carry=("pdg", "energy"), root=primary)
     cand = paths.where(F.col("_stop"))
     return cand.groupBy("event_id").agg(
         F.min_by(F.struct("idx", "pdg", "energy"), F.col("path")).alias("nu")
