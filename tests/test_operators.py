@@ -391,3 +391,13 @@ def test_dfs_from_marked_primary(spark):
         .withColumn("energy", F.lit(1.0))
     assert tree.interacting_neutrino(p, primary=F.col("idx") == 2).first().nu_idx == 4
     assert tree.interacting_neutrino(p, primary=F.col("idx") == 1).first().nu_idx == 3
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    rng = np.random.default_rng(13)
+    vals = rng.normal(size=5000)
+    df = spark.createDataFrame([(0, float(v)) for v in vals], "g long, v double")
+    q = quantiles.grouped_quantiles(df, ["g"], "v", [0.159, 0.5, 0.841], approx=True, accuracy=10000)
+    for r in q.collect():
+        assert abs(r.value - np.percentile(vals, r.prob * 100)) < 0.01
+        assert r.n == 5000
