@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -23,13 +24,13 @@ def get_spark(master: str | None = None, app: str = "tracklake",
               shuffle_partitions: int | None = None) -> SparkSession:
     """Build (or reuse) a session with AQE on and the UI off.
 
-    On a cluster the master and most settings come from spark-submit; the
-    builder only fills what is unset.
+    On a cluster the master, memory and shuffle partitions come from
+    spark-submit; memory is only chosen here for a local master, and shuffle
+    partitions only where the caller names a number.
     """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    cores = os.cpu_count() or 8
     builder = (
         builder
         .config("spark.ui.enabled", "false")
@@ -39,11 +40,13 @@ def get_spark(master: str | None = None, app: str = "tracklake",
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", _driver_memory())
     )
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if master and master.startswith("local"):
+        builder = builder.config("spark.driver.memory", _driver_memory())
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
@@ -64,17 +67,41 @@ def configure(spark: SparkSession) -> SparkSession:
     for k, v in SQL_SETTINGS.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED = "tracklake-package.zip"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors, once a context, so that Python workers
+    find it wherever the driver was started."""
+    sc = spark.sparkContext
+    if _SHIPPED in sc._python_includes:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tracklake-"), _SHIPPED)
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a scratch folder is made.
+    Only a local master may leave the setting out (tests); it then gets a
+    scratch folder.  Elsewhere a folder of the driver's own would be lost data.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="tracklake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc.getCheckpointDir() is None:
