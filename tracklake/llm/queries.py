@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, ship_package
-from . import bytebpe, dac, packing
-from .common import table
+from . import bytebpe, dac, hostrules, packing, sharding
+from .common import stage, table
 
 QUERIES = {}
 ORACLES = {}
@@ -26,6 +26,18 @@ def query(fn):
     return fn
 
 
+@query
+def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules of all documents with the verdicts on their hosts."""
+    measured = hostrules.document_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    measured = stage(measured.drop("text"), "rules")
+    judged = hostrules.apply_verdicts(measured, hostrules.host_verdicts(measured))
+    return judged.select("doc_id", *hostrules.MEASURES, "base_failed", "kept", "host_rejected")
+
+
+ORACLES["op3_host_rules"] = hostrules.oracle()
+
+
 @query
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of all documents and their bytes decoded again."""
@@ -37,6 +49,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op5_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of equal row counts, copies together where they fit."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
+
+
 @query
 def op6_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as directly addressable codes and read back."""
