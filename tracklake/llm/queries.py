@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, ship_package
-from . import bytebpe, dac, hostrules, packing, sharding
-from .common import stage, table
+from . import bytebpe, dac, hostrules, neardup, packing, sharding, spans, toxicity
+from .common import crc_of_id, stage, table
 
 QUERIES = {}
 ORACLES = {}
@@ -76,3 +76,33 @@ def packed_pieces(docs: DataFrame) -> DataFrame:
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return packed_pieces(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the repeated spans of sentences."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spans.dedup_spans(docs)
+
+
+@query
+def op9_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def toxicity_tagger(spark: SparkSession, sf_dir: str) -> toxicity.Tagger | None:
+    """Trained on labelled documents whose crc32(doc_id) mod 5 is not 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").filter(crc_of_id() % 5 != 0)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.train(docs.join(labels, "doc_id"))
+
+
+@query
+def op10_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_documents(docs, toxicity_tagger(spark, sf_dir), spans=True, drop=("text",))
+    return scored.select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "score", "predicted",
+                         F.size("toxic_spans").alias("n_spans"))
