@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, ship_package
-from . import bytebpe, dac, hostrules, neardup, packing, sharding, spans, toxicity
+from . import ann, bytebpe, dac, hostrules, neardup, packing, sharding, spans, toxicity
 from .common import crc_of_id, stage, table
 
 QUERIES = {}
@@ -26,6 +26,12 @@ def query(fn):
     return fn
 
 
+@query
+def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 @query
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules of all documents with the verdicts on their hosts."""
