@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, ship_package
-from . import ann, bytebpe, dac, hostrules, neardup, packing, sharding, spans, toxicity
+from . import ann, bytebpe, dac, hostrules, langid, neardup, packing, sharding, spans, toxicity
 from .common import crc_of_id, stage, table
 
 QUERIES = {}
@@ -26,6 +26,15 @@ def query(fn):
     return fn
 
 
+@query
+def op1_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, trained on those whose crc32(doc_id) mod 3 is not 1."""
+    docs = table(spark, sf_dir, "documents")
+    net = langid.train(docs.filter(crc_of_id() % 3 != 1))
+    labelled = langid.label_documents(docs.select("doc_id", "text"), net, drop=("text",))
+    return labelled.select("doc_id", (crc_of_id() % 3 == 1).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every vector whose id is divisible by 20."""
