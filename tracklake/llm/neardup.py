@@ -2,9 +2,11 @@
 
 Shingles are runs of five words.  They are hashed to a fixed number of
 features (as in HashingTF), whose document frequencies over the whole corpus
-give the weights.  Every text gets HASHES weighted samples in bands; texts that share a band
-are compared by the weighted Jaccard similarity of their shingles, and links of
-at least the threshold join to classes.
+give the weights.  Every text gets HASHES weighted samples in bands.  Texts that
+share a band are compared by a longer signature, block by block inside a task,
+so no list of all pairs of a bucket is ever made; what may be similar is
+decided by the weighted Jaccard similarity of the shingles, and links of at
+least the threshold join to classes.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rows_from, stage
@@ -27,7 +29,10 @@ BANDS, ROWS = 12, 3
 HASHES = BANDS * ROWS
 COMMON = 20          # a shingle in under one document of COMMON has full weight
 LEAST_WEIGHT = 0.5
-SURELY_APART = 0.5   # share of equal samples under which a pair needs no exact comparison
+LONG = 128           # samples of the longer signature of texts that share a band
+LONG_FEATURES = 1 << 15
+MARGIN = 0.11        # three standard errors of LONG samples; pairs further below the threshold are apart
+BLOCK = 128          # texts of a bucket on either side of a comparison in a task
 CHUNK = 8192         # shingles sampled at once
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,8 +57,8 @@ def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(s, return_counts=True)
 
 
-def feature(s: np.ndarray) -> np.ndarray:
-    return ((s * MIX) >> np.uint64(64 - 17)).astype(np.int64)
+def feature(s: np.ndarray, features: int = FEATURES) -> np.ndarray:
+    return ((s * MIX) >> np.uint64(65 - features.bit_length())).astype(np.int64)
 
 
 def weights(s: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -88,22 +93,22 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     return np.clip(np.log((total + 1) / np.maximum(df, 1)) / math.log(COMMON), LEAST_WEIGHT, 1.0)
 
 
-@lru_cache(maxsize=1)
-def _draws(seed: int = 9) -> tuple[np.ndarray, ...]:
+@lru_cache(maxsize=2)
+def _draws(features: int, hashes: int, seed: int = 9) -> tuple[np.ndarray, ...]:
     """The random numbers of every feature and hash: r and c are Gamma(2, 1), beta is uniform."""
     rng = np.random.default_rng(seed)
-    shape = (FEATURES, HASHES)
+    shape = (features, hashes)
     r = rng.standard_gamma(2.0, shape, dtype=np.float32) + np.float32(1e-6)
     c = rng.standard_gamma(2.0, shape, dtype=np.float32) + np.float32(1e-9)
     return r, 1 / r, rng.random(shape, dtype=np.float32), np.log(c)
 
 
-def samples(s: np.ndarray, w: np.ndarray) -> np.ndarray:
+def samples(s: np.ndarray, w: np.ndarray, features: int = FEATURES, hashes: int = HASHES) -> np.ndarray:
     """One 64-bit sample (feature and quantised weight) per hash."""
-    r, r_inv, beta, ln_c = _draws()
-    f, ln_w = feature(s), np.log(w).astype(np.float32)[:, None]
-    best, sample = np.full(HASHES, np.inf, dtype=np.float32), np.zeros(HASHES, dtype=np.int64)
-    cols = np.arange(HASHES)
+    r, r_inv, beta, ln_c = _draws(features, hashes)
+    f, ln_w = feature(s, features), np.log(w).astype(np.float32)[:, None]
+    best, sample = np.full(hashes, np.inf, dtype=np.float32), np.zeros(hashes, dtype=np.int64)
+    cols = np.arange(hashes)
     for at in range(0, len(f), CHUNK):
         g = f[at:at + CHUNK]
         b = beta[g]
@@ -123,15 +128,59 @@ def similarity(a: tuple, b: tuple) -> float:
     return float(low / (a[1].sum() + b[1].sum() - low)) if len(i) else 0.0
 
 
-def _signatures(idf):
+def _bands(idf):
+    """Hash of the samples of every band."""
     def run(batches: Iterator[dict]) -> Iterator[dict]:
+        import xxhash
         table = idf.value
         for b in batches:
             out = []
             for text in b["text"]:
                 s, n = shingles(text or "")
-                out.append(samples(s, weights(s, n, table)).tolist() if len(s) else None)
-            yield {"doc_id": b["doc_id"], "node": b["node"], "samples": out}
+                if not len(s):
+                    out.append(None)
+                    continue
+                x = samples(s, weights(s, n, table)).reshape(BANDS, ROWS)
+                out.append([xxhash.xxh3_64_intdigest(row.tobytes()) - (1 << 63) for row in x])
+            yield {"doc_id": b["doc_id"], "node": b["node"], "bands": out}
+    return run
+
+
+def _long_signatures(idf):
+    """LONG samples cut to 16 bits each; features in common by chance only make a pair look more alike."""
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        table = idf.value
+        for b in batches:
+            out = []
+            for text in b["text"]:
+                s, n = shingles(text)
+                x = samples(s, weights(s, n, table), LONG_FEATURES, LONG).astype(np.uint64) * MIX
+                out.append((x >> np.uint64(48)).astype("<u2").tobytes())
+            yield {"node": b["node"], "bands": b["bands"], "signature": out}
+    return run
+
+
+def _compare(least: float):
+    """Pairs of a cell of a bucket whose signatures agree in a share of ``least``; a pair that shares several
+    bands is reported in the first of them."""
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            a_out, b_out = [], []
+            for band, bi, bj, rows in zip(b["band"], b["bi"], b["bj"], b["rows"]):
+                sig = np.frombuffer(b"".join(r["signature"] for r in rows), dtype="<u2").reshape(-1, LONG)
+                keys = np.array([r["bands"] for r in rows])[:, :band]
+                nodes = [bytes(r["node"]) for r in rows]
+                block = np.array([r["block"] for r in rows])
+                for i in np.flatnonzero(block == bi):
+                    others = np.flatnonzero(block == bj) if bi != bj else np.arange(i + 1, len(rows))
+                    if not len(others):
+                        continue
+                    near = (sig[others] == sig[i]).mean(axis=1) >= least
+                    near &= ~(keys[others] == keys[i]).any(axis=1)
+                    for j in others[near]:
+                        a_out.append(min(nodes[i], nodes[j]))
+                        b_out.append(max(nodes[i], nodes[j]))
+            yield {"a": a_out, "b": b_out}
     return run
 
 
@@ -145,46 +194,25 @@ def _verify(idf, threshold: float):
     return run
 
 
-def _links(bands: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """Verified links (a, b) that join all similar texts of a bucket, without all its pairs.
+def _links(shared: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """Verified links (a, b) between texts that share a band.
 
-    In each round a bucket's leaders, in an order of its own, are compared with
-    its other texts; texts found similar to a leader are done with in that
-    bucket, the rest go on with twice the leaders until none is left.
+    A bucket is cut into blocks of about BLOCK texts and every two blocks meet
+    in a row of their own, so what a task holds is bounded whatever the bucket's size.
     """
-    spark = bands.sparkSession
-    sizes = bands.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct("order", "node")).alias("lead"))
-    active = stage(bands.join(sizes.filter("n > 1"), ["band", "key"])
-                   .select("band", "key", "order", "node", F.col("lead.node").alias("leader")), "buckets")
-    found, leaders = None, 1
-    while not active.isEmpty():
-        if found is not None:
-            ranked = active.withColumn("k", F.row_number().over(Window.partitionBy("band", "key").orderBy("order", "node")))
-            ranked = stage(ranked, "ranked")
-            heads = ranked.filter(F.col("k") <= leaders).select("band", "key", F.col("k").alias("head"), F.col("node").alias("leader"))
-            tests = ranked.join(heads, ["band", "key"]).filter(F.col("k") > F.col("head"))
-        else:
-            ranked = tests = active
-            tests = tests.filter(F.col("node") != F.col("leader"))
-        pair = (F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        pairs = tests.select(*pair).distinct()
-        side = lambda n: texts.select(F.col("node").alias(n), F.col("samples").alias(f"s{n}"))
-        equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-        likely = stage(pairs.join(side("a"), "a").join(side("b"), "b").filter(equal >= SURELY_APART * HASHES).select("a", "b"),
-                       "likely")
-        body = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"t{n}"))
-        links = stage(rows_from(likely.join(body("a"), "a").join(body("b"), "b"), _verify(idf, threshold),
-                                "a binary, b binary"), "links")
-        found = links if found is None else found.unionByName(links)
-        done = tests.join(links, (F.least("node", "leader") == F.col("a")) & (F.greatest("node", "leader") == F.col("b")))
-        matched = done.select("band", "key", "node").distinct()
-        rest = (ranked.filter(F.col("node") != F.col("leader")) if "leader" in ranked.columns
-                else ranked.filter(F.col("k") > leaders))
-        rest = rest.select("band", "key", "order", "node").join(matched, ["band", "key", "node"], "left_anti")
-        more = rest.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-        active = stage(rest.join(more, ["band", "key"]).drop("n"), "active")
-        leaders *= 2
-    return found if found is not None else spark.createDataFrame([], "a binary, b binary")
+    signed = stage(rows_from(texts.select("node", "bands", "text"), _long_signatures(idf),
+                             "node binary, bands array<bigint>, signature binary"), "signatures")
+    members = shared.join(signed, "node")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = (cells.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
+             .groupBy("band", "key", "bi", "bj").agg(F.collect_list(F.struct("node", "bands", "signature", "block")).alias("rows"))
+             .filter(F.size("rows") > 1))
+    likely = stage(rows_from(cells.select("band", "bi", "bj", "rows"), _compare(threshold - MARGIN), "a binary, b binary"), "likely")
+    body = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"t{n}"))
+    return stage(rows_from(likely.join(body("a"), "a").join(body("b"), "b"), _verify(idf, threshold),
+                           "a binary, b binary"), "links")
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -219,26 +247,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str =
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("node", F.unhex(F.md5(F.col("text").cast("binary"))))
     idf = spark.sparkContext.broadcast(inverse_frequencies(rows))
-    signed = stage(rows_from(rows, _signatures(idf), "doc_id long, node binary, samples array<bigint>"), "samples")
-    nodes = stage(signed.filter("samples is not null").groupBy("node")
-                  .agg(F.min("doc_id").alias("first"), F.first("samples").alias("samples")), "nodes")
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(
-        k.alias("band"), F.xxhash64(F.slice("samples", k * ROWS + 1, F.lit(ROWS))).alias("key"))))
-    bands = (nodes.select("node", band.alias("b")).select("b.band", "b.key", "node")
-             .withColumn("order", F.xxhash64("band", "node")))
-    shared = bands.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    wanted = bands.join(shared, ["band", "key"]).select("node").distinct()
+    signed = stage(rows_from(rows, _bands(idf), "doc_id long, node binary, bands array<bigint>"), "bands")
+    nodes = stage(signed.filter("bands is not null").groupBy("node")
+                  .agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "nodes")
+    every = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    sizes = every.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = stage(every.join(sizes, ["band", "key"]), "shared")
     # one text for each node that shares a band with another
-    first = wanted.join(nodes, "node").select("node", "first", "samples")
-    first = first.withColumnRenamed("node", "_node")
+    first = shared.select("node").distinct().join(nodes, "node").withColumnRenamed("node", "_node")
     texts = rows.join(first, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("first")))
-    texts = stage(texts.select("node", "text", "samples").dropDuplicates(["node"]), "texts")
-    roots = classes(_links(bands, texts, idf, threshold))
+    texts = stage(texts.select("node", "text", "bands").dropDuplicates(["node"]), "texts")
+    roots = classes(_links(shared, texts, idf, threshold))
     labelled = roots.join(nodes.select("node", "first"), "node")
     ids = labelled.join(labelled.groupBy("root").agg(F.min("first").alias("class_id")), "root").select("node", "class_id")
     per_node = nodes.join(ids, "node", "left").select("node", F.coalesce("class_id", "first").alias("class_id"))
     return (signed.join(per_node, "node", "left")
-            .select("doc_id", "node", F.when(F.col("samples").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+            .select("doc_id", "node", F.when(F.col("bands").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
                     .alias("class_id")))
 
 
