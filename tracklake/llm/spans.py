@@ -106,6 +106,8 @@ def dedup_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     place = F.struct("doc_id", "row", "pos")
     repeated = (runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
                 .filter("first <> last"))
+    # stored, so that the join below is one of two exchanges, and Spark can split a run that very many texts share
+    repeated = stage(repeated, "repeated")
     marks = (runs.join(repeated, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
              .groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_hash"))
              .agg(F.collect_set(F.struct("pos", "sentences")).alias("_marks")))
