@@ -160,26 +160,80 @@ def _long_signatures(idf):
     return run
 
 
-def _compare(least: float):
-    """Pairs of a cell of a bucket whose signatures agree in a share of ``least``; a pair that shares several
-    bands is reported in the first of them."""
+def _cells(batches: Iterator[dict]) -> Iterator[tuple]:
+    """(batch, row, rows of the cell, signatures, indices of either block) of every cell."""
+    for b in batches:
+        for k, rows in enumerate(b["rows"]):
+            block = np.array([r["block"] for r in rows])
+            sig = np.frombuffer(b"".join(r["signature"] for r in rows), dtype="<u2").reshape(-1, LONG)
+            yield b, k, rows, sig, np.flatnonzero(block == b["bi"][k]), np.flatnonzero(block == b["bj"][k])
+
+
+def _nearest(least: float):
+    """Every text of a cell with the one that looks most like it: at most as many pairs as texts."""
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
+        a_out, b_out = [], []
+        for _, _, rows, sig, left, right in _cells(batches):
+            for i in left:
+                others = right[right != i]
+                if len(others):
+                    share = (sig[others] == sig[i]).mean(axis=1)
+                    if share.max() >= least:
+                        x, y = bytes(rows[i]["node"]), bytes(rows[others[share.argmax()]]["node"])
+                        a_out.append(min(x, y))
+                        b_out.append(max(x, y))
+            if len(a_out) > 50_000:
+                yield {"a": a_out, "b": b_out}
+                a_out, b_out = [], []
+        yield {"a": a_out, "b": b_out}
+    return run
+
+
+def _open_pairs(rows, sig, left, right, band: int, least: float) -> Iterator[tuple[int, int]]:
+    """Pairs of a cell that may be similar, are not in one class yet and share no earlier band."""
+    keys = np.array([r["bands"] for r in rows])[:, :band]
+    roots = np.array([bytes(r["root"]) for r in rows], dtype=object)
+    same = np.array_equal(left, right)
+    for i in left:
+        others = right[right > i] if same else right
+        if len(others):
+            near = ((sig[others] == sig[i]).mean(axis=1) >= least) & (roots[others] != roots[i])
+            near &= ~(keys[others] == keys[i]).any(axis=1)
+            for j in others[near]:
+                yield i, j
+
+
+def _unsettled(least: float):
+    """The texts of a cell that have an open pair: at most as many rows as texts."""
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b, k, rows, sig, left, right in _cells(batches):
+            at = sorted({x for pair in _open_pairs(rows, sig, left, right, b["band"][k], least) for x in pair})
+            if at:
+                yield {n: [b[n][k]] * len(at) for n in ("band", "key", "bi", "bj")} | {
+                    n: [rows[i][n] for i in at] for n in ("node", "bands", "signature", "root", "block")}
+    return run
+
+
+def _settle(idf, least: float, threshold: float):
+    """Links that join different classes of a cell: fewer than it has texts."""
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        table = idf.value
+        for b, k, rows, sig, left, right in _cells(batches):
+            known = Memo(lambda i: (lambda s, n: (s, weights(s, n, table)))(*shingles(rows[i]["text"])))
+            up = {bytes(r["root"]): bytes(r["root"]) for r in rows}
+
+            def root(x):
+                while up[x] != x:
+                    x = up[x]
+                return x
+
             a_out, b_out = [], []
-            for band, bi, bj, rows in zip(b["band"], b["bi"], b["bj"], b["rows"]):
-                sig = np.frombuffer(b"".join(r["signature"] for r in rows), dtype="<u2").reshape(-1, LONG)
-                keys = np.array([r["bands"] for r in rows])[:, :band]
-                nodes = [bytes(r["node"]) for r in rows]
-                block = np.array([r["block"] for r in rows])
-                for i in np.flatnonzero(block == bi):
-                    others = np.flatnonzero(block == bj) if bi != bj else np.arange(i + 1, len(rows))
-                    if not len(others):
-                        continue
-                    near = (sig[others] == sig[i]).mean(axis=1) >= least
-                    near &= ~(keys[others] == keys[i]).any(axis=1)
-                    for j in others[near]:
-                        a_out.append(min(nodes[i], nodes[j]))
-                        b_out.append(max(nodes[i], nodes[j]))
+            for i, j in _open_pairs(rows, sig, left, right, b["band"][k], least):
+                x, y = root(bytes(rows[i]["root"])), root(bytes(rows[j]["root"]))
+                if x != y and similarity(known[i], known[j]) >= threshold:
+                    up[x] = y
+                    a_out.append(bytes(rows[i]["node"]))
+                    b_out.append(bytes(rows[j]["node"]))
             yield {"a": a_out, "b": b_out}
     return run
 
@@ -194,25 +248,50 @@ def _verify(idf, threshold: float):
     return run
 
 
+CELL = ["band", "key", "bi", "bj"]
+
+
+def _meet(members: DataFrame) -> DataFrame:
+    """A row for every two blocks of a bucket with their texts; a bucket is cut into blocks of about BLOCK."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cells.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
+
+
+def _gather(cells: DataFrame, *more: str) -> DataFrame:
+    held = F.struct("node", "bands", "signature", "block", *more)
+    return cells.groupBy(*CELL).agg(F.collect_list(held).alias("rows")).filter(F.size("rows") > 1)
+
+
 def _links(shared: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """Verified links (a, b) between texts that share a band.
+    """Verified links (a, b) whose classes are those of all similar texts that share a band.
 
-    A bucket is cut into blocks of about BLOCK texts and every two blocks meet
-    in a row of their own, so what a task holds is bounded whatever the bucket's size.
+    First every text is compared with the one of its bucket that looks most like
+    it, which joins most of a group with as many pairs as texts.  Then the pairs
+    of a bucket that may be similar and are not in one class yet are compared
+    inside tasks, a cell of two blocks at a time, and only links that join
+    classes come out.  So no pair is left out, and no stage has a row per pair.
     """
+    least = threshold - MARGIN
     signed = stage(rows_from(texts.select("node", "bands", "text"), _long_signatures(idf),
                              "node binary, bands array<bigint>, signature binary"), "signatures")
     members = shared.join(signed, "node")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = (cells.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-             .groupBy("band", "key", "bi", "bj").agg(F.collect_list(F.struct("node", "bands", "signature", "block")).alias("rows"))
-             .filter(F.size("rows") > 1))
-    likely = stage(rows_from(cells.select("band", "bi", "bj", "rows"), _compare(threshold - MARGIN), "a binary, b binary"), "likely")
+    near = _gather(_meet(members).filter(F.col("bj") - F.col("bi") <= 1)).select("bi", "bj", "rows")
+    likely = stage(rows_from(near, _nearest(least), "a binary, b binary").distinct(), "likely")
     body = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"t{n}"))
-    return stage(rows_from(likely.join(body("a"), "a").join(body("b"), "b"), _verify(idf, threshold),
-                           "a binary, b binary"), "links")
+    links = stage(rows_from(likely.join(body("a"), "a").join(body("b"), "b"), _verify(idf, threshold),
+                            "a binary, b binary"), "links")
+
+    labelled = members.join(classes(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = stage(labelled, "labelled")
+    mixed = labelled.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    cells = _gather(_meet(labelled.join(mixed.select("band", "key"), ["band", "key"])), "root")
+    row = "node binary, bands array<bigint>, signature binary, root binary, block int"
+    rest = stage(rows_from(cells, _unsettled(least), f"band int, key long, bi int, bj int, {row}"), "unsettled")
+    full = _gather(rest.join(texts.select("node", "text"), "node"), "root", "text")
+    last = rows_from(full, _settle(idf, least, threshold), "a binary, b binary")
+    return stage(links.unionByName(last), "all-links")
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -260,7 +339,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str =
     roots = classes(_links(shared, texts, idf, threshold))
     labelled = roots.join(nodes.select("node", "first"), "node")
     ids = labelled.join(labelled.groupBy("root").agg(F.min("first").alias("class_id")), "root").select("node", "class_id")
-    per_node = nodes.join(ids, "node", "left").select("node", F.coalesce("class_id", "first").alias("class_id"))
+    # stored, so that Spark can split the join below on a text that very many rows share
+    per_node = stage(nodes.join(ids, "node", "left").select("node", F.coalesce("class_id", "first").alias("class_id")), "classes")
     return (signed.join(per_node, "node", "left")
             .select("doc_id", "node", F.when(F.col("bands").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
                     .alias("class_id")))
