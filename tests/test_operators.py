@@ -401,3 +401,47 @@ def test_approx_quantiles_close_to_exact(spark):
     for r in q.collect():
         assert abs(r.value - np.percentile(vals, r.prob * 100)) < 0.01
         assert r.n == 5000
+
+
+def test_sigma_k2_keeps_the_upper_tail(spark):
+    import math
+    from statistics import NormalDist
+
+    from tracklake.functions.stats import sigma_for_chisq_col
+    values = [0.0, 0.5, 3.0, 5.0, 30.0, 74.3, 100.0, 1000.0, 1299.0, 1301.0, 2480.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r.s for r in df.select(sigma_for_chisq_col("v", 2).alias("s")).collect()]
+    assert all(a < b for a, b in zip(got, got[1:]))
+    for v, s in zip(values, got):
+        if v < 1300:
+            assert abs(s + NormalDist().inv_cdf(math.exp(-v / 2) / 2)) < 1e-8
+        else:  # the logarithm of the tail is that of exp(-v / 2) / 2
+            log_tail = -s * s / 2 - math.log(s * math.sqrt(2 * math.pi)) + math.log(1 - s**-2 + 3 * s**-4)
+            assert abs(log_tail + v / 2 + math.log(2)) < 1e-6
+
+
+def test_unknown_sensor_is_an_error(spark):
+    import pytest as pt
+
+    from tracklake.operators.features import event_position
+    hits = spark.createDataFrame([(1, 1), (1, 9)], "event_id long, dom_id long")
+    geo = spark.createDataFrame([(1, 1.0, 2.0, 3.0)], "dom_id long, x double, y double, z double")
+    with pt.raises(Exception, match="unknown sensor 9"):
+        event_position(hits, geo).collect()
+
+
+def test_range_ignores_values_that_are_not_finite(spark):
+    from pyspark.sql import functions as F
+
+    from tracklake.operators.histograms import with_range_bin
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (float("nan"),), (float("inf"),)], "x double")
+    bins = {r.x: r.bin for r in with_range_bin(df, F.col("x"), 2).filter("x < 10").collect()}
+    assert bins[1.0] == 0 and bins[3.0] == 1
+
+
+def test_rows_to_score_stay_whatever_their_features(spark):
+    from tracklake.operators import boost
+    rows = [(float(i), float(i), "train") for i in range(40)] + [(float("-inf"), 1.0, "test"), (None, 1.0, "test")]
+    df = spark.createDataFrame(rows, "a double, label double, split string")
+    res = boost.train(df, ["a"], "label", rounds=1, max_depth=2, subsample=1.0)
+    assert res.predictions.filter("split = 'test' and log_e_predicted is not null").count() == 2

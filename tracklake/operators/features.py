@@ -137,9 +137,12 @@ def feature_set(name: str) -> list[str]:
 
 
 def dom_positions(hits: DataFrame, geometry: DataFrame) -> DataFrame:
-    """Hit -> x, y, z, r through a size-checked broadcast of the geometry."""
+    """Hit -> x, y, z, r through a size-checked broadcast of the geometry.
+    A hit on a sensor that the geometry lacks is an error."""
     geo = geometry.select("dom_id", "x", "y", "z", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2).alias("r"))
-    return hits.join(sized_broadcast(geo), "dom_id", "inner")
+    found = hits.join(sized_broadcast(geo.withColumn("_known", F.lit(True))), "dom_id", "left")
+    unknown = F.raise_error(F.concat(F.lit("hit on unknown sensor "), F.coalesce(F.col("dom_id").cast("string"), F.lit("null"))))
+    return found.withColumn("x", F.when(F.col("_known"), F.col("x")).otherwise(unknown)).drop("_known")
 
 
 def event_position(hits: DataFrame, geometry: DataFrame) -> DataFrame:

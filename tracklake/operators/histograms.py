@@ -17,10 +17,16 @@ from ..functions.binning import uniform_bin
 from .quantiles import grouped_quantiles, quantile_columns
 
 
+def finite(c) -> Column:
+    """The value, or NULL where it is NaN or infinite: those do not belong to a range."""
+    v = F.col(c) if isinstance(c, str) else c
+    return F.when(~F.isnan(v.cast("double")) & (F.abs(v) < float("inf")), v)
+
+
 def overall_min_max(df: DataFrame, *cols: str) -> DataFrame:
-    """A2: one-row (lo, hi) over several columns."""
-    return df.agg(F.least(*[F.min(c) for c in cols]).alias("lo"),
-                  F.greatest(*[F.max(c) for c in cols]).alias("hi"))
+    """A2: one-row (lo, hi) over the finite values of several columns."""
+    return df.agg(F.least(*[F.min(finite(c)) for c in cols]).alias("lo"),
+                  F.greatest(*[F.max(finite(c)) for c in cols]).alias("hi"))
 
 
 def with_range_bin(df: DataFrame, x: Column, n: int, name: str = "bin", log: bool = False,
@@ -33,7 +39,7 @@ def with_range_bin(df: DataFrame, x: Column, n: int, name: str = "bin", log: boo
     xv = F.when(x > 0, F.log10(x)) if log else x
     d = df.withColumn("_x", xv)
     if lo is None or hi is None:
-        r = d.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
+        r = d.agg(F.min(finite("_x")).alias("lo"), F.max(finite("_x")).alias("hi")).first()
         lo_c, hi_c = F.lit(r["lo"]).cast("double"), F.lit(r["hi"]).cast("double")
     else:
         lo_c = F.lit(math.log10(lo) if log else float(lo))

@@ -14,6 +14,8 @@ so lineage stays flat and lost executors recompute only one level.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +42,7 @@ def child_ranks(particles: DataFrame) -> DataFrame:
     return running(particles, ["event_id", "parent_idx"], ["idx"], rank_col="rank")
 
 
-def preorder_paths(particles: DataFrame, stop: Column | None = None, max_depth: int = 1000,
+def preorder_paths(particles: DataFrame, stop: Column | None = None,
                    checkpoint: bool = True, carry: tuple[str, ...] = (), checkpoint_every: int = 4,
                    root: Column | None = None) -> DataFrame:
     """(event_id, idx, depth, path, *carry) for every node reachable from a root.
@@ -74,7 +76,8 @@ def preorder_paths(particles: DataFrame, stop: Column | None = None, max_depth:
         "event_id", "idx", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"), *extra)
     level = level.persist(StorageLevel.MEMORY_AND_DISK)
     levels = [level]
-    for depth in range(1, max_depth + 1):
+    # a node has one parent, so a walk down from roots meets no cycle and ends
+    for depth in itertools.count(1):
         parents = level if stop is None else level.where(~F.col("_stop"))
         p = parents.select(F.col("event_id").alias("_pev"), F.col("idx").alias("_pidx"), F.col("path").alias("_ppath"))
         nxt = ranked.join(p, (ranked["event_id"] == p["_pev"]) & (ranked["parent_idx"] == p["_pidx"])) \
@@ -89,8 +92,6 @@ def preorder_paths(particles: DataFrame, stop: Column | None = None, max_depth:
             break
         levels.append(nxt)
         level = nxt
-    else:
-        raise RuntimeError(f"particle tree deeper than {max_depth}")
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)

@@ -320,7 +320,7 @@ def combine_tagged(spark, sf):
 
 
 # ------------------------------------------------------------------ S9 / P28
-FILE_SQL = ("SELECT concat('/data/sim/IceCube/', CASE dataset WHEN 'set_0' THEN '21217' WHEN 'set_1' THEN '21220' "
+FILE_SQL = ("SELECT concat('/data/sim/frames/', CASE dataset WHEN 'set_0' THEN '21217' WHEN 'set_1' THEN '21220' "
             "ELSE '11070' END, '/Level5.', lpad(cast(cast(floor(event_id / 1000) AS bigint) AS varchar), 6, '0'), "
             "'.i3.zst') AS file_name, event_id FROM frames")
 
@@ -330,7 +330,7 @@ def frame_files(frames):
     ds = (F.when(F.col("dataset") == "set_0", "21217").when(F.col("dataset") == "set_1", "21220")
           .otherwise("11070"))
     num = F.lpad(F.floor(F.col("event_id") / 1000).cast("bigint").cast("string"), 6, "0")
-    return frames.select(F.concat(F.lit("/data/sim/IceCube/"), ds, F.lit("/Level5."), num,
+    return frames.select(F.concat(F.lit("/data/sim/frames/"), ds, F.lit("/Level5."), num,
                                   F.lit(".i3.zst")).alias("file_name"), "event_id")
 
 

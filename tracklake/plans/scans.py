@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.energy import delta_llh, mask_above
-from ..functions.stats import chisq_for_sigma, sigma_for_chisq_col
+from ..functions.stats import chisq_for_sigma, sigma_for_chisq_col, sigma_k2_sql
 from ..operators import scans as sc
 from ..operators.common import rounded
 from ..sources import fixtures as fx
@@ -191,9 +191,10 @@ def sigma_of_chisq(spark, sf):
     return rounded(p.select("scanned", "scan_point", sigma_for_chisq_col("dllh2", 1).alias("sigma")))
 
 
-@query("sigma_of_chisq_k2")
+@query("sigma_of_chisq_k2", oracle(
+    "SELECT fit_id, ts, " + sigma_k2_sql("ts") + " AS sigma FROM gr", ["fits"], ["ts", "sigma"], ["fit_id"], ctes=GRID_CTES))
 def sigma_of_chisq_k2(spark, sf):
-    """P22, k=2 (inverse normal CDF through an Arrow-batched pandas UDF)."""
+    """P22, k=2: the normal quantile of the upper tail, as a column expression."""
     g = _grid_ts(spark, sf)
     return rounded(g.select("fit_id", "ts", sigma_for_chisq_col("ts", 2).alias("sigma")))
 
