@@ -63,12 +63,15 @@ AS241_FAR = ([6.65790464350110377720e0, 5.46378491116411436990e0, 1.784826539917
               7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15])
 
 
+LN_2PI = math.log(2 * math.pi)
+
+
 def sigma_k2_sql(v: str) -> str:
     """SQL text of the sigma of a chi-square value with two degrees of freedom.
 
     The upper tail is q = exp(-v / 2) / 2, so its logarithm -L is linear in v and
     nothing rounds to 1.  Beyond v = 1300 q leaves the range of doubles, and the
-    quantile is four steps of z = sqrt(2 (L - ln(z sqrt(2 pi)) + ln(tail series))).
+    quantile comes from three steps of z^2 = 2 L - ln(2 pi z^2) + 2 ln(tail series).
     """
     def ratio(x: str, coefficients) -> str:
         def poly(cs):
@@ -83,10 +86,10 @@ def sigma_k2_sql(v: str) -> str:
     q = f"(0.5e0 - exp(-{v} / 2e0) / 2e0)"
     centre = f"{q} * {ratio(f'0.180625e0 - {q} * {q}', AS241_CENTRE)}"
     near, far = (ratio(f"sqrt({tail}) - {k}", c) for k, c in (("1.6e0", AS241_NEAR), ("5e0", AS241_FAR)))
-    z = f"sqrt(2e0 * {tail})"
-    for _ in range(4):
-        z = (f"sqrt(2e0 * ({tail} - ln({z}) - {0.5 * math.log(2 * math.pi)!r} "
-             f"+ ln(1e0 - 1e0 / power({z}, 2) + 3e0 / power({z}, 4))))")
+    y = f"(2e0 * {tail} - ln(2e0 * {tail}) - {LN_2PI!r})"
+    for _ in range(2):
+        y = f"(2e0 * {tail} - ln({y}) - {LN_2PI!r} + 2e0 * ln(1e0 - 1e0 / {y} + 3e0 / ({y} * {y})))"
+    z = f"sqrt({y})"
     return (f"CASE WHEN {v} >= 0 THEN CASE WHEN {q} <= 0.425e0 THEN {centre} WHEN {tail} <= 25e0 THEN {near} "
             f"WHEN {v} <= 1300e0 THEN {far} ELSE {z} END END")
 
@@ -103,9 +106,10 @@ def _sigma_k2(c: Column) -> Column:
     v = c.cast("double")
     tail = v / 2 + F.lit(math.log(2.0))
     q = F.lit(0.5) - F.exp(-v / 2) / 2
-    z = F.sqrt(tail * 2)
-    for _ in range(4):
-        z = F.sqrt((tail - F.log(z) - F.lit(0.5 * math.log(2 * math.pi)) + F.log(1 - 1 / (z * z) + 3 / F.pow(z, 4))) * 2)
+    y = tail * 2 - F.log(tail * 2) - F.lit(LN_2PI)
+    for _ in range(2):
+        y = tail * 2 - F.log(y) - F.lit(LN_2PI) + F.log(1 - 1 / y + 3 / (y * y)) * 2
+    z = F.sqrt(y)
     return (F.when(~(v >= 0), F.lit(None)).when(q <= 0.425, q * _rational(0.180625 - q * q, AS241_CENTRE))
             .when(tail <= 25, _rational(F.sqrt(tail) - 1.6, AS241_NEAR))
             .when(v <= 1300, _rational(F.sqrt(tail) - 5, AS241_FAR)).otherwise(z))
