@@ -18,7 +18,8 @@ from tracklake.session import ship_package
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules, from hosts that are not rejected."""
     ship_package(spark)
-    measured = hostrules.document_rules(docs)
+    # stored: a filter on the verdict would otherwise be pushed below the measures and repeat them many times over
+    measured = stage(hostrules.document_rules(docs), "measured")
     judged = hostrules.apply_verdicts(measured, hostrules.host_verdicts(measured))
     return judged.filter("kept").select(docs.columns)
 
