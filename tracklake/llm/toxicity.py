@@ -16,6 +16,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +33,14 @@ EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def features(token: str) -> tuple[str, ...]:
-    w = EDGES.sub("", token.lower())
-    return ("w" + w, *(f"{k}{w[:k]}" for k in (4, 5, 6) if len(w) > k))
+    w = token.lower()
+    if not w.isalnum():  # else there is nothing to strip
+        w = EDGES.sub("", w)
+    prefixes = ("4" + w[:4], "5" + w[:5], "6" + w[:6])
+    return ("w" + w, *prefixes[:max(0, min(len(w) - 4, 3))])
 
 
 def _slots(token: str) -> list[int]:
-    import xxhash
     return [xxhash.xxh32_intdigest(f) % HASHED for f in features(token)]
 
 
@@ -46,9 +49,9 @@ def token_labels(texts: list[str], toxic: list[int], lift: float = 12.0, evidenc
     times that of the clean has them, with a log-likelihood ratio of ``evidence``
     against a feature that does not depend on the label."""
     seen = (Counter(), Counter())
-    known: dict[str, tuple] = {}
+    known = Memo(features)
     for text, t in zip(texts, toxic):
-        seen[t].update({f for w in set(text.split()) for f in known.setdefault(w, features(w))})
+        seen[t].update({f for w in set(text.split()) for f in known[w]})
     n = [max(toxic.count(0), 1), max(toxic.count(1), 1)]
     q = n[1] / (n[0] + n[1])
 
@@ -137,8 +140,16 @@ class Tagger:
         self.weights, self.trans, self.fit = weights, trans, np.zeros(4)
 
     def scorer(self) -> Memo:
-        w, bias = self.weights, float(self.weights[HASHED])
-        return Memo(lambda token: float(w[_slots(token)].sum()) + bias)
+        # a list: most tokens of a large corpus are rare, and a look into an array costs more than their hashes
+        *w, bias = self.weights.tolist()
+
+        def emission(token: str) -> float:
+            total = bias
+            for f in features(token):
+                total += w[xxhash.xxh32_intdigest(f) % HASHED]
+            return total
+
+        return Memo(emission)
 
     def tag(self, texts: list[str], emission: Memo) -> list[np.ndarray]:
         """Marginals of every token of every text."""
