@@ -74,7 +74,7 @@ class WordBpe:
 
     def _safe(self, piece: str) -> bytes:
         if piece.isalpha():
-            return self._word(piece)
+            return self.word_ids[piece]
         if piece[:-1].isalpha():  # a word and one mark
             return self.word_ids[piece[:-1]] + self.word_ids[piece[-1]]
         return b"".join(map(self.word_ids.__getitem__, self.words.findall(piece)))
