@@ -42,8 +42,8 @@ def _loads(state: DataFrame, shards: int) -> list[int]:
 def propagate(links: DataFrame, targets: list[int], rounds: int = ROUNDS) -> DataFrame:
     """rid, shard of the linked documents; ``links`` has rid and group_id, a document may be in several groups.
 
-    Neighbours are counted as (group, shard) cells, so a group of any size costs
-    its rows plus at most one cell per shard, never its pairs.  What reaches the
+    Neighbours are counted as one row per group with a count for every shard, so
+    a group of any size costs its rows, never its pairs.  What reaches the
     driver in a round is two numbers per shard.
     """
     shards = len(targets)
@@ -51,17 +51,16 @@ def propagate(links: DataFrame, targets: list[int], rounds: int = ROUNDS) -> Dat
     for turn in range(rounds):
         loads = _loads(state, shards)
         room = [max(t - n, 0) for t, n in zip(targets, loads)]
-        cells = state.groupBy("group_id", "shard").agg(F.count("*").alias("n"))
-        cells = cells.select("group_id", F.struct(F.col("shard").alias("to"), "n",
-                                                  F.xxhash64("group_id", "shard").alias("order")).alias("cell"))
-        arrays = cells.groupBy("group_id").agg(F.collect_list("cell").alias("cells"))
-        rooms = F.array(*map(F.lit, room))
-        votes = (state.join(arrays, "group_id").select("rid", "shard", F.explode("cells").alias("c"))
-                 .filter((F.get(rooms, F.col("c.to")) > 0) | (F.col("c.to") == F.col("shard")))
-                 .groupBy("rid", "shard", F.col("c.to").alias("to"))
-                 .agg(F.sum("c.n").alias("n"), F.min("c.order").alias("order")))
-        wishes = stage(votes.groupBy("rid", "shard").agg(F.max(F.struct("n", "order", "to")).alias("best"))
-                       .select("rid", F.col("best.to").alias("to")).filter(F.col("to") != F.col("shard")), "wishes")
+        # a row per group with one count per shard, added up over the groups of a document
+        counts = [F.count_if(F.col("shard") == t).alias(f"n{t}") for t in range(shards)]
+        votes = (state.join(state.groupBy("group_id").agg(*counts), "group_id").groupBy("rid", "shard")
+                 .agg(F.min("group_id").alias("_first"), *(F.sum(f"n{t}").alias(f"n{t}") for t in range(shards))))
+        cells = F.array(*(F.struct(F.col(f"n{t}").alias("n"), F.xxhash64("_first", F.lit(t)).alias("order"),
+                                   F.lit(t).alias("to")) for t in range(shards)))
+        open_to = [t for t in range(shards) if room[t]]
+        able = F.filter(cells, lambda c: (c["n"] > 0) & (c["to"].isin(open_to) | (c["to"] == F.col("shard"))))
+        wishes = stage(votes.select("rid", "shard", F.array_max(able)["to"].alias("to"))
+                       .filter(F.col("to") != F.col("shard")).select("rid", "to"), "wishes")
         demand = {r["to"]: r["count"] for r in wishes.groupBy("to").count().collect()}
         if not demand:
             break
