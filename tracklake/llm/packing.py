@@ -25,6 +25,7 @@ from .words import word_bpe
 
 BLOCK_PIECES = 4096
 ISLANDS, EPOCHS, POPULATION, GENERATIONS = 3, 2, 6, 8
+ISLANDS_A_TASK, MOST_TASKS = 16, 20_000
 BINS_BITS = 20  # a block has far fewer bins than 2^20
 
 
@@ -150,6 +151,8 @@ def _solve(items: DataFrame, capacity: int, name: str) -> tuple[DataFrame, int]:
              .agg(F.sort_array(F.collect_list(F.struct("length", "rid"))).alias("members")))
     state = stage(dealt.select("block", F.col("members.length").alias("lengths"), F.col("members.rid").alias("rids")),
                   f"{name}-blocks")
+    # islands are small rows with much work: the number of tasks follows their count, not their bytes
+    tasks = min(ceil(blocks * ISLANDS / ISLANDS_A_TASK), MOST_TASKS)
     islands = state.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
     elites = None
     for epoch in range(EPOCHS):
@@ -170,7 +173,7 @@ def _solve(items: DataFrame, capacity: int, name: str) -> tuple[DataFrame, int]:
                            "rids": [b["rids"][k]], "solution": [_numbers_of(best, len(lengths))], "bins": [len(best)],
                            "fill": [_filled(lengths, best, capacity)]}
 
-        spread = todo.repartition(F.col("block"), F.col("island"))
+        spread = todo.repartition(tasks, "block", "island")
         elites = stage(rows_from(spread, run, "block long, island int, lengths array<bigint>, rids array<bigint>, "
                                  "solution array<int>, bins int, fill double"), f"{name}-epoch")
     best = elites.groupBy("block").agg(F.min_by(F.struct("lengths", "rids", "solution"),
