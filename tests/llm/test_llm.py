@@ -175,6 +175,24 @@ def test_sentences_lose_nothing(text):
     assert "".join(spans.sentences(text)) == text
 
 
+def test_spans_that_are_not_whole_sentences(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10 ** 9)}"
+    rows, want = [], {}
+    for i in range(120):
+        passage = [word() + ("." if rng.random() < i % 3 * 0.08 else "") for _ in range(55 if i % 2 else 20)]
+        for doc in (2 * i, 2 * i + 1):
+            before, after = [word() for _ in range(rng.randrange(1, 90))], [word() for _ in range(rng.randrange(1, 90))]
+            rows.append((doc, " ".join(before + passage + after)))
+            want[doc] = " ".join(before + after) if doc % 2 else rows[-1][1]
+    shared = [word() for _ in range(19)]  # under the limit
+    for doc in (500, 501):
+        rows.append((doc, " ".join([word(), *shared, word()])))
+        want[doc] = rows[-1][1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in spans.dedup_spans(docs).collect()} == want
+
+
 def _classes(pairs, ids):
     up = {i: i for i in ids}
 

@@ -29,12 +29,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def with_columns_from(df: DataFrame, inputs: list[str], fn: Callable[..., dict[str, object]], fields: str,
-                      drop: tuple[str, ...] = ()) -> DataFrame:
+                      drop: tuple[str, ...] = (), at_once: int = 0) -> DataFrame:
     """``df`` with columns computed batch by batch in Python (``mapInArrow``).
 
     ``fn`` gets one Python list per input column and returns one sequence per
     new field.  A column of ``df`` that has the name of a new field is replaced;
-    all others pass through, but for those in ``drop``.
+    all others pass through, but for those in ``drop``.  ``at_once`` bounds the
+    rows that are Python objects at a time.
     """
     from pyspark.sql.types import StructType
     new = StructType.fromDDL(fields)
@@ -44,7 +45,7 @@ def with_columns_from(df: DataFrame, inputs: list[str], fn: Callable[..., dict[s
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, at_once):
             cols = fn(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in inputs))
             arrays = [b.column(b.schema.get_field_index(n)) for n in names]
             arrays += [pa.array(cols[f.name], type=f.type) for f in arrow]
@@ -54,7 +55,7 @@ def with_columns_from(df: DataFrame, inputs: list[str], fn: Callable[..., dict[s
 
 
 def rows_from(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, object]]],
-              schema: str) -> DataFrame:
+              schema: str, at_once: int = 0) -> DataFrame:
     """``mapInArrow`` over a whole partition: ``fn`` maps an iterator of column
     dictionaries to one of column dictionaries with any number of rows."""
     from pyspark.sql.types import StructType
@@ -62,12 +63,21 @@ def rows_from(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[
     arrow = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in batches):
+        for cols in fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+                       for b in _slices(batches, at_once)):
             yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, out)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if not rows or len(b) <= rows:
+            yield b
+        else:
+            yield from (b.slice(k, rows) for k in range(0, len(b), rows))
+
+
 def arrow_schema(schema) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     return to_arrow_schema(schema)
