@@ -265,6 +265,42 @@ def test_recall_of_the_query(spark):
     assert np.mean([len(got[ids[q]] & set(ids[b])) / 20 for q, b in zip(at, best)]) >= 0.9
 
 
+def _searched(spark, x, asked, k=20):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.search(df, asked, k=k).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    return got
+
+
+def test_search_of_few_rows_finds_all(spark):
+    x = np.random.default_rng(6).normal(size=(15, 64))
+    got = _searched(spark, x, F.col("vec_id") >= 0)
+    assert all(got[q] == sorted(set(range(15)) - {q}, key=lambda i: -x[i] @ x[q]) for q in range(15))
+
+
+@pytest.mark.parametrize("block", [4096, 500])
+def test_search_with_one_long_vector(spark, monkeypatch, block):
+    monkeypatch.setattr(ann, "BLOCK", block)
+    x = ann.unit(np.random.default_rng(7).normal(size=(2000, 64)))
+    x[1] *= 100
+    got = _searched(spark, x, F.col("vec_id") % 20 == 0)
+    s = x[::20] @ x.T
+    s[np.arange(100), np.arange(0, 2000, 20)] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    assert all(len(got[20 * q]) == 20 and ((1 in got[20 * q]) == (1 in b)) for q, b in enumerate(best))
+    assert np.mean([len(set(got[20 * q]) & set(b)) / 20 for q, b in enumerate(best)]) >= 0.95
+
+
+def test_search_completes_queries_that_find_too_few(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 50)
+    rng = np.random.default_rng(8)
+    x = ann.unit(np.eye(64)[0] + 0.01 * rng.normal(size=(300, 64)))
+    x[0] *= -1
+    got = _searched(spark, x, F.col("vec_id") == 0)
+    assert got[0] == np.argsort(-(x[1:] @ x[0]))[:20].__add__(1).tolist()
+
+
 # ------------------------------------------------------------------ models
 def test_language(spark, odd_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

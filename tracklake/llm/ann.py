@@ -5,6 +5,11 @@ and a fast Hadamard transform) and files them under the nearest signed axis.  A
 query looks into the buckets of its nearest axes in every table; what it finds
 is ranked by exact inner products.
 
+Tables hold directions, so a vector must not win by its length alone: only
+vectors of a range of lengths with more than BLOCK members are filed, where the
+best are near in angle too.  All queries meet the others in an exact pass, and
+so does a query that finds fewer than it could all vectors.
+
 Equal vectors are one class, so a vector that a third of the rows share is
 filed once.  Buckets are cut into blocks of bounded size on both sides, and a
 pair of blocks is one matrix product in one task.
@@ -19,11 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_from, stage, with_columns_from
+from .common import stage, with_columns_from
 
 TABLES, PROBES = 10, 12
 BLOCK = 4096
-SPREAD = 1.001  # longest over shortest vector up to which all count as equally long
+RATIO = 1.1  # longest over shortest vector of a range of lengths
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -56,14 +61,16 @@ def signed_axes(x: np.ndarray, tables: int, probes: int) -> np.ndarray:
     return out
 
 
-def unit(x: np.ndarray, longest: float, shortest: float, query: bool) -> np.ndarray:
-    """Unit vectors whose angles order like inner products: scaled, and when lengths
-    differ with one more coordinate that fills stored vectors up to the longest."""
-    norms = np.linalg.norm(x, axis=1, keepdims=True)
-    if longest <= SPREAD * shortest:
-        return x / norms
-    rest = np.zeros_like(norms) if query else np.sqrt(np.clip(1 - (norms / longest) ** 2, 0, None))
-    return np.concatenate([x / (norms if query else longest), rest], axis=1)
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def length_range(x: np.ndarray) -> np.ndarray:
+    """Number of the range of lengths of the rows; length 1 is inside one."""
+    most = np.abs(x).max(axis=1)
+    length = np.log(most) + np.log(np.linalg.norm(x / most[:, None], axis=1))
+    return np.floor(length / np.log(RATIO) + 0.5).astype(np.int32)
 
 
 def _matrix(cells) -> np.ndarray:
@@ -91,8 +98,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, prob
 
     Vectors that are null, zero, hold a null or non-finite component or have not
     the commonest length take no part, nor do null ids.  Rows equal in id and
-    vector count once.  A query with fewer than ``k`` candidates found has
-    fewer rows.  Other columns are not read.
+    vector count once.  A query has fewer than ``k`` rows only if there are no more
+    candidates.  Other columns are not read.
     """
     e = F.col(embedding)
     ok = e.isNotNull() & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
@@ -103,17 +110,39 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, prob
     as_bytes = lambda v: {"vec": [(np.array(x, dtype="<f8") + 0.0).tobytes() for x in v]}  # noqa: E731  -0.0 becomes 0.0
     rows = stage(with_columns_from(valid, ["v"], as_bytes, "vec binary", drop=("v",))
                  .withColumn("c", F.unhex(F.md5("vec"))).distinct(), "vectors")
-    kinds = stage(rows.groupBy("c").agg(F.min("vec_id").alias("first"), F.first("vec").alias("vec"),
-                                        F.max("asked").alias("asked")), "classes")
+    kinds = rows.groupBy("c").agg(F.min("vec_id").alias("first"), F.first("vec").alias("vec"), F.max("asked").alias("asked"))
+    in_range = lambda v: {"range": length_range(_matrix(v)) if v else []}
+    kinds = stage(with_columns_from(kinds, ["vec"], in_range, "range int"), "classes")
     # of equal vectors only the k + 1 smallest ids can be among k neighbours
     small = rows.withColumn("n", F.row_number().over(Window.partitionBy("c").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
     members = small.groupBy("c").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
-    norms = rows_from(kinds.select("vec"), _norms, "low double, high double").agg(F.min("low"), F.max("high")).first()
-    filed = kinds.select("c", "first", "vec")
+    filed = kinds.select("c", "first", "vec", "range")
     asked = kinds.filter("asked").select("c", "vec")
-    stored = _filed(filed, norms, tables, 1, False)
-    sought = _filed(asked, norms, tables, probes, True)
+    # as many ranges as lengths that numbers can have, at most
+    large = [r["range"] for r in filed.groupBy("range").count().filter(F.col("count") > BLOCK).collect()]
+    few = filed.filter(~F.col("range").isin(large)).drop("range")
+    stored, sought = _together(few), _together(asked)
+    if large:
+        stored = stored.unionByName(_filed(filed.filter(F.col("range").isin(large)).drop("range"), tables, 1))
+        sought = sought.unionByName(_filed(asked, tables, probes))
+    found = _lists(_scored(stored, sought, k), members, k)
+    if large:
+        total = min(rows.count(), k + 1)
+        found = stage(found, "found")
+        short = stage(asked.join(found.filter(F.size("all") >= total).select(F.col("q").alias("c")), "c", "left_anti"), "short")
+        if short.head(1):
+            every = _scored(_together(filed.drop("range")), _together(short), k)
+            found = (found.join(short.select(F.col("c").alias("q")), "q", "left_anti")
+                     .unionByName(_lists(every, members, k)))
+    queries = rows.filter("asked").select(F.col("vec_id").alias("query_id"), F.col("c").alias("q"))
+    own = queries.join(found, "q").select("query_id", F.posexplode(F.slice(
+        F.filter("all", lambda x: x["i"] != F.col("query_id")), 1, k)).alias("n", "x"))
+    return own.select("query_id", (F.col("n") + 1).alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))
+
+
+def _scored(stored: DataFrame, sought: DataFrame, k: int) -> DataFrame:
+    """q, c, score, first: the k + 1 best stored classes of every pair of blocks that share a bucket."""
     stored, sought = _blocks(stored, sought), _blocks(sought, stored)
     stored = stored.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_other") - 1)))
     sought = sought.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_other") - 1)))
@@ -132,32 +161,29 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, prob
     found = (left.groupBy(*key).cogroup(right.groupBy(*key))
              .applyInPandas(rank, "q binary, c binary, first long, score double"))
     # a class found in several tables has the same score but for rounding
-    found = found.groupBy("q", "c").agg(F.max("score").alias("score"), F.first("first").alias("first"))
+    return found.groupBy("q", "c").agg(F.max("score").alias("score"), F.first("first").alias("first"))
+
+
+def _lists(found: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """q, all: the rows of the k + 1 best classes of each query class, best first."""
     best = Window.partitionBy("q").orderBy(F.desc("score"), "first")
     near = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n")
     ids = near.join(members, "c").select("q", F.transform("ids", lambda i: F.struct((-F.col("score")).alias("s"), i.alias("i"))).alias("part"))
-    lists = ids.groupBy("q").agg(F.sort_array(F.flatten(F.collect_list("part"))).alias("all"))
-    queries = rows.filter("asked").select(F.col("vec_id").alias("query_id"), F.col("c").alias("q"))
-    own = queries.join(lists, "q").select("query_id", F.posexplode(F.slice(
-        F.filter("all", lambda x: x["i"] != F.col("query_id")), 1, k)).alias("n", "x"))
-    return own.select("query_id", (F.col("n") + 1).alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    return ids.groupBy("q").agg(F.sort_array(F.flatten(F.collect_list("part"))).alias("all"))
 
 
-def _norms(batches):
-    for b in batches:
-        if b["vec"]:
-            n = np.linalg.norm(_matrix(b["vec"]), axis=1)
-            yield {"low": [n.min()], "high": [n.max()]}
+def _together(kinds: DataFrame) -> DataFrame:
+    """All in one bucket; stored, as both sides of a search may come from one table."""
+    return stage(kinds.withColumn("t", F.lit(-1)).withColumn("axis", F.lit(0)), "together")
 
 
-def _filed(kinds: DataFrame, norms, tables: int, probes: int, query: bool) -> DataFrame:
+def _filed(kinds: DataFrame, tables: int, probes: int) -> DataFrame:
     """A row for every table and axis a vector is filed (or sought) under."""
-    low, high = norms[0] or 1.0, norms[1] or 1.0
 
     def axes(vecs: list) -> dict[str, list]:
         if not vecs:
             return {"axes": []}
-        a = signed_axes(unit(_matrix(vecs), high, low, query), tables, probes)
+        a = signed_axes(unit(_matrix(vecs)), tables, probes)
         return {"axes": a.reshape(len(a), -1).tolist()}
 
     per = F.posexplode("axes").alias("n", "axis")
