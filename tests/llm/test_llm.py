@@ -351,6 +351,23 @@ def test_toxicity(spark, odd_docs):
     assert {r.score for r in toxicity.score_documents(odd_docs, None).collect()} == {0.0}
 
 
+def test_toxic_words_late_in_training_texts(spark):
+    rng = random.Random(9)
+    word = lambda: f"clean{rng.randrange(3000)}"
+    rows = []
+    for i in range(400):  # toxic words only after 4000 characters, in one document of four
+        tokens = [word() for _ in range(1000)]
+        if i % 4 == 0:
+            for _ in range(12):
+                tokens[rng.randrange(700, 1000)] = f"vileword{rng.randrange(5)}"
+        rows.append((i, " ".join(tokens), int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    tagger = toxicity.train(docs.filter("doc_id < 300"))
+    got = toxicity.score_documents(docs.filter("doc_id >= 300"), tagger).collect()
+    assert all(r.predicted == r.toxic and bool(r.toxic_spans) == bool(r.toxic) for r in got)
+    assert all("vile" in r.text[s.start:s.end] for r in got for s in r.toxic_spans)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     out = corpus_pipeline.run(spark, SMALL).collect()

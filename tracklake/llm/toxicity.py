@@ -14,18 +14,18 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_columns_from
+from .common import rows_from, stage, with_columns_from
 from .words import Memo
 
 TRAIN_DOCS = (5000, 2000)  # clean and toxic documents of the training sample, at most
-TRAIN_CHARS = 4000      # characters of a training document that are read
-TRAIN_TOKENS = 300_000  # tokens the field is trained on
+TRAIN_TOKENS = 300_000  # tokens of the chains the field is trained on, half of each label
 HASHED = 1 << 18
 CHAIN = 64              # tokens of a chain; long documents are several chains
 EPOCHS = 4
@@ -44,22 +44,53 @@ def _slots(token: str) -> list[int]:
     return [xxhash.xxh32_intdigest(f) % HASHED for f in features(token)]
 
 
-def token_labels(texts: list[str], toxic: list[int], lift: float = 12.0, evidence: float = 9.0) -> set[str]:
+def token_labels(sample: DataFrame, n: tuple[int, int], lift: float = 12.0, evidence: float = 9.0) -> set[str]:
     """Features that mark a token as toxic: a share of the toxic documents ``lift``
     times that of the clean has them, with a log-likelihood ratio of ``evidence``
-    against a feature that does not depend on the label."""
-    seen = (Counter(), Counter())
-    known = Memo(features)
-    for text, t in zip(texts, toxic):
-        seen[t].update({f for w in set(text.split()) for f in known[w]})
-    n = [max(toxic.count(0), 1), max(toxic.count(1), 1)]
+    against a feature that does not depend on the label.
+
+    sample: text and toxic, ``n`` documents of label 0 and 1."""
     q = n[1] / (n[0] + n[1])
 
     def ratio(k: int, c: int) -> float:
         return k * math.log(k / ((k + c) * q)) + (c * math.log(c / ((k + c) * (1 - q))) if c else 0.0)
 
-    return {f for f, k in seen[1].items() if k > 2 and len(f) > 4
-            and (k / n[1]) > lift * (seen[0][f] + 0.5) / n[0] and ratio(k, seen[0][f]) > evidence}
+    seen = rows_from(sample, _feature_counts, "feature string, clean long, toxic long").groupBy("feature").agg(
+        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    common = seen.filter((F.col("toxic") > 2) & (F.length("feature") > 4)
+                         & (F.col("toxic") / n[1] > lift * (F.col("clean") + 0.5) / n[0])).collect()
+    return {r["feature"] for r in common if ratio(r["toxic"], r["clean"]) > evidence}
+
+
+def _feature_counts(batches: Iterator[dict]) -> Iterator[dict]:
+    """Numbers of clean and toxic documents of a partition that have a feature."""
+    seen = (Counter(), Counter())
+    known = Memo(features)
+
+    def flush() -> dict:
+        names = list(seen[0].keys() | seen[1].keys())
+        out = {"feature": names, "clean": [seen[0][f] for f in names], "toxic": [seen[1][f] for f in names]}
+        for c in seen:
+            c.clear()
+        return out
+
+    for b in batches:
+        for text, t in zip(b["text"], b["toxic"]):
+            seen[t].update({f for w in set(text.split()) for f in known[w]})
+            if len(seen[0]) + len(seen[1]) > 200_000:
+                yield flush()
+    yield flush()
+
+
+def _pieces(batches: Iterator[dict]) -> Iterator[dict]:
+    """Chains of all tokens of the texts, with a hash that orders them."""
+    for b in batches:
+        for text, t in zip(b["text"], b["toxic"]):
+            tokens = text.split()
+            pieces = [" ".join(tokens[k:k + CHAIN]) for k in range(0, len(tokens), CHAIN)]
+            seed = xxhash.xxh32_intdigest(text)
+            yield {"piece": pieces, "toxic": [t] * len(pieces),
+                   "order": [xxhash.xxh3_64_intdigest(p, seed=seed + k) >> 1 for k, p in enumerate(pieces)]}
 
 
 def _chains(values: np.ndarray, fill: float) -> np.ndarray:
@@ -187,10 +218,9 @@ class Tagger:
         x = np.array([self.summary(m) for m in tagged]).reshape(-1, 4)
         return 1 / (1 + np.exp(-np.clip(x @ self.fit, -30, 30)))
 
-    def fit_scores(self, tagged: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> None:
-        """Logistic regression by Newton steps with a small ridge; ``weight`` undoes
+    def fit_scores(self, x: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> None:
+        """Logistic regression of summaries by Newton steps with a small ridge; ``weight`` undoes
         that the sample holds the labels in other shares than the labelled rows."""
-        x = np.array([self.summary(m) for m in tagged])
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(x @ self.fit, -30, 30)))
             h = x.T @ (x * (weight * (p * (1 - p) + 1e-6))[:, None]) + 0.1 * np.eye(4)
@@ -199,48 +229,56 @@ class Tagger:
 
 def train(labelled: DataFrame, text: str = "text", label: str = "toxic", order: str = "doc_id",
           docs: tuple[int, int] = TRAIN_DOCS) -> Tagger | None:
-    """Fit on at most ``docs`` documents of label 0 and 1, those with the smallest hashed id;
-    None if a label has no row.  Rows with a null text or label do not count."""
-    total = {r[label]: r["count"] for r in labelled.filter(F.col(text).isNotNull()).groupBy(label).count().collect()}
-    sample = []
-    for value in (0, 1):
-        rows = (labelled.filter((F.col(label) == value) & F.col(text).isNotNull())
-                .select(F.substring(F.col(text), 1, TRAIN_CHARS).alias("text"), F.xxhash64(order).alias("order"))
-                .orderBy("order", "text").limit(docs[value]).toPandas())
-        sample += [(t, value) for t in rows["text"]]
-    texts, toxic = [t for t, _ in sample], [v for _, v in sample]
-    if len(set(toxic)) < 2:
+    """Fit on at most ``docs`` documents of label 0 and 1, those with the smallest hashed id,
+    one of an id; None if a label has no row.  Rows with a null text or label do not count.
+
+    Whole texts are read, by tasks: the driver gets the features that mark tokens,
+    a sample of chains from anywhere in the texts (TRAIN_TOKENS), and four numbers a document.
+    """
+    # keys are of ids alone: no text is dealt out but those of ids up to the last of the sample
+    rows = labelled.filter(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(
+        F.col(text).alias("text"), F.col(label).cast("int").alias("toxic"), F.xxhash64(order).alias("key"))
+    keys = stage(rows.select("toxic", "key").groupBy("toxic", "key").count(), "training")
+    total = {r["toxic"]: r["n"] for r in keys.groupBy("toxic").agg(F.sum("count").alias("n")).collect()}
+    if len(total) < 2:
         return None
-    marks = token_labels(texts, toxic)
+    last = [keys.filter(F.col("toxic") == v).select("key").orderBy("key").limit(docs[v]).agg(F.max("key").alias("k")).first()["k"]
+            for v in (0, 1)]
+    near = rows.filter(F.col("key") <= max(last)).filter(F.col("key") <= F.when(F.col("toxic") == 0, last[0]).otherwise(last[1]))
+    sample = stage(near.groupBy("toxic", "key").agg(F.min_by("text", F.xxhash64("text")).alias("text")).drop("key"), "sample")
+    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    marks = token_labels(sample, (n[0], n[1]))
+    pieces = stage(rows_from(sample, _pieces, "piece string, toxic int, order long"), "pieces")
     memo: dict[str, tuple[list[int], int]] = {}
     slots, labels = [], []
-    budget = TRAIN_TOKENS // 2
     for value in (0, 1):
-        used = 0
-        for t in (t for t, v in sample if v == value):
-            tokens = t.split()[:1000]
+        picked = pieces.filter(F.col("toxic") == value).orderBy("order", "piece").limit(TRAIN_TOKENS // 2 // CHAIN).collect()
+        for tokens in (r["piece"].split() for r in picked):
             for w in tokens:
                 if w not in memo:
                     memo[w] = (_slots(w), int(any(f in marks for f in features(w))))
-            if tokens and used < budget:
-                used += len(tokens)
-                slots.append([memo[w][0] for w in tokens])
-                labels.append([memo[w][1] * value for w in tokens])
-    n_rows = sum(-(-len(s) // CHAIN) for s in slots)
-    x = np.full((n_rows, CHAIN, 4), -1, dtype=np.int64)
-    y, mask = np.zeros((n_rows, CHAIN), dtype=np.int64), np.zeros((n_rows, CHAIN), dtype=bool)
-    at = 0
-    for s, lab in zip(slots, labels):
-        for k in range(0, len(s), CHAIN):
-            for j, f in enumerate(s[k:k + CHAIN]):
-                x[at, j, :len(f)] = f
-            y[at, :len(lab[k:k + CHAIN])] = lab[k:k + CHAIN]
-            mask[at, :len(lab[k:k + CHAIN])] = True
-            at += 1
+            slots.append([memo[w][0] for w in tokens])
+            labels.append([memo[w][1] * value for w in tokens])
+    x = np.full((len(slots), CHAIN, 4), -1, dtype=np.int64)
+    y, mask = np.zeros((len(slots), CHAIN), dtype=np.int64), np.zeros((len(slots), CHAIN), dtype=bool)
+    for at, (s, lab) in enumerate(zip(slots, labels)):
+        for j, f in enumerate(s):
+            x[at, j, :len(f)] = f
+        y[at, :len(lab)] = lab
+        mask[at, :len(lab)] = True
     tagger = Tagger(*_train_field(x, y, mask))
-    y = np.array(toxic)
-    weight = np.where(y == 1, total[1] / (y == 1).sum(), total[0] / (y == 0).sum())
-    tagger.fit_scores(tagger.tag(texts, tagger.scorer()), y.astype(float), weight / weight.mean())
+    model = sample.sparkSession.sparkContext.broadcast(tagger)
+
+    def summaries(texts: list) -> dict[str, object]:
+        t = model.value
+        t._memo = t.__dict__.get("_memo") or t.scorer()
+        return {"summary": [t.summary(m) for m in t.tag(texts, t._memo)]}
+
+    found = with_columns_from(sample, ["text"], summaries, "summary array<double>", drop=("text",)).collect()
+    found.sort(key=lambda r: (r["toxic"], r["summary"]))  # sums below do not depend on the order of tasks
+    y = np.array([r["toxic"] for r in found])
+    weight = np.where(y == 1, total[1] / n[1], total[0] / n[0])
+    tagger.fit_scores(np.array([r["summary"] for r in found]), y.astype(float), weight / weight.mean())
     return tagger
 
 
