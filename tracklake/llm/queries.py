@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, ship_package
-from . import ann, bytebpe, dac, hostrules, langid, neardup, packing, sharding, spans, toxicity
+from . import ann, bytebpe, dac, hostrules, langid, merkle, neardup, packing, sharding, spans, toxicity
 from .common import crc_of_id, stage, table
 
 QUERIES = {}
@@ -121,3 +121,12 @@ def op10_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_documents(docs, toxicity_tagger(spark, sf_dir), spans=True, drop=("text",))
     return scored.select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "score", "predicted",
                          F.size("toxic_spans").alias("n_spans"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents against the manifest of the table, some of them of tampered texts."""
+    return merkle.document_proofs(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_merkle_manifest"] = merkle.oracle()
