@@ -52,6 +52,8 @@ def brute(rows):
         hit = d is not None and zlib.crc32(str(d).encode()) % 5 == 0
         groups[source].append((d is not None, d or 0, _leaf(d, source, lang, n, text),
                                _leaf(d, source, lang, n, _lower(text) if hit else text), d))
+    if not rows:
+        return
     names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
     trees = []
     for s in names:

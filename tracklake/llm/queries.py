@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, ship_package
-from . import ann, bytebpe, dac, hostrules, langid, merkle, neardup, packing, sharding, spans, toxicity
+from . import ann, bytebpe, dac, hostrules, langid, merkle, neardup, packing, sharding, spans, toxicity, whitening
 from .common import crc_of_id, stage, table
 
 QUERIES = {}
@@ -123,6 +123,12 @@ def op10_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.size("toxic_spans").alias("n_spans"))
 
 
+@query
+def op11_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings whitened by the 16 largest components of their covariance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs of all documents against the manifest of the table, some of them of tampered texts."""
