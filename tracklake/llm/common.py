@@ -105,6 +105,26 @@ def numbered(staged: DataFrame, name: str = "rid") -> tuple[DataFrame, int]:
     return out, total
 
 
+def added_rows(parts: DataFrame, dtype) -> dict:
+    """Sum of the arrays of each row number: ``parts`` has (row int, part binary), an array each.
+
+    What reaches the driver is one array a row number.
+    """
+    import numpy as np
+
+    def add(batches: Iterator[dict]) -> Iterator[dict]:
+        total = {}
+        for b in batches:
+            for i, part in zip(b["row"], b["part"]):
+                r = np.frombuffer(part, dtype=dtype)
+                total[i] = total[i] + r if i in total else r
+        if total:
+            yield {"row": list(total), "part": [r.tobytes() for r in total.values()]}
+
+    rows = rows_from(parts.repartition("row"), add, "row int, part binary").collect()
+    return {r["row"]: np.frombuffer(r["part"], dtype=dtype) for r in sorted(rows)}
+
+
 def utf8(text) -> F.Column:
     return F.encode(text, "UTF-8")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, ship_package
-from . import ann, bytebpe, dac, hostrules, langid, merkle, neardup, packing, sharding, spans, toxicity, whitening
+from . import ann, bytebpe, dac, hostrules, jaccard, langid, merkle, neardup, packing, sharding, spans, toxicity, whitening
 from .common import crc_of_id, stage, table
 
 QUERIES = {}
@@ -129,6 +129,15 @@ def op11_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op12_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share at least 90 % of their three-word shingles."""
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_jaccard_regions"] = jaccard.oracle()
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs of all documents against the manifest of the table, some of them of tampered texts."""

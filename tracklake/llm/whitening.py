@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_from, stage
+from .common import added_rows, rows_from, stage
 
 GRID, OFFSET = 64, 1_000_000
 LIMIT = 1 << 62              # grid values beyond are held there
@@ -199,22 +199,10 @@ def _gram(centred, project=None):
     return run
 
 
-def _add_rows(batches: Iterator[dict]) -> Iterator[dict]:
-    total = {}
-    for b in batches:
-        for i, part in zip(b["row"], b["part"]):
-            r = np.frombuffer(part)
-            total[i] = total[i] + r if i in total else r
-    if total:
-        yield {"row": list(total), "part": [r.tobytes() for r in total.values()]}
-
-
 def gram(x: DataFrame, centred, project=None) -> np.ndarray:
     """Sum of outer products of the centred (and projected) rows; one matrix a task, added row by row."""
-    schema = "row int, part binary"
-    parts = rows_from(x, _gram(centred, project), schema, at_once=4096)
-    rows = rows_from(parts.repartition("row"), _add_rows, schema).collect()
-    return np.array([np.frombuffer(r["part"]) for r in sorted(rows)])
+    parts = rows_from(x, _gram(centred, project), "row int, part binary", at_once=4096)
+    return np.array(list(added_rows(parts, np.float64).values()))
 
 
 @dataclass
