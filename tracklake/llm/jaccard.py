@@ -36,6 +36,7 @@ FEATURE_BITS = 20             # features whose document frequencies order the sh
 STEP = 1 << 14                # features of one row of counts
 PIECE = 1 << 20               # bytes of text that are hashed at once
 REGION, REGION_SHINGLES = 256, 1 << 22   # members and shingles of a region that one task joins
+MORE = 32                     # linked sets share one more of their rarest shingles for so many that they have in common
 PIVOTS = 16                   # of a larger region (twice as many on average, by hash)
 BLOCK = 64                    # members of a block
 
@@ -165,16 +166,25 @@ def frequencies(texts: DataFrame) -> np.ndarray:
     return np.minimum(out, (1 << FEATURE_BITS) - 1).astype(np.uint32)
 
 
-def rarest(s: np.ndarray, df: np.ndarray, least: int) -> np.ndarray:
-    """The shingles of a set of which every set linked to it has one: the rarest, in an order that all texts share.
+def required(n, least: int):
+    """Shingles that linked sets have in common among their rarest ones."""
+    return 1 + -(-least * n // 100) // MORE
 
-    A linked set has at least ceil(least % of n) of the n shingles, so one of the n - that + 1 first in the order.
-    Equal places in the order are all taken.
+
+def rarest(s: np.ndarray, df: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a set of which every set linked to it has one, and the next rarest.
+
+    The order, by rarity, is that of all texts.  A linked set has at least
+    ceil(least % of n) of the n shingles, so one of the n - that + 1 first in the
+    order, and k of the n - that + k first, k being the smaller ``required`` of the two
+    sets.  Equal places in the order are all taken.
     """
     need = -(-least * len(s) // 100)
     last = len(s) - need
+    more = min(last + required(len(s), least), len(s)) - 1
     order = (df[feature(s)].astype(np.uint64) << np.uint64(64 - FEATURE_BITS)) | (s & np.uint64((1 << (64 - FEATURE_BITS)) - 1))
-    return s[order <= np.partition(order, last)[last]]
+    ends = np.partition(order, (last, more))[[last, more]]
+    return s[order <= ends[0]], s[(order > ends[0]) & (order <= ends[1])]
 
 
 def _measured(df, least: int):
@@ -183,17 +193,18 @@ def _measured(df, least: int):
         import xxhash
         table = df.value
         for b in batches:
-            n, node, ends, rare = [], [], [0], []
+            n, node, ends, rare, next_rare = [], [], [0], [np.empty(0, np.uint64)], []
             for s in shingle_sets(b.column(2)):
                 n.append(len(s))
                 node.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                if len(s):
-                    rare.append(rarest(s, table, least))
-                ends.append(ends[-1] + (len(rare[-1]) if len(s) else 0))
-            flat = np.concatenate(rare).view(np.int64) if rare else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), lists],
-                                             names=["doc_id", "same", "n", "node", "rare"])
+                first, more = rarest(s, table, least) if len(s) else (s, s)
+                rare.append(first)
+                next_rare.append(more.tobytes())
+                ends.append(ends[-1] + len(first))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rare).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), lists,
+                                              pa.array(next_rare, pa.binary())],
+                                             names=["doc_id", "same", "n", "node", "rare", "more"])
     return run
 
 
@@ -292,6 +303,33 @@ def _runs(batches: Iterator[dict], keys: list[str]) -> Iterator[tuple[tuple, dic
         yield now, held
 
 
+def _partnered(least: int):
+    """The members of a region that may be linked with another: by size, and by the rarest shingles in common."""
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        out = {"pivot": [], "cls": []}
+        for (pivot,), held in _runs(batches, ["pivot"]):
+            n = np.array(held["n"])
+            need = required(n, least)
+            region = Region([np.concatenate([np.array(r, dtype=np.int64).view(np.uint64), np.frombuffer(m, dtype=np.uint64)])
+                             for r, m in zip(held["rare"], held["more"])])
+            partner = np.zeros(len(n), dtype=bool)
+            for i in range(len(n)):
+                if not partner[i]:
+                    may = (region.common(i) >= np.minimum(need, need[i])) & (100 * np.minimum(n, n[i]) >= least * np.maximum(n, n[i]))
+                    may[i] = False
+                    if may.any():
+                        partner |= may
+                        partner[i] = True
+            at = np.flatnonzero(partner)
+            out["pivot"] += [pivot] * len(at)
+            out["cls"] += [held["cls"][i] for i in at]
+            if len(out["cls"]) > 10_000:
+                yield out
+                out = {"pivot": [], "cls": []}
+        yield out
+    return run
+
+
 def _join_regions(least: int):
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         a, b = [], []
@@ -409,12 +447,12 @@ def _in_each(leaders: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFram
 
 
 def _large_region_links(members: DataFrame, sets: DataFrame, links: DataFrame, least: int) -> DataFrame:
-    """Links of the regions that one task doesn't join.  ``members``: pivot, cls, members of the region."""
+    """Links of the regions that one task doesn't join.  ``members``: pivot, cls, members and first of the region."""
     radius = 1 - least / 100 + 1e-9
-    # pivots of a region: its own and about 2 * PIVOTS by hash
+    # pivots of a region: its first member and about 2 * PIVOTS by hash
     share = F.pmod(F.xxhash64("pivot", "cls"), F.lit(1 << 20)) * F.col("members") < F.lit(2 * PIVOTS << 20)
     dealt, chunks = _spread(members.select("pivot", "cls"), ["pivot"], REGION)
-    pivots = _in_each(members.filter(share | (F.col("pivot") == F.col("cls"))).select("pivot", "cls"), chunks, ["pivot"])
+    pivots = _in_each(members.filter(share | (F.col("head") == F.col("cls"))).select("pivot", "cls"), chunks, ["pivot"])
     against = _dealt(dealt.join(sets, "cls"), pivots.join(sets, "cls"), ["pivot", "chunk"])
     found = stage(rows_from(against.select("pivot", "chunk", "cls", "held", "leads"), _distances(least),
                             "pivot long, cls long, distances array<double>, linked array<bigint>", at_once=500)
@@ -443,6 +481,24 @@ def _large_region_links(members: DataFrame, sets: DataFrame, links: DataFrame, l
     return links.unionByName(rows_from(meet, _join_blocks(least), "a long, b long", at_once=500))
 
 
+def _regions(heads: DataFrame, least: int) -> DataFrame:
+    """(pivot, cls): the regions, without members that cannot be linked inside.  ``heads``: cls, n, rare, more."""
+    # sizes of linked sets lie in one window or in neighbouring ones
+    window = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / least) * (1 + 1e-9))).cast("int") if least < 100 else F.col("n")
+    each = heads.select("cls", window.alias("w"), F.explode("rare").alias("s"))
+    several = each.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
+    each = stage(each.join(several, "s"), "shared")
+    keyed = each.select("cls", F.explode(F.array(F.xxhash64("s", "w"), F.xxhash64("s", F.col("w") - 1))).alias("meet"))
+    meets = keyed.groupBy("meet").agg(F.min("cls").alias("pivot"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    members = stage(keyed.join(meets, "meet").select("pivot", "cls").distinct(), "meeting")
+    sized = members.join(members.groupBy("pivot").agg((F.count("*") > REGION).alias("large")), "pivot")
+    sized = stage(sized, "meeting-sizes")
+    small = sized.filter("not large").drop("large").join(heads, "cls").select("pivot", "cls", "n", "rare", "more")
+    small = small.repartition("pivot").sortWithinPartitions("pivot")
+    kept = rows_from(small, _partnered(least), "pivot long, cls long", at_once=500)
+    return sized.filter("large").select("pivot", "cls").unionByName(kept)
+
+
 def join_documents(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, links) of the join.
 
@@ -453,29 +509,26 @@ def join_documents(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id",
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("same"), F.col(text).alias("text"))
     df = spark.sparkContext.broadcast(frequencies(rows))
-    measured = rows.mapInArrow(_measured(df, least), "doc_id long, same long, n long, node binary, rare array<bigint>")
+    measured = rows.mapInArrow(_measured(df, least), "doc_id long, same long, n long, node binary, rare array<bigint>, more binary")
     measured = stage(measured.withColumn("row", F.monotonically_increasing_id()), "measured")
     per_class = stage(measured.filter("n > 0").groupBy("node").agg(
         F.min("row").alias("cls"), F.min("doc_id").alias("first"), F.max("n").alias("n")), "classes")
-    # sizes of linked sets lie in one window or in neighbouring ones
-    window = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / least) * (1 + 1e-9))).cast("int") if least < 100 else F.col("n")
-    heads = measured.join(per_class.select(F.col("cls").alias("row")), "row")
-    keyed = heads.select(F.col("row").alias("cls"), window.alias("w"), F.explode("rare").alias("s"))
-    keyed = keyed.select("cls", F.explode(F.array(F.xxhash64("s", "w"), F.xxhash64("s", F.col("w") - 1))).alias("meet"))
-    meets = keyed.groupBy("meet").agg(F.min("cls").alias("pivot"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    members = stage(keyed.join(meets, "meet").select("pivot", "cls").distinct(), "members")
+    heads = stage(measured.join(per_class.select(F.col("cls").alias("row")), "row")
+                  .select(F.col("row").alias("cls"), "n", "rare", "more"), "heads")
+    members = stage(_regions(heads, least), "members")
     wanted = members.select("cls").distinct().join(measured.withColumnRenamed("row", "cls"), "cls")
-    wanted = wanted.select("cls", F.col("doc_id").alias("id"), F.col("same").alias("like"), "node")
+    # stored, so that Spark knows how many texts are wanted and need not shuffle the rest if they are few
+    wanted = stage(wanted.select("cls", F.col("doc_id").alias("id"), F.col("same").alias("like"), "node"), "wanted")
     texts = rows.join(wanted, (F.col("same") == F.col("like")) & F.col("doc_id").eqNullSafe(F.col("id")))
     sets = stage(texts.select("cls", "node", "text").mapInArrow(_whole_sets, "cls long, held binary"), "sets")
     sizes = members.join(per_class.select("cls", "n"), "cls").groupBy("pivot").agg(
-        F.count("*").alias("members"), F.sum("n").alias("shingles"))
+        F.count("*").alias("members"), F.sum("n").alias("shingles"), F.min("cls").alias("head"))
     sized = stage(members.join(sizes, "pivot"), "sized")
     large = (F.col("members") > REGION) | (F.col("shingles") > REGION_SHINGLES)
     small = sized.filter(~large).select("pivot", "cls").join(sets, "cls")
     small = small.repartition("pivot").sortWithinPartitions("pivot")
     links = stage(rows_from(small, _join_regions(least), "a long, b long", at_once=500), "links")
-    of_large = sized.filter(large).select("pivot", "cls", "members")
+    of_large = sized.filter(large).select("pivot", "cls", "members", "head")
     if not of_large.isEmpty():
         links = stage(_large_region_links(of_large, sets, links, least), "all-links")
     return measured.select("doc_id", "n", "node"), per_class, links
