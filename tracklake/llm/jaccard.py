@@ -449,6 +449,7 @@ def _in_each(leaders: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFram
 def _large_region_links(members: DataFrame, sets: DataFrame, links: DataFrame, least: int) -> DataFrame:
     """Links of the regions that one task doesn't join.  ``members``: pivot, cls, members and first of the region."""
     radius = 1 - least / 100 + 1e-9
+    sets = stage(sets.join(members.select("cls").distinct(), "cls", "left_semi"), "large-sets")
     # pivots of a region: its first member and about 2 * PIVOTS by hash
     share = F.pmod(F.xxhash64("pivot", "cls"), F.lit(1 << 20)) * F.col("members") < F.lit(2 * PIVOTS << 20)
     dealt, chunks = _spread(members.select("pivot", "cls"), ["pivot"], REGION)
