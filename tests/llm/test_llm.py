@@ -3,6 +3,7 @@
 import collections
 import itertools
 import random
+import re
 import zlib
 
 import duckdb
@@ -170,27 +171,98 @@ def test_spans(spark, odd_docs):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.text(max_size=300))
-def test_sentences_lose_nothing(text):
-    assert "".join(spans.sentences(text)) == text
+@given(st.lists(st.text(alphabet="aB .!?\n\x85É日", max_size=200), max_size=4))
+def test_sentences_lose_nothing(texts):
+    h, of, start, end, stop = spans.words_of(texts)
+    first, owner = spans.sentences_of(h, of, stop)
+    for i, t in enumerate(texts):
+        at = np.flatnonzero(owner == i)
+        bounds = [(start[first[k]], end[first[k + 1] - 1]) for k in at]
+        assert all(x[1] == y[0] for x, y in zip(bounds, bounds[1:]))
+        assert not bounds or (t[:bounds[0][0]].strip() == "" and bounds[-1][1] == len(t))
+        assert bounds or not t.strip()
+
+
+def _sentences_by_hand(text):
+    """Lists of words: cut after marks and line ends, and after words picked by hash with no mark within NEAR words."""
+    words = re.findall(r"\S+\s*", text)
+    h = spans.words_of([text])[0]
+    stop = [w.rstrip()[-1] in ".!?" or "\n" in w for w in words]
+    out, held = [], []
+    for i, w in enumerate(words):
+        held.append(w)
+        around = stop[max(i - spans.NEAR, 0):i + spans.NEAR + 1]
+        if stop[i] or i == len(words) - 1 or (not any(around) and int(h[i]) % spans.CUT_ONE_IN == 0):
+            out.append(held)
+            held = []
+    return out
+
+
+def _left_by_hand(rows):
+    """Texts without the sentences of any run that occurred before, from all runs of all lengths."""
+    seen, cut = collections.defaultdict(list), {d: _sentences_by_hand(t) for d, t in rows}
+    for d, sentences in sorted(cut.items()):
+        plain = [[w.strip().lower() for w in s] for s in sentences]
+        for a in range(len(plain)):
+            for z in range(a + 2, len(plain) + 1):
+                words = sum(plain[a:z], [])
+                if len(words) >= spans.MIN_WORDS:
+                    seen[tuple(words)].append((d, a, z))
+    gone = {(d, i) for places in seen.values() for d, a, z in sorted(places)[1:] for i in range(a, z)}
+    return {d: "".join("".join(s) for i, s in enumerate(sentences) if (d, i) not in gone) for d, sentences in cut.items()}
+
+
+def test_spans_equal_all_runs_by_brute_force(spark):
+    rng = random.Random(8)
+    bank = [" ".join(rng.choice("ab cd ef gh ij kl mn op".split()) + str(rng.randrange(30)) for _ in range(rng.randrange(1, 14)))
+            + rng.choice([". ", "! ", "\n", " ", " "]) for _ in range(40)]
+    passages = [[rng.choice(bank) for _ in range(rng.randrange(2, 9))] for _ in range(12)]
+    rows = []
+    for d in range(80):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            own = [f"own{rng.randrange(10 ** 6)}" + rng.choice([" ", " ", ". "]) for _ in range(rng.randrange(0, 25))]
+            passage = rng.choice(passages)
+            parts += own + passage[rng.randrange(2):]
+        rows.append((d, "".join(parts).rstrip()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id: r.text for r in spans.dedup_spans(docs).collect()}
+    assert left == _left_by_hand(rows) and sum(left[d] != t for d, t in rows) > 20
 
 
-def test_spans_that_are_not_whole_sentences(spark):
+def test_passages_that_start_inside_a_sentence(spark):
     rng = random.Random(3)
     word = lambda: f"w{rng.randrange(10 ** 9)}"
-    rows, want = [], {}
+    rows, own, kept = [], {}, 0
     for i in range(120):
-        passage = [word() + ("." if rng.random() < i % 3 * 0.08 else "") for _ in range(55 if i % 2 else 20)]
+        passage = [word() + ("." if rng.random() < i % 3 * 0.08 else "") for _ in range(60)]
         for doc in (2 * i, 2 * i + 1):
             before, after = [word() for _ in range(rng.randrange(1, 90))], [word() for _ in range(rng.randrange(1, 90))]
             rows.append((doc, " ".join(before + passage + after)))
-            want[doc] = " ".join(before + after) if doc % 2 else rows[-1][1]
+            own[doc] = (before + after, set(passage))
     shared = [word() for _ in range(19)]  # under the limit
-    for doc in (500, 501):
-        rows.append((doc, " ".join([word(), *shared, word()])))
-        want[doc] = rows[-1][1]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.text for r in spans.dedup_spans(docs).collect()} == want
+    rows += [(doc, " ".join([word(), *shared, word()])) for doc in (500, 501)]
+    left = {r.doc_id: r.text for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc, text in rows:
+        if doc % 2 == 0 or doc >= 500:
+            assert left[doc] == text
+        else:  # what is the document's own stays; some words may stay at the ends of the passage
+            words = left[doc].split()
+            assert [w for w in words if w not in own[doc][1]] == own[doc][0]
+            assert len(words) < len(text.split()) - 20
+            kept += len(words) - len(own[doc][0])
+    assert kept < 0.2 * 120 * 60
+
+
+def test_spans_clashing_names_and_empty_table(spark, odd_docs):
+    docs = odd_docs
+    for c in ("_row", "held", "marks", "own_id", "own_row", "h1", "n_removed", "_marks"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    out = spans.dedup_spans(docs)
+    assert out.columns == [c for c in docs.columns if c != "n_removed"] + ["n_sentences", "n_removed", "removed_spans"]
+    rows = out.collect()
+    assert len(rows) == 9 and all(r.held == r.marks == r._row == "clash" for r in rows)
+    assert sorted(r.doc_id for r in rows if r.text is None) == [1] and spans.dedup_spans(docs.limit(0)).collect() == []
 
 
 def _classes(pairs, ids):

@@ -1,26 +1,21 @@
-"""Substring deduplication by sliding spans of sentences and of words.
-
-From every sentence of a text starts a run: the shortest run of at least two
-consecutive sentences with at least ``MIN_WORDS`` words.  Passages that are not
-whole sentences are found by windows of ``GRAM`` words; of every ``PICK``
-neighbouring windows the one with the smallest hash counts, so that a passage
-of ``MIN_WORDS`` words has a window in common wherever it stands.  A repeated
-window is extended word by word, as far as the words around it agree with those
-around its first occurrence.
-
-Runs and windows are joined globally on a 128-bit hash of their normalised
-words.  What lies in a repeated run that is not its first occurrence is
-removed, and so is every stretch of at least ``MIN_WORDS`` words that lies in
-extended windows that are not first occurrences.
+"""Substring deduplication by sliding spans of sentences.
+
+A text is cut into sentences after marks and line ends, and, where no mark is
+within NEAR words on either side, after words picked by their hash; so where a
+passage is cut depends on the words near the place alone, and passages that
+start or end inside a sentence are cut alike in every text.
+
+Every run of at least two consecutive sentences with at least MIN_WORDS words
+counts.  Such a run is covered by the shortest ones that start or end at its
+sentences, so only these are hashed, from either side.  They are joined
+globally on a 128-bit hash of their words, and the sentences that lie in a run
+which is not its first occurrence are removed whole.
 """
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,71 +24,18 @@ from pyspark.sql import functions as F
 from .common import rows_from, stage, with_columns_from
 
 MIN_SENTENCES, MIN_WORDS = 2, 20
-# a text is cut after each of these marks and its white space; nothing is lost
-SENTENCES = re.compile(r"[^.!?\n]+[.!?\n]*\s*|[.!?\n]+\s*")
-LONG, CUT_ONE_IN = 40, 12
-WORD = re.compile(r"\S+\s*")
-# windows of words; SIDE words of a passage lie before its first and after its last window that counts, at most
-GRAM = 12
-PICK = MIN_WORDS - GRAM + 1
-SIDE = PICK - 1
-BEFORE_AFTER = np.concatenate([np.arange(SIDE), np.arange(SIDE + GRAM, 2 * SIDE + GRAM)])
+NEAR, CUT_ONE_IN = 8, 4
 CHUNK = 1 << 16  # characters of texts that are hashed together
 AT_ONCE = 250       # rows that are Python objects at a time
-# sentences: length of a run, 0 for a window of words
 RUN = "h1 long, h2 long, doc_id long, row long, pos int, sentences int"
 # bits that say which rows may count; fixed, so larger inputs only pass more rows
 SLOTS, BITS_A_ROW = 1 << 27, 1 << 15
-PLACE = 2654435761
 STEP = 0x9E3779B97F4A7C15
-LANES = [(m | 1, [pow(m | 1, GRAM - 1 - j, 1 << 64) for j in range(GRAM)])
-         for m in np.random.default_rng(8).integers(1 << 62, 1 << 63, 2).tolist()]
+LANES = [m | 1 for m in np.random.default_rng(8).integers(1 << 62, 1 << 63, 2).tolist()]
 OTHER, SPACE, MARK = 0, 1, 2
 KINDS = np.array([SPACE if chr(c).isspace() else MARK if chr(c) in ".!?" else OTHER for c in range(0x3002)], dtype=np.int8)
 
 
-def sentences(text: str) -> list[str]:
-    """Sentences that join to the text.  One of over LONG words is cut after words picked by their hash."""
-    import xxhash
-    out = []
-    for s in SENTENCES.findall(text):
-        if s.count(" ") < LONG:
-            out.append(s)
-            continue
-        words = WORD.findall(s)
-        held = [s[:len(s) - len(s.lstrip())]]
-        for w in words:
-            held.append(w)
-            if len(words) > LONG and xxhash.xxh32_intdigest(w.strip().lower()) % CUT_ONE_IN == 0:
-                out.append("".join(held))
-                held = []
-        if held:
-            out.append("".join(held))
-    return out
-
-
-def runs_of(text: str) -> list[tuple[bytes, int, int]]:
-    """Hash, first sentence and number of sentences of every run; sentences without a word belong to the run around them."""
-    import xxhash
-    numbers, digests, sizes = [], [], []
-    for i, s in enumerate(sentences(text)):
-        words = s.lower().split()
-        if words:
-            numbers.append(i)
-            digests.append(xxhash.xxh3_128_digest(" ".join(words)))
-            sizes.append(len(words))
-    out, end, held = [], 0, 0
-    for k in range(len(numbers)):
-        while end < len(numbers) and (held < MIN_WORDS or end - k < MIN_SENTENCES):
-            held += sizes[end]
-            end += 1
-        if held < MIN_WORDS or end - k < MIN_SENTENCES:
-            break
-        out.append((xxhash.xxh3_128_digest(b"".join(digests[k:end])), numbers[k], numbers[end - 1] - numbers[k] + 1))
-        held -= sizes[k]
-    return out
-
-
 def _powers(base: int, n: int) -> np.ndarray:
     """At least ``n`` powers of ``base`` modulo 2^64."""
     size = max(CHUNK, 1 << (n - 1).bit_length())
@@ -112,8 +54,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, number of the text, first character and end of every word of the texts.
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, number of the text, first character and end of every word of the texts, and whether a mark or a line ends after it.
 
     A word ends after white space and after marks that end sentences; the white
     space is part of it but not of its hash, nor is upper case.
@@ -129,35 +71,52 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     start = np.flatnonzero((kind != SPACE) & ((before == SPACE) | ((kind == OTHER) & (before == MARK))))
     text = np.searchsorted(first, start, "right") - 1
     # a word is a polynomial of its characters: a difference of sums over the texts, shifted to power 0
-    value = np.where(kind == SPACE, np.uint64(0), _mixed((codes.astype(np.uint64) + np.uint64(1)) * np.uint64(LANES[0][0])))
+    value = np.where(kind == SPACE, np.uint64(0), _mixed((codes.astype(np.uint64) + np.uint64(1)) * np.uint64(LANES[0])))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * _powers(STEP, len(codes))[:len(codes)], dtype=np.uint64)])
     bounds = np.append(start, len(codes))
     h = _mixed((sums[bounds[1:]] - sums[start]) * _powers(pow(STEP, -1, 1 << 64), len(codes))[start])
     end = np.minimum(bounds[1:], first[text + 1] - 1)
-    return h, text, start - first[text], end - first[text]
-
-
-def windows_of(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both halves of the hash and the first word of every window of words that counts."""
-    n = len(h) - GRAM + 1
-    if n < PICK:  # under MIN_WORDS words
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    (m, powers), (m2, powers2) = LANES
-    x, half = _mixed(h * np.uint64(m)), np.zeros(n, dtype=np.uint64)
-    for j, p in enumerate(powers):
-        half += x[j:j + n] * np.uint64(p)
-    half = _mixed(half)
-    best, least = half[:n - PICK + 1].copy(), np.arange(n - PICK + 1)
-    for j in range(1, PICK):
-        x = half[j:j + len(best)]
-        less = x < best
-        best[less] = x[less]
-        least[less] = np.flatnonzero(less) + j
-    at = np.unique(least[text[:len(least)] == text[MIN_WORDS - 1:]])
-    x, other = _mixed(h * np.uint64(m2)), np.zeros(len(at), dtype=np.uint64)
-    for j, p in enumerate(powers2):
-        other += x[at + j] * np.uint64(p)
-    return half[at].view(np.int64), _mixed(other).view(np.int64), at
+    ends = np.concatenate([[0], np.cumsum((kind == MARK) | (codes == 10))])
+    return h, text, start - first[text], end - first[text], ends[end] > ends[start]
+
+
+def sentences_of(h: np.ndarray, text: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word of every sentence, with the number of words at the end, and the number of its text."""
+    n = len(h)
+    if not n:
+        return np.zeros(1, np.int64), np.empty(0, np.int64)
+    at, stops = np.arange(n), np.flatnonzero(stop)
+    known = np.concatenate([[-NEAR - n], stops, [2 * n + NEAR]])
+    k = np.searchsorted(stops, at)  # the next stop, maybe the word itself
+    before, after = known[k], known[k + 1]
+    edge = np.searchsorted(text, text)  # marks of other texts are not near
+    last = np.searchsorted(text, text, "right")
+    far = ((before < edge) | (at - before > NEAR)) & ((after >= last) | (after - at > NEAR))
+    ends = stop | (far & (h % np.uint64(CUT_ONE_IN) == 0)) | (at == last - 1)
+    first = np.concatenate([[0], np.flatnonzero(ends) + 1])
+    return first, text[first[:-1]]
+
+
+def runs_of(h: np.ndarray, first: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both halves of the hash, the first sentence and the end of the shortest runs that start or end at each sentence."""
+    none = np.empty(0, np.int64)
+    if len(text) < MIN_SENTENCES:
+        return none, none, none, none
+    start, end = np.searchsorted(text, text), np.searchsorted(text, text, "right")
+    at = np.arange(len(text))
+    to = np.maximum(np.searchsorted(first, first[:-1] + MIN_WORDS), at + MIN_SENTENCES)
+    since = np.minimum(np.searchsorted(first, first[1:] - MIN_WORDS, "right") - 1, at + 1 - MIN_SENTENCES)
+    forth, back = to <= end, since >= start
+    n = len(text) + 1
+    run = np.unique(np.concatenate([at[forth] * n + to[forth], since[back] * n + at[back] + 1]))
+    a, z = run // n, run % n
+    halves = []
+    for m in LANES:
+        x = _mixed(h * np.uint64(m))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * _powers(STEP, len(h))[:len(h)], dtype=np.uint64)])
+        part = (sums[first[z]] - sums[first[a]]) * _powers(pow(STEP, -1, 1 << 64), len(h) + 1)[first[a]]
+        halves.append(_mixed(part).view(np.int64))
+    return halves[0], halves[1], a, z
 
 
 def _chunks(b: dict) -> Iterator[tuple[int, int]]:
@@ -172,75 +131,31 @@ def _chunks(b: dict) -> Iterator[tuple[int, int]]:
         yield start, len(b["text"])
 
 
-def _in_text(text: np.ndarray) -> np.ndarray:
-    """Number of every word in its text."""
-    return np.arange(len(text)) - np.searchsorted(text, text)
-
-
-def _passes(slot: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    slot = slot & (SLOTS - 1)
-    return np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+def _found(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Runs of the texts: halves of the hash, number of the text, first sentence in it, sentences."""
+    h, text, _, _, stop = words_of(texts)
+    first, of = sentences_of(h, text, stop)
+    h1, h2, a, z = runs_of(h, first, of)
+    return h1, h2, of[a], a - np.searchsorted(of, of[a]), z - a
 
 
 def _keys(batches: Iterator[dict]) -> Iterator[dict]:
-    """First half of the hash of every run and window."""
+    """First half of the hash of every run."""
     for b in batches:
         for a, z in _chunks(b):
-            h, text, _, _ = words_of(b["text"][a:z])
-            runs = b"".join(r[0][:8] for t in b["text"][a:z] for r in runs_of(t))
-            yield {"h1": np.concatenate([np.frombuffer(runs, dtype="<i8"), windows_of(h, text)[0]])}
+            yield {"h1": _found(b["text"][a:z])[0]}
 
 
 def _runs(batches: Iterator[dict], bits: np.ndarray) -> Iterator[dict]:
-    """Runs and windows whose bit is set."""
-    for b in batches:
-        ids, rows = np.array(b["doc_id"], dtype=object), np.array(b["row"], dtype=np.int64)
-        for a, z in _chunks(b):
-            found = [(*r, i) for i in range(a, z) for r in runs_of(b["text"][i])]
-            h = np.frombuffer(b"".join(r[0] for r in found), dtype="<i8").reshape(-1, 2)
-            keep = _passes(h[:, 0], bits)
-            pos, size, of = np.array([r[1:] for r in found], dtype=np.int64).reshape(-1, 3)[keep].T
-            words, text, _, _ = words_of(b["text"][a:z])
-            h1, h2, at = windows_of(words, text)
-            some = _passes(h1, bits)
-            of = np.concatenate([of, text[at[some]] + a])
-            yield {"h1": np.concatenate([h[keep, 0], h1[some]]), "h2": np.concatenate([h[keep, 1], h2[some]]),
-                   "doc_id": ids[of].tolist(), "row": rows[of], "pos": np.concatenate([pos, _in_text(text)[at[some]]]),
-                   "sentences": np.concatenate([size, np.zeros(len(some), dtype=np.int64)])}
-
-
-def _around(batches: Iterator[dict], bits: np.ndarray) -> Iterator[dict]:
-    """Short hashes of the SIDE words before and after the windows whose place has its bit set."""
+    """Runs whose bit is set."""
     for b in batches:
         ids, rows = np.array(b["doc_id"], dtype=object), np.array(b["row"], dtype=np.int64)
         for a, z in _chunks(b):
-            words, text, _, _ = words_of(b["text"][a:z])
-            at = windows_of(words, text)[2]
-            of, pos = text[at] + a, _in_text(text)[at]
-            keep = _passes(rows[of] ^ pos * PLACE, bits)
-            yield {"doc_id": ids[of[keep]].tolist(), "row": rows[of[keep]], "pos": pos[keep],
-                   "around": [x.tobytes() for x in _near(words, text, at[keep])]}
-
-
-def _near(h: np.ndarray, text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """32 bits of the hashes of the words before and after the windows, 0 for none."""
-    index = at[:, None] + BEFORE_AFTER - SIDE
-    inside = np.clip(index, 0, max(len(h) - 1, 0))
-    near = ((h[inside] >> np.uint64(32)) | np.uint64(1)).astype("<u4")
-    return np.where((index == inside) & (text[inside] == text[at][:, None]), near, np.uint32(0)).astype("<u4")
-
-
-def _open_ends(firsts: DataFrame) -> DataFrame:
-    """Windows that no other one of their text adjoins before or after, with their first occurrence."""
-    def is_open(x, i):
-        at = F.col("_sorted")
-        before, after = F.get(at, i - 1)["pos"], F.get(at, i + 1)["pos"]
-        return before.isNull() | after.isNull() | (x["pos"] - before > GRAM) | (after - x["pos"] > GRAM)
-
-    windows = firsts.withColumn("_sorted", F.array_sort(F.filter("_marks", lambda m: m["sentences"] == 0)))
-    return windows.select("_id", "_hash", F.explode(F.filter("_sorted", is_open)).alias("w")).select(
-        F.col("_id").alias("doc_id"), F.col("_hash").alias("row"), "w.pos", F.col("w.first.doc_id").alias("first_id"),
-        F.col("w.first.row").alias("first_row"), F.col("w.first.pos").alias("first_pos"))
+            h1, h2, of, pos, size = _found(b["text"][a:z])
+            slot = h1 & (SLOTS - 1)
+            keep = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            of = of[keep] + a
+            yield {"h1": h1[keep], "h2": h2[keep], "doc_id": ids[of].tolist(), "row": rows[of], "pos": pos[keep], "sentences": size[keep]}
 
 
 def _bits(slots: DataFrame) -> np.ndarray:
@@ -254,87 +169,64 @@ def _bits(slots: DataFrame) -> np.ndarray:
 
 
 def dedup_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the text left after removal, n_sentences, n_removed (sentences that lost
-    a part) and removed_spans (start, end: characters of the original text).
-
-    The first occurrence is that of the smallest (doc_id, hash of the text,
-    place); null ids come first.  A passage of MIN_WORDS words or more that an
-    earlier place has goes to its last word; only where its outermost window
-    has a still earlier occurrence between other words, up to SIDE words may
-    stay at that end.  Rows equal in id and text are one document:
-    they lose the same sentences.  A null text stays null, a text may become
-    empty; no row is dropped.  Input columns named like the new ones are
-    replaced.
+    """``docs`` with the text left after removal, n_sentences, n_removed and removed_spans
+    (start, end: characters of the original text).
+
+    The first occurrence of a run is that of the smallest (doc_id, hash of the
+    text, place); null ids come first.  Sentences are removed whole.  Rows equal
+    in id and text are one document: they lose the same sentences.  A null text
+    stays null, a text may become empty; no row is dropped.  Input columns
+    named like the new ones are replaced, all others pass through whatever their names.
     """
     row = F.xxhash64(F.col(text))
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row.alias("row"), F.col(text).alias("text"))
     keyed = keyed.filter("text is not null")
-    send = docs.sparkSession.sparkContext.broadcast
     twice = rows_from(keyed.select("text"), _keys, "h1 long", AT_ONCE).groupBy("h1").count().filter("count > 1")
-    bits = send(_bits(twice.select(F.col("h1").bitwiseAND(SLOTS - 1).alias("slot"))))
+    bits = docs.sparkSession.sparkContext.broadcast(_bits(twice.select(F.col("h1").bitwiseAND(SLOTS - 1).alias("slot"))))
     runs = stage(rows_from(keyed, lambda batches: _runs(batches, bits.value), RUN, AT_ONCE), "runs")
     place = F.struct("doc_id", "row", "pos")
     repeated = (runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
                 .filter("first <> last").drop("last"))
     # stored, so that the join below is one of two exchanges, and Spark can split a run that very many texts share
     repeated = stage(repeated, "repeated")
-    firsts = stage(runs.join(repeated, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
-                   .groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_hash"))
-                   .agg(F.collect_set(F.struct("pos", "sentences", "first")).alias("_marks")), "firsts")
-    ends = stage(_open_ends(firsts), "ends")
-    slot = F.col("first_row").bitwiseXOR(F.col("first_pos").cast("long") * PLACE).bitwiseAND(SLOTS - 1)
-    places = send(_bits(ends.select(slot.alias("slot"))))
-    around = stage(rows_from(keyed, lambda batches: _around(batches, places.value),
-                             "doc_id long, row long, pos int, around binary", AT_ONCE).distinct(), "around")
-    around = around.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), F.col("pos").alias("_p"), "around")
-    extended = (ends.join(around, F.col("first_id").eqNullSafe(F.col("_d")) & (F.col("first_row") == F.col("_r"))
-                          & (F.col("first_pos") == F.col("_p")))
-                .groupBy("doc_id", "row").agg(F.collect_list(F.struct("pos", "around")).alias("_ends")))
     # one number a mark: place and length
-    marks = firsts.select("_id", "_hash", F.transform("_marks", lambda m: F.shiftleft(m["pos"].cast("long"), 32).bitwiseOR(
-        m["sentences"].cast("long"))).alias("_marks"))
-    marks = marks.join(extended, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("row")), "left").drop("doc_id", "row")
-    tagged = docs.withColumn("_row", row)
-    joined = tagged.join(marks, F.col("_row").eqNullSafe(F.col("_hash"))
-                         & F.col(doc_id).cast("long").eqNullSafe(F.col("_id")), "left").drop("_row", "_hash", "_id")
-    fields = f"`{text}` string, n_sentences int, n_removed int, removed_spans array<struct<start:int,end:int>>"
-    out = with_columns_from(joined, [text, "_marks", "_ends"], lambda *cols: _remove(text, *cols), fields, drop=("_marks", "_ends"), at_once=AT_ONCE)
-    return out.select(*dict.fromkeys([*docs.columns, "n_sentences", "n_removed", "removed_spans"]))
-
-
-def _covered(text: str, windows: np.ndarray, ends: list[dict]) -> list[tuple[int, int]]:
-    """Characters (start, end) of the stretches of MIN_WORDS words or more that lie in extended windows."""
-    h, of, first, last = words_of([text])
-    at = np.array([e["pos"] for e in ends], dtype=np.int64)
-    theirs = np.frombuffer(b"".join(e["around"] for e in ends), dtype="<u4").reshape(-1, 2 * SIDE)
-    near = _near(h, of, at)
-    same = (near == theirs) & (near > 0)
-    depth = np.zeros(len(h) + 1, dtype=np.int64)
-    np.add.at(depth, np.concatenate([windows, at - np.cumprod(same[:, :SIDE][:, ::-1], axis=1).sum(axis=1)]), 1)
-    np.add.at(depth, np.concatenate([windows + GRAM, at + GRAM + np.cumprod(same[:, SIDE:], axis=1).sum(axis=1)]), -1)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(depth) > 0).astype(np.int8), [0]])))
-    return [(int(first[a]), int(last[b - 1])) for a, b in edges.reshape(-1, 2) if b - a >= MIN_WORDS]
-
-
-def _remove(name: str, texts: list, marks: list, extended: list) -> dict[str, list]:
-    out, total, removed, spans = [], [], [], []
-    for text, found, open_ends in zip(texts, marks, extended):
-        ends = [0, *accumulate(map(len, sentences(text or "")))]
-        total.append(len(ends) - 1)
-        found = np.array(found or [], dtype=np.int64)
-        pos, size = found >> 32, found & 0xFFFFFFFF
-        windows = pos[size == 0]
-        gone = [(ends[p], ends[p + n]) for p, n in zip(pos[size > 0].tolist(), size[size > 0].tolist())]
-        gone += _covered(text, windows, open_ends or []) if len(windows) else []
-        cuts: list[dict] = []
-        for a, b in sorted(gone):
-            if cuts and a <= cuts[-1]["end"]:
-                cuts[-1]["end"] = max(b, cuts[-1]["end"])
-            else:
-                cuts.append({"start": a, "end": b})
-        kept = [0, *(x for c in cuts for x in (c["start"], c["end"])), len(text or "")]
-        out.append(text if not cuts else "".join(text[a:b] for a, b in zip(kept[::2], kept[1::2])))
-        touched = {i for c in cuts for i in range(bisect_right(ends, c["start"]) - 1, bisect_left(ends, c["end"]))}
-        removed.append(len(touched))
-        spans.append(cuts)
-    return {name: out, "n_sentences": total, "n_removed": removed, "removed_spans": spans}
+    mark = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("sentences").cast("long"))
+    marks = stage(runs.join(repeated, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
+                  .groupBy("doc_id", "row").agg(F.collect_set(mark).alias("marks")), "marks")
+    # all columns but the text in one, so that no name of theirs can clash
+    others = [c for c in docs.columns if c != text]
+    held = docs.select(F.struct(*others).alias("held") if others else F.lit(None).alias("held"), F.col(text).alias("text"),
+                       F.col(doc_id).cast("long").alias("own_id"), row.alias("own_row"))
+    joined = held.join(marks, F.col("own_row").eqNullSafe(F.col("row")) & F.col("own_id").eqNullSafe(F.col("doc_id")), "left")
+    fields = "text string, n_sentences int, n_removed int, removed_spans array<struct<start:int,end:int>>"
+    out = with_columns_from(joined.select("held", "text", "marks"), ["text", "marks"], _remove, fields, drop=("marks",), at_once=AT_ONCE)
+    new = ["n_sentences", "n_removed", "removed_spans"]
+    kept = [F.col("text").alias(text) if c == text else F.col("held")[c].alias(c) for c in docs.columns if c not in new]
+    return out.select(*kept, *new)
+
+
+def _remove(texts: list, marks: list) -> dict[str, list]:
+    out, total, removed, spans = list(texts), [], [], []
+    plain = [t or "" for t in texts]
+    for a, z in _chunks({"text": plain}):
+        h, of, start, end, stop = words_of(plain[a:z])
+        first, owner = sentences_of(h, of, stop)
+        bounds = np.searchsorted(owner, np.arange(z - a + 1))
+        for i in range(a, z):
+            lo, hi = bounds[i - a], bounds[i - a + 1]
+            total.append(int(hi - lo))
+            cuts: list[dict] = []
+            gone = np.zeros(hi - lo + 1, dtype=np.int64)
+            for m in marks[i] or ():
+                gone[m >> 32] += 1
+                gone[(m >> 32) + (m & 0xFFFFFFFF)] -= 1
+            lost = np.cumsum(gone)[:-1] > 0
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], lost.astype(np.int8), [0]]))).reshape(-1, 2)
+            for x, y in edges.tolist():
+                cuts.append({"start": int(start[first[lo + x]]), "end": int(end[first[lo + y] - 1])})
+            if cuts:
+                kept = [0, *(p for c in cuts for p in (c["start"], c["end"])), len(plain[i])]
+                out[i] = "".join(plain[i][p:q] for p, q in zip(kept[::2], kept[1::2]))
+            removed.append(int(lost.sum()))
+            spans.append(cuts)
+    return {"text": out, "n_sentences": total, "n_removed": removed, "removed_spans": spans}
