@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import with_columns_from
+from .common import TEXTS, with_columns_from
 from .words import byte_bpe
 
 
@@ -34,7 +34,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
             out |= {"char_start": [s for s, _ in spans], "char_end": [e for _, e in spans]}
         return out
 
-    return with_columns_from(docs, [text], encode, fields, drop)
+    return with_columns_from(docs, [text], encode, fields, drop, TEXTS)
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids",
@@ -45,4 +45,4 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, ids: str
         bpe = byte_bpe(ranks_path, pattern)
         return {"decoded": [bpe.decode(np.frombuffer(i or b"", dtype="<u4").tolist()) for i in rows]}
 
-    return with_columns_from(encoded, [ids], decode, "decoded binary", drop)
+    return with_columns_from(encoded, [ids], decode, "decoded binary", drop, TEXTS)

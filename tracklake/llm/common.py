@@ -12,6 +12,25 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 
+ROW_GROUP = 16 << 20   # bytes of a row group of stored tables
+TEXTS = 500            # texts that are Python objects at a time, where an operator has no number of its own
+_HELD: list[tuple[tuple[str, ...], Callable]] = []
+
+
+def held_by(*modules: str):
+    """Marks a cached function of tasks whose values are given up when a worker turns to another module's work."""
+    def mark(cached):
+        _HELD.append((modules, cached))
+        return cached
+    return mark
+
+
+def _give_up_others(module: str) -> None:
+    for owners, cached in _HELD:
+        if module.rpartition(".")[2] not in owners:
+            cached.cache_clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,7 +43,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tracklake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # small row groups: writers and readers of texts hold one each; zstd works on the heap, with no buffers beside it
+    df.write.option("parquet.block.size", ROW_GROUP).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -45,6 +65,7 @@ def with_columns_from(df: DataFrame, inputs: list[str], fn: Callable[..., dict[s
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_up_others(fn.__module__)
         for b in _slices(batches, at_once):
             cols = fn(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in inputs))
             arrays = [b.column(b.schema.get_field_index(n)) for n in names]
@@ -63,6 +84,7 @@ def rows_from(df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[
     arrow = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_up_others(fn.__module__)
         for cols in fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
                        for b in _slices(batches, at_once)):
             yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in arrow], schema=arrow)

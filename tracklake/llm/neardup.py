@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_from, stage
+from .common import TEXTS, held_by, rows_from, stage
 from .words import Memo
 
 WORDS = 5
@@ -31,12 +31,13 @@ COMMON = 20          # a shingle in under one document of COMMON has full weight
 LEAST_WEIGHT = 0.5
 LONG = 128           # samples of the longer signature of texts that share a band
 LONG_FEATURES = 1 << 15
-MARGIN = 0.11        # three standard errors of LONG samples; pairs further below the threshold are apart
+MARGIN = 0.16        # 4.5 standard errors of LONG samples; one similar pair in 300,000 that share a band looks less alike
 BLOCK = 128          # texts of a bucket on either side of a comparison in a task
 CHUNK = 8192         # shingles sampled at once
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+@held_by("neardup")
 @lru_cache(maxsize=1)
 def _word_hashes() -> Memo:
     import xxhash
@@ -84,7 +85,7 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     1 for features of fewer than one document in COMMON, falling with the
     logarithm of the frequency to LEAST_WEIGHT.
     """
-    counts = rows_from(texts.filter("text is not null").select("text"), _frequencies, "feature long, docs long")
+    counts = rows_from(texts.filter("text is not null").select("text"), _frequencies, "feature long, docs long", TEXTS)
     rows = counts.groupBy("feature").agg(F.sum("docs").alias("docs")).toPandas()
     df = np.zeros(FEATURES)
     total = int(rows.loc[rows["feature"] < 0, "docs"].sum())
@@ -93,6 +94,7 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     return np.clip(np.log((total + 1) / np.maximum(df, 1)) / math.log(COMMON), LEAST_WEIGHT, 1.0)
 
 
+@held_by("neardup")
 @lru_cache(maxsize=2)
 def _draws(features: int, hashes: int, seed: int = 9) -> tuple[np.ndarray, ...]:
     """The random numbers of every feature and hash: r and c are Gamma(2, 1), beta is uniform."""
@@ -241,9 +243,9 @@ def _settle(idf, least: float, threshold: float):
 def _verify(idf, threshold: float):
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         table = idf.value
-        known = Memo(lambda t: (lambda s, n: (s, weights(s, n, table)))(*shingles(t)), 64)
+        known = lru_cache(64)(lambda t: (lambda s, n: (s, weights(s, n, table)))(*shingles(t)))
         for b in batches:
-            near = [similarity(known[x], known[y]) >= threshold for x, y in zip(b["ta"], b["tb"])]
+            near = [similarity(known(x), known(y)) >= threshold for x, y in zip(b["ta"], b["tb"])]
             yield {"a": [x for x, ok in zip(b["a"], near) if ok], "b": [x for x, ok in zip(b["b"], near) if ok]}
     return run
 
@@ -271,11 +273,12 @@ def _links(shared: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFr
     it, which joins most of a group with as many pairs as texts.  Then the pairs
     of a bucket that may be similar and are not in one class yet are compared
     inside tasks, a cell of two blocks at a time, and only links that join
-    classes come out.  So no pair is left out, and no stage has a row per pair.
+    classes come out.  So no pair is left out but for errors of the signature
+    (MARGIN), and no stage has a row per pair.
     """
     least = threshold - MARGIN
     signed = stage(rows_from(texts.select("node", "bands", "text"), _long_signatures(idf),
-                             "node binary, bands array<bigint>, signature binary"), "signatures")
+                             "node binary, bands array<bigint>, signature binary", TEXTS), "signatures")
     members = shared.join(signed, "node")
     near = _gather(_meet(members).filter(F.col("bj") - F.col("bi") <= 1)).select("bi", "bj", "rows")
     likely = stage(rows_from(near, _nearest(least), "a binary, b binary").distinct(), "likely")
@@ -326,7 +329,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str =
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("node", F.unhex(F.md5(F.col("text").cast("binary"))))
     idf = spark.sparkContext.broadcast(inverse_frequencies(rows))
-    signed = stage(rows_from(rows, _bands(idf), "doc_id long, node binary, bands array<bigint>"), "bands")
+    signed = stage(rows_from(rows, _bands(idf), "doc_id long, node binary, bands array<bigint>", TEXTS), "bands")
     nodes = stage(signed.filter("bands is not null").groupBy("node")
                   .agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "nodes")
     every = nodes.select("node", F.posexplode("bands").alias("band", "key"))

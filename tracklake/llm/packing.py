@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, rows_from, stage
+from .common import TEXTS, numbered, rows_from, stage
 from .words import word_bpe
 
 BLOCK_PIECES = 4096
@@ -47,7 +47,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, do
                    "length": [len(r[3]) // 4 for r in rows], "ids_crc32": [zlib.crc32(r[3]) for r in rows],
                    "ids": [r[3] for r in rows]}
 
-    return rows_from(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), cut, schema)
+    return rows_from(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), cut, schema, TEXTS)
 
 
 class Bins:

@@ -21,10 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_from, stage, with_columns_from
+from .common import TEXTS, rows_from, stage, with_columns_from
 from .words import Memo
 
 TRAIN_DOCS = (5000, 2000)  # clean and toxic documents of the training sample, at most
+FEATURES_KEPT = 50_000   # tokens whose features a task keeps
 TRAIN_TOKENS = 300_000  # tokens of the chains the field is trained on, half of each label
 HASHED = 1 << 18
 CHAIN = 64              # tokens of a chain; long documents are several chains
@@ -55,7 +56,7 @@ def token_labels(sample: DataFrame, n: tuple[int, int], lift: float = 12.0, evid
     def ratio(k: int, c: int) -> float:
         return k * math.log(k / ((k + c) * q)) + (c * math.log(c / ((k + c) * (1 - q))) if c else 0.0)
 
-    seen = rows_from(sample, _feature_counts, "feature string, clean long, toxic long").groupBy("feature").agg(
+    seen = rows_from(sample, _feature_counts, "feature string, clean long, toxic long", TEXTS).groupBy("feature").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     common = seen.filter((F.col("toxic") > 2) & (F.length("feature") > 4)
                          & (F.col("toxic") / n[1] > lift * (F.col("clean") + 0.5) / n[0])).collect()
@@ -65,7 +66,7 @@ def token_labels(sample: DataFrame, n: tuple[int, int], lift: float = 12.0, evid
 def _feature_counts(batches: Iterator[dict]) -> Iterator[dict]:
     """Numbers of clean and toxic documents of a partition that have a feature."""
     seen = (Counter(), Counter())
-    known = Memo(features)
+    known = Memo(features, FEATURES_KEPT)
 
     def flush() -> dict:
         names = list(seen[0].keys() | seen[1].keys())
@@ -248,7 +249,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", order:
     sample = stage(near.groupBy("toxic", "key").agg(F.min_by("text", F.xxhash64("text")).alias("text")).drop("key"), "sample")
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     marks = token_labels(sample, (n[0], n[1]))
-    pieces = stage(rows_from(sample, _pieces, "piece string, toxic int, order long"), "pieces")
+    pieces = stage(rows_from(sample, _pieces, "piece string, toxic int, order long", TEXTS), "pieces")
     memo: dict[str, tuple[list[int], int]] = {}
     slots, labels = [], []
     for value in (0, 1):
@@ -274,7 +275,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", order:
         t._memo = t.__dict__.get("_memo") or t.scorer()
         return {"summary": [t.summary(m) for m in t.tag(texts, t._memo)]}
 
-    found = with_columns_from(sample, ["text"], summaries, "summary array<double>", drop=("text",)).collect()
+    found = with_columns_from(sample, ["text"], summaries, "summary array<double>", drop=("text",), at_once=TEXTS).collect()
     found.sort(key=lambda r: (r["toxic"], r["summary"]))  # sums below do not depend on the order of tasks
     y = np.array([r["toxic"] for r in found])
     weight = np.where(y == 1, total[1] / n[1], total[0] / n[0])
@@ -307,7 +308,7 @@ def score_documents(docs: DataFrame, tagger: Tagger | None, text: str = "text",
             out["toxic_spans"] = [_spans(x, m) for x, m in zip(texts, tagged)]
         return out
 
-    return with_columns_from(docs, [text], score, fields, drop)
+    return with_columns_from(docs, [text], score, fields, drop, TEXTS)
 
 
 def _spans(text: str, m: np.ndarray) -> list[dict]:

@@ -16,21 +16,29 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import held_by
+
 # a full cache is emptied: memory stays bounded, only speed depends on it
 CACHE_PIECES = 300_000
+KEY_LENGTH = 32  # so many characters a key on average fill it too
 
 
 class Memo(dict):
-    """Dictionary that computes and keeps missing values."""
+    """Dictionary that computes and keeps missing values, as many and as long keys as the limit allows."""
 
     def __init__(self, compute, limit: int = CACHE_PIECES):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.length = compute, limit, 0
 
     def __missing__(self, key):
         value = self.compute(key)
-        if len(self) >= self.limit:
+        if hasattr(key, "__len__"):
+            if len(key) > self.limit:  # not worth its room
+                return value
+            self.length += len(key)
+        if len(self) >= self.limit or self.length > self.limit * KEY_LENGTH:
             self.clear()
+            self.length = 0
         self[key] = value
         return value
 
@@ -155,11 +163,13 @@ class ByteBpe:
         return char_of[starts].tolist(), (char_of[ends - 1] + 1).tolist()
 
 
+@held_by("dac", "packing")
 @lru_cache(maxsize=2)
 def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+@held_by("bytebpe")
 @lru_cache(maxsize=2)
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
