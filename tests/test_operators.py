@@ -149,12 +149,56 @@ def test_quantiles_match_numpy_on_skewed_groups(spark):
     cold = rng.exponential(size=40)
     rows = [(0, float(v)) for v in hot] + [(1, float(v)) for v in cold] + [(2, 5.0)]
     df = spark.createDataFrame(rows, "g long, v double")
-    for hot_rows in (100, 10**9):   # hot group through the range path / everything through percentile
-        q = quantiles.grouped_quantiles(df, ["g"], "v", [0.159, 0.5, 0.841], num_partitions=16, hot_rows=hot_rows)
-        got = {(r.g, round(r.prob, 3)): r.value for r in q.collect()}
-        for g, vals in ((0, hot), (1, cold), (2, np.array([5.0]))):
-            for p in (0.159, 0.5, 0.841):
-                assert got[(g, p)] == pytest.approx(np.percentile(vals, p * 100), rel=1e-12, abs=1e-12)
+    q = quantiles.grouped_quantiles(df, ["g"], "v", [0.159, 0.5, 0.841])
+    got = {(r.g, round(r.prob, 3)): r.value for r in q.collect()}
+    for g, vals in ((0, hot), (1, cold), (2, np.array([5.0]))):
+        for p in (0.159, 0.5, 0.841):
+            assert got[(g, p)] == pytest.approx(np.percentile(vals, p * 100), rel=1e-12, abs=1e-12)
+
+
+def test_ordered_key_is_the_order_of_doubles_and_back(spark):
+    rng = np.random.default_rng(3)
+    bits = rng.integers(0, 2**63, 2000, dtype=np.int64).view(np.float64)
+    special = [0.0, 5e-324, 1e-310, 2.0**-1022, 1.0, np.nextafter(1, 0), np.nextafter(2, 0), 2.0, 0.1, 1e308, np.finfo(float).max,
+               np.inf, *(2.0**k for k in range(-1074, 1024, 37)), *(np.nextafter(2.0**k, 0) for k in range(-1020, 1024, 41))]
+    values = [float(v) for v in np.concatenate([bits[~np.isnan(bits)], special])]
+    values += [-v for v in values]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = df.select("v", quantiles.ordered_key(F.col("v")).alias("k")).withColumn("back", quantiles.value_of_key(F.col("k"))).collect()
+    assert all(r.back == r.v for r in rows)
+    assert all(r.k == (1 if r.v > 0 else -1) * int(np.float64(abs(r.v)).view(np.int64)) for r in rows)
+    assert spark.range(1).select(quantiles.ordered_key(F.lit(float("nan"))).alias("k")).first().k is None
+
+
+def test_quantiles_of_ties_nulls_and_infinities(spark):
+    vals = [7.25] * 500 + [float(i % 9) for i in range(300)] + [-1e300, 1e-320, float("inf"), float("-inf"), -0.0, 0.0]
+    rows = [(None, v) for v in vals] + [(1, None), (1, float("nan")), (2, float("nan")), (2, 3.0), (2, 4.0)]
+    df = spark.createDataFrame(rows, "g long, v double")
+    probs = [0.0, 0.001, 0.159, 0.5, 0.841, 1.0]
+    got = {(r.g, r.prob): (r.n, r.value) for r in quantiles.grouped_quantiles(df, ["g"], "v", probs).collect()}
+    assert {g for g, _ in got} == {None, 2}
+    ordered = np.sort(vals)
+    for p in probs[2:5]:
+        assert got[None, p] == (806, pytest.approx(np.percentile(ordered, p * 100)))
+    assert got[None, 0.0][1] == float("-inf") and got[None, 1.0][1] == float("inf") and got[2, 0.5] == (2, 3.5)
+    empty = quantiles.grouped_quantiles(df.where("g = 9"), ["g"], "v", probs)
+    assert empty.collect() == [] and empty.columns == ["g", "prob", "n", "value"]
+
+
+@pytest.mark.parametrize("closed", [True, False])
+def test_bin_index_equals_digitize(spark, closed):
+    edges = [-3.0, -0.5, 0.0, 0.1, 2.0, 7.5, 100.0]
+    rng = np.random.default_rng(4)
+    values = [float(v) for v in rng.uniform(-5, 120, 300)] + edges + [float("inf"), float("-inf"), -3.0000001, 100.0000001]
+    df = spark.createDataFrame([(v, edges) for v in values] + [(None, edges), (float("nan"), edges)], "v double, e array<double>")
+    rows = df.select("v", binning.bin_index("v", edges, closed).alias("a"), binning.bin_index("v", F.col("e"), closed).alias("b")).collect()
+    for r in rows:
+        want = None if r.v is None or np.isnan(r.v) else int(np.digitize(r.v, edges)) - 1
+        if want is not None:
+            want = len(edges) - 2 if closed and r.v == edges[-1] else want if 0 <= want < len(edges) - 1 else None
+        assert r.a == r.b == want
+    with pytest.raises(ValueError):
+        binning.bin_index("v", [1.0, 1.0])
 
 
 def test_running_hot_and_cold_paths_agree(spark):

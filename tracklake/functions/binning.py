@@ -33,6 +33,38 @@ def uniform_bin_sql(x: str, lo: str, hi: str, n: int) -> str:
             f"ELSE least(cast(floor(({x} - {lo}) * ({float(n)!r} / ({hi} - {lo}))) AS bigint), cast({n - 1} AS bigint)) END")
 
 
+def bin_index(x, edges, last_closed: bool = True) -> Column:
+    """Index of x among the bins between given edges, NULL outside of them.
+
+    ``edges``: a sorted list, or a column of sorted arrays (regular or not, at most
+    2^16 edges).  Bins are [a, b); with ``last_closed`` the last one also holds its
+    right edge, as a histogram counts, without it that edge is outside, as ``digitize`` has it.
+    The number of edges up to x is found by binary search.
+    """
+    x = _c(x).cast("double")
+    if isinstance(edges, (list, tuple)):
+        if len(edges) < 2 or any(not a < b for a, b in zip(edges, edges[1:])):
+            raise ValueError("bin edges must be at least two, rising")
+        steps = [1 << k for k in reversed(range(len(edges).bit_length()))]
+        edges = F.lit([float(e) for e in edges])
+    else:
+        edges, steps = _c(edges), [1 << k for k in reversed(range(17))]
+    up_to = F.aggregate(F.lit(steps), F.lit(0), lambda n, s: F.when(F.get(edges, n + s - 1) <= x, n + s).otherwise(n))
+    n, last = up_to.cast("bigint"), F.element_at(edges, -1)
+    inside = F.when((n >= 1) & (n < F.size(edges)), n - 1)
+    if last_closed:
+        inside = F.when(x == last, (F.size(edges) - 2).cast("bigint")).otherwise(inside)
+    return F.when(x.isNull() | F.isnan(x), F.lit(None).cast("bigint")).otherwise(inside)
+
+
+def bin_index_sql(x: str, edges: list[float], last_closed: bool = True) -> str:
+    """The same by comparing with every edge."""
+    pairs = list(zip(edges, edges[1:]))
+    cases = " ".join(f"WHEN {x} >= {a!r} AND {x} < {b!r} THEN {k}" for k, (a, b) in enumerate(pairs))
+    closed = f"WHEN {x} = {edges[-1]!r} THEN {len(pairs) - 1} " if last_closed else ""
+    return f"cast(CASE WHEN {x} IS NULL OR isnan({x}) THEN NULL {closed}{cases} END AS bigint)"
+
+
 def log_bin(x, lo, hi, n: int) -> Column:
     """Equal bins in log10 space between positive lo and hi."""
     x = _c(x)

@@ -8,7 +8,6 @@ Empty bins come from a right join with the (tiny) bin index range.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,9 +56,7 @@ def weighted_hist(df: DataFrame, bin_col: str, n_bins: int, weight: Column | Non
     w = weight if weight is not None else F.lit(1.0)
     agg = (df.where(F.col(bin_col).isNotNull())
            .groupBy(bin_col).agg(F.sum(w).alias("hist"), F.sum(w * w).alias("_w2"), F.count("*").alias("n")))
-    spark = df.sparkSession
-    bins = spark.range(n_bins).select(F.col("id").alias(bin_col))
-    full = bins.join(agg, bin_col, "left").select(
+    full = all_bins(agg, bin_col, n_bins).select(
         bin_col, F.coalesce("hist", F.lit(0.0)).alias("hist"),
         F.sqrt(F.coalesce("_w2", F.lit(0.0))).alias("err"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
     if normed:
@@ -90,13 +87,18 @@ def hist2d(df: DataFrame, bx: str, by: str, nx: int, ny: int, dense: bool = True
 BAND_PROBS = {0.159: "lower_q", 0.5: "median", 0.841: "upper_q"}
 
 
-def median_band(df: DataFrame, bin_col: str, value_col: str, probs: dict[float, str] | None = None,
+def median_band(df: DataFrame, bin_col: str, value_col: str, n_bins: int, probs: dict[float, str] | None = None,
                 approx: bool = False) -> DataFrame:
-    """Per bin median and the 15.9 / 84.1 % quantiles of ``value_col``."""
+    """Per bin n, median and the 15.9 / 84.1 % quantiles of ``value_col``; NULL where a bin has no value."""
     probs = probs or BAND_PROBS
     d = df.where(F.col(bin_col).isNotNull())
-    q = grouped_quantiles(d, [bin_col], value_col, list(probs), approx=approx)
-    return quantile_columns(q, [bin_col], probs)
+    q = quantile_columns(grouped_quantiles(d, [bin_col], value_col, list(probs), approx=approx), [bin_col], probs)
+    return all_bins(q, bin_col, n_bins).withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
+
+
+def all_bins(per_bin: DataFrame, bin_col: str, n_bins: int) -> DataFrame:
+    """``per_bin`` with a row for each of the ``n_bins`` bins, NULL where it has none."""
+    return per_bin.sparkSession.range(n_bins).select(F.col("id").alias(bin_col)).join(per_bin, bin_col, "left")
 
 
 def band_columns(mean: Column, std: Column):
@@ -108,7 +110,3 @@ def quantile_eligible(counts: DataFrame, slice_col: str, min_nonzero: int = 4) -
     """Slices of a 2-D histogram with more than 3 non-empty bins."""
     return counts.groupBy(slice_col).agg(F.count_if(F.col("n") > 0).cast("bigint").alias("nonzero_bins")) \
         .withColumn("eligible", F.col("nonzero_bins") >= min_nonzero)
-
-
-def multi_col_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.agg(*[F.min(c).alias(f"min_{c}") for c in cols], *[F.max(c).alias(f"max_{c}") for c in cols])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.binning import edge_frame, linear_center, log_center, uniform_bin, uniform_bin_sql
+from ..functions.binning import (bin_index, bin_index_sql, edge_frame, linear_center, log_center, uniform_bin,
+                                 uniform_bin_sql)
 from ..functions.energy import log_residual, ratio_error, sigma_syst
 from ..functions.energy import log_sigma_width as log_sigma_width_col
 from ..functions.energy import ratio_single_err as ratio_single_err_cols
@@ -13,6 +14,7 @@ from ..functions.stats import metric
 from ..operators import features as ft
 from ..operators import histograms as hg
 from ..operators.common import rounded
+from ..session import reliable_checkpoint
 from ..sources import fixtures as fx
 from .catalog import oracle, query
 
@@ -33,11 +35,17 @@ RESID_SQL = ("SELECT event_id, e_entry, e_truncated_gev, log10(e_entry) AS x, "
 
 
 def _band_sql(axis: str, other: str) -> str:
-    return (f"SELECT bin, count(*) AS n, quantile_cont({other}, 0.159) AS lower_q, "
-            f"quantile_cont({other}, 0.5) AS median, quantile_cont({other}, 0.841) AS upper_q "
-            f"FROM (SELECT {uniform_bin_sql(axis, 'lo', 'hi', N_BINS)} AS bin, {other} "
-            f"FROM d, (SELECT min({axis}) AS lo, max({axis}) AS hi FROM d) r) b "
-            f"WHERE bin IS NOT NULL GROUP BY bin")
+    return _listed("bin", N_BINS, f"SELECT bin, count(*) AS n, quantile_cont({other}, 0.159) AS lower_q, "
+                   f"quantile_cont({other}, 0.5) AS median, quantile_cont({other}, 0.841) AS upper_q "
+                   f"FROM (SELECT {uniform_bin_sql(axis, 'lo', 'hi', N_BINS)} AS bin, {other} "
+                   f"FROM d, (SELECT min({axis}) AS lo, max({axis}) AS hi FROM d) r) b "
+                   f"WHERE bin IS NOT NULL GROUP BY bin")
+
+
+def _listed(bin_col: str, n_bins: int, per_bin: str) -> str:
+    """All bins, those without rows too."""
+    return (f"SELECT k.{bin_col}, coalesce(a.n, 0) AS n, a.* EXCLUDE ({bin_col}, n) FROM (SELECT cast(range AS bigint) AS {bin_col} "
+            f"FROM range(0, {n_bins})) k LEFT JOIN ({per_bin}) a ON a.{bin_col} = k.{bin_col}")
 
 
 @query("median_band_x", oracle(_band_sql("x", "y"), ["frames"], ["lower_q", "median", "upper_q"], ["bin", "n"],
@@ -45,7 +53,7 @@ def _band_sql(axis: str, other: str) -> str:
 def median_band_x(spark, sf):
     """A9 (flagship): per true-energy bin, median and 1-sigma band of the log residual."""
     d = hg.with_range_bin(residual_frame(spark, sf), F.col("x"), N_BINS)
-    return rounded(hg.median_band(d, "bin", "y").select("bin", "n", "lower_q", "median", "upper_q"))
+    return rounded(hg.median_band(d, "bin", "y", N_BINS).select("bin", "n", "lower_q", "median", "upper_q"))
 
 
 @query("median_band_y", oracle(_band_sql("y", "x"), ["frames"], ["lower_q", "median", "upper_q"], ["bin", "n"],
@@ -53,7 +61,7 @@ def median_band_x(spark, sf):
 def median_band_y(spark, sf):
     """Per residual bin, median and band of the true energy."""
     d = hg.with_range_bin(residual_frame(spark, sf), F.col("y"), N_BINS)
-    return rounded(hg.median_band(d, "bin", "x").select("bin", "n", "lower_q", "median", "upper_q"))
+    return rounded(hg.median_band(d, "bin", "x", N_BINS).select("bin", "n", "lower_q", "median", "upper_q"))
 
 
 def _binned_resid(spark, sf, n=N_BINS):
@@ -73,19 +81,19 @@ def log_residual_q(spark, sf):
 
 # ------------------------------------------------------------------ P25
 @query("resolution_band", oracle(
-    "SELECT s.bin, s.mean, s.std, pow(10.0, s.mean - s.std) AS band_lo, pow(10.0, s.mean + s.std) AS band_hi, "
-    "s.mean - s.std AS lin_lo, s.mean + s.std AS lin_hi, q.upper_q - q.lower_q AS width_1sigma FROM "
-    "(SELECT bin, avg(y) AS mean, stddev_pop(y) AS std FROM b WHERE bin IS NOT NULL GROUP BY bin) s JOIN "
-    "(SELECT bin, quantile_cont(y, 0.159) AS lower_q, quantile_cont(y, 0.841) AS upper_q FROM b "
-    "WHERE bin IS NOT NULL GROUP BY bin) q ON s.bin = q.bin", ["frames"],
+    "SELECT bin, mean, std, pow(10.0, mean - std) AS band_lo, pow(10.0, mean + std) AS band_hi, "
+    "mean - std AS lin_lo, mean + std AS lin_hi, upper_q - lower_q AS width_1sigma FROM (" + _listed(
+        "bin", N_BINS, "SELECT bin, count(*) AS n, avg(y) AS mean, stddev_pop(y) AS std, quantile_cont(y, 0.159) AS lower_q, "
+        "quantile_cont(y, 0.841) AS upper_q FROM b WHERE bin IS NOT NULL GROUP BY bin") + ") s", ["frames"],
     ["mean", "std", "band_lo", "band_hi", "lin_lo", "lin_hi", "width_1sigma"], ["bin"],
     ctes=[("d", RESID_SQL), ("b", BINNED_SQL)]))
 def resolution_band(spark, sf):
-    b = _binned_resid(spark, sf).where(F.col("bin").isNotNull())
+    # read twice, computed once
+    b = reliable_checkpoint(_binned_resid(spark, sf).where(F.col("bin").isNotNull()).select("bin", "y"))
     s = b.groupBy("bin").agg(F.avg("y").alias("mean"), F.stddev_pop("y").alias("std"))
     lo, hi, llo, lhi = hg.band_columns(F.col("mean"), F.col("std"))
-    q = hg.median_band(b, "bin", "y", {0.159: "lower_q", 0.841: "upper_q"})
-    out = s.join(q, "bin").select("bin", "mean", "std", lo.alias("band_lo"), hi.alias("band_hi"),
+    q = hg.median_band(b, "bin", "y", N_BINS, {0.159: "lower_q", 0.841: "upper_q"})
+    out = q.join(s, "bin", "left").select("bin", "mean", "std", lo.alias("band_lo"), hi.alias("band_hi"),
                                   llo.alias("lin_lo"), lhi.alias("lin_hi"),
                                   (F.col("upper_q") - F.col("lower_q")).alias("width_1sigma"))
     return rounded(out)
@@ -93,13 +101,14 @@ def resolution_band(spark, sf):
 
 # ------------------------------------------------------------------ P19
 @query("log_sigma_width", oracle(
-    "SELECT bin, log10(quantile_cont(ratio, 0.841)) - log10(quantile_cont(ratio, 0.159)) AS log_width FROM "
-    "(SELECT bin, e_entry / e_truncated_gev AS ratio FROM b WHERE bin IS NOT NULL) t GROUP BY bin",
+    "SELECT bin, log10(hi) - log10(lo) AS log_width FROM (" + _listed(
+        "bin", N_BINS, "SELECT bin, count(*) AS n, quantile_cont(ratio, 0.841) AS hi, quantile_cont(ratio, 0.159) AS lo FROM "
+        "(SELECT bin, e_entry / e_truncated_gev AS ratio FROM b WHERE bin IS NOT NULL) t GROUP BY bin") + ") w",
     ["frames"], ["log_width"], ["bin"], ctes=[("d", RESID_SQL), ("b", BINNED_SQL)]))
 def log_sigma_width(spark, sf):
     b = _binned_resid(spark, sf).where(F.col("bin").isNotNull()) \
         .withColumn("ratio", F.col("e_entry") / F.col("e_truncated_gev"))
-    q = hg.median_band(b, "bin", "ratio", {0.159: "lower", 0.841: "upper"})
+    q = hg.median_band(b, "bin", "ratio", N_BINS, {0.159: "lower", 0.841: "upper"})
     return rounded(q.select("bin", log_sigma_width_col("upper", "lower").alias("log_width")))
 
 
@@ -219,6 +228,39 @@ def poisson_hist_normed(spark, sf):
     return rounded(hg.weighted_hist(d, "bin", N_BINS, F.col("w"), normed=True, widths=width))
 
 
+# Edges given by the caller, wider where events are rare; the range does not reach all events.
+EDGES_X = [2.0, 2.2, 2.5, 2.75, 3.0, 3.2, 3.5, 4.0, 4.5, 5.5]
+EDGES_Y = [-2.0, -0.75, -0.3, -0.1, 0.0, 0.05, 0.2, 0.6, 1.5]
+GIVEN_X, GIVEN_Y = len(EDGES_X) - 1, len(EDGES_Y) - 1
+
+
+@query("poisson_hist_edges", oracle(
+    f"SELECT k.bin, coalesce(hist, 0.0) AS hist, coalesce(err, 0.0) AS err, coalesce(a.n, 0) AS n, coalesce(open_bin_n, 0) AS open_bin_n FROM "
+    f"(SELECT cast(range AS bigint) AS bin FROM range(0, {GIVEN_X})) k LEFT JOIN (SELECT bin, sum(w) AS hist, sqrt(sum(w * w)) AS err, "
+    f"count(*) AS n FROM (SELECT {bin_index_sql('x', EDGES_X)} AS bin, w FROM hb) z GROUP BY bin) a ON a.bin = k.bin LEFT JOIN "
+    f"(SELECT bin, count(*) AS open_bin_n FROM (SELECT {bin_index_sql('x', EDGES_X, False)} AS bin FROM hb) y GROUP BY bin) o "
+    "ON o.bin = k.bin", ["frames"], ["hist", "err"], ["bin", "n", "open_bin_n"], ctes=[("hb", HIST_BASE_SQL)]))
+def poisson_hist_edges(spark, sf):
+    """A6 over edges given by the caller; open_bin_n counts with the right-most edge outside."""
+    f = ft.physics_frames(fx.frames(spark, sf)).where(F.col("e_entry") > 0)
+    d = f.select(F.log10("e_entry").alias("x"), F.col("tint_prob_w").alias("w"))
+    d = d.withColumn("bin", bin_index("x", EDGES_X)).withColumn("open_bin", bin_index("x", EDGES_X, last_closed=False))
+    inside = hg.weighted_hist(d, "bin", GIVEN_X, F.col("w"))
+    other = d.groupBy(F.col("open_bin").alias("bin")).agg(F.count("*").alias("open_bin_n"))
+    return rounded(inside.join(other, "bin", "left").withColumn("open_bin_n", F.coalesce("open_bin_n", F.lit(0)).cast("bigint")))
+
+
+@query("median_band_edges", oracle(
+    _listed("bin", GIVEN_X, "SELECT bin, count(*) AS n, quantile_cont(y, 0.159) AS lower_q, quantile_cont(y, 0.5) AS median, "
+            f"quantile_cont(y, 0.841) AS upper_q FROM (SELECT {bin_index_sql('x', EDGES_X)} AS bin, y FROM d) b "
+            "WHERE bin IS NOT NULL GROUP BY bin"),
+    ["frames"], ["lower_q", "median", "upper_q"], ["bin", "n"], ctes=[("d", RESID_SQL)]))
+def median_band_edges(spark, sf):
+    """A9 over edges given by the caller: median and band of the residual in each true-energy bin."""
+    d = residual_frame(spark, sf).withColumn("bin", bin_index("x", EDGES_X))
+    return rounded(hg.median_band(d, "bin", "y", GIVEN_X).select("bin", "n", "lower_q", "median", "upper_q"))
+
+
 # ------------------------------------------------------------------ A7 / A8
 H2_BASE_SQL = ("SELECT log10(e_entry) AS x, log10(e_truncated_gev) AS y FROM frames "
                "WHERE stop = 'Physics' AND e_entry > 0 AND e_truncated_gev > 0")
@@ -244,6 +286,14 @@ def hist2d_q(spark, sf):
     return hg.hist2d(d, "xbin", "ybin", N_BINS, N_BINS)
 
 
+@query("hist2d_edges", oracle(_dense2d_sql(GIVEN_X, GIVEN_Y, bin_index_sql("x", EDGES_X), bin_index_sql("y", EDGES_Y), "d"),
+                              ["frames"], [], ["xbin", "ybin", "n"], ctes=[("d", RESID_SQL)]))
+def hist2d_edges(spark, sf):
+    """A7 over edges given by the caller: true energy against residual."""
+    d = residual_frame(spark, sf).select(bin_index("x", EDGES_X).alias("xbin"), bin_index("y", EDGES_Y).alias("ybin"))
+    return hg.hist2d(d, "xbin", "ybin", GIVEN_X, GIVEN_Y)
+
+
 # True-energy log bins (Ebins + 1) x residual linear bins (Rbins - 1)
 E_BINS, R_BINS = 20, 20
 H8_SQL = ("SELECT e_entry AS te, log10(e_entry) - log10(e_truncated_gev) AS res FROM frames "
