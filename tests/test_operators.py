@@ -310,7 +310,7 @@ def test_boosting_loss_falls_and_informative_feature_wins(spark):
     rows = [(int(i), float(a), float(b), float(c), str(s)) for i, (a, b, c, s) in enumerate(zip(good, noise, label, split))]
     df = spark.createDataFrame(rows, "event_id long, good double, noise double, label double, split string")
     res = boost.train(df, ["good", "noise"], "label", objective="pshe", rounds=6, eta=0.5, max_depth=3,
-                      subsample=1.0, checkpoint_every=3)
+                      subsample=1.0)
     ev = [v for r, s, m, v in res.curve if s == "eval"]
     assert all(b <= a for a, b in zip(ev, ev[1:]))
     assert ev[-1] < ev[0]
@@ -318,32 +318,119 @@ def test_boosting_loss_falls_and_informative_feature_wins(spark):
     assert imp["good"] > imp["noise"]
     # same seed, same model
     res2 = boost.train(df, ["good", "noise"], "label", objective="pshe", rounds=6, eta=0.5, max_depth=3,
-                       subsample=1.0, checkpoint_every=3)
+                       subsample=1.0)
     assert [v for *_, v in res2.curve] == pytest.approx([v for *_, v in res.curve])
 
 
+def _gradient_sums(objective, p, y, w):
+    g, h = boost.gradients(objective, p, y, 1.0)
+    return g * w, h * w
+
+
+def _brute_tree(x, g, h, p, depth):
+    """Leaf value of every row of a tree that tries all values of all features as thresholds."""
+    score = lambda a, b: a * a / (b + p.reg_lambda)
+    best = (1e-10, None)
+    if depth < p.max_depth:
+        for f in range(x.shape[1]):
+            for t in np.unique(x[:, f])[:-1]:
+                left = x[:, f] <= t
+                sums = [(g[s].sum(), h[s].sum()) for s in (left, ~left)]
+                if min(b for _, b in sums) >= p.min_child_weight:
+                    gain = 0.5 * (sum(score(*s) for s in sums) - score(g.sum(), h.sum())) - p.gamma
+                    if gain > best[0] + 1e-9:
+                        best = (gain, left)
+    if best[1] is None:
+        return np.full(len(x), -g.sum() / (h.sum() + p.reg_lambda))
+    out = np.empty(len(x))
+    for side in (best[1], ~best[1]):
+        out[side] = _brute_tree(x[side], g[side], h[side], p, depth + 1)
+    return out
+
+
+@pytest.mark.parametrize("objective", ["rmse", "pshe"])
+def test_boosting_equals_a_brute_force_split_finder(spark, objective):
+    rng = np.random.default_rng(8)
+    n = 160
+    x = np.round(rng.uniform(0, 1, (n, 3)), 1)  # few values: every one is an edge of a bin
+    y = 2 * x[:, 0] - x[:, 1] * x[:, 2] + rng.normal(0, 0.2, n)
+    w = rng.uniform(0.5, 2, n)
+    w = w / w.mean()
+    df = spark.createDataFrame([(*map(float, r), float(a), float(b)) for r, a, b in zip(x, y, w)], "a double, b double, c double, y double, w double")
+    models = [boost.Params(3, 0.3, 1.0, gamma, least) for gamma, least in ((0.0, 1.0), (0.2, 6.0))]
+    got = boost.boost(df, ["a", "b", "c"], "y", models, "w", None, 1, objective, rounds=4)
+    for p, trees in zip(models, got.trees):
+        want = np.full(n, (y * w).sum() / w.sum())
+        assert got.base == pytest.approx(want[0])
+        for tree_no in range(4):
+            want = want + p.eta * _brute_tree(x, *_gradient_sums(objective, want, y, w), p, 0)
+            mine = got.base + p.eta * boost.Packed(trees[:tree_no + 1]).sums(x)
+            assert mine == pytest.approx(want, abs=1e-9)
+
+
 def test_leaf_is_newton_step(spark):
-    # one depth-0 tree on target -g/h with weight h gives -sum(g)/sum(h)
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import DecisionTreeRegressor
-    g = np.array([0.5, -1.0, 2.0, 0.25])
-    h = np.array([1.0, 2.0, 0.5, 4.0])
-    df = spark.createDataFrame([(float(1.0), float(-a / b), float(b)) for a, b in zip(g, h)], "x double, t double, h double")
-    df = VectorAssembler(inputCols=["x"], outputCol="f").transform(df)
-    m = DecisionTreeRegressor(featuresCol="f", labelCol="t", weightCol="h", maxDepth=0).fit(df)
-    assert m.predict(df.first().f) == pytest.approx(-g.sum() / h.sum())
-
-
-def test_grid_search_picks_a_grid_point(spark):
+    p = boost.Params(0, 1.0, 1.0, reg_lambda=0.0)
+    y, w = np.array([0.5, -1.0, 2.0, 0.25]), np.array([1.0, 2.0, 0.5, 4.0])
+    df = spark.createDataFrame([(1.0, float(a), float(b)) for a, b in zip(y, w)], "x double, y double, w double")
+    got = boost.boost(df, ["x"], "y", [p], "w", objective="pshe", rounds=1)
+    g, h = _gradient_sums("pshe", np.full(4, got.base), y, w / w.mean())
+    assert got.trees[0][0].value == pytest.approx([-g.sum() / h.sum()])
+
+
+def _chained(model):
+    """The forest as one nested expression a tree."""
+    def node(t, i):
+        if t.feature[i] < 0:
+            return F.lit(float(t.value[i]))
+        return F.when(F.col(model.features[t.feature[i]]) <= t.threshold[i], node(t, t.left[i])).otherwise(node(t, t.left[i] + 1))
+    total = F.lit(model.base)
+    for t in model.trees:
+        total = total + F.lit(model.eta) * node(t, 0)
+    return total
+
+
+def test_packed_forest_equals_the_chained_form_and_its_plan_does_not_grow(spark):
+    rng = np.random.default_rng(6)
+    rows = [(float(a), float(b), float(np.sin(6 * a) + b), "eval" if i % 4 == 0 else "train") for i, (a, b) in enumerate(rng.uniform(0, 1, (500, 2)))]
+    df = spark.createDataFrame(rows, "a double, b double, label double, split string")
+    model = boost.train(df, ["b", "a"], "label", rounds=6, eta=0.3, max_depth=4).model
+    scored = model.transform(df.withColumn("log_e_predicted", F.lit("old"))).withColumn("chained", _chained(model)).collect()
+    assert len(scored) == 500 and all(r.log_e_predicted == pytest.approx(r.chained, abs=1e-9) for r in scored)
+    odd = spark.createDataFrame([(None, 0.5), (float("nan"), 0.5), (float("inf"), 0.5), (float("-inf"), 0.5)], "a double, b double")
+    got = [r.log_e_predicted for r in model.transform(odd).collect()]
+    assert got[0] == got[1] == got[2] != got[3]
+    plan = lambda m: m.transform(df)._jdf.queryExecution().executedPlan().toString().count("\n")
+    large = boost.BoostModel(model.features, model.base, 0.01, model.objective, model.trees * 834)  # over 5000 trees
+    assert plan(large) == plan(model)
+    total = large.transform(df).agg(F.avg("log_e_predicted").alias("m")).first().m
+    few = model.transform(df).agg(F.avg("log_e_predicted").alias("m")).first().m
+    assert total - model.base == pytest.approx((few - model.base) / 0.3 * 0.01 * 834)
+
+
+def test_early_stopping_names_the_best_round(spark):
+    rng = np.random.default_rng(12)
+    rows = [(float(a), float(rng.normal()), "eval" if i % 3 == 0 else "train") for i, a in enumerate(rng.uniform(0, 1, 90))]
+    df = spark.createDataFrame(rows, "a double, label double, split string")  # nothing to learn
+    res = boost.train(df, ["a"], "label", rounds=12, eta=1.0, max_depth=5, subsample=1.0, early_stopping=2)
+    ev = [v for _, s, _, v in res.curve if s == "eval"]
+    assert len(ev) < 12 and res.best_round == int(np.argmin(ev)) and len(res.model.trees) == len(ev)
+
+
+def test_grid_search_trains_all_points_and_folds_alike(spark):
     rng = np.random.default_rng(5)
     n = 400
     x = rng.uniform(0, 1, n)
     rows = [(float(a), float(b), float(3 * a + 0.1 * b)) for a, b in zip(x, rng.uniform(0, 1, n))]
     df = spark.createDataFrame(rows, "a double, b double, label double")
-    best, table = boost.grid_search(df, ["a", "b"], "label", grid={"max_depth": [2, 3], "eta": [0.3]},
-                                    folds=2, n_trees=3, parallelism=2)
-    assert len(table) == 2 and best["max_depth"] in (2, 3)
-    assert all(-1.0 <= s <= 1.0 for _, s in table)
+    grid = {"max_depth": [2, 3], "eta": [0.3], "colsample_bytree": [1.0, 1.1]}
+    best, table = boost.grid_search(df, ["a", "b"], "label", grid=grid, folds=2, n_trees=8)
+    assert len(table) == 2 and best["max_depth"] in (2, 3)  # no share of the features is above 1
+    assert all(len(scores) == 2 and 0.5 < s < 1 for _, s, scores in table)
+    alone = boost.grid_search(df, ["a", "b"], "label", grid={"max_depth": [3], "eta": [0.3], "colsample_bytree": [1.0]}, folds=2, n_trees=8)[1]
+    together = dict((p["max_depth"], scores) for p, _, scores in table)
+    assert alone[0][2] == pytest.approx(together[3])
+    with pytest.raises(ValueError):
+        boost.Params(colsample_bytree=1.1)
 
 
 def test_edge_energy_paths_agree(spark):
