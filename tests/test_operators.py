@@ -576,3 +576,64 @@ def test_rows_to_score_stay_whatever_their_features(spark):
     df = spark.createDataFrame(rows, "a double, label double, split string")
     res = boost.train(df, ["a"], "label", rounds=1, max_depth=2, subsample=1.0)
     assert res.predictions.filter("split = 'test' and log_e_predicted is not null").count() == 2
+
+
+# ------------------------------------------------------------------ scans without a task for a whole curve
+def test_ranked_within_groups_and_overall(spark):
+    from tracklake.operators.ranks import ranked
+    rng = np.random.default_rng(2)
+    rows = [(None if g == 2 else int(g), float(v)) for g, v in zip(rng.integers(0, 3, 400), rng.permutation(400))]
+    df = spark.createDataFrame(rows, "g long, v double")
+    got = ranked(df, ["v"], ["g"]).collect()
+    for g in (0, 1, None):
+        mine = sorted((r.v, r.pos) for r in got if r.g == g)
+        assert [p for _, p in mine] == list(range(len(mine)))
+    assert sorted((r.v, r.n) for r in ranked(df, ["v"], (), "n").collect()) == [(float(i), i) for i in range(400)]
+    assert ranked(df.where("v < 0"), ["v"], ["g"]).collect() == []
+
+
+def test_cubic_spline_in_chunks_equals_the_dense_solve(spark):
+    from tracklake.operators.solvers import not_a_knot_spline, spline_eval, spline_roots
+    rng = np.random.default_rng(9)
+    curves = {"even": np.linspace(0, 30, 700), "uneven": np.cumsum(rng.uniform(0.001, 0.3, 500)), "few": np.array([0.0, 1, 2, 3, 5])}
+    ys = {k: np.sin(x) * 2 + 0.1 * x + 0.01 * rng.normal(size=len(x)) for k, x in curves.items()}
+    rows = [(k, float(a), float(b)) for k, x in curves.items() for a, b in zip(x, ys[k])]
+    df = spark.createDataFrame(rows + [("two", 0.0, 1.0), ("two", 1.0, 0.0)], "c string, x double, y double").repartition(5)
+    for chunk in (40, scans.CHUNK):
+        roots = scans.cubic_crossings(df, "c", "x", "y", 1.0, chunk=chunk).collect()
+        fine = scans.clean_interp(df, "c", "x", "y", n=1000, chunk=chunk).collect()
+        for k, x in curves.items():
+            want = sorted(spline_roots(x, ys[k], 1.0))
+            mine = sorted((r.n_cross, r.x_cross) for r in roots if r.c == k)
+            assert [n for n, _ in mine] == list(range(len(want))) and [v for _, v in mine] == pytest.approx(want, abs=1e-9)
+            curve = sorted((r.k, r.x, r.y) for r in fine if r.c == k)
+            grid = np.linspace(x.min(), x.max(), 1000)
+            assert [r[1] for r in curve] == pytest.approx(grid)
+            assert [r[2] for r in curve] == pytest.approx(spline_eval(x, ys[k], not_a_knot_spline(x, ys[k]), grid), abs=1e-9)
+        assert len([r for r in fine if r.c == "two"]) == 1000 and not [r for r in roots if r.c == "two"]
+
+
+def test_surface_keeps_nodes_without_a_whole_cell(spark):
+    points = [(float(a), float(b), float(a + 10 * b)) for a in range(3) for b in range(3)]
+    whole = scans.llh_surface(spark.createDataFrame(points, "g double, n double, v double"), "g", "n", "v", 5, 5, 100.0).collect()
+    assert len(whole) == 25 and all(r.ts == pytest.approx(r.g + 10 * r.n) for r in whole)
+    part = spark.createDataFrame([p for p in points if p[:2] != (2.0, 2.0)], "g double, n double, v double")
+    rows = {(r.gi, r.gj): r.ts for r in scans.llh_surface(part, "g", "n", "v", 5, 5, 100.0).collect()}
+    assert len(rows) == 25 and {k for k, v in rows.items() if v is None} == {(i, j) for i in (2, 3, 4) for j in (2, 3, 4)}
+    flat = spark.createDataFrame([(1.0, 1.0, 0.0), (1.0, 2.0, 0.0)], "g double, n double, v double")
+    assert [r.ts for r in scans.llh_surface(flat, "g", "n", "v", 2, 2).collect()] == [None] * 4
+
+
+def test_interpolation_keeps_points_without_a_segment(spark):
+    df = spark.createDataFrame([("a", 0.0, 1.0), ("a", 1.0, 3.0), ("a", 4.0, None), ("b", 2.0, 2.0)], "c string, x double, y double")
+    rows = sorted(tuple(r) for r in scans.interp_linear(df, "c", "x", "y", 5).select("c", "k", "x", "y").collect())
+    assert rows[:2] == [("a", 0, 0.0, 1.0), ("a", 1, 1.0, None)] and len(rows) == 10 and all(r[3] is None for r in rows[2:])
+
+
+def test_local_maxima_are_those_of_both_neighbours(spark):
+    ys = [1.0, 5.0, 1.0, 2.0, 2.1, 2.0, 9.0, 9.5, 3.0, 7.0]
+    df = spark.createDataFrame([("s", i, y) for i, y in enumerate(ys)], "c string, pos long, y double")
+    assert [r.pos for r in scans.local_maxima(df, "c", "y").collect()] == [1]
+    assert sorted(r.pos for r in scans.local_maxima(df, "c", "y", 1.0).collect()) == [1, 4, 7]
+    with pytest.raises(ValueError):
+        scans.local_maxima(df, "c", "y", 0.9)

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.energy import delta_llh, mask_above
-from .common import sized_broadcast
+from .ranks import ranked
 from .solvers import not_a_knot_spline, spline_eval, spline_roots
 
 GAMMA, NORM = "gamma_astro", "astro_norm"
@@ -96,8 +96,7 @@ def llh_scan_1d(nested: DataFrame, best: DataFrame | None = None) -> DataFrame:
 
 def sorted_scan(scan: DataFrame, part: str = "scanned", order: str = "scan_point") -> DataFrame:
     """Position of every point in the sorted scan (companions move along)."""
-    w = Window.partitionBy(part).orderBy(order)
-    return scan.withColumn("pos", (F.row_number().over(w) - 1).cast("bigint"))
+    return ranked(scan, [order], [part])
 
 
 def param_scan(nested: DataFrame, param: str, best: DataFrame | None = None) -> DataFrame:
@@ -106,7 +105,7 @@ def param_scan(nested: DataFrame, param: str, best: DataFrame | None = None) ->
     s = with_min(scan_fits(nested, param), best)
     out = s.select(F.col("fixed")[param].alias(f"fixed_{param}"), delta_llh("llh", F.col("min_llh")).alias("dllh2"),
                    "fitted")
-    return out.withColumn("pos", (F.row_number().over(Window.orderBy(f"fixed_{param}")) - 1).cast("bigint"))
+    return ranked(out, [f"fixed_{param}"])
 
 
 def fitted_wide(df: DataFrame, col: str = "fitted", keys=None, check: bool = True) -> DataFrame:
@@ -127,26 +126,47 @@ def fitted_long(df: DataFrame, keys, id_cols) -> DataFrame:
 
 def segments(points: DataFrame, part: str, x: str, y: str) -> DataFrame:
     """Consecutive point pairs of each curve (x0, y0, x1, y1, seg)."""
-    w = Window.partitionBy(part).orderBy(x)
-    return points.select(part, F.col(x).alias("x0"), F.col(y).alias("y0"),
-                         F.lead(x).over(w).alias("x1"), F.lead(y).over(w).alias("y1"),
-                         (F.row_number().over(w) - 1).cast("bigint").alias("seg")).where(F.col("x1").isNotNull())
+    numbered = ranked(points.select(part, F.col(x).alias("x0"), F.col(y).alias("y0")), ["x0"], [part], "seg")
+    after = numbered.select(part, (F.col("seg") - 1).alias("seg"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))
+    return numbered.join(after, [part, "seg"]).select(part, "x0", "y0", "x1", "y1", "seg")
+
+
+def local_maxima(scan: DataFrame, part: str, y: str, factor: float = 1.1) -> DataFrame:
+    """W2 on numbered points (``pos``): those above ``factor`` times either neighbour."""
+    if factor < 1:
+        raise ValueError(f"factor cannot be < 1 but was set to {factor}")
+    def beside(step: int, name: str) -> DataFrame:
+        return scan.select(part, (F.col("pos") + step).alias("pos"), F.col(y).alias(name))
+    both = scan.join(beside(1, "_left"), [part, "pos"]).join(beside(-1, "_right"), [part, "pos"])
+    return both.where((F.col(y) > F.col("_left") * factor) & (F.col(y) > F.col("_right") * factor)).drop("_left", "_right")
+
+
+def covered_nodes(low: Column, high: Column, lo: Column, hi: Column, n: int) -> Column:
+    """Grid nodes (k, x) of n equally spaced ones on [lo, hi] that lie in [low, high), or in [low, hi] if high is hi.
+
+    The nodes follow from the ends by arithmetic; one more on either side is
+    looked at, so that rounding loses none.
+    """
+    step = (hi - lo) / float(n - 1)
+    near = lambda v, by: F.least(F.greatest((F.floor((v - lo) / step) + by).cast("int"), F.lit(0)), F.lit(n - 1))
+    at = lambda k: F.struct(k.cast("bigint").alias("k"), F.when(k == n - 1, hi).otherwise(k.cast("double") * step + lo).alias("x"))
+    nodes = F.transform(F.sequence(near(low, -1), near(high, 2)), at)
+    return F.when(hi > lo, F.filter(nodes, lambda g: (g["x"] >= low) & ((g["x"] < high) | ((high == hi) & (g["x"] == hi)))))
 
 
 def interp_linear(points: DataFrame, part: str, x: str, y: str, n: int = 1000) -> DataFrame:
-    """N equally spaced points in [min x, max x], linear interpolation."""
-    spark = points.sparkSession
+    """N equally spaced points in [min x, max x], linear interpolation; NULL where no segment is defined."""
     rng = points.groupBy(part).agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
     k = F.col("k")
     grid = rng.select(part, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select(
         part, "k", F.when(k == n - 1, F.col("hi"))
         .otherwise(k.cast("double") * ((F.col("hi") - F.col("lo")) / float(n - 1)) + F.col("lo")).alias("xg"), "hi")
-    seg = segments(points, part, x, y)
-    # range join of two small per-curve tables (grid points x segments)
-    j = grid.join(seg, (grid[part] == seg[part]) & (F.col("xg") >= F.col("x0")) &
-                  ((F.col("xg") < F.col("x1")) | ((F.col("x1") == F.col("hi")) & (F.col("xg") == F.col("hi")))))
-    yg = F.col("y0") + (F.col("xg") - F.col("x0")) * ((F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0")))
-    return j.select(grid[part], F.col("k").cast("bigint").alias("k"), F.col("xg").alias("x"), yg.alias("y"))
+    # every segment emits the grid points that it covers
+    seg = segments(points, part, x, y).join(rng, part)
+    seg = seg.withColumn("node", F.explode(covered_nodes(F.col("x0"), F.col("x1"), F.col("lo"), F.col("hi"), n)))
+    yg = F.col("y0") + (F.col("node.x") - F.col("x0")) * ((F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0")))
+    found = seg.select(part, F.col("node.k").alias("k"), yg.alias("y"))
+    return grid.select(part, F.col("k").cast("bigint").alias("k"), F.col("xg").alias("x")).join(found, [part, "k"], "left")
 
 
 def level_crossings(points: DataFrame, part: str, x: str, y: str, level: float) -> DataFrame:
@@ -154,12 +174,12 @@ def level_crossings(points: DataFrame, part: str, x: str, y: str, level: float)
     seg = segments(points, part, x, y)
     a, b = F.col("y0") - level, F.col("y1") - level
     hit = (a == 0) | (a * b < 0) | ((b == 0) & F.col("_last"))
-    last = F.col("seg") == F.max("seg").over(Window.partitionBy(part))
-    seg = seg.withColumn("_last", last)
+    ends = seg.groupBy(part).agg(F.max("seg").alias("_end"))
+    seg = seg.join(ends, part).withColumn("_last", F.col("seg") == F.col("_end"))
     xc = (F.when(a == 0, F.col("x0")).when(b == 0, F.col("x1"))
           .otherwise(F.col("x0") + (level - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))))
     out = seg.where(hit).select(part, xc.alias("x_cross"))
-    return out.withColumn("n_cross", (F.row_number().over(Window.partitionBy(part).orderBy("x_cross")) - 1).cast("bigint"))
+    return ranked(out, ["x_cross"], [part], "n_cross")
 
 
 def curve_widths(crossings: DataFrame, part: str) -> DataFrame:
@@ -169,36 +189,57 @@ def curve_widths(crossings: DataFrame, part: str) -> DataFrame:
         .where(F.col("_n") == 2).drop("_n")
 
 
-# ------------------------------------------------------------------ cubic forms (grouped map)
-def cubic_crossings(points: DataFrame, part: str, x: str, y: str, level: float) -> DataFrame:
-    """L7 cubic: roots of the interpolating cubic spline through each curve."""
+# ------------------------------------------------------------------ cubic forms
+# A cubic spline is a tridiagonal system in which a row's neighbours weigh at most half of
+# it: what lies HALO points away changes a coefficient by less than 2^-HALO of itself.  So
+# chunks of a curve are solved on their own, each with HALO points more on either side.
+CHUNK, HALO = 256, 64
+
+
+def _chunks(numbered: DataFrame, part: str, x: str, y: str, chunk: int, halo: int) -> DataFrame:
+    """Points (pos from 0) of each chunk with the halo around it; a point is in as many chunks as need it."""
+    last = numbered.groupBy(part).agg(F.max("pos").alias("_last"))
+    pos = F.col("pos")
+    need = F.sequence(F.floor(F.greatest(pos - halo - 1, F.lit(0)) / chunk), F.floor(F.least(pos + halo, F.col("_last")) / chunk))
+    return numbered.join(last, part).select(part, "pos", F.col(x).alias("_x"), F.col(y).alias("_y"), F.explode(need).alias("chunk"))
+
+
+def cubic_crossings(points: DataFrame, part: str, x: str, y: str, level: float, chunk: int = CHUNK, halo: int = HALO) -> DataFrame:
+    """L7 cubic: roots of the interpolating cubic spline through each curve (none of fewer than 4 points)."""
     def roots(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(x)
-        rs = spline_roots(pdf[x].to_numpy(), pdf[y].to_numpy(), level) if len(pdf) >= 4 else []
-        return pd.DataFrame({part: [pdf[part].iloc[0]] * len(rs), "n_cross": np.arange(len(rs), dtype="int64"),
-                             "x_cross": np.asarray(rs, dtype=float)})
+        pdf = pdf.sort_values("pos")
+        xs, own = pdf["_x"].to_numpy(), pdf["pos"].to_numpy() // chunk == pdf["chunk"].iloc[0]
+        rs = np.asarray(spline_roots(xs, pdf["_y"].to_numpy(), level) if len(pdf) >= 4 else [], dtype=float)
+        after = np.flatnonzero(own)[-1] + 1  # the chunk ends where the next one starts
+        inside = (rs >= xs[own][0]) & (rs < xs[after] if after < len(xs) else True)
+        return pd.DataFrame({part: np.full(int(inside.sum()), pdf[part].iloc[0], dtype=object), "x_cross": rs[inside]})
 
-    return points.select(part, x, y).groupBy(part).applyInPandas(
-        roots, f"{part} string, n_cross long, x_cross double")
+    parts = _chunks(ranked(points.select(part, x, y), [x], [part]), part, x, y, chunk, halo)
+    found = parts.groupBy(part, "chunk").applyInPandas(roots, f"{part} string, x_cross double")
+    return ranked(found, ["x_cross"], [part], "n_cross").select(part, "n_cross", "x_cross")
 
 
 def clean_interp(points: DataFrame, part: str, x: str, y: str, bad: DataFrame | None = None,
-                 n: int = 1000) -> DataFrame:
-    """Drop bad points (W7), interpolating cubic spline, n-point curve."""
+                 n: int = 1000, chunk: int = CHUNK, halo: int = HALO) -> DataFrame:
+    """Drop bad points (W7), interpolating cubic spline, n-point curve over the range of all points."""
     pts = points.select(part, x, y)
     if bad is not None:
         pts = pts.join(bad.select(part, x), [part, x], "left_anti")
     lo_hi = points.groupBy(part).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    pts = pts.join(sized_broadcast(lo_hi), part)
+    parts = _chunks(ranked(pts, [x], [part]), part, x, y, chunk, halo).join(lo_hi, part)
 
     def curve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(x)
-        xs, ys = pdf[x].to_numpy(), pdf[y].to_numpy()
-        xf = np.linspace(pdf["_lo"].iloc[0], pdf["_hi"].iloc[0], n)
-        yf = spline_eval(xs, ys, not_a_knot_spline(xs, ys), xf) if len(xs) >= 4 else np.full(n, np.nan)
-        return pd.DataFrame({part: [pdf[part].iloc[0]] * n, "k": np.arange(n, dtype="int64"), "x": xf, "y": yf})
+        pdf = pdf.sort_values("pos")
+        xs, ys, number = pdf["_x"].to_numpy(), pdf["_y"].to_numpy(), pdf["chunk"].iloc[0]
+        own = pdf["pos"].to_numpy() // chunk == number
+        grid = np.linspace(pdf["_lo"].iloc[0], pdf["_hi"].iloc[0], n)
+        after = np.flatnonzero(own)[-1] + 1
+        mine = (grid >= xs[own][0] if number else True) & (grid < xs[after] if after < len(xs) else np.full(n, True))
+        k = np.flatnonzero(mine)
+        yf = spline_eval(xs, ys, not_a_knot_spline(xs, ys), grid[k]) if len(xs) >= 4 else np.full(len(k), np.nan)
+        return pd.DataFrame({part: np.full(len(k), pdf[part].iloc[0], dtype=object), "k": k.astype("int64"), "x": grid[k], "y": yf})
 
-    return pts.groupBy(part).applyInPandas(curve, f"{part} string, k long, x double, y double")
+    return parts.groupBy(part, "chunk").applyInPandas(curve, f"{part} string, k long, x double, y double")
 
 
 # ------------------------------------------------------------------ L10 / L11
@@ -206,50 +247,43 @@ def llh_surface(points: DataFrame, x: str, y: str, v: str, nx: int = 1000, ny: i
                 max_value: float = 30.0) -> DataFrame:
     """Linear interpolation of a rectangular scan on an nx x ny grid.
 
-    Each grid node finds its cell through the two (small) axis tables; the
+    A cell lies between neighbouring values of both axes; its four corners are
+    joined once, on the points of the scan, and it emits the grid nodes that it covers.  The
     cell is split along its lower-left/upper-right diagonal and the value is
-    linear on the triangle.  No extrapolation; values above ``max_value`` are
-    masked (NULL).
+    linear on the triangle.  All nodes are kept: NULL where a corner of the cell is missing, and where
+    the value is above ``max_value``.
     """
     spark = points.sparkSession
-
-    def axis(col: str, n: int, name: str):
-        vals = points.select(F.col(col).alias("v")).distinct()
-        w = Window.orderBy("v")
-        segs = vals.select("v", F.lead("v").over(w).alias("v1")).where(F.col("v1").isNotNull())
-        r = vals.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-        lo, hi = F.lit(r["lo"]).cast("double"), F.lit(r["hi"]).cast("double")
-        k = F.col("k")
-        g = spark.range(n).select(F.col("id").alias("k")).select(
-            F.col("k").cast("bigint").alias(f"g{name}"),
-            F.when(k == n - 1, hi).otherwise(k.cast("double") * ((hi - lo) / float(n - 1)) + lo).alias(name),
-            hi.alias("hi"))
-        # the axis values of a scan: broadcast only after a size check
-        j = g.join(sized_broadcast(segs), (F.col(name) >= F.col("v")) &
-                   ((F.col(name) < F.col("v1")) | ((F.col("v1") == F.col("hi")) & (F.col(name) == F.col("hi")))))
-        return j.select(f"g{name}", name, F.col("v").alias(f"{name}0"), F.col("v1").alias(f"{name}1"))
-
-    ax, ay = axis(x, nx, "gx_v"), axis(y, ny, "gy_v")
-    vals = points.select(F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(v).alias("_v"))
-    # the nx x ny grid is generated, then each node picks up its axis cells
-    cells = spark.range(nx * ny).select((F.col("id") / ny).cast("bigint").alias("ggx_v"),
-                                        (F.col("id") % ny).cast("bigint").alias("ggy_v"))
-    grid = cells.join(F.broadcast(ax), "ggx_v").join(F.broadcast(ay), "ggy_v")
-
-    def corner(cx: str, cy: str, name: str):
-        return vals.select(F.col("_x").alias(cx), F.col("_y").alias(cy), F.col("_v").alias(name))
-
-    g = grid.join(corner("gx_v0", "gy_v0", "v00"), ["gx_v0", "gy_v0"]) \
-        .join(corner("gx_v1", "gy_v0", "v10"), ["gx_v1", "gy_v0"]) \
-        .join(corner("gx_v0", "gy_v1", "v01"), ["gx_v0", "gy_v1"]) \
-        .join(corner("gx_v1", "gy_v1", "v11"), ["gx_v1", "gy_v1"])
-    u = (F.col("gx_v") - F.col("gx_v0")) / (F.col("gx_v1") - F.col("gx_v0"))
-    t = (F.col("gy_v") - F.col("gy_v0")) / (F.col("gy_v1") - F.col("gy_v0"))
+    ends = points.agg(*(f(c).cast("double").alias(f"{n}_{c}") for c in (x, y) for n, f in (("lo", F.min), ("hi", F.max)))).first()
+
+    def axis(col: str, n: int, name: str) -> DataFrame:
+        """Neighbouring values (0, 1) of an axis with the nodes between them."""
+        numbered = ranked(points.select(F.col(col).alias(f"{name}0")).distinct(), [f"{name}0"], (), "at")
+        after = numbered.select((F.col("at") - 1).alias("at"), F.col(f"{name}0").alias(f"{name}1"))
+        lo, hi = F.lit(ends[f"lo_{col}"]).cast("double"), F.lit(ends[f"hi_{col}"]).cast("double")
+        return numbered.join(after, "at").drop("at").withColumn(
+            f"{name}_nodes", covered_nodes(F.col(f"{name}0"), F.col(f"{name}1"), lo, hi, n))
+
+    def corner(cx: str, cy: str, name: str) -> DataFrame:
+        return points.select(F.col(x).alias(cx), F.col(y).alias(cy), F.col(v).alias(name))
+
+    cells = (corner("x0", "y0", "v00").join(axis(x, nx, "x"), "x0").join(axis(y, ny, "y"), "y0")
+             .join(corner("x1", "y0", "v10"), ["x1", "y0"]).join(corner("x0", "y1", "v01"), ["x0", "y1"])
+             .join(corner("x1", "y1", "v11"), ["x1", "y1"]))
+    inside = cells.withColumn("gx", F.explode("x_nodes")).drop("x_nodes").withColumn("gy", F.explode("y_nodes")).drop("y_nodes")
+    u = (F.col("gx.x") - F.col("x0")) / (F.col("x1") - F.col("x0"))
+    t = (F.col("gy.x") - F.col("y0")) / (F.col("y1") - F.col("y0"))
     lower = F.col("v00") + u * (F.col("v10") - F.col("v00")) + t * (F.col("v11") - F.col("v10"))
     upper = F.col("v00") + t * (F.col("v01") - F.col("v00")) + u * (F.col("v11") - F.col("v01"))
-    ts = F.when(u >= t, lower).otherwise(upper)
-    return g.select(F.col("ggx_v").alias("gi"), F.col("ggy_v").alias("gj"), F.col("gx_v").alias(x),
-                    F.col("gy_v").alias(y), ts.alias("ts")).withColumn("ts", mask_above("ts", max_value))
+    found = inside.select(F.col("gx.k").alias("gi"), F.col("gy.k").alias("gj"), F.when(u >= t, lower).otherwise(upper).alias("ts"))
+
+    def node(col: str, k: Column, n: int) -> Column:
+        lo, hi = F.lit(ends[f"lo_{col}"]).cast("double"), F.lit(ends[f"hi_{col}"]).cast("double")
+        return F.when(k == n - 1, hi).otherwise(k.cast("double") * ((hi - lo) / float(n - 1)) + lo)
+
+    nodes = spark.range(nx * ny).select((F.col("id") / ny).cast("bigint").alias("gi"), (F.col("id") % ny).cast("bigint").alias("gj"))
+    nodes = nodes.select("gi", "gj", node(x, F.col("gi"), nx).alias(x), node(y, F.col("gj"), ny).alias(y))
+    return nodes.join(found, ["gi", "gj"], "left").withColumn("ts", mask_above("ts", max_value))
 
 
 def band_of(ts: Column, levels) -> Column:

@@ -208,7 +208,7 @@ SEG_SQL = ("SELECT scanned, scan_point AS x0, dllh2 AS y0, lead(scan_point) OVER
     "SELECT g.scanned, g.k, g.xg AS x, s.y0 + (g.xg - s.x0) * ((s.y1 - s.y0) / (s.x1 - s.x0)) AS y FROM "
     "(SELECT r.scanned, cast(t.k AS bigint) AS k, r.hi, CASE WHEN t.k = 999 THEN r.hi ELSE "
     "cast(t.k AS double) * ((r.hi - r.lo) / 999.0) + r.lo END AS xg FROM (SELECT scanned, min(scan_point) AS lo, "
-    "max(scan_point) AS hi FROM s1 GROUP BY scanned) r, range(0, 1000) t(k)) g JOIN (SELECT * FROM seg "
+    "max(scan_point) AS hi FROM s1 GROUP BY scanned) r, range(0, 1000) t(k)) g LEFT JOIN (SELECT * FROM seg "
     "WHERE x1 IS NOT NULL) s ON s.scanned = g.scanned AND g.xg >= s.x0 AND (g.xg < s.x1 OR (s.x1 = g.hi AND g.xg = g.hi))",
     ["fits"], ["x", "y"], ["scanned", "k"], ctes=FN_CTES + [("seg", SEG_SQL)]))
 def interp_linear(spark, sf):
@@ -267,17 +267,22 @@ def curve_widths(spark, sf):
     return rounded(sc.curve_widths(cr, "scanned"))
 
 
+# a point counts as a local maximum if it is above this multiple of either neighbour
+MAXIMUM_FACTOR = 1.1
+
+
 def _bad_points(p):
-    # outliers above the plotting mask are the points removed before smoothing
-    return p.where(F.col("dllh2") > 30.0)
+    """The local maxima (W2) of the sorted profiles: the points that are removed before smoothing."""
+    return sc.local_maxima(p, "scanned", "dllh2", MAXIMUM_FACTOR)
 
 
 @query("drop_points", oracle(
-    "SELECT scanned, pos, scan_point FROM (SELECT *, cast(row_number() OVER (PARTITION BY scanned ORDER BY scan_point) "
-    "- 1 AS bigint) AS pos FROM s1) z WHERE NOT dllh2 > 30.0", ["fits"], ["scan_point"], ["scanned", "pos"],
-    ctes=FN_CTES))
+    "SELECT scanned, pos, scan_point FROM (SELECT *, cast(row_number() OVER w - 1 AS bigint) AS pos, lag(dllh2) OVER w AS l, "
+    "lead(dllh2) OVER w AS r FROM s1 WINDOW w AS (PARTITION BY scanned ORDER BY scan_point)) z "
+    f"WHERE NOT coalesce(dllh2 > l * {MAXIMUM_FACTOR!r} AND dllh2 > r * {MAXIMUM_FACTOR!r}, false)", ["fits"], ["scan_point"],
+    ["scanned", "pos"], ctes=FN_CTES))
 def drop_points(spark, sf):
-    """Remove points by position (left-anti join on (scan, pos))."""
+    """Remove the local maxima of W2 by their positions (left-anti join on (scan, pos))."""
     p = sc.sorted_scan(_profiles(spark, sf))
     bad = _bad_points(p).select("scanned", "pos")
     return rounded(p.join(bad, ["scanned", "pos"], "left_anti").select("scanned", "pos", "scan_point"))
@@ -285,8 +290,8 @@ def drop_points(spark, sf):
 
 @query("clean_interp")
 def clean_interp(spark, sf):
-    """Drop outlier points, interpolating cubic spline, 1000-point curve."""
-    p = _profiles(spark, sf)
+    """Drop the local maxima, interpolating cubic spline, 1000-point curve."""
+    p = sc.sorted_scan(_profiles(spark, sf))
     return rounded(sc.clean_interp(p, "scanned", "scan_point", "dllh2", bad=_bad_points(p), n=1000))
 
 
@@ -305,7 +310,7 @@ def _axis_sql(col: str, n: int, name: str) -> str:
 
 
 def _axis_seg_sql(col: str, name: str) -> str:
-    return (f"SELECT a.g{name}, a.{name}, s.v AS {name}0, s.v1 AS {name}1 FROM ax_{name} a JOIN (SELECT v, v1 FROM "
+    return (f"SELECT a.g{name}, a.{name}, s.v AS {name}0, s.v1 AS {name}1 FROM ax_{name} a LEFT JOIN (SELECT v, v1 FROM "
             f"(SELECT v, lead(v) OVER (ORDER BY v) AS v1 FROM (SELECT DISTINCT {col} AS v FROM gr) d) z "
             f"WHERE v1 IS NOT NULL) s ON a.{name} >= s.v AND (a.{name} < s.v1 OR (s.v1 = a.hi AND a.{name} = a.hi))")
 
@@ -316,10 +321,10 @@ SURF_BODY = (
     "ELSE c00.ts + t * (c01.ts - c00.ts) + u * (c11.ts - c01.ts) END AS ts FROM "
     "(SELECT *, 0 AS z FROM sx_gx) x JOIN (SELECT *, 0 AS z FROM sx_gy) y ON x.z = y.z "
     "CROSS JOIN LATERAL (SELECT (x.gx - x.gx0) / (x.gx1 - x.gx0) AS u, (y.gy - y.gy0) / (y.gy1 - y.gy0) AS t) w "
-    "JOIN gr c00 ON c00.gamma_astro = x.gx0 AND c00.astro_norm = y.gy0 "
-    "JOIN gr c10 ON c10.gamma_astro = x.gx1 AND c10.astro_norm = y.gy0 "
-    "JOIN gr c01 ON c01.gamma_astro = x.gx0 AND c01.astro_norm = y.gy1 "
-    "JOIN gr c11 ON c11.gamma_astro = x.gx1 AND c11.astro_norm = y.gy1) s")
+    "LEFT JOIN gr c00 ON c00.gamma_astro = x.gx0 AND c00.astro_norm = y.gy0 "
+    "LEFT JOIN gr c10 ON c10.gamma_astro = x.gx1 AND c10.astro_norm = y.gy0 "
+    "LEFT JOIN gr c01 ON c01.gamma_astro = x.gx0 AND c01.astro_norm = y.gy1 "
+    "LEFT JOIN gr c11 ON c11.gamma_astro = x.gx1 AND c11.astro_norm = y.gy1) s")
 SURF_CTES = GRID_CTES + [("ax_gx", _axis_sql("gamma_astro", NX, "gx")), ("ax_gy", _axis_sql("astro_norm", NY, "gy")),
                          ("sx_gx", _axis_seg_sql("gamma_astro", "gx")), ("sx_gy", _axis_seg_sql("astro_norm", "gy"))]
 SURF_SQL = SURF_BODY.replace("SELECT x.ggx AS gi, y.ggy AS gj, x.gx AS gamma_astro, y.gy AS astro_norm, "

@@ -223,38 +223,40 @@ def track_distance(spark, sf):
 
 
 # ----------------------------------------------------------------- J9 / J10 / T3
-BRACKET_LIN = "SELECT event_id, 'entry' AS which, first AS L FROM cyl WHERE first IS NOT NULL"
+BRACKET_LIN = ("SELECT event_id, 'entry' AS which, first AS L FROM cyl WHERE first IS NOT NULL UNION ALL "
+               "SELECT event_id, 'exit' AS which, second AS L FROM cyl WHERE second IS NOT NULL")
 
 
-def _entry_lin(sel):
-    return sel.where(F.col("first").isNotNull()).select("event_id", F.lit("entry").alias("which"),
-                                                        F.col("first").alias("L"))
+def _edge_lin(sel):
+    """Lengths at which the track enters and leaves the cylinder."""
+    edge = lambda which, c: sel.where(F.col(c).isNotNull()).select("event_id", F.lit(which).alias("which"), F.col(c).alias("L"))
+    return edge("entry", "first").unionByName(edge("exit", "second"))
 
 
 @query("checkpoint_bracket", oracle(
-    "SELECT event_id, len_b AS len_before, e_b AS e_before, len_a AS len_after, e_a AS e_after FROM br",
-    ["particles", "tracks"], ["len_before", "e_before", "len_after", "e_after"], ["event_id"],
+    "SELECT event_id, which, len_b AS len_before, e_b AS e_before, len_a AS len_after, e_a AS e_after FROM br",
+    ["particles", "tracks"], ["len_before", "e_before", "len_after", "e_after"], ["event_id", "which"],
     ctes=TRACK_CTES + [("lin", BRACKET_LIN)] + EVAL_CTES[:2]))
 def checkpoint_bracket(spark, sf):
-    """Checkpoints around the cylinder entry (first with len >= L and the one before)."""
+    """Checkpoints around the cylinder entry and exit (first with len >= L and the one before)."""
     p, t = _parts(spark, sf)
     sel = th.selected_with_cylinder(t, p)
     cps, _ = th.loss_tables(sel, p)
-    br = th.bracket_table(_entry_lin(sel), cps)
-    return rounded(br.select("event_id", F.col("len_b").alias("len_before"), F.col("e_b").alias("e_before"),
+    br = th.bracket_table(_edge_lin(sel), cps)
+    return rounded(br.select("event_id", "which", F.col("len_b").alias("len_before"), F.col("e_b").alias("e_before"),
                              F.col("len_a").alias("len_after"), F.col("e_a").alias("e_after")))
 
 
 @query("last_loss_before", oracle(
-    "SELECT event_id, ls_len, ls_e FROM ev", ["particles", "tracks"], ["ls_len", "ls_e"], ["event_id"],
+    "SELECT event_id, which, ls_len, ls_e FROM ev", ["particles", "tracks"], ["ls_len", "ls_e"], ["event_id", "which"],
     ctes=TRACK_CTES + [("lin", BRACKET_LIN)] + EVAL_CTES[:4]))
 def last_loss_before(spark, sf):
-    """The last cumulative loss before the cylinder entry (as-of lookup)."""
+    """The last cumulative loss before the cylinder entry and exit (as-of lookup)."""
     p, t = _parts(spark, sf)
     sel = th.selected_with_cylinder(t, p)
     cps, losses = th.loss_tables(sel, p)
-    ev = th.last_loss_table(th.bracket_table(_entry_lin(sel), cps), losses)
-    return rounded(ev.select("event_id", "ls_len", "ls_e"))
+    ev = th.last_loss_table(th.bracket_table(_edge_lin(sel), cps), losses)
+    return rounded(ev.select("event_id", "which", "ls_len", "ls_e"))
 
 
 AT_LIN = ("SELECT event_id, 'at300' AS which, cast(300 AS double) AS L FROM tr UNION ALL "
