@@ -39,6 +39,7 @@ REGION, REGION_SHINGLES = 256, 1 << 22   # members and shingles of a region that
 MORE = 32                     # linked sets share one more of their rarest shingles for so many that they have in common
 PIVOTS = 16                   # of a larger region (twice as many on average, by hash)
 BLOCK = 64                    # members of a block
+SLOTS = 1 << 24               # bits that say which rows may be wanted
 
 P, M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 SALTS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xBF58476D1CE4E5B9))  # of one and of two words
@@ -482,6 +483,22 @@ def _large_region_links(members: DataFrame, sets: DataFrame, links: DataFrame, l
     return links.unionByName(rows_from(meet, _join_blocks(least), "a long, b long", at_once=500))
 
 
+def _among(rows: DataFrame, key, wanted: DataFrame, wanted_key) -> DataFrame:
+    """``rows`` without most of those whose key no row of ``wanted`` has; none that has is lost.
+
+    One bit for each of SLOTS hashes; the words that have a bit set, at most SLOTS / 64
+    rows whatever the input, go to all tasks.  The join that follows then deals few
+    other rows.
+    """
+    slot = lambda k: F.pmod(F.xxhash64(k, F.lit(12)), F.lit(SLOTS))
+    bits = wanted.select(slot(wanted_key).alias("slot")).select(
+        F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 AS int))").alias("bit"))
+    words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    own = rows.withColumn("own_slot", slot(key))
+    hit = (F.shiftright("own_slot", 6) == F.col("word")) & (F.expr("shiftright(bits, cast(own_slot & 63 AS int)) & 1") == 1)
+    return own.join(F.broadcast(words), hit, "left_semi").drop("own_slot")
+
+
 def _regions(heads: DataFrame, least: int) -> DataFrame:
     """(pivot, cls): the regions, without members that cannot be linked inside.  ``heads``: cls, n, rare, more."""
     # sizes of linked sets lie in one window or in neighbouring ones
@@ -494,7 +511,8 @@ def _regions(heads: DataFrame, least: int) -> DataFrame:
     members = stage(keyed.join(meets, "meet").select("pivot", "cls").distinct(), "meeting")
     sized = members.join(members.groupBy("pivot").agg((F.count("*") > REGION).alias("large")), "pivot")
     sized = stage(sized, "meeting-sizes")
-    small = sized.filter("not large").drop("large").join(heads, "cls").select("pivot", "cls", "n", "rare", "more")
+    small = sized.filter("not large").drop("large")
+    small = small.hint("merge").join(_among(heads, "cls", small, "cls"), "cls").select("pivot", "cls", "n", "rare", "more")
     small = small.repartition("pivot").sortWithinPartitions("pivot")
     kept = rows_from(small, _partnered(least), "pivot long, cls long", at_once=500)
     return sized.filter("large").select("pivot", "cls").unionByName(kept)
@@ -518,15 +536,15 @@ def join_documents(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id",
                   .select(F.col("row").alias("cls"), "n", "rare", "more"), "heads")
     members = stage(_regions(heads, least), "members")
     wanted = members.select("cls").distinct().join(measured.withColumnRenamed("row", "cls"), "cls")
-    # stored, so that Spark knows how many texts are wanted and need not shuffle the rest if they are few
     wanted = stage(wanted.select("cls", F.col("doc_id").alias("id"), F.col("same").alias("like"), "node"), "wanted")
-    texts = rows.join(wanted, (F.col("same") == F.col("like")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    texts = _among(rows, "same", wanted, "like").join(
+        wanted.hint("merge"), (F.col("same") == F.col("like")) & F.col("doc_id").eqNullSafe(F.col("id")))
     sets = stage(texts.select("cls", "node", "text").mapInArrow(_whole_sets, "cls long, held binary"), "sets")
     sizes = members.join(per_class.select("cls", "n"), "cls").groupBy("pivot").agg(
         F.count("*").alias("members"), F.sum("n").alias("shingles"), F.min("cls").alias("head"))
     sized = stage(members.join(sizes, "pivot"), "sized")
     large = (F.col("members") > REGION) | (F.col("shingles") > REGION_SHINGLES)
-    small = sized.filter(~large).select("pivot", "cls").join(sets, "cls")
+    small = sized.filter(~large).select("pivot", "cls").hint("merge").join(sets, "cls")
     small = small.repartition("pivot").sortWithinPartitions("pivot")
     links = stage(rows_from(small, _join_regions(least), "a long, b long", at_once=500), "links")
     of_large = sized.filter(large).select("pivot", "cls", "members", "head")
