@@ -444,3 +444,19 @@ def test_pipeline(spark):
     import corpus_pipeline
     out = corpus_pipeline.run(spark, SMALL).collect()
     assert out and len({(r.doc_id, r.piece) for r in out}) == len(out)
+
+
+def test_hosts_of_few_documents_are_pulled_to_the_mean(spark):
+    good, bad = "ten good words that are all different from each other here", "short"
+    rows = [(f"h{i}", good if j % 10 else bad) for i in range(60) for j in range(40)]  # alike: a tenth of each host fails
+    rows += [("one", bad), ("three", bad), ("three", bad), ("three", good)]
+    rows += [("junk", bad)] * 40 + [("most", bad)] * 35 + [("most", good)] * 5
+    docs = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string")
+    found = {r.host: r for r in hostrules.host_verdicts(hostrules.document_rules(docs)).collect()}
+    mean = sum(t == bad for _, t in rows) / len(rows)
+    assert mean < found["one"].short_rate < 0.35 and found["three"].short_rate < 0.4
+    assert found["junk"].host_rejected and found["most"].host_rejected and not any(found[f"h{i}"].host_rejected for i in range(60))
+    same = hostrules.host_verdicts(hostrules.document_rules(docs.filter("source in ('h1', 'h2', 'one')"))).collect()
+    assert max(r.short_rate for r in same) - min(r.short_rate for r in same) < 0.35 and not any(r.host_rejected for r in same)
+    singles = hostrules.host_verdicts(hostrules.document_rules(docs.withColumn("source", F.col("doc_id").cast("string")))).collect()
+    assert max(abs(r.short_rate - mean) for r in singles) < 1e-3

@@ -63,21 +63,36 @@ def document_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base_failed", F.expr(f"{RULES['short']} OR {RULES['repeats']}"))
 
 
+def prior(hosts: int, docs: float | None, squares: float | None, failed: float | None, spread: float | None) -> tuple[float, float]:
+    """Mean and strength of the beta prior from sums over hosts: documents n, n^2, failures k and k^2 / n."""
+    if not docs:
+        return 0.0, MAX_STRENGTH
+    m = failed / docs
+    chance, room = m * (1 - m), docs - squares / docs - (hosts - 1)
+    if chance <= 0 or room <= 0:
+        return m, MAX_STRENGTH
+    alike = ((spread - failed * m) / chance - (hosts - 1)) / room  # correlation of the documents of a host
+    return m, min(max(1 / alike - 1, 0.0), MAX_STRENGTH) if alike > 0 else MAX_STRENGTH
+
+
 def host_verdicts(measured: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """host, docs, one shrunk failure rate per rule, host_rejected: one row a host (a null host is one too).
 
-    The prior of a rule is the beta distribution with the mean and variance of
-    the hosts' rates; only those two numbers a rule reach the driver.
+    The prior of a rule is the beta distribution of a beta-binomial model, by moments: its mean is the
+    rate of all documents, its strength follows from how much more the rates of hosts differ, weighted by
+    documents, than chance lets rates of their sizes differ.  If they do not differ more, or no host has two
+    documents, all hosts have the mean.  Six numbers a rule reach the driver.
     """
     counts = measured.groupBy(F.col(host).alias("host")).agg(
         F.count("*").alias("docs"), *(F.sum(F.expr(f"cast({c} AS long)")).alias(r) for r, c in RULES.items()))
     hosts = stage(counts, "hosts")
-    moments = hosts.agg(*(f(F.col(r) / F.col("docs")).alias(f"{r}_{n}") for r in RULES
-                          for n, f in (("m", F.avg), ("v", F.var_pop)))).first()
+    n = F.col("docs").cast("double")
+    moments = hosts.agg(F.count("*").alias("hosts"), F.sum(n).alias("docs"), F.sum(n * n).alias("squares"),
+                        *(f(F.col(r).cast("double")).alias(f"{r}_{name}") for r in RULES
+                          for name, f in (("k", F.sum), ("q", lambda k: F.sum(k * k / n))))).first()
     rates = {}
     for r in RULES:
-        m, v = moments[f"{r}_m"] or 0.0, moments[f"{r}_v"] or 0.0
-        strength = min(max(m * (1 - m) / v - 1, 0.0), MAX_STRENGTH) if v else MAX_STRENGTH
+        m, strength = prior(moments["hosts"], moments["docs"], moments["squares"], moments[f"{r}_k"], moments[f"{r}_q"])
         rates[r] = (F.col(r) + F.lit(m * strength)) / (F.col("docs") + F.lit(strength))
     return hosts.select("host", "docs", *(c.alias(f"{r}_rate") for r, c in rates.items()),
                         F.greatest(*rates.values()).__gt__(limit).alias("host_rejected"))
@@ -105,9 +120,10 @@ m AS (SELECT w.doc_id, source, cast(len(ws) AS bigint) AS n_words, cast(length(a
       FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
 h AS (SELECT source, count(*) AS docs, {counts} FROM f GROUP BY source),
-p AS (SELECT {moments} FROM h),
+z AS (SELECT sum(docs) AS n, sum(docs * docs) AS nn, count(*) AS hosts FROM h),
+p AS (SELECT {moments} FROM h, z GROUP BY n, nn, hosts),
 s AS (SELECT {strengths} FROM p),
-v AS (SELECT source, greatest({rates}) > {limit} AS host_rejected FROM h, p, s)
+v AS (SELECT source, greatest({rates}) > {limit} AS host_rejected FROM h, s)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT host_rejected AS kept, host_rejected
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
@@ -118,9 +134,10 @@ def oracle() -> str:
     each = lambda text: ", ".join(text.format(r=r, c=c, top=MAX_STRENGTH) for r, c in RULES.items())
     fill = {
         "{counts}": each("sum(cast({c} AS integer)) AS k_{r}"),
-        "{moments}": each("avg(k_{r} / docs) AS m_{r}, var_pop(k_{r} / docs) AS v_{r}"),
-        "{strengths}": each("CASE WHEN v_{r} > 0 THEN least(greatest(m_{r} * (1 - m_{r}) / v_{r} - 1, 0), {top}) "
-                            "ELSE {top} END AS s_{r}"),
+        "{moments}": each("sum(k_{r}) / n AS m_{r}, CASE WHEN sum(k_{r}) BETWEEN 1 AND n - 1 AND n - nn / n > hosts - 1 THEN "
+                          "((sum(k_{r} * k_{r} / docs) - sum(k_{r}) * (sum(k_{r}) / n)) / (sum(k_{r}) / n * (1 - sum(k_{r}) / n)) "
+                          "- (hosts - 1)) / (n - nn / n - (hosts - 1)) END AS a_{r}"),
+        "{strengths}": each("CASE WHEN a_{r} > 0 THEN least(greatest(1 / a_{r} - 1, 0), {top}) ELSE {top} END AS s_{r}, m_{r}"),
         "{rates}": each("(k_{r} + m_{r} * s_{r}) / (docs + s_{r})"),
         "{limit}": str(HOST_LIMIT),
     }
