@@ -337,6 +337,26 @@ def test_recall_of_the_query(spark):
     assert np.mean([len(got[ids[q]] & set(ids[b])) / 20 for q, b in zip(at, best)]) >= 0.9
 
 
+def test_tables_alone_find_the_near_ones(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ANGLE", 1e-9)  # no query visits a whole range
+    x = ann.unit(np.random.default_rng(9).normal(size=(2000, 64)))
+    got = _searched(spark, x, F.col("vec_id") % 20 == 0)
+    s = x[::20] @ x.T
+    s[np.arange(100), np.arange(0, 2000, 20)] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    assert 0.9 <= np.mean([len(set(got[20 * q]) & set(b)) / 20 for q, b in enumerate(best)]) < 1
+
+
+def test_visits_follow_from_scores(spark):
+    """A range is met as a whole only where its longest vector could win at a wide angle."""
+    kinds = spark.createDataFrame([(b"a", b"v", True, 0.0, 0), (b"b", b"v", True, 0.0, 0), (b"c", b"v", False, 0.0, 5),
+                                   (b"d", b"v", False, 0.0, 50)], "c binary, vec binary, asked boolean, length double, range int")
+    found = spark.createDataFrame([(b"a", [(-0.9, 1), (-0.8, 2)])], "q binary, all array<struct<s:double,i:long>>")
+    got = sorted((bytes(r.c), r.axis) for r in ann._visits(kinds, found, 1, 2, 64).collect())
+    # a: 0.8 at length 1 needs cosines of 0.2 up to lengths of 4, which range 50 exceeds; b found nothing
+    assert got == [(b"a", 50), (b"b", 0), (b"b", 5), (b"b", 50)]
+
+
 def _searched(spark, x, asked, k=20):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = collections.defaultdict(list)
@@ -385,6 +405,18 @@ def test_language(spark, odd_docs):
     assert set(got.values()) == {"und"}
 
 
+def test_language_learns_from_whole_texts(spark):
+    """What tells the languages apart comes late in the texts; copies of an id and empty texts do no harm."""
+    rows = [(i, "0 " * 2000 + ("ab " if i % 2 else "xy ") * 1500, "ab" if i % 2 else "xy") for i in range(40)]
+    rows += [(1, None, "ab"), (2, "", "xy"), (None, "xy " * 50, "xy"), (3, "ab", None)] + rows[:5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = langid.train(docs, docs=10)
+    asked = spark.createDataFrame([("ab " * 40,), ("xy " * 40,), (None,), ("12",)], "text string")
+    got = {r.text: r.lang_pred for r in langid.label_documents(asked, net).collect()}
+    assert got == {"ab " * 40: "ab", "xy " * 40: "xy", None: "und", "12": "und"}
+    assert langid.train(docs.limit(0)) is None
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(0)
     d = langid.Direction(rng, 3)

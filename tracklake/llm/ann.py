@@ -5,10 +5,11 @@ and a fast Hadamard transform) and files them under the nearest signed axis.  A
 query looks into the buckets of its nearest axes in every table; what it finds
 is ranked by exact inner products.
 
-Tables hold directions, so a vector must not win by its length alone: only
-vectors of a range of lengths with more than BLOCK members are filed, where the
-best are near in angle too.  All queries meet the others in an exact pass, and
-so does a query that finds fewer than it could all vectors.
+Tables hold directions, so a long vector can be among the best of a query that
+it is at a wide angle to.  Vectors have a range of lengths, and the k-th score a
+query has found in the tables says at what angle vectors of a range could still
+be better.  Where that angle is wider than tables find surely, the query meets
+all vectors of the range; where it found too few rows, those of all ranges.
 
 Equal vectors are one class, so a vector that a third of the rows share is
 filed once.  Buckets are cut into blocks of bounded size on both sides, and a
@@ -29,6 +30,7 @@ from .common import stage, with_columns_from
 TABLES, PROBES = 10, 12
 BLOCK = 4096
 RATIO = 1.1  # longest over shortest vector of a range of lengths
+ANGLE = 1.6  # tables answer for cosines from this many standard deviations of random directions
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -66,11 +68,10 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def length_range(x: np.ndarray) -> np.ndarray:
-    """Number of the range of lengths of the rows; length 1 is inside one."""
+def log_length(x: np.ndarray) -> np.ndarray:
+    """Logarithms of the lengths of the rows, of numbers of any size."""
     most = np.abs(x).max(axis=1)
-    length = np.log(most) + np.log(np.linalg.norm(x / most[:, None], axis=1))
-    return np.floor(length / np.log(RATIO) + 0.5).astype(np.int32)
+    return np.log(most) + np.log(np.linalg.norm(x / most[:, None], axis=1))
 
 
 def _matrix(cells) -> np.ndarray:
@@ -111,36 +112,49 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = TABLES, prob
     rows = stage(with_columns_from(valid, ["v"], as_bytes, "vec binary", drop=("v",))
                  .withColumn("c", F.unhex(F.md5("vec"))).distinct(), "vectors")
     kinds = rows.groupBy("c").agg(F.min("vec_id").alias("first"), F.first("vec").alias("vec"), F.max("asked").alias("asked"))
-    in_range = lambda v: {"range": length_range(_matrix(v)) if v else []}
-    kinds = stage(with_columns_from(kinds, ["vec"], in_range, "range int"), "classes")
+    lengths = lambda v: {"length": log_length(_matrix(v)) if v else []}
+    range_of = F.floor(F.col("length") / np.log(RATIO) + 0.5).cast("int")  # length 1 is inside a range
+    kinds = stage(with_columns_from(kinds, ["vec"], lengths, "length double").withColumn("range", range_of), "classes")
     # of equal vectors only the k + 1 smallest ids can be among k neighbours
     small = rows.withColumn("n", F.row_number().over(Window.partitionBy("c").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
     members = small.groupBy("c").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
-    filed = kinds.select("c", "first", "vec", "range")
     asked = kinds.filter("asked").select("c", "vec")
-    # as many ranges as lengths that numbers can have, at most
-    large = [r["range"] for r in filed.groupBy("range").count().filter(F.col("count") > BLOCK).collect()]
-    few = filed.filter(~F.col("range").isin(large)).drop("range")
-    stored, sought = _together(few), _together(asked)
-    if large:
-        stored = stored.unionByName(_filed(filed.filter(F.col("range").isin(large)).drop("range"), tables, 1))
-        sought = sought.unionByName(_filed(asked, tables, probes))
-    found = _lists(_scored(stored, sought, k), members, k)
-    if large:
-        total = min(rows.count(), k + 1)
-        found = stage(found, "found")
-        short = stage(asked.join(found.filter(F.size("all") >= total).select(F.col("q").alias("c")), "c", "left_anti"), "short")
-        if short.head(1):
-            every = _scored(_together(filed.drop("range")), _together(short), k)
-            found = (found.join(short.select(F.col("c").alias("q")), "q", "left_anti")
-                     .unionByName(_lists(every, members, k)))
+    scored = stage(_scored(_filed(kinds.select("c", "first", "vec"), tables, 1), _filed(asked, tables, probes), k), "scored")
+    visits = stage(_visits(kinds, _lists(scored, members, k), k, min(rows.count(), k + 1), sizes["d"] if sizes else 1), "visits")
+    if visits.head(1):
+        whole = stage(kinds.select("c", "first", "vec", F.lit(-1).alias("t"), F.col("range").alias("axis")), "ranges")
+        scored = _best(scored.unionByName(_scored(whole, visits, k)))
+    found = _lists(scored, members, k)
     queries = rows.filter("asked").select(F.col("vec_id").alias("query_id"), F.col("c").alias("q"))
     own = queries.join(found, "q").select("query_id", F.posexplode(F.slice(
         F.filter("all", lambda x: x["i"] != F.col("query_id")), 1, k)).alias("n", "x"))
     return own.select("query_id", (F.col("n") + 1).alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))
 
 
+def _visits(kinds: DataFrame, found: DataFrame, k: int, total: int, dim: int) -> DataFrame:
+    """c, vec, t, axis: the ranges (``axis``) of which a query class has to meet all vectors.
+
+    A vector of range r is at most RATIO ** (r + 0.5) long.  To beat the score s of the row k + 1
+    (the query is one of these rows) it needs a cosine of s / (length of the query * that).
+    """
+    ends = kinds.agg(F.min("range").alias("lo"), F.max("range").alias("hi")).first()
+    lo, hi = (ends["lo"], ends["hi"]) if ends["lo"] is not None else (0, 0)
+    least = ANGLE / np.sqrt(dim)
+    n = F.coalesce(F.size("all"), F.lit(0))
+    score = -F.element_at("all", k + 1)["s"]
+    step = (F.log(score) - F.log(F.lit(least)) - F.col("length")) / np.log(RATIO) - 0.5
+    # ranges above step; infinite scores, which numbers cannot tell apart, have none
+    start = (F.when(n < total, F.lit(lo)).when(n <= k, F.lit(hi + 1)).when(score <= 0, F.lit(lo))
+             .otherwise(F.least(F.greatest(F.floor(step) + 1, F.lit(lo)), F.lit(hi + 1)).cast("int")))
+    wanted = (kinds.filter("asked").join(found.withColumnRenamed("q", "c"), "c", "left")
+              .select("c", "vec", start.alias("start")).filter(F.col("start") <= hi)
+              .select("c", "vec", F.explode(F.sequence("start", F.lit(hi))).alias("axis")))
+    # as many ranges as lengths that numbers can have, at most
+    there = kinds.select(F.col("range").alias("axis")).distinct()
+    return wanted.join(there, "axis", "left_semi").withColumn("t", F.lit(-1))
+
+
 def _scored(stored: DataFrame, sought: DataFrame, k: int) -> DataFrame:
     """q, c, score, first: the k + 1 best stored classes of every pair of blocks that share a bucket."""
     stored, sought = _blocks(stored, sought), _blocks(sought, stored)
@@ -160,7 +174,11 @@ def _scored(stored: DataFrame, sought: DataFrame, k: int) -> DataFrame:
     key = ["t", "axis", "qb", "cb"]
     found = (left.groupBy(*key).cogroup(right.groupBy(*key))
              .applyInPandas(rank, "q binary, c binary, first long, score double"))
-    # a class found in several tables has the same score but for rounding
+    return _best(found)
+
+
+def _best(found: DataFrame) -> DataFrame:
+    """A class found in several tables once; it has the same score but for rounding."""
     return found.groupBy("q", "c").agg(F.max("score").alias("score"), F.first("first").alias("first"))
 
 
@@ -172,11 +190,6 @@ def _lists(found: DataFrame, members: DataFrame, k: int) -> DataFrame:
     return ids.groupBy("q").agg(F.sort_array(F.flatten(F.collect_list("part"))).alias("all"))
 
 
-def _together(kinds: DataFrame) -> DataFrame:
-    """All in one bucket; stored, as both sides of a search may come from one table."""
-    return stage(kinds.withColumn("t", F.lit(-1)).withColumn("axis", F.lit(0)), "together")
-
-
 def _filed(kinds: DataFrame, tables: int, probes: int) -> DataFrame:
     """A row for every table and axis a vector is filed (or sought) under."""
 
