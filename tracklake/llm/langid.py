@@ -4,7 +4,7 @@ A text's bytes are cut into windows.  One gated recurrent unit reads a window
 forwards, another backwards, and both states label every byte with
 probabilities of the languages.  The mean over all bytes of the text is the
 document's.  The network is trained here, in numpy, by backpropagation through
-time on windows of a bounded sample of labelled rows.
+time on windows from anywhere in the texts of a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
@@ -13,14 +13,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import with_columns_from
+from .common import rows_from, stage, with_columns_from
 
 TRAIN_DOCS = 400      # documents of a language in the training sample
-TRAIN_CHARS = 2000    # characters of each that are read
 WINDOW = 64           # bytes the network reads at a stretch
 HIDDEN = 8            # units of each direction
 STEPS, BATCH, RATE = 500, 128, 0.01
 AT_ONCE = 2048        # windows labelled together
+TRAIN_WINDOWS = STEPS * BATCH // 4  # windows of a language that training draws from
 NONE = "und"
 
 
@@ -171,20 +171,50 @@ class Labeller:
         return total / np.maximum(total.sum(axis=1, keepdims=True), 1e-30)
 
 
+def _by_lang(values: dict) -> F.Column:
+    """The value of the row's language; there are as many as the network has outputs."""
+    return F.element_at(F.create_map(*[F.lit(x) for item in values.items() for x in item]), F.col("lang"))
+
+
+def _sampled(batches):
+    """All windows of texts, with a number that is random but the same in every run."""
+    for b in batches:
+        cut = [windows_of(t.encode()) for t in b["text"]]
+        for lang, key, w in zip(b["lang"], b["key"], cut):
+            at = np.arange(len(w), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key % 2 ** 64)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # splitmix64
+                at = (at ^ (at >> np.uint64(shift))) * np.uint64(factor)
+            order = (at ^ (at >> np.uint64(31))).view(np.int64)
+            yield {"lang": [lang] * len(w), "order": order, "window": [r.tobytes() for r in w]}
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id",
           docs: int = TRAIN_DOCS) -> Labeller | None:
-    """Fit on at most ``docs`` documents of each language, those with the smallest hashed id, and at
-    most ``TRAIN_CHARS`` characters of each; None without a labelled text."""
+    """Fit on at most ``docs`` documents of each language, those with the smallest hashed id, one of an
+    id; None without a labelled text.
+
+    Whole texts are read, by tasks; the driver gets at most ``TRAIN_WINDOWS`` windows of a language,
+    picked by hash from anywhere in these texts.
+    """
     rows = labelled.filter(F.col(lang).isNotNull() & (F.length(F.trim(text)) > 0)).select(
-        F.substring(text, 1, TRAIN_CHARS).alias("text"), F.col(lang).alias("lang"), F.xxhash64(order).alias("order"))
-    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("order", "text")))
-    sample = ranked.filter(F.col("n") <= docs).drop("n").toPandas().sort_values(["lang", "order", "text"])
-    if not len(sample):
+        F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(order).alias("key"))
+    keys = stage(rows.groupBy("lang", "key").count().drop("count"), "languages")
+    langs = {r["lang"]: r["count"] for r in keys.groupBy("lang").count().collect()}
+    if not langs:
         return None
-    langs = sorted(sample["lang"].unique())
-    cut = [windows_of(t.encode()) for t in sample["text"]]
-    labels = np.repeat([langs.index(x) for x in sample["lang"]], [len(c) for c in cut])
-    rows = np.concatenate(cut)
+    # four times as many as wanted lie below the first bound, so that not each task sends ``docs`` keys to one
+    bound = {v: min(2.0 ** 63, 2.0 ** 64 * 4 * max(docs, 50) / n - 2.0 ** 63) for v, n in langs.items()}
+    low = keys.filter(F.col("key").cast("double") <= _by_lang(bound))
+    ranked = low.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
+    last = {r["lang"]: r["last"] for r in ranked.filter(F.col("n") <= docs).groupBy("lang").agg(F.max("key").alias("last")).collect()}
+    sample = stage(rows.filter(F.col("key") <= _by_lang(last)).groupBy("lang", "key")
+                   .agg(F.min_by("text", F.xxhash64("text")).alias("text")), "sample")
+    windows = rows_from(sample, _sampled, "lang string, order long, window binary", 50)
+    first = windows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("order", "window")))
+    picked = first.filter(F.col("n") <= TRAIN_WINDOWS).drop("n").toPandas().sort_values(["lang", "order", "window"])
+    langs = sorted(langs)
+    labels = picked["lang"].map(langs.index).to_numpy()
+    rows = np.frombuffer(b"".join(picked["window"]), dtype=np.uint8).reshape(-1, WINDOW)
     # as many windows of every language
     each = [np.flatnonzero(labels == k) for k in range(len(langs))]
     size = max(len(e) for e in each)
