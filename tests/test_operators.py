@@ -36,10 +36,28 @@ def test_cylinder_horizontal_inside_start(spark):
 
 
 # ------------------------------------------------------------------ T2/T3 energies
+def _moved(spark, e, length, e_i, d_i, e_f, d_f):
+    """A track from (1, 2, 3) along (0.6, 0, 0.8), with the positions of its entry and exit."""
+    at = lambda d: (1 + 0.6 * d, 2.0, 3 + 0.8 * d)
+    return spark.createDataFrame([(1, 2, 1.0, 2.0, 3.0, e, length, e_i, *at(d_i), e_f, *at(d_f))],
+                                 "event_id long, particle_idx long, x double, y double, z double, energy double, length double, "
+                                 "e_i double, x_i double, y_i double, z_i double, e_f double, x_f double, y_f double, z_f double")
+
+
+def test_losses_lie_where_their_positions_are(spark):
+    tree = spark.createDataFrame([(1, 10, 2, 50.0, 181.0, 2.0, 243.0), (1, 11, 2, 100.0, 1.0, 502.0, 3.0),
+                                  (1, 12, 10, 7.0, 0.0, 0.0, 0.0)],
+                                 "event_id long, idx long, parent_idx long, energy double, x double, y double, z double")
+    t = _moved(spark, 1000.0, 1000.0, 900.0, 100.0, 100.0, 800.0)
+    got = truth.cumulative_losses(t, tree).orderBy("idx").collect()
+    assert [(r.idx, r.dist, r.elost) for r in got] == [(10, 300.0, 50.0), (11, 500.0, 150.0)]
+    cps, losses = truth.loss_tables(t, tree)
+    assert [(r.len, r.e) for r in cps.orderBy("k").collect()] == [(0, 1000), (100, 900), (800, 100), (1000, 0)]
+    assert [(r.len, r.e) for r in losses.orderBy("j").collect()] == [(0, 0), (300, 50), (500, 150), (800, 0), (1000, 0)]
+
+
 def _track(spark, e=1000.0, length=1000.0, e_i=900.0, d_i=100.0, e_f=100.0, d_f=800.0):
-    t = spark.createDataFrame([(1, e, length, e_i, d_i, e_f, d_f)],
-                              "event_id long, energy double, length double, e_i double, d_i double, "
-                              "e_f double, d_f double")
+    t = _moved(spark, e, length, e_i, d_i, e_f, d_f)
     losses = spark.createDataFrame([(1, 10, 300.0, 50.0, 50.0), (1, 11, 500.0, 100.0, 150.0)],
                                    "event_id long, idx long, dist double, energy double, elost double")
     return truth.with_checkpoints(t, losses)
@@ -65,9 +83,7 @@ def test_energy_at_rules(spark):
 
 def test_energy_assertion_to_null(spark):
     # losses larger than the checkpoint energy -> NULL and failed
-    t = spark.createDataFrame([(1, 100.0, 1000.0, 10.0, 100.0, 0.0, 800.0)],
-                              "event_id long, energy double, length double, e_i double, d_i double, "
-                              "e_f double, d_f double")
+    t = _moved(spark, 100.0, 1000.0, 10.0, 100.0, 0.0, 800.0)
     losses = spark.createDataFrame([(1, 10, 300.0, 50.0, 50.0)],
                                    "event_id long, idx long, dist double, energy double, elost double")
     c = truth.with_checkpoints(t, losses)
@@ -559,6 +575,55 @@ def test_unknown_sensor_is_an_error(spark):
     geo = spark.createDataFrame([(1, 1.0, 2.0, 3.0)], "dom_id long, x double, y double, z double")
     with pt.raises(Exception, match="unknown sensor 9"):
         event_position(hits, geo).collect()
+    from tracklake.operators.features import dom_positions
+    for columns in (["event_id"], ["y"], ["dom_id", "r"]):  # also where x is not read
+        with pt.raises(Exception, match="unknown sensor 9"):
+            dom_positions(hits, geo).select(*columns).collect()
+    with pt.raises(Exception, match="unknown sensor 9"):
+        dom_positions(hits, geo).count()
+
+
+def test_frames_of_listed_files_and_required_keys(spark, tmp_path):
+    import pytest as pt
+
+    from conftest import SMALL
+    from pyspark.sql import functions as F
+    from tracklake.sources import fixtures as fx
+    from tracklake.sources import frames as fr
+    nested = fr.nest_frames(fx.frames(spark, SMALL)).where("stop = 'Physics'").limit(6).coalesce(1)
+    fr.write_table(nested, str(tmp_path / "a"), ())
+    fr.write_table(nested.withColumn("event_id", F.col("event_id") + 10**9), str(tmp_path / "b"), ())
+    name, = [p for p in (tmp_path / "b").iterdir() if p.name.endswith(".parquet")]
+    (tmp_path / "b" / "other.txt").write_text("not a frame file")
+    whole = fr.read_frames(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+    assert whole.count() == 12 and whole.select("source_file").distinct().count() == 2
+    assert fr.read_frames(spark, [str(tmp_path / "a"), str(name)]).count() == 12
+    assert fr.read_frames(spark, [str(tmp_path / "b")], glob=name.name).count() == 6
+    assert fr.flatten_nested(whole).select("E_exit", "OneWeight", "NEvent", "MCPrimaryCosZen").count() == 12
+
+    def without(m, key):
+        return fr.flatten_nested(nested.withColumn(m, F.map_filter(m, lambda k, v: k != key)))
+
+    for m, key in (("scalars", "L5_rlogl"), ("weight_dict", "NEvents")):
+        with pt.raises(Exception, match=f"has no {key}"):
+            without(m, key).select("cog_x").collect()
+    with pt.raises(Exception, match="has no primary"):
+        fr.flatten_nested(nested.withColumn("primary", F.expr("CAST(NULL AS " + fr.FRAME_SCHEMA["primary"].dataType.simpleString() + ")"))).count()
+    assert without("reco", fr.MUEX_KEY).where("E_muex IS NULL").count() == 6  # energies may be missing
+    nan = fr.flatten_nested(nested.withColumn("scalars", F.transform_values("scalars", lambda k, v: F.lit(float("nan")))))
+    assert nan.where("rlogl IS NULL AND nch IS NULL").count() == 6
+
+
+def test_truth_of_an_event_has_one_source(spark):
+    from conftest import SMALL
+    from pyspark.sql import functions as F
+    from tracklake.operators.features import flatten_features
+    from tracklake.sources import fixtures as fx
+    f = fx.frames(spark, SMALL).where("stop = 'Physics'").limit(3).withColumn("event_id", F.monotonically_increasing_id())
+    f = f.withColumn("e_entry", F.when(F.col("event_id") != 1, 5.0)).withColumn("e_exit", F.when(F.col("event_id") != 2, 1.0))
+    truth = spark.createDataFrame([(0, 8.0, 7.0), (1, 8.0, 7.0), (2, 8.0, None)], "event_id long, e_entry double, e_exit double")
+    got = {r.event_id: (r.E_entry, r.E_exit) for r in flatten_features(f.coalesce(1), truth).collect()}
+    assert got == {0: (5.0, 1.0), 1: (8.0, 7.0), 2: (8.0, None)}
 
 
 def test_range_ignores_values_that_are_not_finite(spark):

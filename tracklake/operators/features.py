@@ -45,8 +45,8 @@ L5_SCALARS = ["cog_rho", "cog_z", "lseparation", "nch", "bayes_llh_diff", "cos_z
 
 # feature table column order
 FEATURE_COLUMNS = (["event_id", "dataset"] + L5_SCALARS +
-                   ["E_truncated", "E_muex", "E_dnn", "random_variable", "E_entry", "TIntProbW",
-                    "MCPrimaryEnergy", "MCPrimaryType", "cog_x", "cog_y"])
+                   ["E_truncated", "E_muex", "E_dnn", "random_variable", "E_entry", "E_exit", "OneWeight", "NEvent", "TIntProbW",
+                    "MCPrimaryEnergy", "MCPrimaryType", "MCPrimaryCosZen", "cog_x", "cog_y"])
 
 
 def physics_frames(frames: DataFrame) -> DataFrame:
@@ -68,8 +68,9 @@ def flatten_features(frames: DataFrame, truth: DataFrame | None = None,
                      w_ace: DataFrame | None = None) -> DataFrame:
     """Flat feature table from Physics frames.
 
-    truth  optional (event_id, e_entry, e_exit) computed truth (P11): stored
-           keys win, computed ones fill gaps.
+    truth  optional (event_id, e_entry, e_exit) computed truth (P11): an event
+           with both stored keys keeps them, any other takes both computed
+           energies, so the two of an event have one source.
     w_ace  optional (event_id, e_predicted, e_truth) (P10): the truth replaces
            E_entry and E_predicted is added.
     """
@@ -77,22 +78,26 @@ def flatten_features(frames: DataFrame, truth: DataFrame | None = None,
     if truth is not None:
         f = f.join(truth.select("event_id", F.col("e_entry").alias("_t_entry"),
                                 F.col("e_exit").alias("_t_exit")), "event_id", "left")
-        e_entry = F.coalesce(F.col("e_entry"), F.col("_t_entry"))
+        stored = F.col("e_entry").isNotNull() & F.col("e_exit").isNotNull()
+        e_entry = F.when(stored, F.col("e_entry")).otherwise(F.col("_t_entry"))
+        e_exit = F.when(stored, F.col("e_exit")).otherwise(F.col("_t_exit"))
     else:
-        e_entry = F.col("e_entry")
+        e_entry, e_exit = F.col("e_entry"), F.col("e_exit")
     cols = [F.col("event_id"), F.col("dataset")] + [F.col(c) for c in L5_SCALARS] + [
         log_energy("e_truncated_gev").alias("E_truncated"),
         log_energy("e_muex_gev").alias("E_muex"),
         dnn_energy().alias("E_dnn"),
         noise_feature().alias("random_variable"),
         e_entry.alias("E_entry"),
+        e_exit.alias("E_exit"),
+        F.col("one_weight").alias("OneWeight"),
+        F.col("n_events").alias("NEvent"),
         F.col("tint_prob_w").alias("TIntProbW"),
         F.col("mc_primary_energy").alias("MCPrimaryEnergy"),
         F.col("mc_primary_type").alias("MCPrimaryType"),
+        F.cos("mc_primary_zenith").alias("MCPrimaryCosZen"),
         F.col("cog_x"), F.col("cog_y"),
     ]
-    if truth is not None:
-        cols.append(F.col("_t_exit").alias("E_exit"))
     out = f.select(*cols)
     if w_ace is not None:
         out = override_truth(out, w_ace)
@@ -142,7 +147,8 @@ def dom_positions(hits: DataFrame, geometry: DataFrame) -> DataFrame:
     geo = geometry.select("dom_id", "x", "y", "z", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2).alias("r"))
     found = hits.join(sized_broadcast(geo.withColumn("_known", F.lit(True))), "dom_id", "left")
     unknown = F.raise_error(F.concat(F.lit("hit on unknown sensor "), F.coalesce(F.col("dom_id").cast("string"), F.lit("null"))))
-    return found.withColumn("x", F.when(F.col("_known"), F.col("x")).otherwise(unknown)).drop("_known")
+    # a condition on rows, which no choice of columns prunes
+    return found.where(F.when(F.col("_known"), F.lit(True)).otherwise(unknown.cast("boolean"))).drop("_known")
 
 
 def event_position(hits: DataFrame, geometry: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.energy import exp_energy, hash_uniform, hash_uniform_sql, log_energy
@@ -9,18 +11,19 @@ from ..operators import features as ft
 from ..operators.common import rounded
 from ..sources import fixtures as fx
 from ..sources import frames as fr
+from ..session import checkpoint_dir
 from .catalog import oracle, query
 
 FRAME_DOUBLES = ["cog_x", "cog_y", "cog_z", "nch", "cos_zenith", "e_truncated_gev", "e_muex_gev", "e_dnn_hive",
-                 "e_dnn_alt", "e_entry", "mc_primary_energy", "tint_prob_w", "cog_rho", "lseparation",
+                 "e_dnn_alt", "e_entry", "e_exit", "mc_primary_energy", "mc_primary_zenith", "tint_prob_w", "one_weight", "n_events", "cog_rho", "lseparation",
                  "bayes_llh_diff", "rlogl", "ldir_c", "ndir_c", "sigma_paraboloid", "sdir_e"]
 FRAME_OTHERS = ["event_id", "stop", "dataset", "mc_primary_type"]
 
 # SQL forms of the feature expressions (same rules as the column functions)
 LOG_SQL = "CASE WHEN {c} > 0 THEN log10({c}) WHEN {c} = 0 THEN cast('-inf' AS double) END"
 L5 = ft.L5_SCALARS
-FEAT_DOUBLES = L5 + ["E_truncated", "E_muex", "E_dnn", "random_variable", "E_entry", "TIntProbW",
-                     "MCPrimaryEnergy", "cog_x", "cog_y"]
+FEAT_DOUBLES = L5 + ["E_truncated", "E_muex", "E_dnn", "random_variable", "E_entry", "E_exit", "OneWeight",
+                     "NEvent", "TIntProbW", "MCPrimaryEnergy", "MCPrimaryCosZen", "cog_x", "cog_y"]
 FEAT_OTHERS = ["event_id", "dataset", "MCPrimaryType"]
 FEATURES_SQL = (
     "SELECT event_id, dataset, " + ", ".join(L5) + ", "
@@ -28,8 +31,9 @@ FEATURES_SQL = (
     + LOG_SQL.format(c="e_muex_gev") + " AS E_muex, "
     "coalesce(e_dnn_hive, e_dnn_alt) AS E_dnn, "
     + hash_uniform_sql("event_id", 10.0) + " AS random_variable, "
-    "e_entry AS E_entry, tint_prob_w AS TIntProbW, mc_primary_energy AS MCPrimaryEnergy, "
-    "mc_primary_type AS MCPrimaryType, cog_x, cog_y FROM frames WHERE stop = 'Physics'"
+    "e_entry AS E_entry, e_exit AS E_exit, one_weight AS OneWeight, n_events AS NEvent, tint_prob_w AS TIntProbW, "
+    "mc_primary_energy AS MCPrimaryEnergy, mc_primary_type AS MCPrimaryType, "
+    "cos(mc_primary_zenith) AS MCPrimaryCosZen, cog_x, cog_y FROM frames WHERE stop = 'Physics'"
 )
 
 
@@ -50,11 +54,16 @@ def flatten_features(spark, sf):
     return rounded(_features(spark, sf))
 
 
-# The same table through the nested frame shape (map/struct access)
+# The same table through files of the nested frame shape (map/struct access)
 @query("scan_frames", oracle(FEATURES_SQL, ["frames"], FEAT_DOUBLES, FEAT_OTHERS))
 def scan_frames(spark, sf):
+    """Frame files of two folders, named by a list of paths and a glob; required keys have to be there."""
     nested = fr.nest_frames(fx.frames(spark, sf))
-    return rounded(fr.flatten_nested(nested))
+    root = f"{checkpoint_dir(spark).rstrip('/')}/frames-{uuid.uuid4().hex}"
+    paths = [f"{root}/even", f"{root}/odd"]
+    for part, path in enumerate(paths):
+        fr.write_table(nested.where(F.pmod("event_id", F.lit(2)) == part), path, partition_by=())
+    return rounded(fr.flatten_nested(fr.read_frames(spark, paths, glob="part-*.parquet")))
 
 
 # ------------------------------------------------------------------ P4

@@ -55,21 +55,26 @@ def cyl_sql(src: str) -> str:
         f"FROM {src}) a1) a2) a3) a4) a5")
 
 
-DL_SQL = ("SELECT p.event_id, row_number() OVER (PARTITION BY p.event_id ORDER BY p.idx) AS j, p.idx, p.dist, "
-          "p.dist AS len, sum(p.energy) OVER (PARTITION BY p.event_id ORDER BY p.idx ROWS BETWEEN UNBOUNDED PRECEDING "
+def distance_sql(a: str, b: str, edge: str = "") -> str:
+    return "sqrt(" + " + ".join(f"({a}.{c}{edge} - {b}.{c}) * ({a}.{c}{edge} - {b}.{c})" for c in "xyz") + ")"
+
+
+D_I_SQL, D_F_SQL = distance_sql("tr", "tr", "_i"), distance_sql("tr", "tr", "_f")
+DL_SQL = ("SELECT p.event_id, row_number() OVER (PARTITION BY p.event_id ORDER BY p.idx) AS j, p.idx, "
+          + distance_sql("p", "tr") + " AS dist, " + distance_sql("p", "tr") + " AS len, sum(p.energy) OVER (PARTITION BY p.event_id ORDER BY p.idx ROWS BETWEEN UNBOUNDED PRECEDING "
           "AND CURRENT ROW) AS e FROM particles p JOIN tr ON p.event_id = tr.event_id AND p.parent_idx = tr.particle_idx")
 NL_SQL = "SELECT event_id, count(*) AS nd FROM dl GROUP BY event_id"
 LOSSES_SQL = (
     "SELECT event_id, 0 AS j, cast(0 AS double) AS len, cast(0 AS double) AS e FROM tr "
     "UNION ALL SELECT event_id, j, len, e FROM dl "
-    "UNION ALL SELECT tr.event_id, nl.nd + 1, tr.d_f, cast(0 AS double) FROM tr JOIN nl ON tr.event_id = nl.event_id "
+    "UNION ALL SELECT tr.event_id, nl.nd + 1, " + D_F_SQL + ", cast(0 AS double) FROM tr JOIN nl ON tr.event_id = nl.event_id "
     "WHERE tr.e_f > 0 "
     "UNION ALL SELECT tr.event_id, nl.nd + 1 + CASE WHEN tr.e_f > 0 THEN 1 ELSE 0 END, tr.length, cast(0 AS double) "
     "FROM tr JOIN nl ON tr.event_id = nl.event_id")
 CPS_SQL = (
     "SELECT event_id, 0 AS k, cast(0 AS double) AS len, energy AS e, 0 AS off FROM tr "
-    "UNION ALL SELECT event_id, 1, d_i, e_i, 1 FROM tr WHERE e_i > 0 "
-    "UNION ALL SELECT tr.event_id, CASE WHEN tr.e_i > 0 THEN 2 ELSE 1 END, tr.d_f, tr.e_f, nl.nd + 1 "
+    "UNION ALL SELECT event_id, 1, " + D_I_SQL + ", e_i, 1 FROM tr WHERE e_i > 0 "
+    "UNION ALL SELECT tr.event_id, CASE WHEN tr.e_i > 0 THEN 2 ELSE 1 END, " + D_F_SQL + ", tr.e_f, nl.nd + 1 "
     "FROM tr JOIN nl ON tr.event_id = nl.event_id WHERE tr.e_f > 0 "
     "UNION ALL SELECT tr.event_id, 1 + CASE WHEN tr.e_i > 0 THEN 1 ELSE 0 END + CASE WHEN tr.e_f > 0 THEN 1 ELSE 0 END, "
     "tr.length, cast(0 AS double), nl.nd + 1 + CASE WHEN tr.e_f > 0 THEN 1 ELSE 0 END "
@@ -312,11 +317,12 @@ def truth_column(spark, sf):
 
 
 @query("truth_source", oracle(
-    "SELECT f.event_id, coalesce(f.e_entry, e.e_entry) AS E_entry, e.e_exit AS E_exit FROM frames f "
+    "SELECT f.event_id, CASE WHEN f.e_entry IS NULL OR f.e_exit IS NULL THEN e.e_entry ELSE f.e_entry END AS E_entry, "
+    "CASE WHEN f.e_entry IS NULL OR f.e_exit IS NULL THEN e.e_exit ELSE f.e_exit END AS E_exit FROM frames f "
     "LEFT JOIN edges e ON e.event_id = f.event_id WHERE f.stop = 'Physics'", ["frames", "particles", "tracks"],
     ["E_entry", "E_exit"], ["event_id"], ctes=EDGE_CTES, digits=4))
 def truth_source(spark, sf):
-    """Stored truth keys win; the computed edge energies fill the gaps."""
+    """Both stored truth keys of an event, or both its computed edge energies."""
     p, t = _parts(spark, sf)
     feats = ft.flatten_features(fx.frames(spark, sf), truth=th.edge_energies_tables(t, p))
     return rounded(feats.select("event_id", "E_entry", "E_exit"), 4)

@@ -50,9 +50,14 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.log10(p) + 0.01).alias("e_dnn_alt"),
         F.when(k % 29 == 0, F.lit(0.0)).when(k % 31 == 0, F.lit(None).cast("double"))
          .otherwise(p).alias("e_entry"),
+        F.when((k % 29 == 0) | (k % 5 == 0), F.lit(0.0)).when(k % 31 == 0, F.lit(None).cast("double"))
+         .otherwise(p * 0.25).alias("e_exit"),
         (p * 1.5).alias("mc_primary_energy"),
         F.when(c % 2 == 0, F.lit(14)).otherwise(F.lit(-14)).alias("mc_primary_type"),
+        (_d(c % 314) / 100.0).alias("mc_primary_zenith"),
         (_d(c % 101) / 10000.0 + 0.0001).alias("tint_prob_w"),
+        (p * 1000.0).alias("one_weight"),
+        F.when(k % 3 == 1, F.lit(250.0)).otherwise(F.lit(10000.0)).alias("n_events"),
         # level-5 reconstruction scalars (extension of the frame shape)
         F.sqrt(cog_x * cog_x + cog_y * cog_y).alias("cog_rho"),
         _d((k * 7) % 1000).alias("lseparation"),
@@ -79,9 +84,13 @@ FRAMES_SQL = """SELECT o_orderkey AS event_id,
   CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE log10(o_totalprice) END AS e_dnn_hive,
   log10(o_totalprice) + 0.01 AS e_dnn_alt,
   CASE WHEN o_orderkey % 29 = 0 THEN 0.0 WHEN o_orderkey % 31 = 0 THEN NULL ELSE o_totalprice END AS e_entry,
+  CASE WHEN o_orderkey % 29 = 0 OR o_orderkey % 5 = 0 THEN 0.0 WHEN o_orderkey % 31 = 0 THEN NULL ELSE o_totalprice * 0.25 END AS e_exit,
   o_totalprice * 1.5 AS mc_primary_energy,
   CASE WHEN o_custkey % 2 = 0 THEN 14 ELSE -14 END AS mc_primary_type,
+  cast(o_custkey % 314 AS double) / 100.0 AS mc_primary_zenith,
   cast(o_custkey % 101 AS double) / 10000.0 + 0.0001 AS tint_prob_w,
+  o_totalprice * 1000.0 AS one_weight,
+  CASE WHEN o_orderkey % 3 = 1 THEN 250.0 ELSE 10000.0 END AS n_events,
   sqrt((cast((o_custkey * 37) % 1001 AS double) - 500.0) * (cast((o_custkey * 37) % 1001 AS double) - 500.0)
      + (cast((o_custkey * 91) % 1001 AS double) - 500.0) * (cast((o_custkey * 91) % 1001 AS double) - 500.0)) AS cog_rho,
   cast((o_orderkey * 7) % 1000 AS double) AS lseparation,
@@ -146,7 +155,10 @@ def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
         pdg.cast("int").alias("pdg"),
         F.when((i == 1) & (e % 4 == 0), "Anywhere").otherwise("InIce").alias("location_type"),
         (F.col("l_extendedprice") / 100.0).alias("energy"),
-        (F.col("l_quantity") * 20.0).alias("dist"),
+        # losses lie along (0.6, 0, 0.8) from the start of the event's track
+        (_d((e * 37) % 2801) - 1400.0 + F.col("l_quantity") * 12.0).alias("x"),
+        (_d((e * 91) % 2801) - 1400.0).alias("y"),
+        (_d((e * 53) % 2401) - 1200.0 + F.col("l_quantity") * 16.0).alias("z"),
     )
 
 
@@ -161,7 +173,10 @@ PARTICLES_SQL = """SELECT event_id, cast(idx AS bigint) AS idx,
        WHEN idx = 6 AND event_id % 2 = 0 THEN 12
        ELSE 99 END AS pdg,
   CASE WHEN idx = 1 AND event_id % 4 = 0 THEN 'Anywhere' ELSE 'InIce' END AS location_type,
-  l_extendedprice / 100.0 AS energy, l_quantity * 20.0 AS dist
+  l_extendedprice / 100.0 AS energy,
+  cast((event_id * 37) % 2801 AS double) - 1400.0 + l_quantity * 12.0 AS x,
+  cast((event_id * 91) % 2801 AS double) - 1400.0 AS y,
+  cast((event_id * 53) % 2401 AS double) - 1200.0 + l_quantity * 16.0 AS z
 FROM (SELECT l_orderkey AS event_id, l_extendedprice, l_quantity,
         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS idx
       FROM lineitem) t"""
@@ -171,21 +186,20 @@ FROM (SELECT l_orderkey AS event_id, l_extendedprice, l_quantity,
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k, c, p = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
+    x, y, z = _d((k * 37) % 2801) - 1400.0, _d((k * 91) % 2801) - 1400.0, _d((k * 53) % 2401) - 1200.0
     return o.select(
         k.alias("event_id"),
         F.lit(1).alias("track_no"),
         F.lit(2).cast("bigint").alias("particle_idx"),
-        (_d((k * 37) % 2801) - 1400.0).alias("x"),
-        (_d((k * 91) % 2801) - 1400.0).alias("y"),
-        (_d((k * 53) % 2401) - 1200.0).alias("z"),
+        x.alias("x"), y.alias("y"), z.alias("z"),
         F.acos(_d(c % 199) / 100.0 - 0.99).alias("zenith"),
         (_d(c % 628) / 100.0).alias("azimuth"),
         p.alias("energy"),
         (500.0 + _d(k % 2500)).alias("length"),
         F.when(k % 7 == 0, F.lit(0.0)).otherwise(p * 0.9).alias("e_i"),
-        F.lit(100.0).alias("d_i"),
+        (x + 60.0).alias("x_i"), y.alias("y_i"), (z + 80.0).alias("z_i"),
         F.when(k % 3 == 0, F.lit(0.0)).otherwise(p * 0.1).alias("e_f"),
-        F.lit(450.0).alias("d_f"),
+        (x + 270.0).alias("x_f"), y.alias("y_f"), (z + 360.0).alias("z_f"),
     )
 
 
@@ -196,8 +210,12 @@ TRACKS_SQL = """SELECT o_orderkey AS event_id, 1 AS track_no, cast(2 AS bigint)
   acos(cast(o_custkey % 199 AS double) / 100.0 - 0.99) AS zenith,
   cast(o_custkey % 628 AS double) / 100.0 AS azimuth,
   o_totalprice AS energy, 500.0 + cast(o_orderkey % 2500 AS double) AS length,
-  CASE WHEN o_orderkey % 7 = 0 THEN 0.0 ELSE o_totalprice * 0.9 END AS e_i, cast(100 AS double) AS d_i,
-  CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE o_totalprice * 0.1 END AS e_f, cast(450 AS double) AS d_f
+  CASE WHEN o_orderkey % 7 = 0 THEN 0.0 ELSE o_totalprice * 0.9 END AS e_i,
+  cast((o_orderkey * 37) % 2801 AS double) - 1340.0 AS x_i, cast((o_orderkey * 91) % 2801 AS double) - 1400.0 AS y_i,
+  cast((o_orderkey * 53) % 2401 AS double) - 1120.0 AS z_i,
+  CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE o_totalprice * 0.1 END AS e_f,
+  cast((o_orderkey * 37) % 2801 AS double) - 1130.0 AS x_f, cast((o_orderkey * 91) % 2801 AS double) - 1400.0 AS y_f,
+  cast((o_orderkey * 53) % 2401 AS double) - 840.0 AS z_f
 FROM orders"""
 
 
