@@ -538,6 +538,26 @@ def test_dfs_from_marked_primary(spark):
         .withColumn("energy", F.lit(1.0))
     assert tree.interacting_neutrino(p, primary=F.col("idx") == 2).first().nu_idx == 4
     assert tree.interacting_neutrino(p, primary=F.col("idx") == 1).first().nu_idx == 3
+    assert tree.interacting_neutrino(p).collect()[0].nu_idx == 3  # the first root alone
+
+
+def test_several_roots_and_products_from_the_primary(spark, monkeypatch):
+    """Interactions below two roots; neither path, lengths nor hot groups mix them up."""
+    from tracklake.operators import running
+    rows = []
+    for e in range(1, 4):
+        rows += [(e, 1, None, 13, "InIce", 1.0), (e, 2, None, 14, "Anywhere", 2.0), (e, 3, 1, 12, "InIce", 3.0),
+                 (e, 4, 3, 11, "InIce", 4.0), (e, 5, 3, 99, "InIce", 5.0), (e, 6, 2, 14, "InIce", 6.0),
+                 (e, 7, 6, 13, "InIce", 7.0), (e, 8, 6, 99, "InIce", 8.0)]
+    rows += [(4, 1, None, 13, "InIce", 1.0), (4, 2, None, 14, "InIce", 2.0)]  # nothing below the first root
+    p = spark.createDataFrame(rows, "event_id long, idx long, parent_idx long, pdg int, location_type string, energy double")
+    for hot in (running.HOT_ROWS, 1):
+        monkeypatch.setattr(running, "HOT_ROWS", hot)
+        for primary, nu, lepton in ((None, 3, 4.0), (F.col("idx") == 2, 6, 7.0)):
+            got = {r.event_id: (r.nu_idx, r.case_no, r.lepton_energy)
+                   for r in tree.interaction_products(p, primary=primary).where("event_id < 4").collect()}
+            assert got == {e: (nu, 1, lepton) for e in range(1, 4)}
+        assert tree.interacting_neutrino(p).where("event_id = 4").count() == 0
 
 
 def test_approx_quantiles_close_to_exact(spark):
@@ -702,3 +722,13 @@ def test_local_maxima_are_those_of_both_neighbours(spark):
     assert sorted(r.pos for r in scans.local_maxima(df, "c", "y", 1.0).collect()) == [1, 4, 7]
     with pytest.raises(ValueError):
         scans.local_maxima(df, "c", "y", 0.9)
+
+
+def test_dump_is_a_union_of_known_names(spark):
+    from conftest import SMALL
+    from tracklake.plans.extract import DUMP_VARIABLES, dump
+    from tracklake.sources import fixtures as fx
+    frames = fx.frames(spark, SMALL)
+    assert dump(frames, ["dataset", "true_energy"]).columns == ["dataset", "true_energy"] + [v for v in DUMP_VARIABLES if v != "true_energy"]
+    with pytest.raises(KeyError, match="no_such"):
+        dump(frames, ["no_such"])

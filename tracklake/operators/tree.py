@@ -106,15 +106,16 @@ def preorder_paths(particles: DataFrame, stop: Column | None = None,
 def interacting_neutrino(particles: DataFrame, primary: Column | None = None) -> DataFrame:
     """Per event the first in-ice neutrino in DFS order from the primary.
 
-    ``primary`` marks the start particle; by default every root of the
-    event's forest is a start.  Events where none exists get no row (the
-    reference raises).
+    ``primary`` marks the start particle (a column of ``particles``); by default
+    it is the event's first root.  Other roots of the event and what is below them
+    are not searched.  Events where none exists get no row.
     """
     match = is_neutrino(F.col("pdg")) & (F.col("location_type") == IN_ICE)
-    paths = preorder_paths(particles, stop=match, carry=("pdg", "energy"), root=primary)
+    paths = preorder_paths(particles, stop=match, carry=("pdg", "energy"),
+                           root=F.col("parent_idx").isNull() & (F.col("rank") == 1) if primary is None else primary)
     cand = paths.where(F.col("_stop"))
     return cand.groupBy("event_id").agg(
-        F.min_by(F.struct("idx", "pdg", "energy"), F.col("path")).alias("nu")
+        F.min_by(F.struct("idx", "pdg", "energy"), F.struct("path", "idx")).alias("nu")
     ).select("event_id", F.col("nu.idx").alias("nu_idx"), F.col("nu.pdg").alias("nu_pdg"),
              F.col("nu.energy").alias("nu_energy"))
 
@@ -126,15 +127,16 @@ def daughters(particles: DataFrame, nodes: DataFrame, node_col: str = "nu_idx")
         .select(particles["*"], F.col("_node").alias("parent"))
 
 
-def interaction_products(particles: DataFrame, neutrinos: DataFrame | None = None) -> DataFrame:
+def interaction_products(particles: DataFrame, neutrinos: DataFrame | None = None, primary: Column | None = None) -> DataFrame:
     """Classify the two children of the interacting neutrino.
 
     case 1: one hadron + lepton; 2: no lepton and no outgoing neutrino;
     3: no hadron + outgoing neutrino; 4: one hadron + outgoing neutrino;
     anything else, or a child count other than two: all NULL.
-    Lepton / outgoing neutrino are the last such child in child order.
+    Lepton / outgoing neutrino are the last such child in child order.  The neutrino
+    is that of ``interacting_neutrino`` from ``primary``, where none are given.
     """
-    nu = neutrinos if neutrinos is not None else interacting_neutrino(particles)
+    nu = neutrinos if neutrinos is not None else interacting_neutrino(particles, primary)
     ch = daughters(particles, nu)
     had = F.col("pdg") == HADRONS_PDG
     neu = ~had & is_neutrino(F.col("pdg"))
@@ -164,13 +166,6 @@ def interaction_products(particles: DataFrame, neutrinos: DataFrame | None = Non
     )
 
 
-def parent_of(particles: DataFrame, items: DataFrame, idx_col: str = "particle_idx") -> DataFrame:
-    """Attach the parent particle (pdg) of each item's particle."""
-    node = particles.select("event_id", F.col("idx").alias(idx_col), "parent_idx")
-    par = particles.select("event_id", F.col("idx").alias("parent_idx"), F.col("pdg").alias("parent_pdg"))
-    return items.join(node, ["event_id", idx_col], "left").join(par, ["event_id", "parent_idx"], "left")
-
-
 def numu_tracks(tracks: DataFrame, particles: DataFrame) -> DataFrame:
     """Tracks whose parent particle is a muon (anti)neutrino."""
     node = particles.select("event_id", F.col("idx").alias("particle_idx"), "parent_idx")

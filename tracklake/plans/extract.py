@@ -366,20 +366,45 @@ def dataset_tag(spark, sf):
 
 
 # ------------------------------------------------------------------ S16
-# Per-event variables dumped for the fit (those the table has)
-DUMP_VARIABLES = ["E_dnn", "E_truncated", "E_muex", "cos_zenith", "cog_z", "cog_rho", "nch", "MCPrimaryEnergy",
-                  "MCPrimaryType", "TIntProbW"]
-DUMP_REQUIRED = ["event_id", "E_entry"]
-
-
-_DUMP_COLS = [c for c in ft.FEATURE_COLUMNS if c in set(DUMP_VARIABLES) | set(DUMP_REQUIRED)]
+# Names of the per-event variables dumped beside those that a fit reads
+DUMP_VARIABLES = ["reco_energy", "reco_zenith", "true_energy", "true_zenith", "event_id", "L5_cog_rho", "L5_cog_z",
+                  "L5_lseparation", "L5_nch", "L5_bayes_llh_diff", "L5_rlogl", "L5_ldir_c", "L5_ndir_c",
+                  "L5_sigma_paraboloid", "L5_sdir_e", "non_reco_ace_energy", "non_reco_dnn_energy", "energy_muex"]
+# where the frames have them; angles in radians, energies in GeV
+_DUMP_SOURCES = {
+    "reco_energy": "e_truncated_gev", "reco_zenith": "acos(cos_zenith)", "true_energy": "mc_primary_energy",
+    "true_zenith": "mc_primary_zenith", "event_id": "event_id", "energy_muex": "e_muex_gev",
+    "non_reco_ace_energy": "pow(10.0, e_dnn_alt)", "non_reco_dnn_energy": "pow(10.0, coalesce(e_dnn_hive, e_dnn_alt))",
+    **{key: c for c, key in fr.L5_KEYS.items()},
+    "dataset": "dataset", "one_weight": "one_weight", "n_events": "n_events", "tint_prob_w": "tint_prob_w",
+}
+WEIGHT_VARIABLES = ["dataset", "one_weight", "n_events", "tint_prob_w"]
+
+
+def dump(frames, required=(), extra=DUMP_VARIABLES):
+    """The union of required and extra variables, each once, in one projection of Physics frames.
+    An unknown name is an error."""
+    names = list(dict.fromkeys([*required, *extra]))
+    unknown = [n for n in names if n not in _DUMP_SOURCES]
+    if unknown:
+        raise KeyError(f"unknown variables: {unknown}")
+    return ft.physics_frames(frames).select(*[F.expr(_DUMP_SOURCES[n]).alias(n) for n in names])
+
+
+def _dump_oracle(required):
+    names = list(dict.fromkeys([*required, *DUMP_VARIABLES]))
+    others = [n for n in names if n in ("event_id", "dataset")]
+    return oracle("SELECT " + ", ".join(f"{_DUMP_SOURCES[n]} AS {n}" for n in names) + " FROM frames WHERE stop = 'Physics'",
+                  ["frames"], [n for n in names if n not in others], others, digits=4)
+
+
+@query("dump_variables", _dump_oracle(["event_id", "reco_energy", *WEIGHT_VARIABLES]))
+def dump_variables(spark, sf):
+    """S16 of simulation: with what weights are made of."""
+    return rounded(dump(fx.frames(spark, sf), ["event_id", "reco_energy", *WEIGHT_VARIABLES]), 4)
 
 
-@query("dump_variables", oracle(
-    "SELECT " + ", ".join(_DUMP_COLS) + " FROM (" + FEATURES_SQL + ") t", ["frames"],
-    [c for c in _DUMP_COLS if c not in ("event_id", "MCPrimaryType")], ["event_id", "MCPrimaryType"]))
-def dump_variables(spark, sf):
-    """Union of required and named variables, then one projection."""
-    df = _features(spark, sf)
-    wanted = set(DUMP_REQUIRED) | set(DUMP_VARIABLES)
-    return rounded(df.select(*[c for c in df.columns if c in wanted]))
+@query("dump_data_variables", _dump_oracle(["event_id", "reco_energy"]))
+def dump_data_variables(spark, sf):
+    """S16 of data: without weights."""
+    return rounded(dump(fx.frames(spark, sf), ["event_id", "reco_energy"]), 4)

@@ -20,7 +20,7 @@ from .catalog import oracle, query
 # ----------------------------------------------------------------- SQL parts
 RANKED_SQL = "SELECT *, row_number() OVER (PARTITION BY event_id, parent_idx ORDER BY idx) AS rnk FROM particles"
 DFS_SQL = ("SELECT event_id, idx, pdg, location_type, energy, CAST([] AS INTEGER[]) AS path FROM ranked "
-           "WHERE parent_idx IS NULL UNION ALL SELECT c.event_id, c.idx, c.pdg, c.location_type, c.energy, "
+           "WHERE parent_idx IS NULL AND rnk = 1 UNION ALL SELECT c.event_id, c.idx, c.pdg, c.location_type, c.energy, "
            "list_append(r.path, CAST(-c.rnk AS INTEGER)) FROM ranked c JOIN r ON c.event_id = r.event_id "
            "AND c.parent_idx = r.idx")
 NU_SQL = ("SELECT event_id, min_by(idx, path) AS nu_idx, min_by(pdg, path) AS nu_pdg, min_by(energy, path) AS nu_energy "
