@@ -126,6 +126,31 @@ def test_dfs_differs_from_bfs(spark):
     assert got == _dfs_python(rows) == 5
 
 
+def test_search_from_below_equals_the_stack(spark):
+    """Random forests, a chain, a node that has most rows as children, circles and lost parents."""
+    rng = np.random.default_rng(5)
+    events = {}
+    for e in range(60):
+        n = int(rng.integers(1, 30))
+        idx = (rng.permutation(n) + 1).tolist()
+        events[e] = [(e, i, idx[int(rng.integers(0, k))] if k and rng.random() > 0.1 else None,
+                      int(rng.choice([13, 99, 14, -12])), str(rng.choice(["InIce", "Anywhere"], p=[0.6, 0.4])))
+                     for k, i in enumerate(idx)]
+    chain, wide, odd = 60, 61, 62
+    events[chain] = [(chain, i, i - 1 or None, 16 if i >= 2998 else 13, "InIce") for i in range(1, 3001)]
+    events[wide] = [(wide, i, min(i - 1, 2) or None, 14 if i > 4000 else 99, "InIce") for i in range(1, 8001)]
+    events[odd] = [(odd, 1, None, 13, "InIce"), (odd, 2, 4, 13, "InIce"), (odd, 3, 2, 13, "InIce"), (odd, 4, 3, 13, "InIce"),
+                   (odd, 5, 4, 14, "InIce"), (odd, 6, 77, 14, "InIce"), (odd, 7, 7, 14, "InIce"), (odd, 8, 1, 13, "InIce")]
+    p = spark.createDataFrame(sum(events.values(), []), "event_id long, idx long, parent_idx long, pdg int, location_type string") \
+        .withColumn("energy", F.col("idx").cast("double"))
+    got = {r.event_id: r.nu_idx for r in tree.interacting_neutrino(p).collect()}
+    first = {e: min(r[1] for r in rows if r[2] is None) for e, rows in events.items()}
+    # the first root alone is searched from
+    want = {e: _dfs_python([r for r in rows if r[2] is not None or r[1] == first[e]]) for e, rows in events.items()}
+    assert got == {e: nu for e, nu in want.items() if nu is not None}
+    assert got[chain] == 2998 and got[wide] == 8000 and odd not in got and len(got) > 30
+
+
 def test_interaction_cases(spark):
     def case(children):
         rows = [(1, 1, None, 14, "InIce", 1.0)] + [(1, 2 + k, 1, pdg, "InIce", 1.0) for k, pdg in enumerate(children)]

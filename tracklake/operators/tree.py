@@ -4,23 +4,21 @@ The tree of every event is an adjacency list ``particles(event_id, idx,
 parent_idx, pdg, location_type, energy, ...)``; child order is ``idx``.
 
 Depth-first search with a LIFO stack (last child first) visits nodes in the
-ascending lexicographic order of their *path*: the array of negated child
-ranks from the root, a prefix before its extensions, which is exactly how
-Spark orders arrays.  The first match of a DFS is therefore ``min_by(node,
-path)`` over the matching nodes.  Paths are built level by level (one
-equi-join per tree level, all events at once); each level is checkpointed
-so lineage stays flat and lost executors recompute only one level.
+ascending lexicographic order of their *path*: the array of negated ``idx``
+from the start down to the node, a prefix before its extensions, which is
+exactly how Spark orders arrays.  The first match of a search is therefore
+``min_by(node, path)`` over the matching nodes.  Paths are found from below:
+only nodes that have children can lie between a match and the start, and their
+links upwards double in length with every join, so a tree of depth d takes
+log2(d) joins of that small table.
 """
 
 from __future__ import annotations
 
-import itertools
-
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, reliable_checkpoint
+from ..session import reliable_checkpoint
 
 # Particle type codes.  |12|, |14|, |16| are neutrinos; 14 / -14
 # are the muon neutrino and antineutrino.  99 stands in for the hadron
@@ -35,89 +33,57 @@ def is_neutrino(pdg: Column) -> Column:
     return F.abs(pdg).isin(12, 14, 16)
 
 
-def child_ranks(particles: DataFrame) -> DataFrame:
-    """Rank of each node among its siblings (1..n by idx); a node with a huge
-    fan-out is ranked across many tasks (range-partitioned running count)."""
-    from .running import running
-    return running(particles, ["event_id", "parent_idx"], ["idx"], rank_col="rank")
-
+def start_nodes(particles: DataFrame, primary: Column | None = None) -> DataFrame:
+    """(event_id, start): the first particle of each event that ``primary`` marks, by default its first root."""
+    marked = F.col("parent_idx").isNull() if primary is None else F.coalesce(primary, F.lit(False))
+    return particles.where(marked).groupBy("event_id").agg(F.min("idx").alias("start"))
 
-def preorder_paths(particles: DataFrame, stop: Column | None = None,
-                   checkpoint: bool = True, carry: tuple[str, ...] = (), checkpoint_every: int = 4,
-                   root: Column | None = None) -> DataFrame:
-    """(event_id, idx, depth, path, *carry) for every node reachable from a root.
 
-    ``stop`` (a predicate on particle columns) marks nodes whose subtrees are
-    not expanded: their descendants come after them in DFS order, so a
-    first-match search never needs them (the flag is returned as ``_stop``).
+def inner_paths(particles: DataFrame, starts: DataFrame) -> DataFrame:
+    """(event_id, idx, path) of every node with children that is its event's start or below it.
 
-    The ranked particles are hash-partitioned on the join key (event_id,
-    parent_idx) and checkpointed once; a checkpoint keeps that partitioning,
-    so each level shuffles only the (small) frontier, never the particles.
-    Frontiers are cached; every ``checkpoint_every`` levels one is written to
-    the checkpoint folder, which bounds lineage (and recomputation after a
-    lost executor) to a few levels.
+    Every node links to its parent; each round joins the links with themselves, which
+    doubles how far they reach, until all end at a start or at a root.  A link that has
+    become longer than its event has nodes runs in a circle and is given up.  The
+    links of a round are written to the checkpoint folder, leaves never are.  A path is as long as its node is deep.
     """
-    spark = particles.sparkSession
-    if checkpoint:
-        checkpoint_dir(spark)
-    extra = list(carry) + ([] if stop is None else ["_stop"]) + ([] if root is None else ["_root"])
-    ranked = child_ranks(particles)
-    if stop is not None:
-        ranked = ranked.withColumn("_stop", stop)
-    if root is not None:
-        ranked = ranked.withColumn("_root", root)
-    ranked = ranked.select("event_id", "idx", "parent_idx", "rank", *extra)
-    if checkpoint:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ranked = reliable_checkpoint(ranked.repartition(n, "event_id", "parent_idx"))
-    starts = F.col("parent_idx").isNull() if root is None else F.coalesce(F.col("_root"), F.lit(False))
-    level = ranked.where(starts).select(
-        "event_id", "idx", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"), *extra)
-    level = level.persist(StorageLevel.MEMORY_AND_DISK)
-    levels = [level]
-    # a node has one parent, so a walk down from roots meets no cycle and ends
-    for depth in itertools.count(1):
-        parents = level if stop is None else level.where(~F.col("_stop"))
-        p = parents.select(F.col("event_id").alias("_pev"), F.col("idx").alias("_pidx"), F.col("path").alias("_ppath"))
-        nxt = ranked.join(p, (ranked["event_id"] == p["_pev"]) & (ranked["parent_idx"] == p["_pidx"])) \
-            .select(ranked["event_id"], ranked["idx"], F.lit(depth).alias("depth"),
-                    F.concat(F.col("_ppath"), F.array((-F.col("rank")).cast("int"))).alias("path"),
-                    *[ranked[c] for c in extra])
-        if checkpoint and depth % checkpoint_every == 0:
-            nxt = reliable_checkpoint(nxt)
-        else:
-            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        if nxt.isEmpty():
-            break
-        levels.append(nxt)
-        level = nxt
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    # one materialised result; the cached frontiers are released
-    out = reliable_checkpoint(out) if checkpoint else out
-    if checkpoint:
-        for lv in levels:
-            lv.unpersist()
-    return out
+    nodes = particles.select("event_id", "idx", "parent_idx")
+    parents = nodes.where(F.col("parent_idx").isNotNull()).select("event_id", F.col("parent_idx").alias("idx")).distinct()
+    inner = nodes.join(parents, ["event_id", "idx"], "left_semi")
+    sizes = parents.groupBy("event_id").agg(F.count("*").alias("nodes"))
+    here = F.col("idx") == F.col("start")
+    links = reliable_checkpoint(inner.join(starts.join(sizes, "event_id"), "event_id").select(
+        "event_id", "idx", "nodes", here.alias("found"), F.when(~here, F.col("parent_idx")).alias("up"),
+        F.when(here, F.array().cast("array<bigint>")).otherwise(F.array(-F.col("idx"))).alias("path")))
+    while not links.where(F.col("up").isNotNull()).isEmpty():
+        above = links.select("event_id", F.col("idx").alias("up"), F.col("found").alias("_found"), F.col("up").alias("_up"),
+                             F.col("path").alias("_path"))
+        path = F.concat(F.coalesce("_path", F.array().cast("array<bigint>")), "path")
+        links = reliable_checkpoint(links.join(above, ["event_id", "up"], "left").select(
+            "event_id", "idx", "nodes", (F.col("found") | F.coalesce("_found", F.lit(False))).alias("found"),
+            F.when(F.size(path) <= F.col("nodes"), F.col("_up")).alias("up"), path.alias("path")))
+    return links.where("found").select("event_id", "idx", "path")
 
 
 def interacting_neutrino(particles: DataFrame, primary: Column | None = None) -> DataFrame:
     """Per event the first in-ice neutrino in DFS order from the primary.
 
-    ``primary`` marks the start particle (a column of ``particles``); by default
-    it is the event's first root.  Other roots of the event and what is below them
-    are not searched.  Events where none exists get no row.
+    ``primary`` marks the start particle (a column of ``particles``, the first by ``idx``
+    where it marks several); by default it is the event's first root.  Other roots
+    of the event and what is below them are not searched.  Events where none exists get no row.
     """
     match = is_neutrino(F.col("pdg")) & (F.col("location_type") == IN_ICE)
-    paths = preorder_paths(particles, stop=match, carry=("pdg", "energy"),
-                           root=F.col("parent_idx").isNull() & (F.col("rank") == 1) if primary is None else primary)
-    cand = paths.where(F.col("_stop"))
-    return cand.groupBy("event_id").agg(
-        F.min_by(F.struct("idx", "pdg", "energy"), F.struct("path", "idx")).alias("nu")
-    ).select("event_id", F.col("nu.idx").alias("nu_idx"), F.col("nu.pdg").alias("nu_pdg"),
-             F.col("nu.energy").alias("nu_energy"))
+    nu = F.struct("idx", "pdg", "energy")
+    starts = start_nodes(particles, primary)
+    found = particles.where(match)
+    at_start = found.join(starts, "event_id").where(F.col("idx") == F.col("start")).select(
+        "event_id", nu.alias("nu"), F.array().cast("array<bigint>").alias("path"))
+    # of siblings the last one is met first
+    last = found.where(F.col("parent_idx").isNotNull()).groupBy("event_id", F.col("parent_idx").alias("idx")).agg(F.max(nu).alias("nu"))
+    below = last.join(inner_paths(particles, starts), ["event_id", "idx"]).select(
+        "event_id", "nu", F.concat("path", F.array(-F.col("nu.idx"))).alias("path"))
+    return at_start.unionByName(below).groupBy("event_id").agg(F.min_by("nu", "path").alias("nu")).select(
+        "event_id", F.col("nu.idx").alias("nu_idx"), F.col("nu.pdg").alias("nu_pdg"), F.col("nu.energy").alias("nu_energy"))
 
 
 def daughters(particles: DataFrame, nodes: DataFrame, node_col: str = "nu_idx") -> DataFrame:
