@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.energy import exp_energy, hash_uniform_sql
@@ -11,7 +13,10 @@ from ..operators import features as ft
 from ..operators import truth as th
 from ..operators import weights as wt
 from ..operators.common import rounded
+from ..session import checkpoint_dir
 from ..sources import fixtures as fx
+from ..sources import frames as fr
+from ..streaming.scoring import score_whole
 from .catalog import oracle, query
 
 TRAIN_FEATURES = ft.FEATURE_SETS["L5_E_no_sigmapar"]
@@ -172,11 +177,20 @@ def score_events(spark, sf):
 
 @query("score_frames")
 def score_frames(spark, sf):
-    """Frames with the truth and prediction keys added; DAQ frames pass through."""
-    frames = fx.frames(spark, sf)
-    model = trained(spark, sf).model
-    scored = model.transform(ft.flatten_features(frames)).select(
-        "event_id", exp_energy("log_e_predicted").alias("ace_prediction"))
-    truth = th.truth_column(frames, fx.tracks(spark, sf), fx.particles(spark, sf))
-    return frames.select("event_id", "stop", "dataset").join(truth, "event_id", "left") \
-        .join(scored, "event_id", "left")
+    """Files of frames in, files of whole frames out, Physics frames with the truth and prediction keys.
+
+    Two folders with files of the same names; DAQ frames pass through.  What is returned is read
+    from the files written: one row a frame, its other columns as JSON, and the names of its file.
+    """
+    nested = fr.nest_frames(fx.frames(spark, sf), fx.dom_hits(spark, sf))
+    root = f"{checkpoint_dir(spark).rstrip('/')}/scored-{uuid.uuid4().hex}"
+    folders = [f"{root}/in/even", f"{root}/in/odd"]
+    for part, path in enumerate(folders):
+        fr.write_table(nested.where(F.pmod("event_id", F.lit(2)) == part), path, partition_by=())
+    truth = th.truth_column(fx.frames(spark, sf), fx.tracks(spark, sf), fx.particles(spark, sf))
+    frames = fr.read_frames(spark, folders, glob="part-*.parquet")
+    fr.write_scored(score_whole(frames, trained(spark, sf).model, truth), f"{root}/out")
+    kept = ["event_id", "stop", "dataset", "ace_prediction", "ace_truth"]
+    out = spark.read.parquet(f"{root}/out")
+    rest = F.to_json(F.struct(*[c for c in nested.columns if c not in kept]))
+    return out.select(*kept, rest.alias("frame"), F.regexp_extract("out_folder", r"[^/]+$", 0).alias("folder"), "out_file")
