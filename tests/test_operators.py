@@ -333,6 +333,36 @@ def test_spline_roots_on_cubic():
     assert np.allclose(roots, [-1.0, 0.5, 2.0], atol=1e-9)
 
 
+def test_gauss_slices_in_both_spaces(spark):
+    """Parameters against a fine grid around them, counts, centres, slices without enough bins, other names of spaces."""
+    rng = np.random.default_rng(8)
+    rows = [(float(10 ** rng.uniform(k, k + 1)), float(10 ** rng.normal(2 + 0.3 * k, 0.2))) for k in range(3) for _ in range(1500)]
+    rows += [(2000.0, 100.0)] * 5 + [(-1.0, 100.0), (5.0, 1e9), (None, 1.0)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    xe, ye = [1.0, 10.0, 100.0, 1000.0, 10000.0], [float(10 ** v) for v in np.linspace(1, 4, 31)]
+    got = {r.xbin: r for r in histograms.gauss_slices(df, "x", "y", xe, ye, "log", "log").collect()}
+    h = np.histogram2d(*np.array([r for r in rows if r[0] is not None]).T, bins=(xe, ye))[0]
+    centers = (np.linspace(1, 4, 31)[:-1] + np.linspace(1, 4, 31)[1:]) / 2
+    assert sorted(got) == [0, 1, 2, 3]
+    for k, r in got.items():
+        assert r.x_center == pytest.approx(10 ** (k + 0.5)) and r.counts == h[k].tolist() and r.n == h[k].sum()
+        assert r.y_values == pytest.approx(centers.tolist()) and r.nonzero_bins == (h[k] > 0).sum()
+    assert got[3].n == 5 and got[3].mean is None and got[3].cov_mm is None
+    for k in range(3):
+        def cost(m, s, n, k=k):
+            return float(((n * np.exp(-0.5 * ((centers - m) / s) ** 2) / s / np.sqrt(2 * np.pi) - h[k]) ** 2).sum())
+        r = got[k]
+        assert r.mean == pytest.approx(2 + 0.3 * k, abs=0.05) and r.std == pytest.approx(0.2, abs=0.03)
+        best = cost(r.mean, r.std, r.norm)
+        for dm, ds, dn in np.ndindex(5, 5, 5):
+            assert best <= cost(r.mean + (dm - 2) * 1e-4, r.std + (ds - 2) * 1e-4, r.norm * (1 + (dn - 2) * 1e-3)) + 1e-9
+    linear = histograms.gauss_slices(df, "x", "y", xe, ye, "linear", "linear").where("xbin = 1").first()
+    assert linear.x_center == 55.0 and linear.y_values == pytest.approx([(a + b) / 2 for a, b in zip(ye, ye[1:])])
+    for spaces in (("log", "cubic"), ("Log", "linear")):
+        with pytest.raises(ValueError):
+            histograms.gauss_slices(df, "x", "y", xe, ye, *spaces)
+
+
 def test_gauss_fit_recovers_parameters():
     x = np.linspace(-3, 5, 40)
     y = 250.0 * np.exp(-0.5 * ((x - 1.2) / 0.7) ** 2) / (0.7 * np.sqrt(2 * np.pi))
@@ -474,18 +504,24 @@ def test_grid_search_trains_all_points_and_folds_alike(spark):
         boost.Params(colsample_bytree=1.1)
 
 
-def test_edge_energy_paths_agree(spark):
+def test_edge_energies_from_sums_equal_those_from_arrays(spark):
+    """Tracks with and without checkpoints, losses in any order of distance, all or none beyond the edges."""
     from conftest import SMALL
     from tracklake.sources import fixtures as fx
     p, t = fx.particles(spark, SMALL), fx.tracks(spark, SMALL)
-    fast = {r.event_id: (r.e_entry, r.e_exit) for r in truth.edge_energies_tables(t, p).collect()}
-    slow = {r.event_id: (r.e_entry, r.e_exit) for r in truth.edge_energies_tables(t, p, hot_rows=1).collect()}
-    assert fast.keys() == slow.keys() and len(fast) > 100
-    for k, (a, b) in fast.items():
-        c, d = slow[k]
-        assert (a is None) == (c is None) and (b is None) == (d is None)
-        if a is not None:
-            assert a == pytest.approx(c, rel=1e-9) and b == pytest.approx(d, rel=1e-9)
+    e = F.col("event_id")
+    odd = (t.withColumn("e_i", F.when(F.pmod(F.hash(e), F.lit(3)) > 0, F.col("e_i")).otherwise(0.0))
+           .withColumn("e_f", F.when(F.pmod(F.hash(e, F.lit(1)), F.lit(3)) > 0, F.col("energy") * 0.9).otherwise(0.0))
+           .withColumn("length", F.col("length") * (1 + F.pmod(F.hash(e, F.lit(2)), F.lit(5)))))
+    mixed = p.withColumn("x", F.col("x") + F.pmod(F.hash("event_id", "idx"), F.lit(1500))).withColumn("energy", F.col("energy") / 50.0)
+    for tracks, particles, least in ((t, p, 0), (odd, mixed, 50), (odd.withColumn("e_f", F.lit(0.0)), mixed, 50)):
+        fast = {r.event_id: (r.e_entry, r.e_exit) for r in truth.edge_energies_tables(tracks, particles).collect()}
+        slow = {r.event_id: (r.e_entry, r.e_exit) for r in truth.edge_energies(tracks, particles).collect()}
+        assert fast.keys() == slow.keys() and len(fast) > 100
+        for k in fast:
+            for a, b in zip(fast[k], slow[k]):
+                assert a is b is None or a == pytest.approx(b, rel=1e-9, abs=1e-7), k
+        assert sum(v[0] is not None for v in fast.values()) >= least
 
 
 from hypothesis import given, settings, strategies as st  # noqa: E402

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.energy import hash_uniform, log_energy
-from .common import sized_broadcast
 
 # Named feature sets (ordered as configured).
 FEATURE_SETS: dict[str, list[str]] = {
@@ -142,10 +141,10 @@ def feature_set(name: str) -> list[str]:
 
 
 def dom_positions(hits: DataFrame, geometry: DataFrame) -> DataFrame:
-    """Hit -> x, y, z, r through a size-checked broadcast of the geometry.
+    """Hit -> x, y, z, r of its sensor; the optimizer broadcasts the geometry where its bytes allow.
     A hit on a sensor that the geometry lacks is an error."""
     geo = geometry.select("dom_id", "x", "y", "z", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2).alias("r"))
-    found = hits.join(sized_broadcast(geo.withColumn("_known", F.lit(True))), "dom_id", "left")
+    found = hits.join(geo.withColumn("_known", F.lit(True)), "dom_id", "left")
     unknown = F.raise_error(F.concat(F.lit("hit on unknown sensor "), F.coalesce(F.col("dom_id").cast("string"), F.lit("null"))))
     # a condition on rows, which no choice of columns prunes
     return found.where(F.when(F.col("_known"), F.lit(True)).otherwise(unknown.cast("boolean"))).drop("_known")

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.binning import uniform_bin
+from ..functions.binning import bin_index, uniform_bin
 from .quantiles import grouped_quantiles, quantile_columns
 
 
@@ -46,6 +46,22 @@ def with_range_bin(df: DataFrame, x: Column, n: int, name: str = "bin", log: boo
     return d.withColumn(name, uniform_bin(F.col("_x"), lo_c, hi_c, n)).drop("_x", "_lo", "_hi")
 
 
+def with_range_bins(df: DataFrame, **axes: tuple[Column, int]) -> tuple[DataFrame, dict[str, list[float]]]:
+    """Bin several columns, each into equal bins over its data range, and the edges of the bins.
+
+    ``axes`` maps the name of a bin column to (value, number of bins).  The ranges of all axes
+    come from one aggregation.  A range without finite values has no edges, its bins are NULL.
+    """
+    ends = df.agg(*[f(finite(x)).cast("double").alias(f"{k}_{end}") for k, (x, _) in axes.items()
+                    for end, f in (("lo", F.min), ("hi", F.max))]).first()
+    edges = {}
+    for name, (x, n) in axes.items():
+        lo, hi = ends[f"{name}_lo"], ends[f"{name}_hi"]
+        df = df.withColumn(name, uniform_bin(x, F.lit(lo).cast("double"), F.lit(hi).cast("double"), n))
+        edges[name] = [] if lo is None else [lo + k * ((hi - lo) / n) for k in range(n)] + [hi]
+    return df, edges
+
+
 def weighted_hist(df: DataFrame, bin_col: str, n_bins: int, weight: Column | None = None,
                   normed: bool = False, widths: DataFrame | float | None = None) -> DataFrame:
     """Per bin sum of weights, error sqrt(sum w^2), every bin present.
@@ -101,6 +117,41 @@ def all_bins(per_bin: DataFrame, bin_col: str, n_bins: int) -> DataFrame:
     return per_bin.sparkSession.range(n_bins).select(F.col("id").alias(bin_col)).join(per_bin, bin_col, "left")
 
 
+def _centers(edges: list[float], space: str) -> list[float]:
+    pairs = list(zip(edges, edges[1:]))
+    if space == "linear":
+        return [a + 0.5 * (b - a) for a, b in pairs]
+    if space == "log":
+        return [10 ** (math.log10(a) + (math.log10(b) - math.log10(a)) / 2) for a, b in pairs]
+    raise ValueError(f"space must be 'linear' or 'log', not {space!r}")
+
+
+def gauss_slices(df: DataFrame, x: str, y: str, x_edges: list[float], y_edges: list[float],
+                 x_space: str = "linear", y_space: str = "log") -> DataFrame:
+    """A10: a Gaussian for each x-slice of the 2-D histogram of ``x`` and ``y`` over the given edges.
+
+    One row a slice: ``xbin``, ``x_center``, ``n`` entries, ``nonzero_bins``, mean, std, norm and their covariances
+    (NULL with at most 3 non-empty bins), ``y_values`` (bin centres, the place of the fit) and ``counts``.
+    With ``y_space="log"`` centres lie midway in log10 and the fit is done in log10 of y.
+    """
+    d = df.select(bin_index(x, x_edges).alias("xbin"), bin_index(y, y_edges).alias("ybin"))
+    return fit_slices(d, x_edges, y_edges, x_space, y_space)
+
+
+def fit_slices(binned: DataFrame, x_edges: list[float], y_edges: list[float], x_space: str = "linear",
+               y_space: str = "log") -> DataFrame:
+    """``gauss_slices`` of rows that have their bins already (xbin, ybin); a fit sees the counts of one slice."""
+    from .solvers import GAUSS_SCHEMA, gauss_slices_pdf
+    xc, yc = _centers(x_edges, x_space), _centers(y_edges, y_space)
+    if y_space == "log":
+        yc = [math.log10(c) for c in yc]
+    h = hist2d(binned, "xbin", "ybin", len(xc), len(yc))
+    at = F.get(F.lit(yc) if yc else F.array().cast("array<double>"), F.col("ybin").cast("int"))
+    fits = h.select("xbin", at.alias("yc"), "n").groupBy("xbin").applyInPandas(gauss_slices_pdf, GAUSS_SCHEMA)
+    center = F.get(F.lit(xc) if xc else F.array().cast("array<double>"), F.col("xbin").cast("int"))
+    return fits.select("xbin", center.alias("x_center"), *[c for c in fits.columns if c != "xbin"])
+
+
 def band_columns(mean: Column, std: Column):
     """P25: 10**(mean -/+ std), mean -/+ std."""
     return (F.pow(F.lit(10.0), mean - std), F.pow(F.lit(10.0), mean + std), mean - std, mean + std)

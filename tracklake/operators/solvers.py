@@ -78,27 +78,25 @@ def fit_gauss(x: np.ndarray, y: np.ndarray, iters: int = 200):
     return np.array([lo, abs(sc), nm]), cov
 
 
-GAUSS_SCHEMA = ("xbin long, nonzero_bins long, mean double, std double, norm double, "
-                "cov_mm double, cov_ss double, cov_nn double, cov_ms double, cov_mn double, cov_sn double")
+GAUSS_KEYS = ("mean", "std", "norm", "cov_mm", "cov_ss", "cov_nn", "cov_ms", "cov_mn", "cov_sn")
+GAUSS_SCHEMA = ("xbin long, n long, nonzero_bins long, " + ", ".join(f"{k} double" for k in GAUSS_KEYS)
+                + ", y_values array<double>, counts array<long>")
 
 
 def gauss_slices_pdf(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One x-slice (bx, yc, n) of a dense 2-D histogram -> fitted parameters.
+    """One x-slice (xbin, yc, n) of a dense 2-D histogram -> fitted parameters and the slice itself.
 
-    Needs more than 3 non-empty bins, as the reference's eligibility rule.
+    Needs more than 3 non-empty bins; NULL parameters else, and where no fit is found.
     """
     pdf = pdf.sort_values("yc")
-    bx = int(pdf["xbin"].iloc[0])
-    nz = int((pdf["n"] > 0).sum())
-    row = {"xbin": bx, "nonzero_bins": nz}
-    keys = ["mean", "std", "norm", "cov_mm", "cov_ss", "cov_nn", "cov_ms", "cov_mn", "cov_sn"]
-    res = fit_gauss(pdf["yc"].to_numpy(), pdf["n"].to_numpy(float)) if nz > 3 else None
-    if res is None:
-        row.update({k: np.nan for k in keys})
-    else:
+    y, n = pdf["yc"].to_numpy(float), pdf["n"].to_numpy()
+    row = {"xbin": int(pdf["xbin"].iloc[0]), "n": int(n.sum()), "nonzero_bins": int((n > 0).sum())}
+    res = fit_gauss(y, n.astype(float)) if row["nonzero_bins"] > 3 else None
+    values = [None] * len(GAUSS_KEYS)
+    if res is not None:
         p, c = res
-        row.update(dict(zip(keys, [p[0], p[1], p[2], c[0, 0], c[1, 1], c[2, 2], c[0, 1], c[0, 2], c[1, 2]])))
-    return pd.DataFrame([row])
+        values = [p[0], p[1], p[2], c[0, 0], c[1, 1], c[2, 2], c[0, 1], c[0, 2], c[1, 2]]
+    return pd.DataFrame([row | dict(zip(GAUSS_KEYS, values)) | {"y_values": y.tolist(), "counts": n.tolist()}])
 
 
 # ------------------------------------------------------------------ L7 / L9 cubic

@@ -281,8 +281,7 @@ def hist2d_q(spark, sf):
     """Dense 2-D counts of log true energy vs log truncated energy."""
     f = ft.physics_frames(fx.frames(spark, sf)).where((F.col("e_entry") > 0) & (F.col("e_truncated_gev") > 0))
     d = f.select(F.log10("e_entry").alias("x"), F.log10("e_truncated_gev").alias("y"))
-    d = hg.with_range_bin(d, F.col("x"), N_BINS, "xbin")
-    d = hg.with_range_bin(d, F.col("y"), N_BINS, "ybin")
+    d, _ = hg.with_range_bins(d, xbin=(F.col("x"), N_BINS), ybin=(F.col("y"), N_BINS))
     return hg.hist2d(d, "xbin", "ybin", N_BINS, N_BINS)
 
 
@@ -305,8 +304,7 @@ H8_SRC = ("(SELECT log10(te) AS lte, res FROM h8) h, (SELECT log10(min(te)) AS x
 def _h8(spark, sf):
     f = ft.physics_frames(fx.frames(spark, sf)).where((F.col("e_entry") > 0) & (F.col("e_truncated_gev") > 0))
     d = f.select(F.col("e_entry").alias("te"), log_residual("e_entry", "e_truncated_gev").alias("res"))
-    d = hg.with_range_bin(d, F.col("te"), E_BINS + 1, "xbin", log=True)
-    return hg.with_range_bin(d, F.col("res"), R_BINS - 1, "ybin")
+    return hg.with_range_bins(d, xbin=(F.log10("te"), E_BINS + 1), ybin=(F.col("res"), R_BINS - 1))
 
 
 H8_DENSE = _dense2d_sql(E_BINS + 1, R_BINS - 1, uniform_bin_sql("lte", "xlo", "xhi", E_BINS + 1),
@@ -316,7 +314,7 @@ H8_DENSE = _dense2d_sql(E_BINS + 1, R_BINS - 1, uniform_bin_sql("lte", "xlo", "x
 @query("hist2d_residuals", oracle(H8_DENSE, ["frames"], [], ["xbin", "ybin", "n"], ctes=[("h8", H8_SQL)]))
 def hist2d_residuals(spark, sf):
     """Data-driven ranges; log bins in true energy, linear in residual."""
-    return hg.hist2d(_h8(spark, sf), "xbin", "ybin", E_BINS + 1, R_BINS - 1)
+    return hg.hist2d(_h8(spark, sf)[0], "xbin", "ybin", E_BINS + 1, R_BINS - 1)
 
 
 # ------------------------------------------------------------------ A10 / A11
@@ -324,42 +322,31 @@ def hist2d_residuals(spark, sf):
     "SELECT xbin, count(*) FILTER (WHERE n > 0) AS nonzero_bins, count(*) FILTER (WHERE n > 0) > 3 AS eligible "
     "FROM h GROUP BY xbin", ["frames"], [], ["xbin", "nonzero_bins", "eligible"], ctes=[("h8", H8_SQL), ("h", H8_DENSE)]))
 def gauss_slice_eligible(spark, sf):
-    h = hg.hist2d(_h8(spark, sf), "xbin", "ybin", E_BINS + 1, R_BINS - 1)
+    h = hg.hist2d(_h8(spark, sf)[0], "xbin", "ybin", E_BINS + 1, R_BINS - 1)
     return hg.quantile_eligible(h, "xbin")
 
 
-def _gauss_fit(h, y_centers):
-    from ..operators.solvers import GAUSS_SCHEMA, gauss_slices_pdf
-    d = h.join(F.broadcast(y_centers), "ybin").select("xbin", "yc", "n")
-    return d.groupBy("xbin").applyInPandas(gauss_slices_pdf, GAUSS_SCHEMA)
-
-
 @query("gauss_slices")
 def gauss_slices(spark, sf):
-    """A10: per true-energy slice, least-squares Gaussian on the residual
-    histogram (pre-aggregated by Spark; the fit sees only bin counts)."""
-    d = _h8(spark, sf)
-    h = hg.hist2d(d, "xbin", "ybin", E_BINS + 1, R_BINS - 1)
-    rng = d.agg(F.min("res").alias("lo"), F.max("res").alias("hi"))
-    e = edge_frame(rng, "lo", "hi", R_BINS)
-    nxt = e.select((F.col("edge_no") - 1).alias("edge_no"), F.col("edge").alias("nx"))
-    yc = e.join(nxt, "edge_no").select(F.col("edge_no").alias("ybin"), linear_center("edge", "nx").alias("yc"))
-    return _gauss_fit(h, yc)
+    """A10: per true-energy slice (log x), least-squares Gaussian on the residual
+    histogram (linear y; pre-aggregated by Spark, the fit sees only bin counts)."""
+    d, edges = _h8(spark, sf)
+    return hg.fit_slices(d, [10 ** e for e in edges["xbin"]], edges["ybin"], "log", "linear")
+
+
+@query("gauss_slices_edges")
+def gauss_slices_edges(spark, sf):
+    """A10 over edges given by the caller: residual against log10 of the true energy."""
+    return hg.gauss_slices(residual_frame(spark, sf), "x", "y", EDGES_X, EDGES_Y, "linear", "linear")
 
 
 @query("energy_resolution")
 def energy_resolution(spark, sf):
     """A10 in log/log space (true vs reconstructed energy), y centres in log10."""
     f = ft.physics_frames(fx.frames(spark, sf)).where((F.col("e_entry") > 0) & (F.col("e_truncated_gev") > 0))
-    d = f.select(F.col("e_entry").alias("te"), F.col("e_truncated_gev").alias("re"))
-    d = hg.with_range_bin(d, F.col("te"), N_BINS, "xbin", log=True)
-    d = hg.with_range_bin(d, F.col("re"), N_BINS, "ybin", log=True)
-    h = hg.hist2d(d, "xbin", "ybin", N_BINS, N_BINS)
-    rng = f.agg(F.min("e_truncated_gev").alias("lo"), F.max("e_truncated_gev").alias("hi"))
-    e = edge_frame(rng, "lo", "hi", N_BINS + 1, log=True)
-    nxt = e.select((F.col("edge_no") - 1).alias("edge_no"), F.col("edge").alias("nx"))
-    yc = e.join(nxt, "edge_no").select(F.col("edge_no").alias("ybin"), F.log10(log_center("edge", "nx")).alias("yc"))
-    return _gauss_fit(h, yc)
+    d = f.select(F.log10("e_entry").alias("te"), F.log10("e_truncated_gev").alias("re"))
+    d, edges = hg.with_range_bins(d, xbin=(F.col("te"), N_BINS), ybin=(F.col("re"), N_BINS))
+    return hg.fit_slices(d, *([10 ** e for e in edges[k]] for k in ("xbin", "ybin")), "log", "log")
 
 
 # ------------------------------------------------------------------ P23 / P24
@@ -500,7 +487,7 @@ def rolling_windows(spark, sf):
 def rolling_windows_2d(spark, sf):
     """Every 2x2 sub-matrix sum of the dense residual histogram
     (each cell is emitted to the windows it belongs to, then summed)."""
-    h = hg.hist2d(_h8(spark, sf), "xbin", "ybin", E_BINS + 1, R_BINS - 1)
+    h = hg.hist2d(_h8(spark, sf)[0], "xbin", "ybin", E_BINS + 1, R_BINS - 1)
     offs = F.explode(F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in (0, 1) for b in (0, 1)]))
     e = h.select("xbin", "ybin", "n", offs.alias("o")).select(
         (F.col("xbin") - F.col("o.di")).alias("wi"), (F.col("ybin") - F.col("o.dj")).alias("wj"), "n")
