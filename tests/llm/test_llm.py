@@ -91,6 +91,23 @@ def test_token_files(spark, odd_docs, tmp_path):
         at += len(ids)
 
 
+def test_token_ranges_of_a_stored_table(spark, odd_docs, tmp_path):
+    """Single tokens and ranges, beyond the end, empty, null, repeated, many of one document; unknown ids have none."""
+    path = str(tmp_path / "t")
+    dac.write_tokens(odd_docs, path, WORD, end_id=2)
+    whole = {r.doc_id: np.frombuffer(r.ids, "<u4") for r in dac.read_tokens(spark, path).collect()}
+    n = len(whole[5])
+    asked = [(5, i, i + 1, "x") for i in range(0, n + 3, 997)] + [(5, n - 3, n + 50, None), (5, 7, 7, None), (5, 9, 3, None), (5, -4, 2, None)]
+    asked += [(None, 1, 3, None), (None, 1, 3, None), (1, 0, 5, None), (6, 10, 600, None), (99, 0, 5, None), (4, None, 2, None), (4, 0, None, None)]
+    wanted = spark.createDataFrame(asked, "doc_id long, first long, last long, ids string")
+    got = dac.read_ranges(spark, path, wanted)
+    assert got.columns == ["doc_id", "first", "last", "ids"]
+    want = [(d, a, b, whole[d][max(a or 0, 0): max(b or 0, 0)].tobytes()) for d, a, b, _ in asked if d in whole]
+    want += [w for w in want if w[0] == 6]  # two documents of that id
+    assert sorted(((r.doc_id, r.first, r.last, bytes(r.ids)) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert dac.read_ranges(spark, path, wanted.where("doc_id = 99")).count() == 0
+
+
 def test_packing(spark, odd_docs):
     pieces = packing.token_pieces(odd_docs, WORD, 0, 2048)
     packed = packing.pack(pieces, 2048).collect()

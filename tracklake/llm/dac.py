@@ -149,3 +149,38 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                        "ids": [levels.slice(s, e).astype("<u4").tobytes() for s, e in zip(at, at[1:])]}
 
     return rows_from(segments.join(F.broadcast(bases), "part"), documents, "doc_id long, start long, ids binary")
+
+
+def read_ranges(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """Tokens ``first`` to ``last`` (exclusive, counted from 0 in the document) of documents of a
+    token table: doc_id, first, last, ids (binary), one row for each row of ``wanted`` (doc_id, first, last).
+
+    Nothing but the places asked for is decoded.  Ranges end where their document ends; those that
+    begin beyond it, or are empty or null, have no ids.  An id with several documents gives a row for each,
+    an id without one gives none; null ids match each other.  Other columns of ``wanted`` are not read.
+    The requests of one of its tasks for one segment go together, so neither a hot
+    document nor a hot segment gathers all requests in one place.
+    """
+    table = spark.read.parquet(path)
+    places = table.select("part", "segment", F.posexplode("doc_ids").alias("k", "doc_id"), "doc_starts").select(
+        "part", "segment", F.col("doc_id").alias("id"), F.get("doc_starts", F.col("k")).alias("at"),
+        F.get("doc_starts", F.col("k") + 1).alias("end"))
+    asked = wanted.select(*(F.col(c).cast("long").alias(c) for c in ("doc_id", "first", "last")),
+                          F.spark_partition_id().alias("task"))
+    grouped = asked.join(places, F.col("doc_id").eqNullSafe(F.col("id"))).groupBy("part", "segment", "task").agg(
+        F.collect_list(F.struct("doc_id", F.coalesce("first", F.lit(0)).alias("lo"), F.coalesce("last", F.lit(0)).alias("hi"),
+                                "first", "last", "at", "end")).alias("asked"))
+
+    def answers(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            for asked, *stored in zip(b["asked"], b["payloads"], b["bitmaps"], b["ranks"]):
+                levels = Levels(*stored)
+                out = {k: [r[k] for r in asked] for k in ("doc_id", "first", "last")}
+                out["ids"] = []
+                for r in asked:
+                    lo, hi = r["at"] + max(r["lo"], 0), min(r["at"] + r["hi"], r["end"])
+                    out["ids"].append(levels.slice(lo, hi).astype("<u4").tobytes() if lo < hi else b"")
+                yield out
+
+    found = grouped.join(table.select("part", "segment", "payloads", "bitmaps", "ranks"), ["part", "segment"])
+    return rows_from(found.drop("part", "segment", "task"), answers, "doc_id long, first long, last long, ids binary")
