@@ -793,3 +793,28 @@ def test_dump_is_a_union_of_known_names(spark):
     assert dump(frames, ["dataset", "true_energy"]).columns == ["dataset", "true_energy"] + [v for v in DUMP_VARIABLES if v != "true_energy"]
     with pytest.raises(KeyError, match="no_such"):
         dump(frames, ["no_such"])
+
+
+# ------------------------------------------------------------------ models and tables that are shared
+def test_models_share_their_sums_until_they_part():
+    grid = [boost.Params(6, 0.03, s, g, m, fold=k) for s in (0.8, 1.0) for g in (0.4, 0.5) for m in (8, 10) for k in range(2)]
+    opened, nodes, live = [boost.Tree() for _ in grid], [[0] for _ in grid], list(range(len(grid)))
+    alike = boost.groups_of(grid, live, [0] * len(grid), opened, nodes)
+    assert sorted(len(g.models) for g in alike) == [4] * 4  # one set of sums a fold and sample
+    assert sorted(k for g in alike for k in g.models) == live
+    opened[0].split(0, 1, 0.5, 3, 1.0, (0.1, 0.2))
+    nodes[0] = [1, 2]
+    assert len(boost.groups_of(grid, live, [0] * len(grid), opened, nodes)) == 5
+    assert len(boost.groups_of(grid, live, list(range(len(grid))), opened, nodes)) == len(grid)
+
+
+def test_binned_nodes_equal_those_of_the_packed_forest():
+    import numpy as np
+    rng = np.random.default_rng(4)
+    t = boost.Tree()
+    left = t.split(0, 2, 0.0, 7, 1.0, (0.0, 0.0))
+    t.split(left, 0, 0.0, 3, 1.0, (0.0, 0.0))
+    t.depth = 2
+    x = rng.integers(0, 12, (300, 3))
+    want = boost.Packed([t], binned=True).nodes(x, np.zeros(1, np.int64))[:, 0]
+    assert (boost._binned_nodes(t, np.ascontiguousarray(x.T.astype(np.uint8))) == want).all()
