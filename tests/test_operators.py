@@ -818,3 +818,13 @@ def test_binned_nodes_equal_those_of_the_packed_forest():
     x = rng.integers(0, 12, (300, 3))
     want = boost.Packed([t], binned=True).nodes(x, np.zeros(1, np.int64))[:, 0]
     assert (boost._binned_nodes(t, np.ascontiguousarray(x.T.astype(np.uint8))) == want).all()
+
+
+def test_rows_of_a_file_are_written_together(spark, tmp_path):
+    import glob
+    from tracklake.sources.frames import write_scored
+    df = spark.range(4000).selectExpr("id AS event_id", "concat('/d/', id % 2, '/', id % 5, '.parquet') AS source_file",
+                                      "1.0 AS ace_prediction", "2.0 AS ace_truth").repartition(8, "event_id")
+    write_scored(df, str(tmp_path / "o"))
+    assert len(glob.glob(str(tmp_path / "o" / "*" / "*" / "*.parquet"))) == 10
+    assert spark.read.parquet(str(tmp_path / "o")).select("event_id").distinct().count() == 4000
