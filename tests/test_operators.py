@@ -828,3 +828,21 @@ def test_rows_of_a_file_are_written_together(spark, tmp_path):
     write_scored(df, str(tmp_path / "o"))
     assert len(glob.glob(str(tmp_path / "o" / "*" / "*" / "*.parquet"))) == 10
     assert spark.read.parquet(str(tmp_path / "o")).select("event_id").distinct().count() == 4000
+
+
+def test_energies_at_read_the_tree_once_for_all_tables(spark):
+    tree_rows = spark.createDataFrame([(1, 10, 2, 50.0, 181.0, 2.0, 243.0), (1, 11, 2, 100.0, 301.0, 2.0, 403.0)],
+                                      "event_id long, idx long, parent_idx long, energy double, x double, y double, z double")
+    t = _moved(spark, 1000.0, 1000.0, 900.0, 100.0, 100.0, 800.0)
+    cps, losses = truth.loss_tables(t, tree_rows)
+    lin = spark.createDataFrame([(1, w, L) for w, L in (("a", -5.0), ("b", 50.0), ("c", 400.0), ("d", 900.0), ("e", 1000.0), ("f", None))],
+                                "event_id long, which string, L double")
+    en = truth.energies_at(lin, t, cps, losses)
+    for r in en.collect():
+        want = _energy(_track(spark), r.L)
+        assert (r.energy_at is None) == (want[0] is None) and (r.energy_at is None or abs(r.energy_at - want[0]) < 1e-9)
+        assert r.failed == want[1]
+    # the losses are stored, and the brackets come from one join
+    assert losses._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    br = truth.bracket_table(lin, cps)._jdf.queryExecution().optimizedPlan().toString()
+    assert br.count("Join") == cps._jdf.queryExecution().optimizedPlan().toString().count("Join") + 1
