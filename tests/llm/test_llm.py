@@ -509,3 +509,11 @@ def test_hosts_of_few_documents_are_pulled_to_the_mean(spark):
     assert max(r.short_rate for r in same) - min(r.short_rate for r in same) < 0.35 and not any(r.host_rejected for r in same)
     singles = hostrules.host_verdicts(hostrules.document_rules(docs.withColumn("source", F.col("doc_id").cast("string")))).collect()
     assert max(abs(r.short_rate - mean) for r in singles) < 1e-3
+
+
+def test_near_copies_meet_once_in_buckets_of_the_same_texts(spark):
+    rows = [(bytes([n]), band, key) for band, key, nodes in
+            ((0, 7, (1, 2)), (1, 8, (1, 2)), (2, 9, (1, 2, 3)), (3, 5, (3, 4)), (4, 6, (4,))) for n in nodes]
+    every = spark.createDataFrame(rows, "node binary, band int, key long")
+    got = sorted((r.band, r.key, r.n) for r in neardup._distinct_buckets(every).collect())
+    assert got == [(0, 7, 2), (2, 9, 3), (3, 5, 2)]

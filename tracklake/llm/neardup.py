@@ -33,7 +33,8 @@ LONG = 128           # samples of the longer signature of texts that share a ban
 LONG_FEATURES = 1 << 15
 MARGIN = 0.16        # 4.5 standard errors of LONG samples; one similar pair in 300,000 that share a band looks less alike
 BLOCK = 128          # texts of a bucket on either side of a comparison in a task
-CHUNK = 8192         # shingles sampled at once
+CELLS = 64           # cells that are Python objects at a time
+CHUNK = 65536        # numbers sampled at once: those of a chunk stay in the processor's cache
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,18 +45,24 @@ def _word_hashes() -> Memo:
     return Memo(xxhash.xxh3_64_intdigest)
 
 
-def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes and their counts; a text of one to four words is one shingle."""
+def runs_of(text: str) -> np.ndarray:
+    """Hash of every shingle of a text, in its order."""
     words = text.lower().split()
     if not words:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64)
     h = np.fromiter(map(_word_hashes().__getitem__, words), dtype=np.uint64, count=len(words))
     n = max(len(h) - WORDS + 1, 1)
     s = np.zeros(n, dtype=np.uint64)
     for k in range(min(WORDS, len(h))):
-        s = (s ^ h[k:k + n]) * MIX
+        s ^= h[k:k + n]
+        s *= MIX
         s ^= s >> np.uint64(29)
-    return np.unique(s, return_counts=True)
+    return s
+
+
+def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes and their counts; a text of one to four words is one shingle."""
+    return np.unique(runs_of(text), return_counts=True)
 
 
 def feature(s: np.ndarray, features: int = FEATURES) -> np.ndarray:
@@ -71,9 +78,9 @@ def _frequencies(batches: Iterator[dict]) -> Iterator[dict]:
     seen, docs = np.zeros(FEATURES, dtype=np.int64), 0
     for b in batches:
         for text in b["text"]:
-            s, _ = shingles(text)
+            s = runs_of(text)
             if len(s):
-                seen[np.unique(feature(s))] += 1
+                seen[feature(s)] += 1  # once, however often the text has it
                 docs += 1
     at = np.flatnonzero(seen)
     yield {"feature": np.append(at, -1), "docs": np.append(seen[at], docs)}
@@ -102,23 +109,39 @@ def _draws(features: int, hashes: int, seed: int = 9) -> tuple[np.ndarray, ...]:
     shape = (features, hashes)
     r = rng.standard_gamma(2.0, shape, dtype=np.float32) + np.float32(1e-6)
     c = rng.standard_gamma(2.0, shape, dtype=np.float32) + np.float32(1e-9)
-    return r, 1 / r, rng.random(shape, dtype=np.float32), np.log(c)
+    return r, rng.random(shape, dtype=np.float32), np.log(c)
+
+
+@held_by("neardup")
+@lru_cache(maxsize=2)
+def _scratch(hashes: int) -> np.ndarray:
+    """Room for the numbers of a chunk, the same for every text."""
+    return np.empty((4, max(1, CHUNK // hashes), hashes), dtype=np.float32)
 
 
 def samples(s: np.ndarray, w: np.ndarray, features: int = FEATURES, hashes: int = HASHES) -> np.ndarray:
     """One 64-bit sample (feature and quantised weight) per hash."""
-    r, r_inv, beta, ln_c = _draws(features, hashes)
+    draws, room = _draws(features, hashes), _scratch(hashes)
     f, ln_w = feature(s, features), np.log(w).astype(np.float32)[:, None]
     best, sample = np.full(hashes, np.inf, dtype=np.float32), np.zeros(hashes, dtype=np.int64)
     cols = np.arange(hashes)
-    for at in range(0, len(f), CHUNK):
-        g = f[at:at + CHUNK]
-        b = beta[g]
-        t = np.floor(ln_w[at:at + CHUNK] * r_inv[g] + b)
-        ln_a = ln_c[g] - r[g] * (t - b + 1)
+    for at in range(0, len(f), room.shape[1]):
+        g = f[at:at + room.shape[1]]
+        r, b, ln_c, t = room[:, :len(g)]
+        for numbers, to in zip(draws, (r, b, ln_c)):
+            numbers.take(g, axis=0, out=to, mode="clip")
+        np.reciprocal(r, out=t)
+        t *= ln_w[at:at + len(g)]
+        t += b
+        np.floor(t, out=t)
+        ln_a = np.subtract(t, b, out=b)
+        ln_a += np.float32(1)
+        ln_a *= r
+        np.subtract(ln_c, ln_a, out=ln_a)
         k = ln_a.argmin(axis=0)
-        better = ln_a[k, cols] < best
-        best = np.where(better, ln_a[k, cols], best)
+        low = ln_a[k, cols]
+        better = low < best
+        best = np.where(better, low, best)
         sample = np.where(better, g[k] * 4096 + t[k, cols].astype(np.int64) % 4096, sample)
     return sample
 
@@ -253,6 +276,17 @@ def _verify(idf, threshold: float):
 CELL = ["band", "key", "bi", "bj"]
 
 
+def _distinct_buckets(every: DataFrame) -> DataFrame:
+    """band, key and size of the buckets of two texts and more, one of those that hold the same texts.
+
+    Near copies share most of their bands.  The first band is kept, so that a pair which shares an earlier band than
+    that of a bucket has met in a bucket of an earlier band.  Two hashes of 64 bits tell which buckets are equal.
+    """
+    salted = [F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(f"x{salt}") for salt in (1, 2)]
+    sizes = every.groupBy("band", "key").agg(F.count("*").alias("n"), *salted).filter("n > 1")
+    return sizes.groupBy("n", "x1", "x2").agg(F.min(F.struct("band", "key")).alias("at")).select("at.*", "n")
+
+
 def _meet(members: DataFrame) -> DataFrame:
     """A row for every two blocks of a bucket with their texts; a bucket is cut into blocks of about BLOCK."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -281,7 +315,7 @@ def _links(shared: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFr
                              "node binary, bands array<bigint>, signature binary", TEXTS), "signatures")
     members = shared.join(signed, "node")
     near = _gather(_meet(members).filter(F.col("bj") - F.col("bi") <= 1)).select("bi", "bj", "rows")
-    likely = stage(rows_from(near, _nearest(least), "a binary, b binary").distinct(), "likely")
+    likely = stage(rows_from(near, _nearest(least), "a binary, b binary", CELLS).distinct(), "likely")
     body = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"t{n}"))
     links = stage(rows_from(likely.join(body("a"), "a").join(body("b"), "b"), _verify(idf, threshold),
                             "a binary, b binary"), "links")
@@ -291,9 +325,9 @@ def _links(shared: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFr
     mixed = labelled.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
     cells = _gather(_meet(labelled.join(mixed.select("band", "key"), ["band", "key"])), "root")
     row = "node binary, bands array<bigint>, signature binary, root binary, block int"
-    rest = stage(rows_from(cells, _unsettled(least), f"band int, key long, bi int, bj int, {row}"), "unsettled")
+    rest = stage(rows_from(cells, _unsettled(least), f"band int, key long, bi int, bj int, {row}", CELLS), "unsettled")
     full = _gather(rest.join(texts.select("node", "text"), "node"), "root", "text")
-    last = rows_from(full, _settle(idf, least, threshold), "a binary, b binary")
+    last = rows_from(full, _settle(idf, least, threshold), "a binary, b binary", CELLS)
     return stage(links.unionByName(last), "all-links")
 
 
@@ -333,8 +367,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str =
     nodes = stage(signed.filter("bands is not null").groupBy("node")
                   .agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "nodes")
     every = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    sizes = every.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = stage(every.join(sizes, ["band", "key"]), "shared")
+    shared = stage(every.join(_distinct_buckets(every), ["band", "key"]), "shared")
     # one text for each node that shares a band with another
     first = shared.select("node").distinct().join(nodes, "node").withColumnRenamed("node", "_node")
     texts = rows.join(first, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("first")))
