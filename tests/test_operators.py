@@ -846,3 +846,42 @@ def test_energies_at_read_the_tree_once_for_all_tables(spark):
     assert losses._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
     br = truth.bracket_table(lin, cps)._jdf.queryExecution().optimizedPlan().toString()
     assert br.count("Join") == cps._jdf.queryExecution().optimizedPlan().toString().count("Join") + 1
+
+
+def test_only_features_of_scored_rows_go_to_python(spark):
+    t = boost.Tree()
+    t.split(0, 0, 1.5, 0, 1.0, (10.0, 20.0))
+    t.depth = 1
+    model = boost.BoostModel(["x"], 1.0, 0.5, "rmse", [t])
+    # an interval has no form outside Spark: a pass of whole rows through Python fails
+    df = spark.sql("SELECT id, CASE WHEN id < 3 THEN CAST(id AS int) END AS x, make_interval(0, 1, 0, 2) AS held FROM range(4)")
+    got = model.transform(df)
+    assert got.columns == ["id", "x", "held", "log_e_predicted"]
+    assert [r[0] for r in got.orderBy("id").select("log_e_predicted").collect()] == [6.0, 6.0, 11.0, 11.0]
+    assert boost.BoostModel([], 1.0, 0.5, "rmse").transform(df).select("log_e_predicted").distinct().collect()[0][0] == 1.0
+
+
+def test_truth_from_sums_is_scalar_and_methods_stay_compiled(spark):
+    tree_rows = spark.createDataFrame([(1, 1, None, 14, 0.0, 0.0, 0.0, 0.0), (1, 2, 1, 13, 0.0, 0.0, 0.0, 0.0), (1, 3, 2, 99, 50.0, 181.0, 2.0, 243.0)],
+                                      "event_id long, idx long, parent_idx long, pdg int, energy double, x double, y double, z double")
+    t = _moved(spark, 1000.0, 1000.0, 900.0, 100.0, 100.0, 800.0)
+    t = t.withColumns({"track_no": F.lit(1), "particle_idx": F.lit(2).cast("long"), "zenith": F.lit(1.0), "azimuth": F.lit(1.0)})
+    plan = truth.edge_energies_tables(t, tree_rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+    # beyond this size the virtual machine interprets a method
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_scored_files_of_two_folders_are_written_in_one_pass(spark, tmp_path, monkeypatch):
+    from tracklake.plans import training
+    from tracklake.sources import frames as fr
+    calls, write = [], fr.write_table
+    monkeypatch.setattr(fr, "write_table", lambda *a, **k: (calls.append(1), write(*a, **k))[1])
+    orders = spark.sql("SELECT id AS o_orderkey, id % 7 AS o_custkey, 'O' AS o_orderstatus, 100.0D + id AS o_totalprice FROM range(1, 40)")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    lines = "SELECT id AS l_orderkey, n AS l_linenumber, n AS l_partkey, n AS l_suppkey, 10.0D * n AS l_extendedprice, 1.0D * n AS l_quantity"
+    spark.sql(f"{lines} FROM range(1, 40) CROSS JOIN (SELECT explode(sequence(1L, 4L)) AS n)").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = training.score_frames(spark, str(tmp_path)).collect()
+    assert len(calls) == 1
+    assert sorted((r.event_id, r.folder) for r in got) == [(k, "odd" if k % 2 else "even") for k in range(1, 40)]
+    assert len({r.out_file for r in got if r.folder == "odd"} & {r.out_file for r in got if r.folder == "even"}) > 0
