@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklake.llm import hostrules, neardup, queries, spans, toxicity
-from tracklake.llm.common import stage
+from tracklake.llm.common import passing, stage
 from tracklake.session import ship_package
 
 
@@ -66,5 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
+        with passing(spark):  # what a stage has stored is given up with it
+            docs = stage(step(spark, docs, sf_dir), name, lasting=True)
     return docs

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_from, stage, with_columns_from
+from .common import parted, passing, rows_from, stage, with_columns_from
 
 MIN_SENTENCES, MIN_WORDS = 2, 20
 NEAR, CUT_ONE_IN = 8, 4
@@ -181,25 +181,30 @@ def dedup_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     row = F.xxhash64(F.col(text))
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row.alias("row"), F.col(text).alias("text"))
     keyed = keyed.filter("text is not null")
-    twice = rows_from(keyed.select("text"), _keys, "h1 long", AT_ONCE).groupBy("h1").count().filter("count > 1")
-    bits = docs.sparkSession.sparkContext.broadcast(_bits(twice.select(F.col("h1").bitwiseAND(SLOTS - 1).alias("slot"))))
-    runs = stage(rows_from(keyed, lambda batches: _runs(batches, bits.value), RUN, AT_ONCE), "runs")
-    place = F.struct("doc_id", "row", "pos")
-    repeated = (runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-                .filter("first <> last").drop("last"))
-    # stored, so that the join below is one of two exchanges, and Spark can split a run that very many texts share
-    repeated = stage(repeated, "repeated")
-    # one number a mark: place and length
-    mark = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("sentences").cast("long"))
-    marks = stage(runs.join(repeated, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
-                  .groupBy("doc_id", "row").agg(F.collect_set(mark).alias("marks")), "marks")
+    with passing(docs.sparkSession):
+        twice = rows_from(keyed.select("text"), _keys, "h1 long", AT_ONCE).groupBy("h1").count().filter("count > 1")
+        bits = docs.sparkSession.sparkContext.broadcast(_bits(twice.select(F.col("h1").bitwiseAND(SLOTS - 1).alias("slot"))))
+        runs = stage(rows_from(keyed, lambda batches: _runs(batches, bits.value), RUN, AT_ONCE), "runs")
+        place = F.struct("doc_id", "row", "pos")
+        repeated = (runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+                    .filter("first <> last").drop("last"))
+        # stored, so that the join below is one of two exchanges, and Spark can split a run that very many texts share
+        repeated = stage(repeated, "repeated")
+        # one number a mark: place and length
+        mark = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("sentences").cast("long"))
+        marks = stage(runs.join(repeated, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
+                      .groupBy("doc_id", "row").agg(F.collect_set(mark).alias("marks")), "marks", lasting=True)
     # all columns but the text in one, so that no name of theirs can clash
     others = [c for c in docs.columns if c != text]
     held = docs.select(F.struct(*others).alias("held") if others else F.lit(None).alias("held"), F.col(text).alias("text"),
                        F.col(doc_id).cast("long").alias("own_id"), row.alias("own_row"))
-    joined = held.join(marks, F.col("own_row").eqNullSafe(F.col("row")) & F.col("own_id").eqNullSafe(F.col("doc_id")), "left")
+    # texts that surely have no mark stay where they are
+    may, bare = parted(held, F.xxhash64("own_id", "own_row"), marks, F.xxhash64("doc_id", "row"))
+    joined = may.join(marks, F.col("own_row").eqNullSafe(F.col("row")) & F.col("own_id").eqNullSafe(F.col("doc_id")), "left")
+    joined = joined.select("held", "text", "marks").unionByName(
+        bare.select("held", "text", F.lit(None).cast("array<bigint>").alias("marks")))
     fields = "text string, n_sentences int, n_removed int, removed_spans array<struct<start:int,end:int>>"
-    out = with_columns_from(joined.select("held", "text", "marks"), ["text", "marks"], _remove, fields, drop=("marks",), at_once=AT_ONCE)
+    out = with_columns_from(joined, ["text", "marks"], _remove, fields, drop=("marks",), at_once=AT_ONCE)
     new = ["n_sentences", "n_removed", "removed_spans"]
     kept = [F.col("text").alias(text) if c == text else F.col("held")[c].alias(c) for c in docs.columns if c not in new]
     return out.select(*kept, *new)
