@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import added_rows, rows_from, stage
+from .common import added_rows, parted, passing, rows_from, stage
 from .neardup import classes
 
 WORDS, LEAST = 3, 90          # words of a shingle, per cent of the union
@@ -39,7 +39,6 @@ REGION, REGION_SHINGLES = 256, 1 << 22   # members and shingles of a region that
 MORE = 32                     # linked sets share one more of their rarest shingles for so many that they have in common
 PIVOTS = 16                   # of a larger region (twice as many on average, by hash)
 BLOCK = 64                    # members of a block
-SLOTS = 1 << 24               # bits that say which rows may be wanted
 
 P, M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 SALTS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xBF58476D1CE4E5B9))  # of one and of two words
@@ -483,22 +482,6 @@ def _large_region_links(members: DataFrame, sets: DataFrame, links: DataFrame, l
     return links.unionByName(rows_from(meet, _join_blocks(least), "a long, b long", at_once=500))
 
 
-def _among(rows: DataFrame, key, wanted: DataFrame, wanted_key) -> DataFrame:
-    """``rows`` without most of those whose key no row of ``wanted`` has; none that has is lost.
-
-    One bit for each of SLOTS hashes; the words that have a bit set, at most SLOTS / 64
-    rows whatever the input, go to all tasks.  The join that follows then deals few
-    other rows.
-    """
-    slot = lambda k: F.pmod(F.xxhash64(k, F.lit(12)), F.lit(SLOTS))
-    bits = wanted.select(slot(wanted_key).alias("slot")).select(
-        F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 AS int))").alias("bit"))
-    words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    own = rows.withColumn("own_slot", slot(key))
-    hit = (F.shiftright("own_slot", 6) == F.col("word")) & (F.expr("shiftright(bits, cast(own_slot & 63 AS int)) & 1") == 1)
-    return own.join(F.broadcast(words), hit, "left_semi").drop("own_slot")
-
-
 def _regions(heads: DataFrame, least: int) -> DataFrame:
     """(pivot, cls): the regions, without members that cannot be linked inside.  ``heads``: cls, n, rare, more."""
     # sizes of linked sets lie in one window or in neighbouring ones
@@ -512,7 +495,7 @@ def _regions(heads: DataFrame, least: int) -> DataFrame:
     sized = members.join(members.groupBy("pivot").agg((F.count("*") > REGION).alias("large")), "pivot")
     sized = stage(sized, "meeting-sizes")
     small = sized.filter("not large").drop("large")
-    small = small.hint("merge").join(_among(heads, "cls", small, "cls"), "cls").select("pivot", "cls", "n", "rare", "more")
+    small = small.hint("merge").join(parted(heads, "cls", small, "cls")[0], "cls").select("pivot", "cls", "n", "rare", "more")
     small = small.repartition("pivot").sortWithinPartitions("pivot")
     kept = rows_from(small, _partnered(least), "pivot long, cls long", at_once=500)
     return sized.filter("large").select("pivot", "cls").unionByName(kept)
@@ -532,12 +515,13 @@ def join_documents(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id",
     measured = stage(measured.withColumn("row", F.monotonically_increasing_id()), "measured")
     per_class = stage(measured.filter("n > 0").groupBy("node").agg(
         F.min("row").alias("cls"), F.min("doc_id").alias("first"), F.max("n").alias("n")), "classes")
-    heads = stage(measured.join(per_class.select(F.col("cls").alias("row")), "row")
-                  .select(F.col("row").alias("cls"), "n", "rare", "more"), "heads")
-    members = stage(_regions(heads, least), "members")
+    with passing(spark):
+        heads = stage(measured.join(per_class.select(F.col("cls").alias("row")), "row")
+                      .select(F.col("row").alias("cls"), "n", "rare", "more"), "heads")
+        members = stage(_regions(heads, least), "members", lasting=True)
     wanted = members.select("cls").distinct().join(measured.withColumnRenamed("row", "cls"), "cls")
     wanted = stage(wanted.select("cls", F.col("doc_id").alias("id"), F.col("same").alias("like"), "node"), "wanted")
-    texts = _among(rows, "same", wanted, "like").join(
+    texts = parted(rows, "same", wanted, "like")[0].join(
         wanted.hint("merge"), (F.col("same") == F.col("like")) & F.col("doc_id").eqNullSafe(F.col("id")))
     sets = stage(texts.select("cls", "node", "text").mapInArrow(_whole_sets, "cls long, held binary"), "sets")
     sizes = members.join(per_class.select("cls", "n"), "cls").groupBy("pivot").agg(
@@ -562,12 +546,14 @@ def components(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text
     ids count as larger than all others, so a component has a null id only if
     all its ids are null.  Other columns are not read.
     """
-    rows, per_class, links = join_documents(docs, least, doc_id, text)
-    roots = classes(links).withColumnRenamed("node", "cls")
-    labelled = per_class.select("node", "cls", "first").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    ids = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    # stored, so that Spark can split the join below on a set that very many rows share
-    per_node = stage(labelled.join(ids, "root").select("node", "component_id"), "components")
+    with passing(docs.sparkSession):
+        rows, per_class, links = join_documents(docs, least, doc_id, text)
+        rows = stage(rows, "rows", lasting=True)
+        roots = classes(links).withColumnRenamed("node", "cls")
+        labelled = per_class.select("node", "cls", "first").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        ids = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
+        # stored, so that Spark can split the join below on a set that very many rows share
+        per_node = stage(labelled.join(ids, "root").select("node", "component_id"), "components", lasting=True)
     found = rows.join(per_node, "node", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"),
                         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
