@@ -561,3 +561,17 @@ def test_rows_without_a_partner_are_not_dealt(spark):
     assert may.columns == rest.columns == ["id", "word"]
     assert may.count() + rest.count() == 5000 and may.count() < 110
     assert rest.join(wanted, F.col("id") == F.col("like")).isEmpty()
+
+
+def test_near_duplicates_store_no_texts(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(1, " ".join(words)), (2, near), (2, near), (3, " ".join(words)), (None, near), (4, None), (None, None),
+            *((10 + i, f"text number {i} has nothing in common with any of the rest {i * 7}") for i in range(30))]
+    stored, stage = [], neardup.stage
+    monkeypatch.setattr(neardup, "stage", lambda df, name, **k: (stored.append(df.columns), stage(df, name, **k))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.class_id) for r in neardup.near_duplicates(docs).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or 0))
+    assert got[:4] == [(1, 1), (2, 1), (2, 1), (3, 1)] and (None, 1) in got and (None, None) in got and (4, 4) in got
+    assert all((i, i) in got for i in range(10, 40)) and len(got) == len(rows)
+    assert stored and not any("text" in columns for columns in stored)

@@ -197,7 +197,7 @@ def _long_signatures(idf):
                 s, n = shingles(text)
                 x = samples(s, weights(s, n, table), LONG_FEATURES, LONG).astype(np.uint64) * MIX
                 out.append((x >> np.uint64(48)).astype("<u2").tobytes())
-            yield {"node": b["node"], "bands": b["bands"], "signature": out}
+            yield {"node": b["node"], "signature": out}
     return run
 
 
@@ -316,7 +316,21 @@ def _gather(cells: DataFrame, *more: str) -> DataFrame:
     return cells.groupBy(*CELL).agg(F.collect_list(held).alias("rows")).filter(F.size("rows") > 1)
 
 
-def _links(shared: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+def _first_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text of the first rows of the nodes of ``wanted`` (node, first), and of few other nodes; nothing is dealt.
+
+    A row that comes several times stays so.
+    """
+    want = wanted.select(F.xxhash64("node", "first").alias("_want"))
+    return parted(rows.filter("text is not null"), F.xxhash64("node", "doc_id"), want, "_want")[0].select("node", "text")
+
+
+def _texts(rows: DataFrame, first: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text, once for every node of ``nodes``, and few other nodes."""
+    return _first_rows(rows, first.join(nodes.distinct(), "node")).dropDuplicates(["node"])
+
+
+def _links(shared: DataFrame, rows: DataFrame, first: DataFrame, idf, threshold: float) -> DataFrame:
     """Verified links (a, b) whose classes are those of all similar texts that share a band.
 
     First every text is compared with the one of its bucket that looks most like
@@ -324,14 +338,16 @@ def _links(shared: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFr
     of a bucket that may be similar and are not in one class yet are compared
     inside tasks, a cell of two blocks at a time, and only links that join
     classes come out.  So no pair is left out but for errors of the signature
-    (MARGIN), and no stage has a row per pair.
+    (MARGIN), and no stage has a row per pair.  Signatures are made where the texts are read; texts are dealt
+    only for pairs that look similar, once.
     """
     least = threshold - MARGIN
-    signed = stage(rows_from(texts.select("node", "bands", "text"), _long_signatures(idf),
-                             "node binary, bands array<bigint>, signature binary", TEXTS), "signatures")
+    signatures = rows_from(_first_rows(rows, first), _long_signatures(idf), "node binary, signature binary", TEXTS)
+    signed = stage(signatures.dropDuplicates(["node"]).join(first.select("node", "bands"), "node"), "signatures")
     members = shared.join(signed, "node")
     near = _gather(_meet(members).filter(F.col("bj") - F.col("bi") <= 1)).select("bi", "bj", "rows")
     likely = stage(rows_from(near, _nearest(least), "a binary, b binary", CELLS).distinct(), "likely")
+    texts = _texts(rows, first, likely.select(F.explode(F.array("a", "b")).alias("node")))
     body = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"t{n}"))
     links = stage(rows_from(likely.join(body("a"), "a").join(body("b"), "b"), _verify(idf, threshold),
                             "a binary, b binary"), "links")
@@ -342,7 +358,7 @@ def _links(shared: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFr
     cells = _gather(_meet(labelled.join(mixed.select("band", "key"), ["band", "key"])), "root")
     row = "node binary, bands array<bigint>, signature binary, root binary, block int"
     rest = stage(rows_from(cells, _unsettled(least), f"band int, key long, bi int, bj int, {row}", CELLS), "unsettled")
-    full = _gather(rest.join(texts.select("node", "text"), "node"), "root", "text")
+    full = _gather(rest.join(_texts(rows, first, rest.select("node")), "node"), "root", "text")
     last = rows_from(full, _settle(idf, least, threshold), "a binary, b binary", CELLS)
     return stage(links.unionByName(last), "all-links")
 
@@ -385,12 +401,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str =
                       .agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "nodes")
         every = nodes.select("node", F.posexplode("bands").alias("band", "key"))
         shared = stage(every.join(_distinct_buckets(every), ["band", "key"]), "shared")
-        # one text for each node that shares a band with another; few texts of other nodes are dealt
-        first = stage(shared.select("node").distinct().join(nodes, "node").withColumnRenamed("node", "_node"), "first")
-        texts = parted(rows, "node", first, "_node")[0].join(
-            first, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("first")))
-        texts = stage(texts.select("node", "text", "bands").dropDuplicates(["node"]), "texts")
-        roots = classes(_links(shared, texts, idf, threshold))
+        first = stage(shared.select("node").distinct().join(nodes, "node"), "first")
+        roots = classes(_links(shared, rows, first, idf, threshold))
         labelled = roots.join(nodes.select("node", "first"), "node")
         ids = labelled.join(labelled.groupBy("root").agg(F.min("first").alias("class_id")), "root").select("node", "class_id")
         # stored, so that Spark can split the join below on a text that very many rows share
