@@ -885,3 +885,27 @@ def test_scored_files_of_two_folders_are_written_in_one_pass(spark, tmp_path, mo
     assert len(calls) == 1
     assert sorted((r.event_id, r.folder) for r in got) == [(k, "odd" if k % 2 else "even") for k in range(1, 40)]
     assert len({r.out_file for r in got if r.folder == "odd"} & {r.out_file for r in got if r.folder == "even"}) > 0
+
+
+def test_truth_numbers_particles_once_and_frames_are_shuffled_flat(spark, monkeypatch):
+    from tracklake.sources import fixtures as fx
+    from tracklake.sources import frames as fr
+    lines = [(e, n, n, n, 10.0 * n, 1.0 * n) for e in range(1, 30) for n in range(1, 6)]
+    cols = "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double"
+    orders = spark.createDataFrame([(e, e % 7, "O", 100.0 + e) for e in range(1, 30)],
+                                   "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double")
+    monkeypatch.setattr(fx, "table", lambda s, d, name: {"orders": orders, "lineitem": spark.createDataFrame(lines, cols)}[name])
+    read = []
+    for name in ("selected_with_cylinder", "track_losses"):
+        monkeypatch.setattr(truth, name, lambda t, p, f=getattr(truth, name), **k: (read.append(p), f(t, p, **k))[1])
+    tracks, particles = fx.tracks(spark, ""), fx.particles(spark, "")
+    got = {r.event_id: (r.e_entry, r.e_exit) for r in truth.edge_energies_tables(tracks, particles).collect()}
+    plans = [p._jdf.queryExecution().optimizedPlan().toString() for p in read]
+    assert len(plans) >= 2 and not any("Window" in p for p in plans)
+    want = {r.event_id: (r.e_entry, r.e_exit) for r in truth.edge_energies(tracks, particles).collect()}
+    assert got.keys() == want.keys() and all(g == pytest.approx(w, nan_ok=True) if None not in g + w else g == w for e, w in want.items() for g in [got[e]])
+    flat = fr.nest_frames(fx.frames(spark, ""), fx.dom_hits(spark, "", by_event=True))
+    plan = flat._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("map(") < plan.index("Join") and "map(" not in plan[plan.index("Join"):]
+    assert {r.event_id: r.hit_doms for r in flat.collect()} == {e: [1, 2, 3, 4, 5] for e in range(1, 30)}
+    assert fx.dom_hits(spark, "").exceptAll(fx.dom_hits(spark, "", by_event=True)).isEmpty()
