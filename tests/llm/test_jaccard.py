@@ -136,3 +136,18 @@ def test_odd_documents_and_empty_table(spark, odd_docs):
     assert sorted(map(tuple, jaccard.components(docs).collect()), key=str) == brute(rows)
     assert jaccard.components(docs.limit(0)).collect() == []
     assert got(spark, [(5, None), (None, None), (6, "")]) == brute([(5, None), (None, None), (6, "")])
+
+
+def test_only_shared_shingles_are_dealt_to_regions_and_sets_go_there_directly(spark, monkeypatch):
+    rng, kept, store = random.Random(5), {}, jaccard.stage
+    monkeypatch.setattr(jaccard, "stage", lambda df, name, **k: kept.setdefault(name, store(df, name, **k)))
+    monkeypatch.setattr(jaccard, "passing", lambda s: __import__("contextlib").nullcontext())
+    rows = []
+    for k in range(30):
+        words = [f"w{rng.randrange(10 ** 9)}" for _ in range(120)]
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(edited(rng, words, 2))), (3 * k + 2, " ".join(f"u{rng.randrange(10 ** 9)}" for _ in words))]
+    assert got(spark, rows) == brute(rows)
+    assert not {"heads", "sets"} & kept.keys()  # neither all rare shingles nor whole sets are stored
+    held = [r.shingles for r in kept["shared"].collect()]
+    times = __import__("collections").Counter(s for x in held for s in x)
+    assert len(held) == 60 and min(times.values()) > 1

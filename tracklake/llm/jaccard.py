@@ -193,35 +193,35 @@ def _measured(df, least: int):
         import xxhash
         table = df.value
         for b in batches:
-            n, node, ends, rare, next_rare = [], [], [0], [np.empty(0, np.uint64)], []
+            n, node, lists = [], [], [[np.empty(0, np.uint64)], [np.empty(0, np.uint64)]]
             for s in shingle_sets(b.column(2)):
                 n.append(len(s))
                 node.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                first, more = rarest(s, table, least) if len(s) else (s, s)
-                rare.append(first)
-                next_rare.append(more.tobytes())
-                ends.append(ends[-1] + len(first))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rare).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), lists,
-                                              pa.array(next_rare, pa.binary())],
+                for held, part in zip(lists, rarest(s, table, least) if len(s) else (s, s)):
+                    held.append(part)
+            rare, more = (pa.ListArray.from_arrays(pa.array(np.cumsum([len(x) for x in held]), pa.int32()),
+                                                   pa.array(np.concatenate(held).view(np.int64))) for held in lists)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), rare, more],
                                              names=["doc_id", "same", "n", "node", "rare", "more"])
     return run
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of the wanted texts; copies of one text in a task give one row."""
+    """The sets of the wanted texts, and their regions; copies of one text in a task give one row."""
     import xxhash
     done = set()
     for b in batches:
         ids, nodes = b.column(0).to_pylist(), b.column(1).to_pylist()
-        out, sets = [], []
-        for cls, node, s in zip(ids, nodes, shingle_sets(b.column(2))):
+        at, sets = [], []
+        for i, (cls, node, s) in enumerate(zip(ids, nodes, shingle_sets(b.column(2)))):
             raw = s.tobytes()
             if cls not in done and xxhash.xxh3_128_digest(raw) == node:
                 done.add(cls)
-                out.append(cls)
+                at.append(i)
                 sets.append(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "held"])
+        at = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(3).take(at), pa.array(sets, pa.binary())],
+                                         names=["cls", "pivots", "held"])
 
 
 # ----------------------------------------------------------------- regions
@@ -310,8 +310,7 @@ def _partnered(least: int):
         for (pivot,), held in _runs(batches, ["pivot"]):
             n = np.array(held["n"])
             need = required(n, least)
-            region = Region([np.concatenate([np.array(r, dtype=np.int64).view(np.uint64), np.frombuffer(m, dtype=np.uint64)])
-                             for r, m in zip(held["rare"], held["more"])])
+            region = Region([np.array(x, dtype=np.int64).view(np.uint64) for x in held["shingles"]])
             partner = np.zeros(len(n), dtype=bool)
             for i in range(len(n)):
                 if not partner[i]:
@@ -449,7 +448,7 @@ def _in_each(leaders: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFram
 def _large_region_links(members: DataFrame, sets: DataFrame, links: DataFrame, least: int) -> DataFrame:
     """Links of the regions that one task doesn't join.  ``members``: pivot, cls, members and first of the region."""
     radius = 1 - least / 100 + 1e-9
-    sets = stage(sets.join(members.select("cls").distinct(), "cls", "left_semi"), "large-sets")
+    sets = stage(sets, "large-sets")
     # pivots of a region: its first member and about 2 * PIVOTS by hash
     share = F.pmod(F.xxhash64("pivot", "cls"), F.lit(1 << 20)) * F.col("members") < F.lit(2 * PIVOTS << 20)
     dealt, chunks = _spread(members.select("pivot", "cls"), ["pivot"], REGION)
@@ -484,23 +483,39 @@ def _large_region_links(members: DataFrame, sets: DataFrame, links: DataFrame, l
 
 def _regions(heads: DataFrame, least: int) -> DataFrame:
     """(pivot, cls): the regions, without members that cannot be linked inside.  ``heads``: cls, n, rare, more."""
+    # (cls, s) is dealt once, for those who count a shingle and those who look it up; only shingles that two sets have,
+    # a small part of all, go on
+    each = heads.select("cls", F.size("rare").alias("rares"), F.posexplode(F.concat("rare", "more")).alias("at", "s"))
+    each = each.select("cls", "s", (F.col("at") < F.col("rares")).alias("first")).repartition("s")
+    several = each.groupBy("s").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count_if("first").alias("firsts"))
+    several = several.filter("least <> most").select("s", (F.col("firsts") > 1).alias("meets"))
+    shared = each.join(several, "s").select("cls", "s", (F.col("first") & F.col("meets")).alias("meets")).repartition("cls")
+    shared = shared.groupBy("cls").agg(F.collect_list("s").alias("shingles"), F.collect_list(F.when(F.col("meets"), F.col("s"))).alias("rare"))
+    shared = stage(shared.filter(F.size("rare") > 0).join(heads.select("cls", "n"), "cls").select("cls", "n", "rare", "shingles"), "shared")
     # sizes of linked sets lie in one window or in neighbouring ones
     window = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / least) * (1 + 1e-9))).cast("int") if least < 100 else F.col("n")
-    each = heads.select("cls", window.alias("w"), F.explode("rare").alias("s"))
-    several = each.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
-    each = stage(each.join(several, "s"), "shared")
-    keyed = each.select("cls", F.explode(F.array(F.xxhash64("s", "w"), F.xxhash64("s", F.col("w") - 1))).alias("meet"))
-    meets = keyed.groupBy("meet").agg(F.min("cls").alias("pivot"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    keyed = shared.select("cls", window.alias("w"), F.explode("rare").alias("s"))
+    keyed = keyed.select("cls", F.explode(F.array(F.xxhash64("s", "w"), F.xxhash64("s", F.col("w") - 1))).alias("meet")).repartition("meet")
+    meets = keyed.groupBy("meet").agg(F.min("cls").alias("pivot"), F.max("cls").alias("most")).filter("pivot <> most").drop("most")
     members = stage(keyed.join(meets, "meet").select("pivot", "cls").distinct(), "meeting")
     sized = members.join(members.groupBy("pivot").agg((F.count("*") > REGION).alias("large")), "pivot")
     sized = stage(sized, "meeting-sizes")
     small = sized.filter("not large").drop("large")
-    small = small.hint("merge").join(parted(heads, "cls", small, "cls")[0], "cls").select("pivot", "cls", "n", "rare", "more")
+    small = small.hint("merge").join(parted(shared, "cls", small, "cls")[0], "cls").select("pivot", "cls", "n", "shingles")
     small = small.repartition("pivot").sortWithinPartitions("pivot")
     kept = rows_from(small, _partnered(least), "pivot long, cls long", at_once=500)
     return sized.filter("large").select("pivot", "cls").unionByName(kept)
 
 
+def _sets(rows: DataFrame, measured: DataFrame, members: DataFrame) -> DataFrame:
+    """cls, pivots (the regions it is in) and held (its whole set) of the classes of ``members`` (pivot, cls)."""
+    wanted = members.groupBy("cls").agg(F.collect_list("pivot").alias("pivots")).join(measured.withColumnRenamed("row", "cls"), "cls")
+    wanted = stage(wanted.select("cls", F.col("doc_id").alias("id"), F.col("same").alias("like"), "node", "pivots"), "wanted")
+    texts = parted(rows, "same", wanted, "like")[0].join(
+        wanted.hint("merge"), (F.col("same") == F.col("like")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    return texts.select("cls", "node", "text", "pivots").mapInArrow(_whole_sets, "cls long, pivots array<bigint>, held binary")
+
+
 def join_documents(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, links) of the join.
 
@@ -511,28 +526,25 @@ def join_documents(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id",
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("same"), F.col(text).alias("text"))
     df = spark.sparkContext.broadcast(frequencies(rows))
-    measured = rows.mapInArrow(_measured(df, least), "doc_id long, same long, n long, node binary, rare array<bigint>, more binary")
-    measured = stage(measured.withColumn("row", F.monotonically_increasing_id()), "measured")
-    per_class = stage(measured.filter("n > 0").groupBy("node").agg(
-        F.min("row").alias("cls"), F.min("doc_id").alias("first"), F.max("n").alias("n")), "classes")
+    measured = rows.mapInArrow(_measured(df, least),
+                               "doc_id long, same long, n long, node binary, rare array<bigint>, more array<bigint>")
     with passing(spark):
-        heads = stage(measured.join(per_class.select(F.col("cls").alias("row")), "row")
-                      .select(F.col("row").alias("cls"), "n", "rare", "more"), "heads")
+        whole = stage(measured.withColumn("row", F.monotonically_increasing_id()), "measured")
+        measured = stage(whole.drop("rare", "more"), "measured-rows", lasting=True)
+        per_class = stage(measured.filter("n > 0").groupBy("node").agg(
+            F.min("row").alias("cls"), F.min("doc_id").alias("first"), F.max("n").alias("n")), "classes", lasting=True)
+        heads = whole.join(per_class.select(F.col("cls").alias("row")), "row").select(F.col("row").alias("cls"), "n", "rare", "more")
         members = stage(_regions(heads, least), "members", lasting=True)
-    wanted = members.select("cls").distinct().join(measured.withColumnRenamed("row", "cls"), "cls")
-    wanted = stage(wanted.select("cls", F.col("doc_id").alias("id"), F.col("same").alias("like"), "node"), "wanted")
-    texts = parted(rows, "same", wanted, "like")[0].join(
-        wanted.hint("merge"), (F.col("same") == F.col("like")) & F.col("doc_id").eqNullSafe(F.col("id")))
-    sets = stage(texts.select("cls", "node", "text").mapInArrow(_whole_sets, "cls long, held binary"), "sets")
     sizes = members.join(per_class.select("cls", "n"), "cls").groupBy("pivot").agg(
         F.count("*").alias("members"), F.sum("n").alias("shingles"), F.min("cls").alias("head"))
     sized = stage(members.join(sizes, "pivot"), "sized")
     large = (F.col("members") > REGION) | (F.col("shingles") > REGION_SHINGLES)
-    small = sized.filter(~large).select("pivot", "cls").hint("merge").join(sets, "cls")
+    small = _sets(rows, measured, sized.filter(~large).select("pivot", "cls")).select(F.explode("pivots").alias("pivot"), "cls", "held")
     small = small.repartition("pivot").sortWithinPartitions("pivot")
     links = stage(rows_from(small, _join_regions(least), "a long, b long", at_once=500), "links")
     of_large = sized.filter(large).select("pivot", "cls", "members", "head")
     if not of_large.isEmpty():
+        sets = _sets(rows, measured, of_large.select("pivot", "cls")).select("cls", "held")
         links = stage(_large_region_links(of_large, sets, links, least), "all-links")
     return measured.select("doc_id", "n", "node"), per_class, links
 
