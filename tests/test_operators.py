@@ -439,6 +439,42 @@ def test_boosting_equals_a_brute_force_split_finder(spark, objective):
             assert mine == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("objective", ["rmse", "pshe"])
+def test_rounds_in_one_task_equal_those_of_a_job_a_level(spark, monkeypatch, objective):
+    rng = np.random.default_rng(21)
+    n = 700
+    x = rng.uniform(0, 1, (n, 3))
+    y = 2 * x[:, 0] - x[:, 1] * x[:, 2] + rng.normal(0, 0.3, n)
+    rows = [(*map(float, r), float(a), float(b), ("eval", "train", "train", "test")[i % 4]) for i, (r, a, b) in enumerate(zip(x, y, rng.uniform(0.5, 2, n)))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, label double, w double, split string").repartition(3)
+    fit = lambda: boost.train(df, ["a", "b", "c"], "label", "w", objective=objective, rounds=14, eta=0.5, max_depth=4, early_stopping=3)
+    monkeypatch.setattr(boost, "ROUNDS_AT_ONCE", 4)  # margins go on from run to run
+    inside = fit()
+    monkeypatch.setattr(boost, "ROWS_IN_TASK", 0)
+    jobs = fit()
+    assert 4 < len(inside.model.trees) < 14 and len(inside.model.trees) == len(jobs.model.trees)  # stopped early
+    assert [boost._shape(t) for t in inside.model.trees] == [boost._shape(t) for t in jobs.model.trees]
+    assert [(r, s) for r, s, *_ in inside.curve] == [(r, s) for r, s, *_ in jobs.curve] and inside.best_round == jobs.best_round
+    assert [v for *_, v in inside.curve] == pytest.approx([v for *_, v in jobs.curve], abs=1e-12)
+    for one, other in zip(inside.model.trees, jobs.model.trees):
+        assert one.value == pytest.approx(other.value, abs=1e-12) and one.threshold == other.threshold
+
+
+def test_the_model_is_trained_for_all_rounds_of_the_training_job(spark, monkeypatch):
+    from tracklake.plans import training
+    rng = np.random.default_rng(4)
+    rows = [(i, float(a), float(a + rng.normal(0, 0.1)), ("eval", "train", "train")[i % 3]) for i, a in enumerate(rng.uniform(0, 1, 120))]
+    df = spark.createDataFrame(rows, "event_id long, a double, label double, split string").withColumn("generator_weights", F.lit(1.0))
+    monkeypatch.setattr(training, "training_frame", lambda *a: df)
+    monkeypatch.setattr(training, "TRAIN_FEATURES", ["a"])
+    got = training.train_model(spark, "").orderBy("round").collect()
+    # the 10000 rounds of the reference's job, or 1000 after the best one on the eval rows
+    best = min(range(len(got)), key=lambda r: (got[r].eval_rmse, r))
+    assert training.ROUNDS == 10_000 and [r.round for r in got] == list(range(len(got)))
+    assert len(got) == min(10_000, best + 1 + 1000)
+    assert got[best].eval_rmse < 0.75 * got[0].eval_rmse
+
+
 def test_leaf_is_newton_step(spark):
     p = boost.Params(0, 1.0, 1.0, reg_lambda=0.0)
     y, w = np.array([0.5, -1.0, 2.0, 0.25]), np.array([1.0, 2.0, 0.5, 4.0])
